@@ -77,10 +77,13 @@ def map_unique_lastname(src: DataFrame, hist: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- fuzzy pass
 
 def _grams(col, q: int):
-    """Occurrence-numbered q-grams of a string: 'abab' → ab#1, ba#1, ab#2."""
+    """Occurrence-numbered q-grams of a string: 'abab' → ab#1, ba#1, ab#2 (array functions
+    only — no shuffle)."""
     n = F.length(col)
     raw = F.transform(F.sequence(F.lit(1), F.greatest(n - q + 1, F.lit(1))), lambda i: F.substring(col, i, q))
-    return F.when(n >= q, raw).otherwise(F.array())
+    numbered = F.transform(raw, lambda g, i: F.concat(
+        g, F.lit("#"), F.size(F.filter(F.slice(raw, 1, i + 1), lambda x: x == g)).cast("string")))
+    return F.when(n >= q, numbered).otherwise(F.array().cast("array<string>"))
 
 
 def _prefix_candidates(s: DataFrame, h: DataFrame, rep: str, q: int, delta: float) -> DataFrame:
@@ -93,9 +96,7 @@ def _prefix_candidates(s: DataFrame, h: DataFrame, rep: str, q: int, delta: floa
         return F.floor(F.length(c) * F.lit(delta / (1.0 - delta)) + F.lit(1e-9)).cast("int")
 
     def explode_grams(df, id_col):
-        g = df.select(id_col, "_blk", "_len", "_tau", F.posexplode(_grams(F.col("_r"), q)).alias("_pos", "_g"))
-        w = Window.partitionBy(id_col, "_g").orderBy("_pos")
-        return g.withColumn("_gram", F.concat(F.col("_g"), F.lit("#"), F.row_number().over(w).cast("string")))
+        return df.select(id_col, "_blk", "_len", "_tau", F.explode(_grams(F.col("_r"), q)).alias("_gram"))
 
     sg = explode_grams(s.withColumn("_r", F.col(rep)).withColumn("_len", F.length(rep)).withColumn("_tau", tau(F.col(rep))), "source_id")
     hg = explode_grams(h.withColumn("_r", F.col(rep)).withColumn("_len", F.length(rep)).withColumn("_tau", tau(F.col(rep))), "hname")
@@ -175,25 +176,31 @@ def map_fuzzy_bruteforce(src: DataFrame, hist: DataFrame, threshold: float = par
 # ---------------------------------------------------------------- cascade
 
 def map_cascade(src: DataFrame, hist: DataFrame, threshold: float = params.MAPPING_CONFIDENCE_THRESHOLD,
-                checkpoint_every: int = 0) -> DataFrame:
+                checkpoint: bool = True) -> DataFrame:
     """Run the five passes; returns the union of all pass outputs (one row per matched feed id).
 
     ``src``: (source_id, source_name) — distinct pairs; ``hist``: (historical_id, historical_name).
-    ``checkpoint_every`` > 0 cuts the lineage of the remainder with a reliable checkpoint.
+    Each pass depends on what the earlier passes left unmatched, so without a cut the plan of
+    pass k would contain every earlier pass twice. The inputs and every remainder are written
+    with a reliable checkpoint into the session's checkpoint folder (survives executor loss),
+    so the remainder is a linear chain of anti-joins against materialised pass outputs;
+    ``checkpoint=False`` keeps everything lazy (small inputs only).
     """
     from ..session import cut_lineage
+
+    def cut(df):
+        return cut_lineage(df) if checkpoint else df
+
     src = src.select("source_id", "source_name").distinct()
-    hist = hist.select("historical_id", "historical_name").where(F.col("historical_id").isNotNull()
-                                                                 & F.col("historical_name").isNotNull()).distinct()
+    hist = cut(hist.select("historical_id", "historical_name")
+               .where(F.col("historical_id").isNotNull() & F.col("historical_name").isNotNull()).distinct())
     out = []
     remaining = src
-    passes = [map_exact, map_cleaned, map_initial, map_unique_lastname]
-    for i, fn in enumerate(passes):
-        m = fn(remaining, hist)
+    for fn in (map_exact, map_cleaned, map_initial, map_unique_lastname):
+        m = cut(fn(remaining, hist))
         out.append(m)
+        # a chain of anti-joins against checkpointed pass outputs: linear lineage
         remaining = remaining.join(m.select("source_id"), "source_id", "left_anti")
-        if checkpoint_every and (i + 1) % checkpoint_every == 0:
-            remaining = cut_lineage(remaining)
     out.append(map_fuzzy(remaining, hist, threshold))
     result = out[0]
     for m in out[1:]:

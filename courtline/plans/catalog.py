@@ -485,3 +485,79 @@ def q_map_fuzzy(spark, d):
     s, h = _er_inputs(spark, d)
     m = resolve.map_cascade(s, h).where(F.col("method") == "Fuzzy")
     return m.select("source_id", "historical_id", "matched_name", r6("confidence").alias("confidence"))
+
+
+# ---------------------------------------------------------------- flagship: match feature table
+
+def _match_features_sql() -> str:
+    w = "PARTITION BY player_id ORDER BY ts, row_id"
+    ws = "PARTITION BY player_id, surface ORDER BY ts, row_id"
+
+    def rng(d):
+        return f"PARTITION BY player_id ORDER BY ts RANGE BETWEEN INTERVAL {d} DAYS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING"
+    feats = {
+        "win_perc": f"coalesce(avg(won) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)",
+        "form": f"coalesce(avg(won) OVER ({w} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 0)",
+        "rolling_win_perc_20": f"coalesce(avg(won) OVER ({w} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 0)",
+        "rolling_win_perc_50": f"coalesce(avg(won) OVER ({w} ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING), 0)",
+        "surface_win_perc": f"coalesce(avg(won) OVER ({ws} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)",
+        "matches_last_7_days": f"count(*) OVER ({rng(7)})",
+        "matches_last_14_days": f"count(*) OVER ({rng(14)})",
+        "sets_played_last_7_days": f"coalesce(sum(sets_played) OVER ({rng(7)}), 0)",
+        "sets_played_last_14_days": f"coalesce(sum(sets_played) OVER ({rng(14)}), 0)",
+    }
+    fcols = ", ".join(f"{e} AS {n}" for n, e in feats.items())
+    piv = []
+    for n in feats:
+        for side in ("p1", "p2"):
+            e = f"max(CASE WHEN f.player_id = c.{side}_id THEN f.{n} END)"
+            piv.append(f"round({e}, 6) AS {side}_{n}" if "perc" in n or n == "form" else f"CAST({e} AS BIGINT) AS {side}_{n}")
+    h2h = ("PARTITION BY least(winner_id, loser_id), greatest(winner_id, loser_id) ORDER BY tourney_date "
+           "RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING")
+    return f"""
+WITH pm AS (SELECT match_id, tourney_date AS ts, surface, sets_played, winner_id AS player_id, 1 AS won, match_id * 2 AS row_id FROM matches
+            UNION ALL SELECT match_id, tourney_date, surface, sets_played, loser_id, 0, match_id * 2 + 1 FROM matches),
+f AS (SELECT match_id, player_id, {fcols} FROM pm),
+c AS (SELECT match_id, least(winner_id, loser_id) AS p1_id, greatest(winner_id, loser_id) AS p2_id,
+             CAST(winner_id < loser_id AS INTEGER) AS winner,
+             CASE WHEN winner_id < loser_id THEN winner_odds ELSE loser_odds END AS p1_odds,
+             CASE WHEN winner_id < loser_id THEN loser_odds ELSE winner_odds END AS p2_odds,
+             coalesce(sum(CASE WHEN winner_id < loser_id THEN 1 ELSE 0 END) OVER ({h2h}), 0) AS h2h_p1_wins,
+             coalesce(sum(CASE WHEN winner_id > loser_id THEN 1 ELSE 0 END) OVER ({h2h}), 0) AS h2h_p2_wins
+      FROM matches),
+x AS (SELECT c.match_id, c.p1_id, c.p2_id, c.winner, c.p1_odds, c.p2_odds, c.h2h_p1_wins, c.h2h_p2_wins, {', '.join(piv)}
+      FROM c JOIN f ON f.match_id = c.match_id
+      GROUP BY c.match_id, c.p1_id, c.p2_id, c.winner, c.p1_odds, c.p2_odds, c.h2h_p1_wins, c.h2h_p2_wins)
+SELECT match_id, p1_id, p2_id, winner, round(p1_odds, 6) AS p1_odds, round(p2_odds, 6) AS p2_odds,
+       CAST(h2h_p1_wins AS BIGINT) AS h2h_p1_wins, CAST(h2h_p2_wins AS BIGINT) AS h2h_p2_wins,
+       {', '.join(f'{s}_{n}' for n in feats for s in ('p1', 'p2'))},
+       round(CASE WHEN p1_odds > 0 THEN 1.0 / p1_odds ELSE 0.0 END + CASE WHEN p2_odds > 0 THEN 1.0 / p2_odds ELSE 0.0 END - 1.0, 6) AS book_margin,
+       p1_matches_last_7_days - p2_matches_last_7_days AS fatigue_diff_7_days,
+       p1_matches_last_14_days - p2_matches_last_14_days AS fatigue_diff_14_days,
+       p1_sets_played_last_7_days - p2_sets_played_last_7_days AS fatigue_sets_diff_7_days,
+       p1_sets_played_last_14_days - p2_sets_played_last_14_days AS fatigue_sets_diff_14_days
+FROM x"""
+
+
+MATCH_FEATURE_COLS = None
+
+
+def match_features_frame(spark, d, matches_df=None):
+    from .features import PLAYER_FEATURES, build_match_features
+    t = Tables(spark, d)
+    out = build_match_features(matches_df if matches_df is not None else views.matches(t))
+    cols = ["match_id", "p1_id", "p2_id", "winner", r6("p1_odds").alias("p1_odds"), r6("p2_odds").alias("p2_odds"),
+            F.col("h2h_p1_wins").cast("bigint").alias("h2h_p1_wins"), F.col("h2h_p2_wins").cast("bigint").alias("h2h_p2_wins")]
+    for n in PLAYER_FEATURES:
+        for s in ("p1", "p2"):
+            c = f"{s}_{n}"
+            cols.append(r6(c).alias(c) if ("perc" in n or n == "form") else F.col(c).cast("bigint").alias(c))
+    cols += [r6("book_margin").alias("book_margin")]
+    cols += [F.col(c).cast("bigint").alias(c) for c in ("fatigue_diff_7_days", "fatigue_diff_14_days",
+                                                       "fatigue_sets_diff_7_days", "fatigue_sets_diff_14_days")]
+    return out.select(*cols)
+
+
+@register("match_features", _match_features_sql(), ("matches",))
+def q_match_features(spark, d):
+    return match_features_frame(spark, d)
