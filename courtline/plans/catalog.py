@@ -561,3 +561,7 @@ def match_features_frame(spark, d, matches_df=None):
 @register("match_features", _match_features_sql(), ("matches",))
 def q_match_features(spark, d):
     return match_features_frame(spark, d)
+
+
+# the remaining operators register themselves on import (kept in their own module)
+from . import registry_extra  # noqa: E402,F401

@@ -53,11 +53,37 @@ VIEW_SQL = {
   FROM (SELECT p_partkey, p_size,
                array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS n
         FROM part))""",
+    "market_data": """market_data AS (
+  SELECT a.market_id AS match_id, a.tourney_date, a.tourney_name, a.surface, a.selection_id AS p1_id,
+         b.selection_id AS p2_id, a.pp_wap AS p1_odds, b.pp_wap AS p2_odds,
+         CAST(a.result = 'WINNER' AS INTEGER) AS winner, a.model_prob AS p1_model_prob,
+         CASE WHEN a.pp_wap > 0 THEN 1.0 / a.pp_wap ELSE 0.0 END AS p1_implied_prob,
+         CASE WHEN b.pp_wap > 0 THEN 1.0 / b.pp_wap ELSE 0.0 END AS p2_implied_prob
+  FROM (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY line_no, selection_id, part_id) AS rn,
+               count(*) OVER (PARTITION BY market_id) AS n FROM runners) a
+  JOIN (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY line_no, selection_id, part_id) AS rn FROM runners) b
+    ON a.market_id = b.market_id AND a.rn = 1 AND b.rn = 2
+  WHERE a.n = 2)""",
+    "all_bets": """all_bets AS (
+  SELECT *, predicted_prob * (odds - 1.0) - (1.0 - predicted_prob) AS expected_value,
+         CASE WHEN odds > 1 THEN greatest(0.0, (predicted_prob * (odds - 1.0) - (1.0 - predicted_prob)) / (odds - 1.0))
+              ELSE 0.0 END AS kelly_fraction
+  FROM (SELECT match_id AS market_id, tourney_name, tourney_date, surface, 1 AS side, p1_id AS player_id,
+               p1_odds AS odds, p1_model_prob AS predicted_prob, winner FROM market_data
+        UNION ALL
+        SELECT match_id, tourney_name, tourney_date, surface, 2, p2_id, p2_odds, 1.0 - p1_model_prob, 1 - winner
+        FROM market_data))""",
+    "bets": """bets AS (
+  SELECT *, CASE WHEN winner = 1 THEN (odds - 1.0) * 0.95 ELSE -1.0 END AS pnl, market_id * 2 + side - 1 AS bet_id
+  FROM all_bets WHERE expected_value > 0.1 AND predicted_prob > 0.52)""",
 }
 
 DEPENDS = {
     "matches": ["runners"],
     "matches_nation": ["runners", "matches"],
+    "market_data": ["runners"],
+    "all_bets": ["runners", "market_data"],
+    "bets": ["runners", "market_data", "all_bets"],
 }
 
 
@@ -70,6 +96,8 @@ def with_views(names: list[str], body: str) -> str:
     if not order:
         return body
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(VIEW_SQL[n] for n in order) + ",\n" + body[len("WITH RECURSIVE "):]
     if body.upper().startswith("WITH "):
         return "WITH " + ",\n".join(VIEW_SQL[n] for n in order) + ",\n" + body[5:]
     return "WITH " + ",\n".join(VIEW_SQL[n] for n in order) + "\n" + body

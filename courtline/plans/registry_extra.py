@@ -1 +1,308 @@
-"""Registers the operators that live outside catalog.py (folds, reports, quality, ML, streaming)."""
+"""Registered queries for folds, back-test, reports, data quality, ML and streaming."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import params
+from ..operators import folds, markets, reports
+from ..params import SimParams
+from ..sources import views
+from ..sources.tables import Tables
+from .catalog import RUNNER_ORDER, register, r6
+
+
+def market_data(spark, d):
+    md = markets.first_last_runner(views.runners(Tables(spark, d)), RUNNER_ORDER)
+    return md.withColumn("p1_predicted_prob", F.col("p1_model_prob"))
+
+
+def value_bets(spark, d):
+    return reports.backtest(market_data(spark, d))
+
+
+# ---------------------------------------------------------------- back-test
+
+@register("unpivot_bets", """
+SELECT market_id, side, player_id, round(odds, 6) AS odds, round(predicted_prob, 6) AS predicted_prob, winner,
+       round(expected_value, 6) AS expected_value, round(kelly_fraction, 6) AS kelly_fraction FROM all_bets""", ("all_bets",))
+def q_unpivot(spark, d):
+    from ..operators.reshape import unpivot_bets
+    m = market_data(spark, d).withColumnRenamed("match_id", "market_id")
+    b = reports.price_bets(unpivot_bets(m, base=reports.BET_BASE))
+    return b.select("market_id", "side", "player_id", r6("odds").alias("odds"), r6("predicted_prob").alias("predicted_prob"),
+                    "winner", r6("expected_value").alias("expected_value"), r6("kelly_fraction").alias("kelly_fraction"))
+
+
+@register("backtest", """
+SELECT market_id, side, player_id, round(odds, 6) AS odds, round(predicted_prob, 6) AS predicted_prob, winner,
+       round(expected_value, 6) AS expected_value, round(kelly_fraction, 6) AS kelly_fraction, round(pnl, 6) AS pnl
+FROM bets""", ("bets",))
+def q_backtest(spark, d):
+    b = value_bets(spark, d)
+    return b.select("market_id", "side", "player_id", r6("odds").alias("odds"), r6("predicted_prob").alias("predicted_prob"),
+                    "winner", r6("expected_value").alias("expected_value"), r6("kelly_fraction").alias("kelly_fraction"),
+                    r6("pnl").alias("pnl"))
+
+
+def _category_case(col: str) -> str:
+    parts = [f"WHEN contains(lower(coalesce({col}, 'none')), '{k}') THEN '{v}'" for k, v in params.TOURNAMENT_CATEGORIES]
+    return "CASE " + " ".join(parts) + f" ELSE '{params.DEFAULT_CATEGORY}' END"
+
+
+@register("summary_by_category", f"""
+SELECT * FROM (
+  SELECT tourney_category, surface, count(*) AS total_bets, CAST(sum(winner) AS BIGINT) AS total_wins,
+         round(avg(odds), 6) AS avg_odds, round(sum(pnl), 6) AS total_pnl,
+         round(sum(winner) / count(*) * 100, 6) AS win_rate, round(sum(pnl) / count(*) * 100, 6) AS roi
+  FROM (SELECT *, {_category_case('tourney_name')} AS tourney_category FROM bets WHERE surface IS NOT NULL)
+  GROUP BY tourney_category, surface)
+WHERE total_bets >= 1""", ("bets",))
+def q_summary(spark, d):
+    s = reports.summary_by_category(value_bets(spark, d), min_bets=1)
+    return s.select("tourney_category", "surface", "total_bets", F.col("total_wins").cast("bigint").alias("total_wins"),
+                    r6("avg_odds").alias("avg_odds"), r6("total_pnl").alias("total_pnl"), r6("win_rate").alias("win_rate"),
+                    r6("roi").alias("roi"))
+
+
+@register("kpi_overall", """
+SELECT count(*) AS total_bets, round(sum(pnl), 6) AS total_pnl, round(sum(pnl) / count(*) * 100, 6) AS roi,
+       round(sum(winner) / count(*) * 100, 6) AS win_rate, round(avg(odds), 6) AS avg_odds FROM bets""", ("bets",))
+def q_kpi(spark, d):
+    k = reports.kpi_overall(value_bets(spark, d))
+    return k.select("total_bets", *[r6(c).alias(c) for c in ("total_pnl", "roi", "win_rate", "avg_odds")])
+
+
+def _strategies_sql() -> str:
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS name, {a} AS min_odds, {b} AS max_odds, {e} AS min_ev"
+                              for n, a, b, e in params.STRATEGIES)
+    return f"""
+WITH s AS ({rows})
+SELECT s.name, count(*) AS total_bets, round(sum(pnl), 6) AS total_pnl, round(sum(pnl) / count(*) * 100, 6) AS roi,
+       round(sum(winner) / count(*) * 100, 6) AS win_rate, round(avg(odds), 6) AS avg_odds
+FROM bets JOIN s ON odds >= s.min_odds AND odds <= s.max_odds AND expected_value >= s.min_ev GROUP BY s.name"""
+
+
+@register("kpi_by_strategy", _strategies_sql(), ("bets",))
+def q_kpi_strategy(spark, d):
+    k = reports.kpi_by_strategy(value_bets(spark, d), reports.strategies_frame(spark))
+    return k.select("name", "total_bets", *[r6(c).alias(c) for c in ("total_pnl", "roi", "win_rate", "avg_odds")])
+
+
+def _bins_sql(col: str, bins) -> str:
+    edges = reports.bin_edges(bins)
+
+    def lit(x):
+        return "'-inf'::DOUBLE" if x == float("-inf") else ("'inf'::DOUBLE" if x == float("inf") else f"{float(x)}::DOUBLE")
+    lo = " ".join(f"WHEN {col} > {lit(a)} AND {col} <= {lit(b)} THEN {lit(a)}" for a, b in zip(edges[:-1], edges[1:]))
+    hi = " ".join(f"WHEN {col} > {lit(a)} AND {col} <= {lit(b)} THEN {lit(b)}" for a, b in zip(edges[:-1], edges[1:]))
+    return f"""
+SELECT bin_lo, bin_hi, count(market_id) AS bets, round(sum(pnl), 6) AS pnl, round(sum(pnl) / count(market_id) * 100, 6) AS roi
+FROM (SELECT *, CASE {lo} END AS bin_lo, CASE {hi} END AS bin_hi FROM bets)
+WHERE bin_lo IS NOT NULL GROUP BY bin_lo, bin_hi HAVING count(market_id) > 0"""
+
+
+def _bucket_query(name, col, bins):
+    @register(name, _bins_sql(col, bins), ("bets",))
+    def q(spark, d):
+        b = reports.bucket_summary(value_bets(spark, d), col, bins)
+        return b.select("bin_lo", "bin_hi", "bets", r6("pnl").alias("pnl"), r6("roi").alias("roi"))
+    return q
+
+
+_bucket_query("bucket_summary_odds", "odds", params.ODDS_BINS)
+_bucket_query("bucket_summary_ev", "expected_value", params.EV_BINS)
+
+
+@register("topk_leaderboard", f"""
+SELECT tourney_category, surface, total_bets, round(roi, 6) AS roi FROM (
+  SELECT {_category_case('tourney_name')} AS tourney_category, surface, count(*) AS total_bets,
+         sum(pnl) / count(*) * 100 AS roi FROM bets WHERE surface IS NOT NULL GROUP BY 1, 2)
+ORDER BY roi DESC, tourney_category, surface LIMIT 5""", ("bets",))
+def q_leaderboard(spark, d):
+    s = reports.summary_by_category(value_bets(spark, d)).select("tourney_category", "surface", "total_bets", "roi")
+    top = reports.topk_leaderboard(s, "roi", 5)
+    return top.select("tourney_category", "surface", "total_bets", r6("roi").alias("roi"))
+
+
+@register("list_tournaments", """
+SELECT DISTINCT tourney_name FROM runners WHERE tourney_name IS NOT NULL""", ("runners",))
+def q_list_tournaments(spark, d):
+    return reports.list_tournaments(views.runners(Tables(spark, d)))
+
+
+@register("filter_year", """
+SELECT market_id, selection_id, part_id, line_no FROM runners
+WHERE tourney_date >= TIMESTAMP '1997-01-01' AND tourney_date < TIMESTAMP '1998-01-01'""", ("runners",))
+def q_filter_year(spark, d):
+    r = reports.filter_year(views.runners(Tables(spark, d)), 1997)
+    return r.select("market_id", "selection_id", "part_id", "line_no")
+
+
+@register("filter_report", """
+SELECT bet_id FROM bets WHERE tourney_date BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1999-12-31'
+  AND odds BETWEEN 1.5 AND 4.0 AND expected_value BETWEEN 0.12 AND 0.5""", ("bets",))
+def q_filter_report(spark, d):
+    b = reports.filter_report(value_bets(spark, d), date_range=("1996-01-01", "1999-12-31"), odds_range=(1.5, 4.0),
+                              ev_range=(0.12, 0.5))
+    return b.select("bet_id")
+
+
+@register("filter_bettable", """
+SELECT market_id, side FROM all_bets WHERE expected_value > 0.1 AND predicted_prob > 0.52""", ("all_bets",))
+def q_filter_bettable(spark, d):
+    return value_bets(spark, d).select("market_id", "side")
+
+
+@register("filter_strategy", """
+SELECT bet_id FROM bets WHERE odds >= 1.01 AND odds <= 3.0 AND expected_value >= 0.15""", ("bets",))
+def q_filter_strategy(spark, d):
+    name, lo, hi, ev = params.STRATEGIES[0]
+    b = value_bets(spark, d)
+    return b.where((F.col("odds") >= lo) & (F.col("odds") <= hi) & (F.col("expected_value") >= ev)).select("bet_id")
+
+
+@register("tail_history", """
+SELECT bet_id, round(pnl, 6) AS pnl FROM bets ORDER BY tourney_date DESC, bet_id DESC LIMIT 200""", ("bets",))
+def q_tail(spark, d):
+    return reports.tail_history(value_bets(spark, d)).select("bet_id", r6("pnl").alias("pnl"))
+
+
+@register("sample_n", None, note="pseudo-random top-n by xxhash64(key, seed); the oracle has no equal hash → rows-only")
+def q_sample(spark, d):
+    o = views.outcomes(Tables(spark, d))
+    return reports.sample_n(o, 1000, 42, "event_id").select("event_id", "player_id")
+
+
+@register("daily_pnl", """
+SELECT date_trunc('day', tourney_date) AS day, round(sum(pnl), 6) AS daily_pnl, count(*) AS bets FROM bets GROUP BY 1""",
+          ("bets",))
+def q_daily(spark, d):
+    p = folds.daily_pnl(value_bets(spark, d))
+    return p.select("day", r6("daily_pnl").alias("daily_pnl"), "bets")
+
+
+@register("with_pnl", """
+SELECT bet_id, round(CASE WHEN winner = 1 THEN (odds - 1.0) * 0.95 ELSE -1.0 END, 6) AS pnl FROM all_bets
+JOIN (SELECT market_id AS m, side AS s, market_id * 2 + side - 1 AS bet_id FROM all_bets) k ON k.m = market_id AND k.s = side""",
+          ("all_bets",))
+def q_with_pnl(spark, d):
+    from ..operators.reshape import unpivot_bets
+    m = market_data(spark, d).withColumnRenamed("match_id", "market_id")
+    b = unpivot_bets(m, base=reports.BET_BASE).withColumn("bet_id", F.col("market_id") * 2 + F.col("side") - 1)
+    return reports.with_pnl(b).select("bet_id", r6("pnl").alias("pnl"))
+
+
+# ---------------------------------------------------------------- folds
+
+ELO_SQL = """
+WITH RECURSIVE o AS MATERIALIZED (
+  SELECT surface, tourney_date AS d, match_id AS market_id, winner_id AS w, loser_id AS l,
+         row_number() OVER (PARTITION BY surface ORDER BY tourney_date, match_id) AS rn FROM matches),
+f(surface, rn, market_id, w, l, pw, pl, st) AS (
+  SELECT surface, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, MAP([-1::BIGINT], [0::DOUBLE])
+  FROM (SELECT DISTINCT surface FROM o)
+  UNION ALL
+  SELECT f.surface, o.rn, o.market_id, o.w, o.l, x.a, x.b,
+         map_concat(f.st, MAP([o.w, o.l], [x.a + 32 * (1 - 1 / (1 + power(10, (x.b - x.a) / 400))),
+                                            x.b - 32 * (1 - 1 / (1 + power(10, (x.b - x.a) / 400)))]))
+  FROM f JOIN o ON o.surface = f.surface AND o.rn = f.rn + 1,
+       LATERAL (SELECT coalesce(f.st[o.w], 1500.0)::DOUBLE AS a, coalesce(f.st[o.l], 1500.0)::DOUBLE AS b) x),
+elo AS (SELECT market_id AS match_id, surface, least(w, l) AS p1_id, greatest(w, l) AS p2_id,
+               CASE WHEN w < l THEN pw ELSE pl END AS p1_elo, CASE WHEN w < l THEN pl ELSE pw END AS p2_elo
+        FROM f WHERE rn > 0)"""
+
+
+@register("elo_ratings", ELO_SQL + """
+SELECT match_id, surface, p1_id, p2_id, round(p1_elo, 6) AS p1_elo, round(p2_elo, 6) AS p2_elo FROM elo""", ("matches",))
+def q_elo(spark, d):
+    e = folds.elo_ratings(views.matches(Tables(spark, d)))
+    return e.select("match_id", "surface", "p1_id", "p2_id", r6("p1_elo").alias("p1_elo"), r6("p2_elo").alias("p2_elo"))
+
+
+@register("elo_sim_odds", ELO_SQL + """
+SELECT match_id, round(1.0 / (1.0 + power(10.0, (p2_elo - p1_elo) / 400.0)), 6) AS p1_elo_prob,
+       round(least(CASE WHEN 1.0 / (1.0 + power(10.0, (p2_elo - p1_elo) / 400.0)) > 0
+                        THEN (1.0 / (1.0 / (1.0 + power(10.0, (p2_elo - p1_elo) / 400.0)))) / 1.05 ELSE 50.0 END, 50.0), 6) AS p1_odds,
+       round(p1_elo - p2_elo, 6) AS elo_diff
+FROM elo""", ("matches",))
+def q_elo_odds(spark, d):
+    from ..functions.pricing import elo_prob, elo_sim_odds
+    e = folds.elo_ratings(views.matches(Tables(spark, d)))
+    p = elo_prob("p1_elo", "p2_elo")
+    return e.select("match_id", r6(p).alias("p1_elo_prob"), r6(elo_sim_odds(p)).alias("p1_odds"),
+                    r6(F.col("p1_elo") - F.col("p2_elo")).alias("elo_diff"))
+
+
+BANKROLL_SQL = """
+WITH RECURSIVE o AS MATERIALIZED (
+  SELECT surface AS scenario, bet_id, odds, winner, kelly_fraction,
+         row_number() OVER (PARTITION BY surface ORDER BY tourney_date, bet_id) AS rn FROM bets WHERE tourney_date IS NOT NULL),
+f(scenario, rn, bet_id, stake, profit, bankroll) AS (
+  SELECT DISTINCT scenario, 0::BIGINT, NULL::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 1000.0::DOUBLE FROM o
+  UNION ALL
+  SELECT f.scenario, o.rn, o.bet_id, s.stake,
+         CASE WHEN o.winner = 1 THEN least(s.stake * (o.odds - 1.0), 10000.0::DOUBLE) ELSE -s.stake END,
+         f.bankroll + CASE WHEN o.winner = 1 THEN least(s.stake * (o.odds - 1.0), 10000.0::DOUBLE) ELSE -s.stake END
+  FROM f JOIN o ON o.scenario = f.scenario AND o.rn = f.rn + 1,
+       LATERAL (SELECT greatest(0.0::DOUBLE, least(least(f.bankroll * least(o.kelly_fraction * 0.5::DOUBLE, 0.1::DOUBLE),
+                                                          f.bankroll * 1.0::DOUBLE), f.bankroll)) AS stake) s),
+path AS (SELECT scenario, bet_id, stake, profit, bankroll FROM f WHERE rn > 0)"""
+
+
+def bets_by_surface(spark, d):
+    return value_bets(spark, d).withColumn("scenario", F.col("surface"))
+
+
+@register("bankroll_sim", BANKROLL_SQL + """
+SELECT scenario, bet_id, round(stake, 6) AS stake, round(profit, 6) AS profit, round(bankroll, 6) AS bankroll FROM path""",
+          ("bets",))
+def q_bankroll(spark, d):
+    p = folds.bankroll_sim(bets_by_surface(spark, d), SimParams())
+    return p.select("scenario", "bet_id", r6("stake").alias("stake"), r6("profit").alias("profit"), r6("bankroll").alias("bankroll"))
+
+
+@register("max_drawdown", BANKROLL_SQL + """
+SELECT scenario, round(max(peak), 6) AS peak_bankroll, round(coalesce(min((bankroll - peak) / peak), 0), 6) AS max_drawdown
+FROM (SELECT p.*, max(bankroll) OVER (PARTITION BY p.scenario ORDER BY o.rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak
+      FROM path p JOIN o ON o.scenario = p.scenario AND o.bet_id = p.bet_id)
+GROUP BY scenario""", ("bets",))
+def q_drawdown(spark, d):
+    b = bets_by_surface(spark, d)
+    path = folds.bankroll_sim(b, SimParams()).join(b.select("scenario", "bet_id", "tourney_date"), ["scenario", "bet_id"])
+    m = folds.max_drawdown(path)
+    return m.select("scenario", r6("peak_bankroll").alias("peak_bankroll"), r6("max_drawdown").alias("max_drawdown"))
+
+
+@register("bankroll_closed_form", """
+SELECT scenario, bet_id, round(coalesce(lg, 0.0), 6) AS log_growth, ruin > 0 AS ruined FROM (
+  SELECT surface AS scenario, bet_id,
+         sum(CASE WHEN r > -1 THEN ln(1 + r) END) OVER w AS lg, count(CASE WHEN r <= -1 THEN 1 END) OVER w AS ruin
+  FROM (SELECT *, CASE WHEN winner = 1 THEN f * (odds - 1.0) ELSE -f END AS r
+        FROM (SELECT *, greatest(0.0, least(least(least(kelly_fraction * 0.5, 0.1), 1.0), 1.0)) AS f FROM bets
+              WHERE tourney_date IS NOT NULL))
+  WINDOW w AS (PARTITION BY surface ORDER BY tourney_date, bet_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
+          ("bets",))
+def q_closed_form(spark, d):
+    c = folds.bankroll_closed_form(bets_by_surface(spark, d), SimParams())
+    # the bankroll itself (1000·e^log_growth) spans many orders of magnitude; its exact
+    # ingredient, the running log growth, is what is compared
+    return c.select("scenario", "bet_id", r6("log_growth").alias("log_growth"), "ruined")
+
+
+@register("risk_gate", """
+SELECT bet_id, CASE WHEN coalesce(low <= -50.0, false) THEN 'RISK_BLOCKED' WHEN stake > 200.0 THEN 'EXPOSED' ELSE 'PLACE' END AS decision
+FROM (SELECT *, min(cum) OVER (PARTITION BY account, day ORDER BY tourney_date, bet_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low
+      FROM (SELECT *, sum(CASE WHEN stake <= 200.0 THEN pnl * stake ELSE 0.0 END) OVER (PARTITION BY account, day ORDER BY tourney_date, bet_id
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+            FROM (SELECT *, surface AS account, CAST(tourney_date AS DATE) AS day,
+                         1000.0 * least(kelly_fraction * 0.1, 0.05) AS stake FROM bets)))""", ("bets",))
+def q_risk(spark, d):
+    from ..params import LiveParams
+    lp = LiveParams()
+    b = value_bets(spark, d).withColumns({
+        "account": F.col("surface"),
+        "stake": F.lit(lp.bankroll) * F.least(F.col("kelly_fraction") * F.lit(lp.kelly_fraction), F.lit(lp.max_kelly_stake_fraction))})
+    b = b.withColumn("pnl_money", F.col("pnl") * F.col("stake"))
+    g = folds.risk_gate(b, lp, account="account", ts="tourney_date", bet_id="bet_id", stake="stake", pnl="pnl_money")
+    return g.select("bet_id", "decision")
