@@ -53,6 +53,10 @@ VIEW_SQL = {
   FROM (SELECT p_partkey, p_size,
                array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS n
         FROM part))""",
+    "players_dim": """players_dim AS (
+  SELECT s_suppkey AS player_id,
+         CASE WHEN s_acctbal < 0 THEN NULL WHEN s_nationkey % 3 = 0 THEN 'R' WHEN s_nationkey % 3 = 1 THEN 'L' ELSE 'U' END AS hand
+  FROM supplier)""",
     "market_data": """market_data AS (
   SELECT a.market_id AS match_id, a.tourney_date, a.tourney_name, a.surface, a.selection_id AS p1_id,
          b.selection_id AS p2_id, a.pp_wap AS p1_odds, b.pp_wap AS p2_odds,

@@ -306,3 +306,110 @@ def q_risk(spark, d):
     b = b.withColumn("pnl_money", F.col("pnl") * F.col("stake"))
     g = folds.risk_gate(b, lp, account="account", ts="tourney_date", bet_id="bet_id", stake="stake", pnl="pnl_money")
     return g.select("bet_id", "decision")
+
+
+# ---------------------------------------------------------------- dimension joins, ML inputs
+
+@register("join_player_dim", """
+SELECT m.match_id, least(m.winner_id, m.loser_id) AS p1_id, greatest(m.winner_id, m.loser_id) AS p2_id,
+       a.hand AS p1_hand, b.hand AS p2_hand
+FROM matches m LEFT JOIN players_dim a ON least(m.winner_id, m.loser_id) = a.player_id
+LEFT JOIN players_dim b ON greatest(m.winner_id, m.loser_id) = b.player_id""", ("matches", "players_dim"))
+def q_join_player_dim(spark, d):
+    t = Tables(spark, d)
+    m = markets.canonical_pair(views.matches(t)).select("match_id", "p1_id", "p2_id")
+    dim = views.players_dim(t)
+    for side in ("p1", "p2"):
+        p = dim.select(F.col("player_id").alias(f"_{side}"), F.col("hand").alias(f"{side}_hand"))
+        m = m.join(p, m[f"{side}_id"] == p[f"_{side}"], "left").drop(f"_{side}")
+    return m
+
+
+@register("one_hot_hand", """
+SELECT match_id,
+       coalesce(CAST(a.hand = 'R' AS INTEGER), 0) AS p1_hand_R, coalesce(CAST(a.hand = 'U' AS INTEGER), 0) AS p1_hand_U,
+       coalesce(CAST(b.hand = 'R' AS INTEGER), 0) AS p2_hand_R, coalesce(CAST(b.hand = 'U' AS INTEGER), 0) AS p2_hand_U
+FROM matches m LEFT JOIN players_dim a ON least(m.winner_id, m.loser_id) = a.player_id
+LEFT JOIN players_dim b ON greatest(m.winner_id, m.loser_id) = b.player_id""", ("matches", "players_dim"))
+def q_one_hot(spark, d):
+    from ..operators.ml import one_hot_hand
+    return one_hot_hand(q_join_player_dim(spark, d)).select("match_id", "p1_hand_R", "p1_hand_U", "p2_hand_R", "p2_hand_U")
+
+
+@register("temporal_split", """
+SELECT match_id, CASE WHEN pos >= floor(n * 0.8) THEN 'test' WHEN pos >= floor(floor(n * 0.8) * 0.75) THEN 'validation'
+                      ELSE 'train' END AS split
+FROM (SELECT match_id, row_number() OVER (ORDER BY tourney_date, match_id) - 1 AS pos, count(*) OVER () AS n FROM matches)""",
+          ("matches",))
+def q_temporal_split(spark, d):
+    from ..operators.ml import temporal_split
+    return temporal_split(views.matches(Tables(spark, d)).select("match_id", "tourney_date")).select("match_id", "split")
+
+
+@register("ml_train_eval", None, note="boosted-tree search + refit + test metrics; non-deterministic across engines → rows-only")
+def q_ml(spark, d):
+    from ..operators.ml import train_eval
+    from .catalog import match_features_frame
+    feats = match_features_frame(spark, d)
+    t = Tables(spark, d)
+    m = views.matches(t).select("match_id", "tourney_date", "surface")
+    data = feats.join(m, "match_id")
+    dim = views.players_dim(t)
+    for side in ("p1", "p2"):
+        p = dim.select(F.col("player_id").alias(f"_{side}"), F.col("hand").alias(f"{side}_hand"))
+        data = data.join(p, data[f"{side}_id"] == p[f"_{side}"], "left").drop(f"_{side}")
+    _, metrics, _ = train_eval(data, n_trials=2)
+    return metrics
+
+
+@register("stratified_folds", None, note="fold = position in xxhash64 order within the label mod 5; no equal hash in the oracle → rows-only")
+def q_folds(spark, d):
+    from ..operators.ml import stratified_folds
+    m = markets.canonical_pair(views.matches(Tables(spark, d))).select("match_id", "winner")
+    return stratified_folds(m).select("match_id", "winner", "fold")
+
+
+# ---------------------------------------------------------------- data quality
+
+def _lineitem_rules():
+    from ..operators import dq
+    return [dq.between("l_discount", None, 0.08), dq.between("l_tax", 0.01, None), dq.isin("l_returnflag", ["R", "A"]),
+            dq.between("l_quantity", 1, 50), dq.not_null("l_shipdate")]
+
+
+@register("dq_failure_summary", """
+SELECT "column", "check", failures FROM (
+  SELECT 'l_discount' AS "column", 'less_than_or_equal_to(0.08)' AS "check", count(*) FILTER (WHERE NOT coalesce(l_discount IS NULL OR l_discount <= 0.08, false)) AS failures FROM lineitem
+  UNION ALL SELECT 'l_tax', 'greater_than_or_equal_to(0.01)', count(*) FILTER (WHERE NOT coalesce(l_tax IS NULL OR l_tax >= 0.01, false)) FROM lineitem
+  UNION ALL SELECT 'l_returnflag', 'isin([''R'', ''A''])', count(*) FILTER (WHERE NOT coalesce(l_returnflag IS NULL OR l_returnflag IN ('R', 'A'), false)) FROM lineitem
+  UNION ALL SELECT 'l_quantity', 'greater_than_or_equal_to(1) & less_than_or_equal_to(50)', count(*) FILTER (WHERE NOT coalesce(l_quantity IS NULL OR (l_quantity >= 1 AND l_quantity <= 50), false)) FROM lineitem
+  UNION ALL SELECT 'l_shipdate', 'not_nullable', count(*) FILTER (WHERE l_shipdate IS NULL) FROM lineitem)
+WHERE failures > 0""")
+def q_dq_summary(spark, d):
+    from ..operators import dq
+    li = Tables(spark, d).lineitem
+    f = dq.failures(li, _lineitem_rules(), ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"])
+    return dq.summary(f).select("column", "check", "failures")
+
+
+@register("validate_table", """
+SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, 'l_returnflag' AS column FROM lineitem
+WHERE NOT coalesce(l_returnflag IS NULL OR l_returnflag IN ('R', 'A'), false)
+UNION ALL SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, 'l_discount' FROM lineitem
+WHERE NOT coalesce(l_discount IS NULL OR l_discount <= 0.08, false)""")
+def q_validate(spark, d):
+    from ..operators import dq
+    li = Tables(spark, d).lineitem
+    rules = [dq.isin("l_returnflag", ["R", "A"]), dq.between("l_discount", None, 0.08)]
+    return dq.failures(li, rules, ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"]).select(
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "column")
+
+
+@register("null_audit", """
+SELECT 'p1_hand' AS column, count(*) FILTER (WHERE a.hand IS NULL) AS nulls
+FROM matches m LEFT JOIN players_dim a ON least(m.winner_id, m.loser_id) = a.player_id
+UNION ALL SELECT 'p2_hand', count(*) FILTER (WHERE b.hand IS NULL)
+FROM matches m LEFT JOIN players_dim b ON greatest(m.winner_id, m.loser_id) = b.player_id""", ("matches", "players_dim"))
+def q_null_audit(spark, d):
+    from ..operators import dq
+    return dq.null_audit(q_join_player_dim(spark, d), ["p1_hand", "p2_hand"])

@@ -135,3 +135,13 @@ def source_players(t: Tables) -> DataFrame:
              .when(k == 3, F.concat(F.substring("n", 1, 1), F.lit(" "), last))
              .otherwise(F.concat(F.col("n"), F.lit("s"))))
     return p.select((F.col("p_partkey") + 1000000).alias("source_id"), name.alias("source_name"))
+
+
+def players_dim(t: Tables) -> DataFrame:
+    """Player dimension (one row per supplier): a handedness code by a fixed rule on the
+    nation key, missing for suppliers with a negative balance."""
+    s = t.supplier.select("s_suppkey", "s_nationkey", "s_acctbal")
+    k = F.pmod(F.col("s_nationkey"), F.lit(3))
+    hand = F.when(F.col("s_acctbal") < 0, F.lit(None).cast("string")) \
+            .when(k == 0, F.lit("R")).when(k == 1, F.lit("L")).otherwise(F.lit("U"))
+    return s.select(F.col("s_suppkey").alias("player_id"), hand.alias("hand"))
