@@ -413,3 +413,82 @@ FROM matches m LEFT JOIN players_dim b ON greatest(m.winner_id, m.loser_id) = b.
 def q_null_audit(spark, d):
     from ..operators import dq
     return dq.null_audit(q_join_player_dim(spark, d), ["p1_hand", "p2_hand"])
+
+
+# ---------------------------------------------------------------- streaming (file streams drained once)
+
+def _orders_from_events(ev):
+    """Order updates derived from events: views are resting orders (elapsed = 10·value s),
+    purchases are settled ones (profit = value)."""
+    return ev.select(F.col("event_id").cast("string").alias("order_id"), F.col("user_id").cast("string").alias("market_id"),
+                     F.col("user_id").alias("selection_id"), "ts",
+                     F.when(F.col("event_type") == "view", "EXECUTABLE")
+                      .when(F.col("event_type") == "purchase", "EXECUTION_COMPLETE").otherwise("OTHER").alias("status"),
+                     (F.col("value") * 10).alias("elapsed_seconds"), F.col("value").alias("profit"))
+
+
+@register("stream_value_bets", """
+SELECT market_id, selection_id, part_id, line_no, round(model_prob * pp_wap - 1.0, 6) AS ev,
+       round(CASE WHEN pp_wap > 1 THEN greatest(0.0, (model_prob * pp_wap - 1.0) / (pp_wap - 1.0)) ELSE 0.0 END, 6) AS kelly_fraction
+FROM runners WHERE model_prob * pp_wap - 1.0 > 0.1""", ("runners",))
+def q_stream_value_bets(spark, d):
+    from ..functions.pricing import kelly_live, live_expected_value
+    from ..sources.tables import stream_table
+    from ..streaming.live import run_available
+    from ..sources.views import tourney_name_of_priority  # noqa: F401  (same runner definition as batch)
+    li = stream_table(spark, d, "lineitem")
+    orders = Tables(spark, d).orders.select("o_orderkey", "o_orderdate")
+    odds = F.lit(1.0) + F.col("l_quantity") / 10
+    prob = F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.lit(1.0) / odds + 2 * (F.col("l_discount") - 0.03)))
+    r = (li.join(orders, li.l_orderkey == orders.o_orderkey)  # stream-static join
+         .select(F.col("l_orderkey").alias("market_id"), F.col("l_suppkey").alias("selection_id"),
+                 F.col("l_partkey").alias("part_id"), F.col("l_linenumber").alias("line_no"),
+                 odds.alias("odds"), prob.alias("prob")))
+    bets = (r.withColumn("ev", live_expected_value("prob", "odds")).withColumn("kelly_fraction", kelly_live("prob", "odds"))
+            .where(F.col("ev") > params.EV_THRESHOLD))
+    out = run_available(spark, bets.select("market_id", "selection_id", "part_id", "line_no",
+                                           r6("ev").alias("ev"), r6("kelly_fraction").alias("kelly_fraction")), "value_bets")
+    return out
+
+
+@register("stream_daily_pnl", """
+SELECT date_trunc('day', ts) AS day, round(sum(value), 6) AS daily_pnl, count(*) AS orders
+FROM events WHERE event_type = 'purchase' AND value <> 0 GROUP BY 1""")
+def q_stream_daily(spark, d):
+    from ..sources.tables import stream_table
+    from ..streaming.live import run_available, stream_daily_pnl
+    agg = stream_daily_pnl(_orders_from_events(stream_table(spark, d, "events")))
+    out = run_available(spark, agg, "daily_pnl", mode="complete")
+    return out.select("day", r6("daily_pnl").alias("daily_pnl"), "orders")
+
+
+@register("stream_stale_orders", """
+SELECT CAST(event_id AS VARCHAR) AS order_id, 'CANCEL' AS action FROM events WHERE event_type = 'view' AND value * 10 > 120""")
+def q_stream_stale(spark, d):
+    from ..sources.tables import stream_table
+    from ..streaming.live import run_available, stream_stale_orders
+    s = stream_stale_orders(_orders_from_events(stream_table(spark, d, "events")))
+    return run_available(spark, s.select("order_id", "action"), "stale_orders")
+
+
+@register("stream_dedup_selection", """
+SELECT DISTINCT CAST(user_id AS VARCHAR) AS market_id, CAST(floor(value) AS BIGINT) AS selection_id FROM events""")
+def q_stream_dedup(spark, d):
+    from ..sources.tables import stream_table
+    from ..streaming.live import run_available, stream_dedup_selection
+    ev = stream_table(spark, d, "events").select(F.col("user_id").cast("string").alias("market_id"),
+                                                 F.floor("value").cast("bigint").alias("selection_id"), "ts")
+    out = run_available(spark, stream_dedup_selection(ev), "dedup")
+    return out.select("market_id", "selection_id")
+
+
+@register("stream_risk_state", None, note="per (account, day) stateful decisions; checked against the batch risk gate in tests")
+def q_stream_risk(spark, d):
+    from ..sources.tables import stream_table
+    from ..streaming.live import run_available, stream_risk_state
+    ev = stream_table(spark, d, "events")
+    e = ev.select(F.col("user_id").cast("string").alias("account"), "ts",
+                  F.when(F.col("event_type") == "purchase", "settle").otherwise("bet").alias("kind"),
+                  F.concat_ws("-", F.col("user_id").cast("string"), F.col("event_type")).alias("selection_key"),
+                  (F.col("value") * 10).alias("stake"), (F.col("value") - 10).alias("profit"))
+    return run_available(spark, stream_risk_state(e), "risk")

@@ -43,3 +43,17 @@ class Tables:
         if name in TABLES:
             return read_table(self.spark, self.sf_dir, name)
         raise AttributeError(name)
+
+
+def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """One table of the folder as a file stream (new files of the same name pattern are picked
+    up as they land); declared schema taken from the files, timestamps cast as in batch."""
+    configure(spark)
+    schema = spark.read.parquet(table_path(sf_dir, name)).schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    df = reader.parquet(sf_dir)
+    casts = [F.col(f.name).cast(T.TimestampType()).alias(f.name) if isinstance(f.dataType, T.TimestampNTZType)
+             else F.col(f.name) for f in schema.fields]
+    return df.select(*casts)
