@@ -70,7 +70,7 @@ def label_winner(winner_id, p1_id) -> Column:
 
 def patch_winner(col) -> Column:
     """Coerce a winner flag: non-numeric / NULL → 0, then integer."""
-    return F.coalesce(F.try_cast(_c(col).cast("string"), "double"), F.lit(0.0)).cast("int")
+    return F.coalesce(_c(col).cast("string").try_cast("double"), F.lit(0.0)).cast("int")
 
 
 def selection_key(market_id, selection_id) -> Column:

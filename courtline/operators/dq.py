@@ -45,7 +45,7 @@ def between(c: str, lo=None, hi=None, nullable: bool = True) -> Rule:
 
 def coercible(c: str, dtype: str) -> Rule:
     """The value (if any) converts to ``dtype``."""
-    return Rule(c, f"coerce_dtype('{dtype}')", F.col(c).isNull() | F.try_cast(F.col(c).cast("string"), dtype).isNotNull())
+    return Rule(c, f"coerce_dtype('{dtype}')", F.col(c).isNull() | F.col(c).cast("string").try_cast(dtype).isNotNull())
 
 
 def failures(df: DataFrame, rules: list[Rule], keys: list[str]) -> DataFrame:
