@@ -66,7 +66,16 @@ def player_features(rows: DataFrame, *, bucket_seconds=DEFAULT_BUCKET_SECONDS) -
 
 def build_match_features(matches: DataFrame, *, elo: DataFrame | None = None,
                          rankings: DataFrame | None = None, players: DataFrame | None = None,
-                         bucket_seconds=DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                         bucket_seconds=DEFAULT_BUCKET_SECONDS, materialize: bool = True) -> DataFrame:
+    """``materialize``: write the narrow match table once (reliable checkpoint in the
+    session's checkpoint folder) and build every branch from it. Each branch prunes other
+    columns, so without this step boundary Spark cannot reuse the upstream exchange and
+    recomputes the match table once per branch (and plans a much larger tree)."""
+    matches = matches.select("match_id", "tourney_date", "tourney_name", "surface", "winner_id", "loser_id",
+                             "winner_odds", "loser_odds", "sets_played")
+    if materialize:
+        from ..session import cut_lineage
+        matches = cut_lineage(matches)
     m = canonical_pair(matches)
     feats = player_features(player_rows(matches), bucket_seconds=bucket_seconds)
     keyed = feats.join(m.select("match_id", "p1_id", "p2_id"), "match_id")
