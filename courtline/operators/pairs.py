@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params
-from .running import DEFAULT_BUCKET_SECONDS, Agg, running
+from pyspark.sql import Window
+
+from .running import AUTO, Agg, key_rows_bound, resolve_bucket, running, MAX_KEY_ROWS, DEFAULT_BUCKET_SECONDS
 
 
 def pit_h2h(matches: DataFrame, *, match_id="match_id", ts="tourney_date", winner="winner_id", loser="loser_id",
-            bucket_seconds=DEFAULT_BUCKET_SECONDS) -> DataFrame:
+            bucket_seconds=AUTO) -> DataFrame:
     """Earlier wins of each side in meetings of the same unordered pair, counting only
     meetings on strictly earlier dates (same-day meetings do not count).
 
@@ -22,6 +24,14 @@ def pit_h2h(matches: DataFrame, *, match_id="match_id", ts="tourney_date", winne
     base = matches.select(F.col(match_id).alias("_mid"), F.col(ts).alias("_t"),
                           F.least(winner, loser).alias("p1_id"), F.greatest(winner, loser).alias("p2_id"),
                           F.col(winner).alias("_w"))
+    bucket_seconds = resolve_bucket(base, ["p1_id", "p2_id"], bucket_seconds)
+    if bucket_seconds is None:
+        w = Window.partitionBy("p1_id", "p2_id").orderBy(F.unix_micros("_t")).rangeBetween(Window.unboundedPreceding, -1)
+        a = (F.col("_w") == F.col("p1_id")).cast("int")
+        b = (F.col("_w") == F.col("p2_id")).cast("int")
+        return base.select(F.col("_mid").alias(match_id), "p1_id", "p2_id",
+                           F.coalesce(F.sum(a).over(w), F.lit(0)).cast("bigint").alias("h2h_p1_wins"),
+                           F.coalesce(F.sum(b).over(w), F.lit(0)).cast("bigint").alias("h2h_p2_wins"))
     real = base.select("p1_id", "p2_id", "_t", "_mid", F.lit(1).alias("_kind"),
                        (F.col("_w") == F.col("p1_id")).cast("int").alias("_a"),
                        (F.col("_w") == F.col("p2_id")).cast("int").alias("_b"))
@@ -37,7 +47,7 @@ def pit_h2h(matches: DataFrame, *, match_id="match_id", ts="tourney_date", winne
 
 def asof_join(left: DataFrame, right: DataFrame, *, left_key: str, left_ts: str, left_id: str,
               right_key: str, right_ts: str, right_id: str, values: list[str], inclusive: bool = True,
-              bucket_seconds=DEFAULT_BUCKET_SECONDS) -> DataFrame:
+              bucket_seconds=AUTO) -> DataFrame:
     """Backward as-of join: for each left row, ``values`` of the latest right row of the
     same key with ``right_ts ≤ left_ts`` (``<`` when not ``inclusive``). Right rows with
     equal timestamps resolve to the one with the largest ``right_id``.
@@ -49,6 +59,9 @@ def asof_join(left: DataFrame, right: DataFrame, *, left_key: str, left_ts: str,
     """
     lcols = left.columns
     lk = F.col(left_key).alias("_k")
+    if bucket_seconds == AUTO:
+        keys = left.select(F.col(left_key).alias("_k")).unionByName(right.select(F.col(right_key).alias("_k")))
+        bucket_seconds = None if key_rows_bound(keys, ["_k"]) <= MAX_KEY_ROWS else DEFAULT_BUCKET_SECONDS
     # right rows sort before left rows at the same instant for an inclusive match
     r_kind, l_kind = (0, 1) if inclusive else (1, 0)
     l = left.select(lk, F.col(left_ts).alias("_t"), F.lit(l_kind).alias("_kind"),
@@ -69,7 +82,7 @@ def asof_join(left: DataFrame, right: DataFrame, *, left_key: str, left_ts: str,
 
 def asof_rank_join(left: DataFrame, rankings: DataFrame, *, player="player_id", date="tourney_date", left_id="match_id",
                    default_rank: int = params.DEFAULT_PLAYER_RANK, out="rank",
-                   bucket_seconds=DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                   bucket_seconds=AUTO) -> DataFrame:
     """Latest ranking with ``ranking_date ≤ date`` for each (player, date); default rank when none."""
     j = asof_join(left, rankings.select("player", "ranking_date", "event_id", "rank"), left_key=player, left_ts=date,
                   left_id=left_id, right_key="player", right_ts="ranking_date", right_id="event_id",

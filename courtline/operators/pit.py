@@ -4,8 +4,11 @@ Every feature of a row only sees rows strictly before it in the key's total orde
 ``(ts, row_id)`` — a feature at time t is unchanged when rows at or after t are removed.
 A player's first row gets 0 (``min_periods_1`` + fill).
 
-All features go through ``courtline.operators.running`` so a hot player is split by time
-bucket instead of becoming one task.
+Strategy per call (``bucket_seconds='auto'``): one cheap aggregate measures the largest key
+group; when it is proven to fit one task the feature is a plain window (one shuffle),
+otherwise it goes through the bucketed running aggregates of ``courtline.operators.running``
+so a hot player is split by time bucket instead of becoming one task. Both give identical
+results (tested on a hot-key fixture).
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .running import DAY_SECONDS, DEFAULT_BUCKET_SECONDS, Agg, counts_in_spans, rows_before, running
+from .running import AUTO, DAY_SECONDS, Agg, counts_in_spans, resolve_bucket, rows_before, running
 
 
 def _mean_or_zero(s: Column, c: Column) -> Column:
@@ -21,27 +24,29 @@ def _mean_or_zero(s: Column, c: Column) -> Column:
 
 
 def pit_expanding_mean(df: DataFrame, keys: list[str], ts: str, row_id: str, value: str, out: str, *,
-                       bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                       bucket_seconds=AUTO) -> DataFrame:
     """mean(value) over all earlier rows of the key (``pit_win_perc``, ``pit_surface_win_perc``)."""
+    bucket_seconds = resolve_bucket(df, keys, bucket_seconds)
     r = running(df, keys, [ts, row_id], [Agg("_pe_s", "sum", F.col(value)), Agg("_pe_c", "count", F.col(value))],
                 bucket_seconds=bucket_seconds)
     return r.withColumn(out, _mean_or_zero(F.col("_pe_s"), F.col("_pe_c"))).drop("_pe_s", "_pe_c")
 
 
 def pit_win_perc(df: DataFrame, *, player="player_id", ts="ts", row_id="row_id", won="won", out="win_perc",
-                 bucket_seconds=DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                 bucket_seconds=AUTO) -> DataFrame:
     return pit_expanding_mean(df, [player], ts, row_id, won, out, bucket_seconds=bucket_seconds)
 
 
 def pit_surface_win_perc(df: DataFrame, *, player="player_id", surface="surface", ts="ts", row_id="row_id",
-                         won="won", out="surface_win_perc", bucket_seconds=DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                         won="won", out="surface_win_perc", bucket_seconds=AUTO) -> DataFrame:
     return pit_expanding_mean(df, [player, surface], ts, row_id, won, out, bucket_seconds=bucket_seconds)
 
 
 def pit_rolling_mean(df: DataFrame, n: int, *, player="player_id", ts="ts", row_id="row_id", won="won",
-                     out: str | None = None, bucket_seconds=DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                     out: str | None = None, bucket_seconds=AUTO) -> DataFrame:
     """mean(won) over the last ``n`` earlier rows (``pit_form_10``, ``pit_rolling_20/50``)."""
     out = out or f"rolling_win_perc_{n}"
+    bucket_seconds = resolve_bucket(df, [player], bucket_seconds)
     r = rows_before(df, [player], [ts, row_id], won, n, prefix="_rm", bucket_seconds=bucket_seconds)
     return r.withColumn(out, _mean_or_zero(F.col("_rm_sum"), F.col("_rm_cnt"))).drop("_rm_pos", "_rm_sum", "_rm_cnt")
 
@@ -51,12 +56,13 @@ def pit_form_10(df: DataFrame, **kw) -> DataFrame:
 
 
 def pit_load(df: DataFrame, *, player="player_id", ts="ts", row_id="row_id", sets="sets_played",
-             days=(7, 14), bucket_seconds=DEFAULT_BUCKET_SECONDS) -> DataFrame:
+             days=(7, 14), bucket_seconds=AUTO) -> DataFrame:
     """Matches and sets in ``[t - d days, t)`` for each d (``pit_matches_7d/14d``, ``pit_sets_7d/14d``).
 
     Returns ``row_id, matches_last_<d>_days, sets_played_last_<d>_days``.
     """
     spans = {str(d): d * DAY_SECONDS for d in days}
+    bucket_seconds = resolve_bucket(df, [player], bucket_seconds)
     r = counts_in_spans(df, [player], ts, row_id, spans, {"sets": F.col(sets)}, bucket_seconds=bucket_seconds)
     cols = [F.col(row_id)]
     for d in days:
@@ -65,15 +71,24 @@ def pit_load(df: DataFrame, *, player="player_id", ts="ts", row_id="row_id", set
 
 
 def lagged_range(df: DataFrame, *, player="player_id", ts="ts", row_id="row_id", sets="sets_played",
-                 days=(7, 14), bucket_seconds=DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                 days=(7, 14), bucket_seconds=AUTO) -> DataFrame:
     """Literal variant of the day-range load: the value of ``(t - d, t]`` (later peers
     excluded) *as of the player's previous row* — i.e. it lags by one row (``lagged_range_*``).
 
     The lag is an equi-join on (player, position) instead of a per-player window.
     """
     spans = {str(d): d * DAY_SECONDS for d in days}
+    bucket_seconds = resolve_bucket(df, [player], bucket_seconds)
     v = counts_in_spans(df, [player], ts, row_id, spans, {"sets": F.col(sets)}, through_row=True,
                         bucket_seconds=bucket_seconds)
+    if bucket_seconds is None:
+        w = Window.partitionBy(player).orderBy(ts, row_id)
+        j = df.select(player, ts, row_id).join(v, row_id)
+        cols = [F.col(row_id)]
+        for d in days:
+            cols += [F.coalesce(F.lag(f"cnt_{d}").over(w), F.lit(0)).cast("bigint").alias(f"lagged_matches_{d}_days"),
+                     F.coalesce(F.lag(f"sets_{d}").over(w), F.lit(0)).alias(f"lagged_sets_{d}_days")]
+        return j.select(*cols)
     pos = running(df.select(player, ts, row_id), [player], [ts, row_id], [Agg("_pos", "count", F.lit(1))],
                   bucket_seconds=bucket_seconds)
     cur = pos.join(v, row_id)
@@ -89,8 +104,9 @@ def lagged_range(df: DataFrame, *, player="player_id", ts="ts", row_id="row_id",
 
 
 def running_peak(df: DataFrame, keys: list[str], ts: str, row_id: str, value: str, out: str = "peak", *,
-                 bucket_seconds=DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                 bucket_seconds=AUTO) -> DataFrame:
     """Running max of ``value`` including the current row."""
+    bucket_seconds = resolve_bucket(df, keys, bucket_seconds)
     return running(df, keys, [ts, row_id], [Agg(out, "max", F.col(value))], include_current=True,
                    bucket_seconds=bucket_seconds)
 

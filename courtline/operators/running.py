@@ -24,6 +24,30 @@ from pyspark.sql import functions as F
 
 DAY_SECONDS = 86_400
 DEFAULT_BUCKET_SECONDS = DAY_SECONDS
+AUTO = "auto"
+# rows one task may sort and window comfortably (a few hundred MB of narrow rows)
+MAX_KEY_ROWS = 2_000_000
+
+
+def key_rows_bound(df: DataFrame, keys: list[str]) -> int:
+    """Size of the largest key group: one partial aggregate over the key columns only."""
+    row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("_m")).first()
+    return int(row["_m"] or 0)
+
+
+def resolve_bucket(df: DataFrame, keys: list[str], bucket_seconds, max_key_rows: int = MAX_KEY_ROWS):
+    """Choose the strategy for a per-key ordered pass.
+
+    ``None`` (one window partition per key) only when the largest key group is proven to fit
+    one task — checked with one cheap aggregate, like a broadcast behind a size check;
+    otherwise the time-bucketed plan that splits hot keys. Streaming input and key-less
+    (global) orders always take the bucketed plan.
+    """
+    if bucket_seconds != AUTO:
+        return bucket_seconds
+    if df.isStreaming or not keys:
+        return DEFAULT_BUCKET_SECONDS
+    return None if key_rows_bound(df, keys) <= max_key_rows else DEFAULT_BUCKET_SECONDS
 
 
 @dataclass(frozen=True)
@@ -131,6 +155,11 @@ def rows_before(df: DataFrame, keys: list[str], order: list[str], value: str | C
     (key, pos): every (key, pos) is unique, so that join has no hot key whatever the skew.
     """
     v = _col(value)
+    if bucket_seconds is None:
+        w = Window.partitionBy(*keys).orderBy(*[F.col(c) for c in order])
+        return df.withColumns({f"{prefix}_pos": F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                               f"{prefix}_sum": F.coalesce(F.sum(v).over(w.rowsBetween(-n, -1)), F.lit(0)),
+                               f"{prefix}_cnt": F.count(v).over(w.rowsBetween(-n, -1))})
     r = running(df, keys, order, [Agg(f"{prefix}_pos", "count", F.lit(1)),
                                   Agg(f"{prefix}_s", "sum", v),
                                   Agg(f"{prefix}_c", "count", v)], bucket_seconds=bucket_seconds)
@@ -163,6 +192,8 @@ def counts_in_spans(df: DataFrame, keys: list[str], ts: str, row_id: str, spans:
     """
     sums = sums or {}
     span_us = {k: int(v) * 1_000_000 for k, v in spans.items()}
+    if bucket_seconds is None:
+        return _spans_plain(df, keys, ts, row_id, span_us, sums, through_row)
     lo_kind = 2 if through_row else 0
     real = df.select(*keys, F.col(ts).alias("_t"), F.col(row_id).alias("_id"), F.lit(1).alias("_kind"),
                      F.lit(None).cast("string").alias("_span"), F.lit(1).alias("_real"),
@@ -195,3 +226,23 @@ def counts_in_spans(df: DataFrame, keys: list[str], ts: str, row_id: str, spans:
             lo = F.coalesce(F.max(F.when(F.col("_span") == k, F.col(f"_sx_{n}"))), F.lit(0))
             outs.append((up_sum[n] - lo).alias(f"{n}_{k}"))
     return at.groupBy(F.col("_id").alias(row_id)).agg(*outs)
+
+
+def _spans_plain(df, keys, ts, row_id, span_us, sums, through_row):
+    """Same result as the probe plan with RANGE frames inside one partition per key."""
+    w = Window.partitionBy(*keys).orderBy(F.unix_micros(F.col(ts)))
+    peers_after = Window.partitionBy(*keys, ts).orderBy(row_id).rowsBetween(1, Window.unboundedFollowing)
+    cols = [F.col(row_id)]
+    for k, us in span_us.items():
+        if through_row:
+            frame = w.rangeBetween(-us + 1, 0)
+            cols.append((F.count(F.lit(1)).over(frame) - F.count(F.lit(1)).over(peers_after)).alias(f"cnt_{k}"))
+            for n, e in sums.items():
+                cols.append((F.coalesce(F.sum(e).over(frame), F.lit(0))
+                             - F.coalesce(F.sum(e).over(peers_after), F.lit(0))).alias(f"{n}_{k}"))
+        else:
+            frame = w.rangeBetween(-us, -1)
+            cols.append(F.count(F.lit(1)).over(frame).alias(f"cnt_{k}"))
+            for n, e in sums.items():
+                cols.append(F.coalesce(F.sum(e).over(frame), F.lit(0)).alias(f"{n}_{k}"))
+    return df.select(*cols)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.pricing import book_margin, implied_prob
 from ..operators import pairs, pit
 from ..operators.markets import canonical_pair
-from ..operators.running import DEFAULT_BUCKET_SECONDS, Agg, running
+from ..operators.running import AUTO, Agg, resolve_bucket, running
 
 PLAYER_FEATURES = ["win_perc", "form", "rolling_win_perc_20", "rolling_win_perc_50", "surface_win_perc",
                    "matches_last_7_days", "matches_last_14_days", "sets_played_last_7_days", "sets_played_last_14_days"]
@@ -34,7 +34,7 @@ def player_rows(matches: DataFrame) -> DataFrame:
             .select("match_id", "ts", "surface", "sets_played", "_s.*"))
 
 
-def player_features(rows: DataFrame, *, bucket_seconds=DEFAULT_BUCKET_SECONDS) -> DataFrame:
+def player_features(rows: DataFrame, *, bucket_seconds=AUTO) -> DataFrame:
     """All point-in-time features of each player row (keyed by ``row_id``).
 
     Features are computed side by side from the same narrow input and joined on ``row_id``
@@ -44,6 +44,10 @@ def player_features(rows: DataFrame, *, bucket_seconds=DEFAULT_BUCKET_SECONDS) -
     (player, position), which reuse the same shuffle.
     """
     base = rows.select("row_id", "match_id", "player_id", "ts", "surface", "won", "sets_played")
+    bucket_seconds = resolve_bucket(base, ["player_id"], bucket_seconds)
+    if bucket_seconds is None:  # every player fits one task: ordinary windows, one shuffle
+        f = pit.plain_window_features(base, player="player_id", ts="ts", row_id="row_id")
+        return f.withColumnRenamed("form_10", "form").drop("ts", "surface", "won", "sets_played")
     run = running(base, ["player_id"], ["ts", "row_id"],
                   [Agg("_pos", "count", F.lit(1)), Agg("_s", "sum", F.col("won")), Agg("_c", "count", F.col("won"))],
                   bucket_seconds=bucket_seconds)
@@ -66,7 +70,7 @@ def player_features(rows: DataFrame, *, bucket_seconds=DEFAULT_BUCKET_SECONDS) -
 
 def build_match_features(matches: DataFrame, *, elo: DataFrame | None = None,
                          rankings: DataFrame | None = None, players: DataFrame | None = None,
-                         bucket_seconds=DEFAULT_BUCKET_SECONDS, materialize: bool = True) -> DataFrame:
+                         bucket_seconds=AUTO, materialize: bool = True) -> DataFrame:
     """``materialize``: write the narrow match table once (reliable checkpoint in the
     session's checkpoint folder) and build every branch from it. Each branch prunes other
     columns, so without this step boundary Spark cannot reuse the upstream exchange and
@@ -77,7 +81,9 @@ def build_match_features(matches: DataFrame, *, elo: DataFrame | None = None,
         from ..session import cut_lineage
         matches = cut_lineage(matches)
     m = canonical_pair(matches)
-    feats = player_features(player_rows(matches), bucket_seconds=bucket_seconds)
+    rows = player_rows(matches)
+    bucket_seconds = resolve_bucket(rows, ["player_id"], bucket_seconds)
+    feats = player_features(rows, bucket_seconds=bucket_seconds)
     keyed = feats.join(m.select("match_id", "p1_id", "p2_id"), "match_id")
     aggs = []
     for c in PLAYER_FEATURES:
