@@ -492,3 +492,205 @@ def q_stream_risk(spark, d):
                   F.concat_ws("-", F.col("user_id").cast("string"), F.col("event_type")).alias("selection_key"),
                   (F.col("value") * 10).alias("stake"), (F.col("value") - 10).alias("profit"))
     return run_available(spark, stream_risk_state(e), "risk")
+
+
+# ---------------------------------------------------------------- match log, market table, realistic back-test join
+
+HIST_OFFSET = 100000  # historical ids live in their own id space
+
+
+def _er_supplier(spark, d):
+    """Runner names = supplier names; the player map is the exact-name pass against the
+    historical register (same names, ids offset into their own space)."""
+    from ..operators import resolve
+    t = Tables(spark, d)
+    sup = t.supplier.select("s_suppkey", "s_name")
+    src = sup.select(F.col("s_suppkey").alias("source_id"), F.col("s_name").alias("source_name"))
+    hist = sup.select((F.col("s_suppkey") + HIST_OFFSET).alias("historical_id"), F.col("s_name").alias("historical_name"))
+    r = views.runners(t)
+    odds = r.join(sup, r.selection_id == sup.s_suppkey).withColumnRenamed("s_name", "selection_name").drop("s_suppkey")
+    return odds, resolve.map_exact(src, hist)
+
+
+def _history(spark, d):
+    t = Tables(spark, d)
+    m = views.matches(t)
+    o = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
+    c = t.customer.select("c_custkey", "c_mktsegment")
+    return (m.join(o, m.match_id == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
+            .select("tourney_date", (F.col("winner_id") + HIST_OFFSET).alias("winner_id"),
+                    (F.col("loser_id") + HIST_OFFSET).alias("loser_id"),
+                    F.concat(F.initcap("c_mktsegment"), F.lit(" Open")).alias("tourney_name"),
+                    F.when(F.col("o_totalprice") > 200000, "6-4 3-6 6-3").otherwise("6-4 6-3").alias("score")))
+
+
+_PMAP_SQL = f"""pmap AS (SELECT s.s_suppkey AS source_id, min(h.s_suppkey + {HIST_OFFSET}) AS historical_id
+                FROM supplier s JOIN supplier h ON s.s_name = h.s_name GROUP BY s.s_suppkey)"""
+_HIST_SQL = f"""hist AS (
+  SELECT d, p1, p2, tourney_name, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY d, p1, p2 ORDER BY tourney_name DESC, score DESC) AS rn FROM (
+      SELECT DISTINCT CAST(m.tourney_date AS DATE) AS d, least(m.winner_id, m.loser_id) + {HIST_OFFSET} AS p1,
+             greatest(m.winner_id, m.loser_id) + {HIST_OFFSET} AS p2,
+             upper(c.c_mktsegment[1]) || lower(c.c_mktsegment[2:]) || ' Open' AS tourney_name,
+             CASE WHEN o.o_totalprice > 200000 THEN '6-4 3-6 6-3' ELSE '6-4 6-3' END AS score
+      FROM matches m JOIN orders o ON m.match_id = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey))
+  WHERE rn = 1)"""
+
+
+def _surface_sql(col: str) -> str:
+    lc = f"lower({col})"
+    g = " OR ".join(f"contains({lc}, '{k.replace(chr(39), chr(39) * 2)}')" for k in params.GRASS_KEYWORDS)
+    c = " OR ".join(f"contains({lc}, '{k}')" for k in params.CLAY_KEYWORDS)
+    return (f"CASE WHEN {col} IS NULL THEN 'Unknown' WHEN contains({lc}, '(clay)') THEN 'Clay' "
+            f"WHEN contains({lc}, '(grass)') THEN 'Grass' WHEN contains({lc}, '(hard)') THEN 'Hard' "
+            f"WHEN {g} THEN 'Grass' WHEN {c} THEN 'Clay' ELSE 'Hard' END")
+
+
+@register("build_match_log", f"""
+WITH {_PMAP_SQL},
+st AS (SELECT r.*, p.historical_id FROM runners r JOIN pmap p ON r.selection_id = p.source_id
+       WHERE r.result IN ('WINNER', 'LOSER') AND p.historical_id IS NOT NULL),
+wl AS (SELECT market_id AS match_id, max(tourney_date) AS tourney_date, max(tourney_name) AS tourney_name,
+              max(CASE WHEN result = 'WINNER' THEN historical_id END) AS w, max(CASE WHEN result = 'LOSER' THEN historical_id END) AS l
+       FROM st GROUP BY market_id
+       HAVING count(*) = 2 AND sum(CASE WHEN result = 'WINNER' THEN 1 ELSE 0 END) = 1
+          AND sum(CASE WHEN result = 'LOSER' THEN 1 ELSE 0 END) = 1),
+{_HIST_SQL},
+ml AS (SELECT wl.match_id, wl.w, wl.l, coalesce(hist.tourney_name, wl.tourney_name) AS tourney_name, hist.score
+       FROM wl LEFT JOIN hist ON CAST(wl.tourney_date AS DATE) = hist.d AND least(wl.w, wl.l) = hist.p1
+                              AND greatest(wl.w, wl.l) = hist.p2)
+SELECT match_id, w AS winner_historical_id, l AS loser_historical_id, tourney_name, {_surface_sql('tourney_name')} AS surface,
+       CAST(coalesce(len(list_filter(string_split_regex(trim(score), '\\s+'), lambda x: x <> '')), 0) AS INTEGER) AS sets_played
+FROM ml""", ("matches",))
+def q_build_match_log(spark, d):
+    from .matchlog import build_match_log
+    odds, pmap = _er_supplier(spark, d)
+    ml = build_match_log(odds, pmap, _history(spark, d))
+    return ml.select("match_id", "winner_historical_id", "loser_historical_id", "tourney_name", "surface", "sets_played")
+
+
+@register("build_market_data", f"""
+WITH {_PMAP_SQL},
+mp AS (SELECT r.*, p.historical_id FROM runners r JOIN pmap p ON r.selection_id = p.source_id WHERE p.historical_id IS NOT NULL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY line_no, historical_id, part_id) AS rn,
+              count(*) OVER (PARTITION BY market_id) AS n FROM mp),
+md AS (SELECT a.market_id AS match_id, a.historical_id AS a_id, b.historical_id AS b_id, a.pp_wap AS a_odds, b.pp_wap AS b_odds,
+              CAST(a.result = 'WINNER' AS INTEGER) AS a_win
+       FROM rk a JOIN rk b ON a.market_id = b.market_id AND a.rn = 1 AND b.rn = 2 WHERE a.n = 2)
+SELECT match_id, least(a_id, b_id) AS p1_id, greatest(a_id, b_id) AS p2_id,
+       round(CASE WHEN a_id > b_id THEN b_odds ELSE a_odds END, 6) AS p1_odds,
+       round(CASE WHEN a_id > b_id THEN a_odds ELSE b_odds END, 6) AS p2_odds,
+       CASE WHEN a_id > b_id THEN 1 - a_win ELSE a_win END AS winner,
+       round(1.0 / a_odds + 1.0 / b_odds - 1.0, 6) AS book_margin
+FROM md""", ("runners",))
+def q_build_market_data(spark, d):
+    from .matchlog import build_market_data
+    odds, pmap = _er_supplier(spark, d)
+    md = build_market_data(odds, pmap, ["line_no", "selection_id", "part_id"])
+    return md.select("match_id", "p1_id", "p2_id", r6("p1_odds").alias("p1_odds"), r6("p2_odds").alias("p2_odds"),
+                     "winner", r6("book_margin").alias("book_margin"))
+
+
+@register("join_backtest_market", """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY line_no, selection_id, part_id) AS rn,
+                  count(*) OVER (PARTITION BY market_id) AS n FROM runners),
+md AS (SELECT a.market_id AS m_match_id, a.tourney_date, least(a.selection_id, b.selection_id) AS p1_id,
+              greatest(a.selection_id, b.selection_id) AS p2_id,
+              CASE WHEN a.selection_id > b.selection_id THEN b.pp_wap ELSE a.pp_wap END AS p1_odds,
+              CASE WHEN a.selection_id > b.selection_id THEN a.pp_wap ELSE b.pp_wap END AS p2_odds,
+              CASE WHEN a.selection_id > b.selection_id THEN 1 - CAST(a.result = 'WINNER' AS INTEGER)
+                   ELSE CAST(a.result = 'WINNER' AS INTEGER) END AS winner
+       FROM r a JOIN r b ON a.market_id = b.market_id AND a.rn = 1 AND b.rn = 2 WHERE a.n = 2)
+SELECT m.match_id, md.m_match_id, md.p1_id, md.p2_id, round(md.p1_odds, 6) AS p1_odds, round(md.p2_odds, 6) AS p2_odds, md.winner
+FROM matches m JOIN md ON least(m.winner_id, m.loser_id) = md.p1_id AND greatest(m.winner_id, m.loser_id) = md.p2_id
+ AND CAST(m.tourney_date AS DATE) = CAST(md.tourney_date AS DATE)""", ("matches",))
+def q_join_backtest_market(spark, d):
+    from .features import build_match_features
+    from .matchlog import canonical_market, join_backtest_market
+    t = Tables(spark, d)
+    feats = build_match_features(views.matches(t))
+    md = canonical_market(markets.first_last_runner(views.runners(t), RUNNER_ORDER, prob_col=None))
+    j = join_backtest_market(feats, md)
+    return j.select("match_id", "m_match_id", "p1_id", "p2_id", r6("p1_odds").alias("p1_odds"), r6("p2_odds").alias("p2_odds"),
+                    "winner")
+
+
+def books(spark, d):
+    """Book updates derived from orders: market = order, update time = order date + (key mod 50)
+    minutes, start = order date + 1 h, status by order status, every 7th in play, competition =
+    the tournament name of the order priority, event 'Customer v Clerk-style' names from the
+    customer; runners = the market's first and last line (two-runner books)."""
+    from ..sources.views import tourney_name_of_priority
+    t = Tables(spark, d)
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
+    c = t.customer.select("c_custkey", "c_name", "c_mktsegment")
+    r = views.runners(t)
+    key = F.struct(*[F.col(x) for x in RUNNER_ORDER])
+    runner = F.struct(F.col("selection_id").alias("selection_id"), F.lit(None).cast("string").alias("runner_name"),
+                      F.col("pp_wap").alias("best_back"), F.lit(100.0).alias("size"))
+    rr = r.groupBy("market_id").agg(F.min_by(runner, key).alias("a"), F.max_by(runner, key).alias("b"),
+                                    F.count(F.lit(1)).alias("n"))
+    b = (o.join(c, o.o_custkey == c.c_custkey)
+         .select(F.col("o_orderkey").alias("market_id"),
+                 F.timestamp_micros(F.unix_micros("o_orderdate") + F.pmod("o_orderkey", F.lit(50)) * 60_000_000).alias("ts"),
+                 F.when(F.col("o_orderstatus") == "O", "OPEN").when(F.col("o_orderstatus") == "F", "CLOSED")
+                  .otherwise("SUSPENDED").alias("status"),
+                 (F.pmod("o_orderkey", F.lit(7)) == 0).alias("inplay"),
+                 F.timestamp_micros(F.unix_micros("o_orderdate") + 3_600_000_000).alias("market_time"),
+                 F.concat(F.lit("Match Odds "), F.col("c_mktsegment")).alias("market_name"),
+                 tourney_name_of_priority(F.col("o_orderpriority")).alias("competition"),
+                 F.when(F.pmod("o_custkey", F.lit(4)) == 0, F.col("c_name"))
+                  .otherwise(F.concat(F.col("c_name"), F.lit(" v "), F.col("c_mktsegment"))).alias("event_name")))
+    return b.join(rr, "market_id").withColumn(
+        "runners", F.when(F.col("n") == 2, F.array("a", "b")).otherwise(F.array("a"))).drop("a", "b", "n") \
+        .withColumn("market_id", F.col("market_id").cast("string"))
+
+
+@register("filter_market_eligible", """
+WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, o_orderstatus, o_orderpriority FROM orders),
+b AS (SELECT o.o_orderkey AS market_id, o.o_orderdate + (o.o_orderkey % 50) * INTERVAL 1 MINUTE AS ts,
+             CASE WHEN o.o_orderstatus = 'O' THEN 'OPEN' WHEN o.o_orderstatus = 'F' THEN 'CLOSED' ELSE 'SUSPENDED' END AS status,
+             o.o_orderkey % 7 = 0 AS inplay, o.o_orderdate + INTERVAL 1 HOUR AS market_time,
+             CASE o.o_orderpriority WHEN '1-URGENT' THEN 'Wimbledon Grand Slam' WHEN '2-HIGH' THEN 'Madrid Masters'
+                  WHEN '3-MEDIUM' THEN 'Challenger Rome (hard)' WHEN '4-NOT SPECIFIED' THEN 'ITF Futures Newport'
+                  WHEN '5-LOW' THEN 'UTR Pro Series Halle' ELSE o.o_orderpriority END AS competition,
+             CASE WHEN o.o_custkey % 4 = 0 THEN c.c_name ELSE c.c_name || ' v ' || c.c_mktsegment END AS event_name
+      FROM o JOIN customer c ON o.o_custkey = c.c_custkey
+      WHERE o.o_orderkey IN (SELECT DISTINCT l_orderkey FROM lineitem))
+SELECT CAST(market_id AS VARCHAR) AS market_id FROM b
+WHERE competition IS NOT NULL AND event_name IS NOT NULL AND contains(event_name, ' v ') AND status = 'OPEN' AND NOT inplay
+  AND epoch_us(market_time) - epoch_us(ts) > 60000000 AND epoch_us(market_time) - epoch_us(ts) < 3600000000
+  AND competition IN ('Wimbledon Grand Slam', 'Madrid Masters', 'Challenger Rome (hard)', 'ITF Futures Newport')""")
+def q_eligible(spark, d):
+    from ..params import LiveParams
+    from ..streaming.live import filter_market_eligible
+    e = filter_market_eligible(books(spark, d), LiveParams())
+    return e.select("market_id")
+
+
+@register("stream_features_value_bets", """
+SELECT CAST(market_id AS VARCHAR) AS market_id, selection_id, round(prob * odds - 1.0, 6) AS ev
+FROM (SELECT a.market_id, a.selection_id, a.pp_wap AS odds, a.model_prob AS prob
+      FROM (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY line_no, selection_id, part_id) AS rn,
+                   count(*) OVER (PARTITION BY market_id) AS n FROM runners) a WHERE a.rn = 1 AND a.n = 2
+      UNION ALL
+      SELECT a.market_id, b.selection_id, b.pp_wap, 1.0 - a.model_prob
+      FROM (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY line_no, selection_id, part_id) AS rn,
+                   count(*) OVER (PARTITION BY market_id) AS n FROM runners) a
+      JOIN (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY line_no, selection_id, part_id) AS rn FROM runners) b
+        ON a.market_id = b.market_id AND a.rn = 1 AND b.rn = 2 WHERE a.n = 2)
+WHERE odds IS NOT NULL AND prob * odds - 1.0 > 0.1""", ("runners",))
+def q_stream_feature_bets(spark, d):
+    """Two-runner books → features from snapshot tables (stream-static joins) → the p1
+    probability (here the runner table's model probability) → live value bets."""
+    from ..streaming.live import player_snapshot, stream_features, stream_value_bets
+    t = Tables(spark, d)
+    bk = books(spark, d)
+    from ..plans.features import player_rows
+    totals, surf = player_snapshot(player_rows(views.matches(t)).withColumnRenamed("ts", "tourney_date"))
+    feats = stream_features(bk, totals, surf)
+    r = views.runners(t)
+    p1 = markets.first_last_runner(r, RUNNER_ORDER).select(F.col("match_id").cast("string").alias("market_id"),
+                                                           F.col("p1_model_prob").alias("p1_predicted_prob"))
+    scored = feats.join(p1, "market_id")
+    return stream_value_bets(scored).select("market_id", "selection_id", r6("ev").alias("ev"))
