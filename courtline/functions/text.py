@@ -127,3 +127,24 @@ def edit_similarity(a, b) -> Column:
 def name_similarity(a, b) -> Column:
     """Score 0..100: best of the plain and the token-sorted edit similarity (case-sensitive)."""
     return F.greatest(edit_similarity(a, b), edit_similarity(token_sorted(a), token_sorted(b)))
+
+
+def hand_default(col) -> Column:
+    """Missing handedness → 'U'."""
+    return F.coalesce(_c(col), F.lit("U"))
+
+
+def match_label(competition, event) -> Column:
+    """'competition - event' with 'N/A' for missing parts."""
+    return F.concat_ws(" - ", F.coalesce(_c(competition), F.lit("N/A")), F.coalesce(_c(event), F.lit("N/A")))
+
+
+def day_floor_diff(later, earlier) -> Column:
+    """Whole days between two instants (floor of the exact difference)."""
+    return F.floor((F.unix_micros(_c(later)) - F.unix_micros(_c(earlier))) / F.lit(86_400_000_000)).cast("bigint")
+
+
+def to_utc(col, tz: str | None = None) -> Column:
+    """Attach UTC: a zone-less value is read in ``tz`` (default: already UTC) and converted."""
+    c = _c(col).cast("timestamp")
+    return F.to_utc_timestamp(c, tz) if tz else c

@@ -107,3 +107,27 @@ def dedup_keep_none(df: DataFrame, keys: list[str]) -> DataFrame:
     """Drop every row whose key occurs more than once (grouped count + semi join, no window)."""
     once = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") == 1).drop("_c")
     return df.join(once, keys, "left_semi")
+
+
+def distinct_runners(odds: DataFrame, id_col: str = "selection_id", name_col: str = "selection_name") -> DataFrame:
+    """Distinct (id, name) pairs of the feed."""
+    return odds.select(F.col(id_col).alias("runner_id"), F.col(name_col).alias("runner_name")).distinct()
+
+
+def unique_values(df: DataFrame, col: str) -> DataFrame:
+    """Values occurring exactly once (grouped count, map-side combined)."""
+    return df.groupBy(col).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") == 1).drop("_c")
+
+
+def drop_null_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.dropna(subset=keys)
+
+
+def coerce_numeric(df: DataFrame, cols: dict[str, str]) -> DataFrame:
+    """Lenient casts: values that do not convert become NULL (ANSI-safe)."""
+    return df.withColumns({c: F.col(c).cast("string").try_cast(t) for c, t in cols.items()})
+
+
+def fill_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    """Column-wise defaults (never a whole-row fill)."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})

@@ -136,3 +136,44 @@ def plain_window_features(df: DataFrame, *, player="player_id", ts="ts", row_id=
         F.coalesce(F.sum(sets).over(micros.rangeBetween(-7 * day, -1)), F.lit(0)).alias("sets_played_last_7_days"),
         F.coalesce(F.sum(sets).over(micros.rangeBetween(-14 * day, -1)), F.lit(0)).alias("sets_played_last_14_days"),
     )
+
+
+def history_before(queries: DataFrame, history: DataFrame, *, key: str, ts: str, qid: str,
+                   values: dict[str, Column], spans: dict[str, int] | None = None,
+                   bucket_seconds=AUTO) -> DataFrame:
+    """Live lookups (``live_player_agg`` / ``live_load_agg``): for each query row (key, ts)
+    the count and sums of the key's history rows strictly before ts, and per span d the
+    same over ``[ts - d, ts)``.
+
+    Query rows become probes on the history timeline (sorted before history rows of the
+    same instant), so one running pass answers every query — no join of each query against
+    the key's whole history. Returns ``qid, n, <value>`` and ``n_<span>, <value>_<span>``.
+    """
+    spans = spans or {}
+    kind_real, kind_probe = 1, 0
+    real = history.select(F.col(key).alias("_k"), F.col(ts).alias("_t"), F.lit(kind_real).alias("_kind"),
+                          F.lit(None).cast(queries.schema[qid].dataType).alias("_q"), F.lit(None).cast("string").alias("_span"),
+                          F.lit(1).alias("_real"), *[e.alias(f"_x_{n}") for n, e in values.items()])
+    specs = [F.struct(F.lit("0").alias("s"), F.lit(0).cast("bigint").alias("us"))] + \
+            [F.struct(F.lit(k).alias("s"), F.lit(int(v) * 1_000_000).cast("bigint").alias("us")) for k, v in spans.items()]
+    probes = (queries.select(F.col(key).alias("_k"), F.col(ts).alias("_pt"), F.col(qid).alias("_q"),
+                             F.explode(F.array(*specs)).alias("_p"))
+              .select("_k", F.timestamp_micros(F.unix_micros("_pt") - F.col("_p.us")).alias("_t"),
+                      F.lit(kind_probe).alias("_kind"), "_q", F.col("_p.s").alias("_span"),
+                      F.lit(None).cast("int").alias("_real"),
+                      *[F.lit(None).cast(real.schema[f"_x_{n}"].dataType).alias(f"_x_{n}") for n in values]))
+    both = real.unionByName(probes)
+    if bucket_seconds == AUTO:
+        bucket_seconds = resolve_bucket(history.select(F.col(key).alias("_k")), ["_k"], AUTO)
+    aggs = [Agg("_n", "count", F.col("_real"))] + [Agg(f"_s_{n}", "sum", F.col(f"_x_{n}")) for n in values]
+    run = running(both, ["_k"], ["_t", "_kind", "_q", "_span"], aggs, bucket_seconds=bucket_seconds)
+    at = run.where(F.col("_kind") == kind_probe)
+
+    def val(col, span):
+        return F.max(F.when(F.col("_span") == span, F.col(col)))
+    outs = [val("_n", "0").alias("n")] + [F.coalesce(val(f"_s_{n}", "0"), F.lit(0)).alias(n) for n in values]
+    for k in spans:
+        outs.append((val("_n", "0") - val("_n", k)).alias(f"n_{k}"))
+        outs += [(F.coalesce(val(f"_s_{n}", "0"), F.lit(0)) - F.coalesce(val(f"_s_{n}", k), F.lit(0))).alias(f"{n}_{k}")
+                 for n in values]
+    return at.groupBy(F.col("_q").alias(qid)).agg(*outs)

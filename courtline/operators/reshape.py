@@ -65,3 +65,12 @@ def align_to_model(df: DataFrame, cols: list[str]) -> DataFrame:
     have = set(df.columns)
     return df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in have else F.lit(0.0).alias(c)
                        for c in cols], *[c for c in df.columns if c not in cols])
+
+
+def union_tours(frames: list[DataFrame], allow_missing: bool = True) -> DataFrame:
+    """Concatenate per-tour tables by column name; columns missing in a frame become NULL
+    (``union_with_missing``, e.g. 4-column ranking files next to 5-column ones)."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=allow_missing)
+    return out

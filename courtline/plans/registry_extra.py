@@ -694,3 +694,115 @@ def q_stream_feature_bets(spark, d):
                                                            F.col("p1_model_prob").alias("p1_predicted_prob"))
     scored = feats.join(p1, "market_id")
     return stream_value_bets(scored).select("market_id", "selection_id", r6("ev").alias("ev"))
+
+
+@register("live_player_agg", """
+WITH q AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase')
+SELECT q.event_id AS row_id, count(h.event_id) AS n, CAST(coalesce(sum(h.won), 0) AS BIGINT) AS wins,
+       round(coalesce(sum(h.won) / count(h.event_id), 0.0), 6) AS win_perc
+FROM q LEFT JOIN outcomes h ON h.player_id = q.user_id AND h.ts < q.ts GROUP BY q.event_id""", ("outcomes",))
+def q_live_player_agg(spark, d):
+    from ..operators.pit import history_before
+    t = Tables(spark, d)
+    qs = t.events.where(F.col("event_type") == "purchase").select("event_id", "user_id", "ts")
+    h = views.outcomes(t)
+    r = history_before(qs.withColumnRenamed("user_id", "player_id"), h, key="player_id", ts="ts", qid="event_id",
+                       values={"wins": F.col("won").cast("bigint")})
+    return r.select(F.col("event_id").alias("row_id"), "n", "wins",
+                    r6(F.coalesce(F.try_divide(F.col("wins").cast("double"), F.col("n").cast("double")), F.lit(0.0))).alias("win_perc"))
+
+
+@register("live_load_agg", """
+WITH q AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase')
+SELECT q.event_id AS row_id,
+       count(h.event_id) FILTER (WHERE h.ts >= q.ts - INTERVAL 7 DAYS) AS matches_last_7_days,
+       count(h.event_id) FILTER (WHERE h.ts >= q.ts - INTERVAL 14 DAYS) AS matches_last_14_days,
+       CAST(coalesce(sum(h.sets_played) FILTER (WHERE h.ts >= q.ts - INTERVAL 7 DAYS), 0) AS BIGINT) AS sets_played_last_7_days,
+       CAST(coalesce(sum(h.sets_played) FILTER (WHERE h.ts >= q.ts - INTERVAL 14 DAYS), 0) AS BIGINT) AS sets_played_last_14_days
+FROM q LEFT JOIN outcomes h ON h.player_id = q.user_id AND h.ts < q.ts AND h.ts >= q.ts - INTERVAL 14 DAYS
+GROUP BY q.event_id""", ("outcomes",))
+def q_live_load_agg(spark, d):
+    from ..operators.pit import history_before
+    t = Tables(spark, d)
+    qs = t.events.where(F.col("event_type") == "purchase").select("event_id", F.col("user_id").alias("player_id"), "ts")
+    r = history_before(qs, views.outcomes(t), key="player_id", ts="ts", qid="event_id",
+                       values={"sets": F.col("sets_played")}, spans={"7": 7 * 86400, "14": 14 * 86400})
+    return r.select(F.col("event_id").alias("row_id"), F.col("n_7").alias("matches_last_7_days"),
+                    F.col("n_14").alias("matches_last_14_days"), F.col("sets_7").cast("bigint").alias("sets_played_last_7_days"),
+                    F.col("sets_14").cast("bigint").alias("sets_played_last_14_days"))
+
+
+# ---------------------------------------------------------------- small relational helpers
+
+@register("distinct_runners", """
+SELECT DISTINCT r.selection_id AS runner_id, s.s_name AS runner_name FROM runners r JOIN supplier s ON r.selection_id = s.s_suppkey""",
+          ("runners",))
+def q_distinct_runners(spark, d):
+    odds, _ = _er_supplier(spark, d)
+    return markets.distinct_runners(odds)
+
+
+@register("unique_values", """
+SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING count(*) = 1""")
+def q_unique_values(spark, d):
+    li = Tables(spark, d).lineitem.select("l_partkey")
+    return markets.unique_values(li, "l_partkey")
+
+
+@register("dedup_keep_first", """
+SELECT market_id, selection_id, line_no FROM (
+  SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY line_no, selection_id, part_id) AS rn FROM runners) WHERE rn = 1""",
+          ("runners",))
+def q_dedup_first(spark, d):
+    r = views.runners(Tables(spark, d))
+    return markets.dedup_keep_first(r, ["market_id"], RUNNER_ORDER).select("market_id", "selection_id", "line_no")
+
+
+@register("dedup_keep_none", """
+SELECT market_id, selection_id FROM runners WHERE market_id IN (SELECT market_id FROM runners GROUP BY 1 HAVING count(*) = 1)""",
+          ("runners",))
+def q_dedup_none(spark, d):
+    r = views.runners(Tables(spark, d))
+    return markets.dedup_keep_none(r, ["market_id"]).select("market_id", "selection_id")
+
+
+@register("day_floor_diff", """
+SELECT l.l_orderkey, l.l_linenumber, l.l_suppkey, l.l_partkey,
+       CAST(floor((epoch_us(l.l_shipdate) - epoch_us(o.o_orderdate)) / 86400000000) AS BIGINT) AS days
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey""")
+def q_day_floor(spark, d):
+    from ..functions.text import day_floor_diff
+    t = Tables(spark, d)
+    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_shipdate")
+    o = t.orders.select("o_orderkey", "o_orderdate")
+    return li.join(o, li.l_orderkey == o.o_orderkey).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey",
+                                                            day_floor_diff("l_shipdate", "o_orderdate").alias("days"))
+
+
+@register("union_with_missing", """
+SELECT user_id AS player, event_id, CAST(floor(value) AS BIGINT) AS rank, NULL AS tours FROM events WHERE event_type = 'view'
+UNION ALL
+SELECT user_id, event_id, CAST(floor(value) AS BIGINT), event_type FROM events WHERE event_type = 'click'""")
+def q_union_missing(spark, d):
+    from ..operators.reshape import union_tours
+    e = Tables(spark, d).events
+    four = e.where(F.col("event_type") == "view").select(F.col("user_id").alias("player"), "event_id",
+                                                           F.floor("value").cast("bigint").alias("rank"))
+    five = e.where(F.col("event_type") == "click").select(F.col("user_id").alias("player"), "event_id",
+                                                            F.floor("value").cast("bigint").alias("rank"),
+                                                            F.col("event_type").alias("tours"))
+    return union_tours([four, five])
+
+
+@register("match_label", """
+SELECT market_id, coalesce(competition, 'N/A') || ' - ' || coalesce(event_name, 'N/A') AS match FROM (
+  SELECT CAST(o.o_orderkey AS VARCHAR) AS market_id,
+         CASE o.o_orderpriority WHEN '1-URGENT' THEN 'Wimbledon Grand Slam' WHEN '2-HIGH' THEN 'Madrid Masters'
+              WHEN '3-MEDIUM' THEN 'Challenger Rome (hard)' WHEN '4-NOT SPECIFIED' THEN 'ITF Futures Newport'
+              WHEN '5-LOW' THEN 'UTR Pro Series Halle' ELSE o.o_orderpriority END AS competition,
+         CASE WHEN o.o_custkey % 4 = 0 THEN c.c_name ELSE c.c_name || ' v ' || c.c_mktsegment END AS event_name
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_orderkey IN (SELECT l_orderkey FROM lineitem))""")
+def q_match_label(spark, d):
+    from ..functions.text import match_label
+    b = books(spark, d)
+    return b.select("market_id", match_label("competition", "event_name").alias("match"))
