@@ -743,10 +743,10 @@ def q_distinct_runners(spark, d):
 
 
 @register("unique_values", """
-SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING count(*) = 1""")
+SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) = 1""")
 def q_unique_values(spark, d):
-    li = Tables(spark, d).lineitem.select("l_partkey")
-    return markets.unique_values(li, "l_partkey")
+    li = Tables(spark, d).lineitem.select("l_orderkey")
+    return markets.unique_values(li, "l_orderkey")
 
 
 @register("dedup_keep_first", """
