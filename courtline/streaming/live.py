@@ -287,3 +287,26 @@ def decision_log_sink(batch: DataFrame, path: str, keys=("market_id", "selection
     except AnalysisException:  # first batch: no log yet
         new = batch
     new.dropDuplicates(list(keys)).write.mode("append").parquet(path)
+
+
+def subscription_batch(catalogue: DataFrame, state_path: str, limit: int = params.STREAM_LIMIT) -> DataFrame:
+    """``foreachBatch`` body of the re-poll (``trigger(processingTime='300 seconds')``): the
+    first ``limit`` markets of this poll by start time become the target subscription; the
+    diff against the stored subscription is returned (ADDED / REMOVED / KEPT rows) and the
+    target replaces the stored one (Parquet table in the checkpoint area)."""
+    from pyspark.errors import AnalysisException
+    spark = catalogue.sparkSession
+    target = topk_markets(catalogue, limit).select("market_id")
+    try:
+        current = spark.read.parquet(state_path).select("market_id")
+    except AnalysisException:  # first poll
+        current = spark.createDataFrame([], target.schema)
+    diff = subscription_diff(target, current)
+    # the diff reads the stored table that is about to be replaced: write it out first
+    diff_path = state_path + ".diff"
+    diff.write.mode("overwrite").parquet(diff_path)
+    diff = spark.read.parquet(diff_path)
+    target_rows = diff.where(F.col("change") != "REMOVED").select("market_id")
+    target_rows.write.mode("overwrite").parquet(state_path + ".next")
+    spark.read.parquet(state_path + ".next").write.mode("overwrite").parquet(state_path)
+    return diff

@@ -27,3 +27,26 @@ def test_rank_sign_toy_model(spark):
     scored = ml.score_batch(model, data)
     acc = scored.select(F.avg(((F.col("p1_predicted_prob") > 0.5).cast("int") == F.col("winner")).cast("double"))).first()[0]
     assert acc > 0.9
+
+
+def test_model_save_load_and_metrics(spark, tmp_path):
+    rows = [(i, dt.datetime(2023, 1, 1) + dt.timedelta(days=i), float(i % 7), float((i * 3) % 5), int(i % 7 > 3))
+            for i in range(60)]
+    df = spark.createDataFrame(rows, "match_id long, tourney_date timestamp, a double, b double, winner int")
+    data = ml.temporal_split(df)
+    model = ml.fit_final(data, ["a", "b"], {"maxDepth": 2, "maxIter": 5})
+    path = str(tmp_path / "model")
+    ml.save_model(model, path)
+    again = ml.load_model(path)
+    p1 = [r.p1_predicted_prob for r in ml.score_batch(model, df).orderBy("match_id").collect()]
+    p2 = [r.p1_predicted_prob for r in ml.score_batch(again, df).orderBy("match_id").collect()]
+    assert p1 == p2
+    m = ml.eval_metrics(model, data.where(F.col("split") == "test")).collect()[0]
+    assert 0.0 <= m.accuracy <= 1.0 and m.support_0 + m.support_1 == 12
+    imp = ml.feature_importance(model, ["a", "b"])
+    assert {n for n, _ in imp} == {"a", "b"}
+    folds_ = ml.stratified_folds(df).groupBy("winner", "fold").count().collect()
+    per_label = {}
+    for r in folds_:
+        per_label.setdefault(r.winner, []).append(r["count"])
+    assert all(max(v) - min(v) <= 1 for v in per_label.values())

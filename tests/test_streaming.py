@@ -97,3 +97,16 @@ def test_stream_elo_equals_batch(spark):
     b = folds.elo_ratings(m)
     key = ["match_id", "p1_id", "p2_id", "p1_elo", "p2_elo"]
     assert sorted(tuple(r) for r in s.select(*key).collect()) == sorted(tuple(r) for r in b.select(*key).collect())
+
+
+def test_subscription_batch(spark):
+    d = tempfile.mkdtemp(prefix="subs-")
+    state = os.path.join(d, "subscription")
+    cat1 = spark.createDataFrame([("m1", T0), ("m2", T0 + dt.timedelta(hours=1)), ("m3", None)],
+                                 "market_id string, market_time timestamp")
+    first = {r.market_id: r.change for r in live.subscription_batch(cat1, state, limit=2).collect()}
+    assert first == {"m1": "ADDED", "m2": "ADDED"}
+    cat2 = spark.createDataFrame([("m2", T0 + dt.timedelta(hours=1)), ("m4", T0 + dt.timedelta(hours=2))],
+                                 "market_id string, market_time timestamp")
+    second = {r.market_id: r.change for r in live.subscription_batch(cat2, state, limit=2).collect()}
+    assert second == {"m1": "REMOVED", "m2": "KEPT", "m4": "ADDED"}
