@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .. import params
 from ..functions.text import block_key, clean_name, initial_lastname, lastname, name_similarity, token_sorted
 
+MAX_BROADCAST_GRAMS = 2_000_000
 OUT_COLS = ["source_id", "historical_id", "source_name", "matched_name", "confidence", "method"]
 
 
@@ -101,6 +102,11 @@ def _prefix_candidates(s: DataFrame, h: DataFrame, rep: str, q: int, delta: floa
     sg = explode_grams(s.withColumn("_r", F.col(rep)).withColumn("_len", F.length(rep)).withColumn("_tau", tau(F.col(rep))), "source_id")
     hg = explode_grams(h.withColumn("_r", F.col(rep)).withColumn("_len", F.length(rep)).withColumn("_tau", tau(F.col(rep))), "hname")
     freq = sg.select("_gram").unionByName(hg.select("_gram")).groupBy("_gram").agg(F.count(F.lit(1)).alias("_f"))
+    # one row per distinct gram: common grams are hot join keys on the exploded side, so the
+    # frequency table is broadcast when its counted size is within bounds (else AQE's skew
+    # join splits the hot partitions)
+    if freq.count() <= MAX_BROADCAST_GRAMS:
+        freq = F.broadcast(freq)
 
     def prefix(g, id_col):
         ranked = g.join(freq, "_gram")
