@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from .. import params
 from ..functions.text import block_key, clean_name, initial_lastname, lastname, name_similarity, token_sorted
 
-MAX_BROADCAST_GRAMS = 2_000_000
 OUT_COLS = ["source_id", "historical_id", "source_name", "matched_name", "confidence", "method"]
 
 
@@ -102,11 +101,9 @@ def _prefix_candidates(s: DataFrame, h: DataFrame, rep: str, q: int, delta: floa
     sg = explode_grams(s.withColumn("_r", F.col(rep)).withColumn("_len", F.length(rep)).withColumn("_tau", tau(F.col(rep))), "source_id")
     hg = explode_grams(h.withColumn("_r", F.col(rep)).withColumn("_len", F.length(rep)).withColumn("_tau", tau(F.col(rep))), "hname")
     freq = sg.select("_gram").unionByName(hg.select("_gram")).groupBy("_gram").agg(F.count(F.lit(1)).alias("_f"))
-    # one row per distinct gram: common grams are hot join keys on the exploded side, so the
-    # frequency table is broadcast when its counted size is within bounds (else AQE's skew
-    # join splits the hot partitions)
-    if freq.count() <= MAX_BROADCAST_GRAMS:
-        freq = F.broadcast(freq)
+    # one row per distinct gram, while common grams are hot keys on the exploded side: AQE
+    # measures the aggregated table at runtime and broadcasts it when under the adaptive
+    # threshold, otherwise its skew-join handling splits the hot partitions (no extra job)
 
     def prefix(g, id_col):
         ranked = g.join(freq, "_gram")
@@ -186,11 +183,12 @@ def map_cascade(src: DataFrame, hist: DataFrame, threshold: float = params.MAPPI
     """Run the five passes; returns the union of all pass outputs (one row per matched feed id).
 
     ``src``: (source_id, source_name) — distinct pairs; ``hist``: (historical_id, historical_name).
-    Each pass depends on what the earlier passes left unmatched, so without a cut the plan of
-    pass k would contain every earlier pass twice. The inputs and every remainder are written
-    with a reliable checkpoint into the session's checkpoint folder (survives executor loss),
-    so the remainder is a linear chain of anti-joins against materialised pass outputs;
-    ``checkpoint=False`` keeps everything lazy (small inputs only).
+    Each pass depends on what the earlier passes left unmatched, so without cuts the plan of
+    pass k would contain every earlier pass 2^k times. Each pass output (the feed ids it
+    matched — small) and the historical table are written with a reliable checkpoint
+    (session checkpoint folder; survives executor loss), so the remainder is a linear chain
+    of anti-joins against materialised outputs; ``checkpoint=False`` keeps everything lazy
+    (small inputs only).
     """
     from ..session import cut_lineage
 
@@ -198,14 +196,15 @@ def map_cascade(src: DataFrame, hist: DataFrame, threshold: float = params.MAPPI
         return cut_lineage(df) if checkpoint else df
 
     src = src.select("source_id", "source_name").distinct()
-    hist = cut(hist.select("historical_id", "historical_name")
-               .where(F.col("historical_id").isNotNull() & F.col("historical_name").isNotNull()).distinct())
+    hist = hist.select("historical_id", "historical_name").where(
+        F.col("historical_id").isNotNull() & F.col("historical_name").isNotNull()).distinct()
     out = []
     remaining = src
+    hist = cut(hist)
     for fn in (map_exact, map_cleaned, map_initial, map_unique_lastname):
-        m = cut(fn(remaining, hist))
+        m = cut(fn(remaining, hist))  # small: the feed ids matched by this pass
         out.append(m)
-        # a chain of anti-joins against checkpointed pass outputs: linear lineage
+        # a chain of anti-joins against materialised pass outputs: linear lineage
         remaining = remaining.join(m.select("source_id"), "source_id", "left_anti")
     out.append(map_fuzzy(remaining, hist, threshold))
     result = out[0]
