@@ -158,3 +158,16 @@ def train_eval(features_df: DataFrame, label: str = "winner", n_trials: int = 2)
     model = fit_final(data, feats, best, label)
     metrics = eval_metrics(model, data.where(F.col("split") == "test"), label)
     return model, metrics, {"best_params": best, "validation_auc": auc, "features": feats}
+
+
+def stratified_cv(data: DataFrame, features: list[str], params: dict, label: str = "winner", k: int = 5) -> dict:
+    """k-fold AUC with label-balanced folds (``stratified_folds``): mean and standard
+    deviation over the folds; every fit is distributed, only k numbers reach the driver."""
+    import statistics
+    ev = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
+    folded = stratified_folds(data, label, k)
+    scores = []
+    for f in range(k):
+        model = _pipeline(features, label, params).fit(folded.where(F.col("fold") != f))
+        scores.append(ev.evaluate(model.transform(folded.where(F.col("fold") == f))))
+    return {"scores": scores, "mean": statistics.fmean(scores), "std": statistics.pstdev(scores)}

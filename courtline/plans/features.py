@@ -85,11 +85,7 @@ def build_match_features(matches: DataFrame, *, elo: DataFrame | None = None,
     bucket_seconds = resolve_bucket(rows, ["player_id"], bucket_seconds)
     feats = player_features(rows, bucket_seconds=bucket_seconds)
     keyed = feats.join(m.select("match_id", "p1_id", "p2_id"), "match_id")
-    aggs = []
-    for c in PLAYER_FEATURES:
-        aggs.append(F.max(F.when(F.col("player_id") == F.col("p1_id"), F.col(c))).alias(f"p1_{c}"))
-        aggs.append(F.max(F.when(F.col("player_id") == F.col("p2_id"), F.col(c))).alias(f"p2_{c}"))
-    wide = keyed.groupBy("match_id").agg(*aggs)
+    wide = join_side_features(keyed, PLAYER_FEATURES)
     h2h = pairs.pit_h2h(matches, bucket_seconds=bucket_seconds).select(
         "match_id", F.col("h2h_p1_wins").alias("h2h_p1_wins"), F.col("h2h_p2_wins").alias("h2h_p2_wins"))
     p1_is_w = F.col("winner_id") == F.col("p1_id")
@@ -107,12 +103,7 @@ def build_match_features(matches: DataFrame, *, elo: DataFrame | None = None,
         "h2h_p1_wins": F.coalesce("h2h_p1_wins", F.lit(0)), "h2h_p2_wins": F.coalesce("h2h_p2_wins", F.lit(0)),
     })
     if elo is not None:
-        # joined on (match_id, p1_id, p2_id): the ratings carry their own canonical ids
-        e = elo.select("match_id", F.col("p1_id").alias("_e1"), F.col("p2_id").alias("_e2"), "p1_elo", "p2_elo")
-        out = (out.join(e, (out.match_id == e.match_id) & (out.p1_id == e._e1) & (out.p2_id == e._e2), "left")
-               .drop(e.match_id).drop("_e1", "_e2")
-               .withColumns({"p1_elo": F.coalesce("p1_elo", F.lit(1500.0)), "p2_elo": F.coalesce("p2_elo", F.lit(1500.0))})
-               .withColumn("elo_diff", F.col("p1_elo") - F.col("p2_elo")))
+        out = join_elo(out, elo)
     if rankings is not None:
         for side in ("p1", "p2"):
             left = out.select("match_id", F.col(f"{side}_id").alias("_pid"), "tourney_date")
@@ -125,3 +116,47 @@ def build_match_features(matches: DataFrame, *, elo: DataFrame | None = None,
             p = players.select(F.col("player_id").alias(f"_{side}pid"), F.col("hand").alias(f"{side}_hand"))
             out = out.join(p, out[f"{side}_id"] == p[f"_{side}pid"], "left").drop(f"_{side}pid")
     return out
+
+
+# ---------------------------------------------------------------- named joins of the feature build
+
+def join_elo(features: DataFrame, elo: DataFrame, initial: float = 1500.0) -> DataFrame:
+    """Attach pre-match ratings on (match_id, p1_id, p2_id) — ratings carry canonical ids, so
+    they cannot be attached to the wrong side; missing → initial rating; adds ``elo_diff``."""
+    e = elo.select("match_id", F.col("p1_id").alias("_e1"), F.col("p2_id").alias("_e2"), "p1_elo", "p2_elo")
+    j = features.join(e, (features.match_id == e.match_id) & (features.p1_id == e._e1) & (features.p2_id == e._e2), "left")
+    return (j.drop(e.match_id).drop("_e1", "_e2")
+            .withColumns({"p1_elo": F.coalesce("p1_elo", F.lit(initial)), "p2_elo": F.coalesce("p2_elo", F.lit(initial))})
+            .withColumn("elo_diff", F.col("p1_elo") - F.col("p2_elo")))
+
+
+def join_odds(features: DataFrame, market: DataFrame) -> DataFrame:
+    """Attach p1/p2 prices by match id (left join), with implied probabilities (missing → 0)
+    and margin."""
+    m = market.select(F.col("match_id").alias("_mm"), F.col("p1_odds").alias("_o1"), F.col("p2_odds").alias("_o2"))
+    j = features.join(m, features.match_id == m._mm, "left").drop("_mm")
+    j = j.withColumns({"p1_odds": F.coalesce("_o1", *(["p1_odds"] if "p1_odds" in features.columns else [])),
+                       "p2_odds": F.coalesce("_o2", *(["p2_odds"] if "p2_odds" in features.columns else []))}).drop("_o1", "_o2")
+    j = j.withColumns({"p1_implied_prob": implied_prob("p1_odds"), "p2_implied_prob": implied_prob("p2_odds")})
+    return j.withColumn("book_margin", book_margin("p1_implied_prob", "p2_implied_prob"))
+
+
+def join_side_features(keyed_rows: DataFrame, feature_cols: list[str]) -> DataFrame:
+    """Player rows (carrying their match's p1_id / p2_id) → one row per match with p1_/p2_
+    columns: the two side joins of the reference as one conditional aggregation."""
+    aggs = []
+    for c in feature_cols:
+        aggs.append(F.max(F.when(F.col("player_id") == F.col("p1_id"), F.col(c))).alias(f"p1_{c}"))
+        aggs.append(F.max(F.when(F.col("player_id") == F.col("p2_id"), F.col(c))).alias(f"p2_{c}"))
+    return keyed_rows.groupBy("match_id").agg(*aggs)
+
+
+def diff_features(features: DataFrame) -> DataFrame:
+    """Side differences (rank, Elo, load) where both sides are present."""
+    pairs = {"rank_diff": ("p1_rank", "p2_rank"), "elo_diff": ("p1_elo", "p2_elo"),
+             "fatigue_diff_7_days": ("p1_matches_last_7_days", "p2_matches_last_7_days"),
+             "fatigue_diff_14_days": ("p1_matches_last_14_days", "p2_matches_last_14_days"),
+             "fatigue_sets_diff_7_days": ("p1_sets_played_last_7_days", "p2_sets_played_last_7_days"),
+             "fatigue_sets_diff_14_days": ("p1_sets_played_last_14_days", "p2_sets_played_last_14_days")}
+    have = set(features.columns)
+    return features.withColumns({k: F.col(a) - F.col(b) for k, (a, b) in pairs.items() if a in have and b in have})

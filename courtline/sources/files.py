@@ -140,3 +140,24 @@ def sink_metrics_json(spark: SparkSession, metrics: dict, path: str) -> None:
 def assert_input(path: str) -> None:
     if not _glob.glob(path) and not os.path.exists(path):
         raise FileNotFoundError(path)
+
+
+def load_match_log(df: DataFrame) -> DataFrame:
+    """Typed match log: date as UTC timestamp, ids coerced; rows missing any of them dropped."""
+    return (df.withColumn("tourney_date", F.col("tourney_date").cast("string").try_cast("timestamp"))
+            .withColumn("winner_historical_id", F.col("winner_historical_id").cast("string").try_cast("bigint"))
+            .withColumn("loser_historical_id", F.col("loser_historical_id").cast("string").try_cast("bigint"))
+            .dropna(subset=["match_id", "tourney_date", "winner_historical_id", "loser_historical_id"]))
+
+
+def load_players_dim(players: DataFrame) -> DataFrame:
+    """Player dimension: bad ids dropped, first row per id (smallest row order) kept."""
+    p = players.withColumn("player_id", F.col("player_id").cast("string").try_cast("bigint")).where(F.col("player_id").isNotNull())
+    cols = [c for c in p.columns if c != "player_id"]
+    return p.groupBy("player_id").agg(F.min_by(F.struct(*cols), F.struct(*cols)).alias("_r")).select("player_id", "_r.*")
+
+
+def load_rankings(rankings: DataFrame) -> DataFrame:
+    """Rankings with a parsed UTC date (no global sort: the as-of join orders per key)."""
+    return rankings.withColumn("ranking_date", F.coalesce(F.col("ranking_date").cast("string").try_cast("timestamp"),
+                                                          parse_yyyymmdd("ranking_date")))

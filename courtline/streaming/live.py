@@ -310,3 +310,24 @@ def subscription_batch(catalogue: DataFrame, state_path: str, limit: int = param
     target_rows.write.mode("overwrite").parquet(state_path + ".next")
     spark.read.parquet(state_path + ".next").write.mode("overwrite").parquet(state_path)
     return diff
+
+
+def stream_market_books(spark: SparkSession, path: str, fmt: str = "json", max_files_per_trigger: int | None = None) -> DataFrame:
+    """Book-update source: files landing in ``path`` with the declared book schema (JSON lines
+    or Parquet); a malformed record yields NULL fields (and so no bet), not a failed batch."""
+    r = spark.readStream.schema(BOOK_SCHEMA).option("mode", "PERMISSIVE")
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.format(fmt).load(path)
+
+
+def stream_eligible(books: DataFrame, p: LiveParams = LiveParams()) -> DataFrame:
+    """Stateless gate of the live path: eligibility then exactly two runners."""
+    return filter_two_runner(filter_market_eligible(books, p))
+
+
+def stream_score(features: DataFrame, model, out: str = "p1_predicted_prob") -> DataFrame:
+    """Fitted pipeline applied to the (streaming) feature rows; p2 = 1 − p1 downstream."""
+    from pyspark.ml.functions import vector_to_array
+    return model.transform(features).withColumn(out, vector_to_array("probability")[1]) \
+        .drop("features", "rawPrediction", "probability", "prediction")

@@ -92,3 +92,11 @@ def test_asof_inclusive_and_default(spark):
                                "player long, ranking_date timestamp, event_id long, rank long")
     got = {r.match_id: r.rank for r in pairs.asof_rank_join(left, rk).collect()}
     assert got == {1: 20, 2: 30, 3: 500, 4: 500}
+
+
+def test_named_joins(spark):
+    from courtline.plans.features import diff_features, join_odds
+    f = spark.createDataFrame([(1, 5, 9, 10, 20)], "match_id long, p1_id long, p2_id long, p1_rank long, p2_rank long")
+    m = spark.createDataFrame([(1, 2.0, 2.0)], "match_id long, p1_odds double, p2_odds double")
+    r = diff_features(join_odds(f, m)).collect()[0]
+    assert (r.rank_diff, r.p1_implied_prob, r.book_margin) == (-10, 0.5, 0.0)
