@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,7 +62,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or named
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss, unlike local checkpoints)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, fmt: str = "checkpoint") -> DataFrame:
+    """Cut the lineage at a step boundary into the shared checkpoint folder (survives
+    executor loss, unlike local checkpoints). Default: reliable ``Dataset.checkpoint``;
+    ``fmt='parquet'`` writes a Parquet table there instead (columnar and compressed — the
+    better choice for wide step tables that are re-read with column pruning; slower for many
+    small ones)."""
+    spark = df.sparkSession
+    base = checkpoint_dir(spark)
+    if fmt == "checkpoint":
+        return df.checkpoint(eager=True)
+    path = os.path.join(base, "tables", uuid.uuid4().hex)
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
