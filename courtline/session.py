@@ -19,11 +19,42 @@ RUNTIME_CONF = {
 }
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``courtline`` importable in the Python workers (the grouped folds and stream
+    state functions are pickled by reference to this package).
+
+    Local mode: the package is zipped once and added with ``addPyFile``. On a cluster the
+    package is expected on the executors already (installed, or ``--py-files`` at submit):
+    nothing is written to a machine-local folder there.
+    """
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    _SHIPPED.add(id(sc))
+    if not sc.master.startswith("local"):
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="courtline-pyfiles-"), "courtline.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, names in os.walk(pkg):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(root, n)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(target)
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the operators rely on (idempotent)."""
+    """Apply the runtime settings the operators rely on (idempotent) and make the package
+    available to the Python workers."""
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
