@@ -264,16 +264,27 @@ def stream_elo(matches: DataFrame, p: EloParams = EloParams()) -> DataFrame:
 # ---------------------------------------------------------------- running a stream to a table
 
 def run_available(spark: SparkSession, df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drain a streaming DataFrame once (``availableNow``) into a memory table and return it
-    as a batch DataFrame. The checkpoint lives in the session's checkpoint folder."""
-    ckpt = os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
-    table = f"{name}_{uuid.uuid4().hex[:8]}"
-    q = (df.writeStream.format("memory").queryName(table).outputMode(mode)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    """Drain a streaming DataFrame once (``availableNow``) into a durable table in the shared
+    checkpoint folder and return it as a batch DataFrame.
+
+    Append mode uses the Parquet file sink (exactly-once through its metadata log); complete
+    / update mode rewrites the whole result table in ``foreachBatch`` (idempotent overwrite).
+    Query checkpoints live next to it, so a restarted run resumes where it stopped."""
+    base = os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
+    out, ckpt = os.path.join(base, "table"), os.path.join(base, "checkpoint")
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", ckpt).trigger(availableNow=True)
+    if mode == "append":
+        q = w.format("parquet").option("path", out).start()
+    else:
+        q = w.foreachBatch(lambda batch, _epoch: batch.write.mode("overwrite").parquet(out)).start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return spark.table(table)
+    from pyspark.errors import AnalysisException
+    try:
+        return spark.read.parquet(out)
+    except AnalysisException:  # no batch produced anything: empty result with the stream's schema
+        return spark.createDataFrame([], df.schema)
 
 
 def decision_log_sink(batch: DataFrame, path: str, keys=("market_id", "selection_id")) -> None:
