@@ -100,3 +100,38 @@ def test_named_joins(spark):
     m = spark.createDataFrame([(1, 2.0, 2.0)], "match_id long, p1_odds double, p2_odds double")
     r = diff_features(join_odds(f, m)).collect()[0]
     assert (r.rank_diff, r.p1_implied_prob, r.book_margin) == (-10, 0.5, 0.0)
+
+
+@pytest.mark.parametrize("bucket", [3600, 86_400])
+def test_bucketed_pairs_and_lookups_equal_plain(spark, bucket):
+    rnd = random.Random(11)
+    base = dt.datetime(2024, 1, 1)
+    # one pair holds a third of all meetings; same-day meetings included
+    m_rows = []
+    for i in range(900):
+        a, b = (1, 2) if i % 3 == 0 else (rnd.randint(3, 12), rnd.randint(13, 20))
+        w, l = (a, b) if rnd.random() < 0.5 else (b, a)
+        m_rows.append((i, base + dt.timedelta(days=rnd.randint(0, 40)), w, l))
+    m = spark.createDataFrame(m_rows, "match_id long, tourney_date timestamp, winner_id long, loser_id long")
+    plain = sorted(tuple(r) for r in pairs.pit_h2h(m, bucket_seconds=None).collect())
+    buck = sorted(tuple(r) for r in pairs.pit_h2h(m, bucket_seconds=bucket).collect())
+    assert plain == buck
+
+    df = _skewed(spark, 1500, seed=5)
+    lp = sorted(tuple(r) for r in pit.lagged_range(df, bucket_seconds=None).collect())
+    lb = sorted(tuple(r) for r in pit.lagged_range(df, bucket_seconds=bucket).collect())
+    assert lp == lb
+
+    right = df.where(F.col("won") == 1).select(F.col("player_id").alias("player"), F.col("ts").alias("ranking_date"),
+                                                  F.col("row_id").alias("event_id"), F.col("sets_played").alias("rank"))
+    left = df.where(F.col("won") == 0).select(F.col("row_id").alias("match_id"), "player_id", F.col("ts").alias("tourney_date"))
+    ap = sorted(tuple(r) for r in pairs.asof_rank_join(left, right, bucket_seconds=None).collect())
+    ab = sorted(tuple(r) for r in pairs.asof_rank_join(left, right, bucket_seconds=bucket).collect())
+    assert ap == ab
+
+    q = df.where(F.col("row_id") % 5 == 0).select(F.col("row_id").alias("qid"), "player_id", "ts")
+    hp = sorted(tuple(r) for r in pit.history_before(q, df, key="player_id", ts="ts", qid="qid", values={"w": F.col("won")},
+                                                        spans={"7": 7 * 86400}, bucket_seconds=None).collect())
+    hb = sorted(tuple(r) for r in pit.history_before(q, df, key="player_id", ts="ts", qid="qid", values={"w": F.col("won")},
+                                                        spans={"7": 7 * 86400}, bucket_seconds=bucket).collect())
+    assert hp == hb
