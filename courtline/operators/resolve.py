@@ -86,46 +86,44 @@ def _grams(col, q: int):
     return F.when(n >= q, numbered).otherwise(F.array().cast("array<string>"))
 
 
-def _prefix_candidates(s: DataFrame, h: DataFrame, rep: str, q: int, delta: float) -> DataFrame:
-    """Pairs (source_id, hname) that can reach ``1 - delta`` similarity on representation
-    ``rep``. A string of length L may be off by τ(L) = ⌊δL/(1−δ)⌋ edits from any partner that
-    passes; two strings within τ edits share a gram among their first qτ+1 grams in one
-    global order (rarest first). Strings too short for that bound meet all strings of
-    their block and length band instead (bounded: only lengths < q + qτ)."""
+def _prefix_candidates(s: DataFrame, h: DataFrame, q: int, delta: float) -> DataFrame:
+    """Pairs (source_id, hname) that can reach ``1 - delta`` similarity on some spelling.
+
+    Both sides carry one row per spelling (``_tag``: raw / token-sorted, text in ``_rep``);
+    everything below is keyed by the tag, so both spellings run in one pass. A string of
+    length L may be off by τ(L) = ⌊δL/(1−δ)⌋ edits from any partner that passes; two strings
+    within τ edits share a gram among their first qτ+1 grams in one global order (rarest
+    first). Strings too short for that bound meet all strings of their block and length
+    band instead (bounded: only lengths < q + qτ)."""
     def tau(c):
         return F.floor(F.length(c) * F.lit(delta / (1.0 - delta)) + F.lit(1e-9)).cast("int")
 
     def explode_grams(df, id_col):
-        return df.select(id_col, "_blk", "_len", "_tau", F.explode(_grams(F.col("_r"), q)).alias("_gram"))
+        return df.select(id_col, "_tag", "_blk", tau(F.col("_rep")).alias("_tau"),
+                         F.explode(_grams(F.col("_rep"), q)).alias("_gram"))
 
-    sg = explode_grams(s.withColumn("_r", F.col(rep)).withColumn("_len", F.length(rep)).withColumn("_tau", tau(F.col(rep))), "source_id")
-    hg = explode_grams(h.withColumn("_r", F.col(rep)).withColumn("_len", F.length(rep)).withColumn("_tau", tau(F.col(rep))), "hname")
-    freq = sg.select("_gram").unionByName(hg.select("_gram")).groupBy("_gram").agg(F.count(F.lit(1)).alias("_f"))
-    # one row per distinct gram, while common grams are hot keys on the exploded side: AQE
-    # measures the aggregated table at runtime and broadcasts it when under the adaptive
-    # threshold, otherwise its skew-join handling splits the hot partitions (no extra job)
+    sg, hg = explode_grams(s, "source_id"), explode_grams(h, "hname")
+    # one row per distinct (spelling, gram), while common grams are hot keys on the exploded
+    # side: AQE measures it at runtime and broadcasts it when under the adaptive threshold,
+    # otherwise its skew-join handling splits the hot partitions (no extra job)
+    freq = (sg.select("_tag", "_gram").unionByName(hg.select("_tag", "_gram"))
+            .groupBy("_tag", "_gram").agg(F.count(F.lit(1)).alias("_f")))
 
     def prefix(g, id_col):
-        ranked = g.join(freq, "_gram")
-        w = Window.partitionBy(id_col).orderBy("_f", "_gram")
+        ranked = g.join(freq, ["_tag", "_gram"])
+        w = Window.partitionBy(id_col, "_tag").orderBy("_f", "_gram")
         return (ranked.withColumn("_r", F.row_number().over(w))
-                .where(F.col("_r") <= q * F.col("_tau") + 1).select(id_col, "_blk", "_gram"))
+                .where(F.col("_r") <= q * F.col("_tau") + 1).select(id_col, "_tag", "_blk", "_gram"))
 
-    sp, hp = prefix(sg, "source_id"), prefix(hg, "hname")
-    by_gram = sp.join(hp, ["_blk", "_gram"]).select("source_id", "hname")
+    by_gram = prefix(sg, "source_id").join(prefix(hg, "hname"), ["_tag", "_blk", "_gram"]).select("source_id", "hname")
 
-    short_len = F.length(rep) - q + 1 < q * tau(F.col(rep)) + 1
-    ss = s.where(short_len).select("source_id", "_blk", F.length(rep).alias("_len"))
-    hs = h.select("hname", "_blk", F.length(rep).alias("_hlen"))
-    by_short = (ss.join(hs, "_blk")
-                .where((F.col("_hlen") >= F.col("_len") * (1 - delta)) & (F.col("_hlen") * (1 - delta) <= F.col("_len")))
-                .select("source_id", "hname"))
-    hs2 = h.where(short_len).select("hname", "_blk", F.length(rep).alias("_hlen"))
-    ss2 = s.select("source_id", "_blk", F.length(rep).alias("_len"))
-    by_short2 = (hs2.join(ss2, "_blk")
-                 .where((F.col("_hlen") >= F.col("_len") * (1 - delta)) & (F.col("_hlen") * (1 - delta) <= F.col("_len")))
-                 .select("source_id", "hname"))
-    return by_gram.unionByName(by_short).unionByName(by_short2)
+    short = F.length("_rep") - q + 1 < q * tau(F.col("_rep")) + 1
+    band = (F.col("_hlen") >= F.col("_len") * (1 - delta)) & (F.col("_hlen") * (1 - delta) <= F.col("_len"))
+    ss = s.select("source_id", "_tag", "_blk", F.length("_rep").alias("_len"), short.alias("_short"))
+    hs = h.select("hname", "_tag", "_blk", F.length("_rep").alias("_hlen"), short.alias("_hshort"))
+    by_short = (ss.where("_short").join(hs, ["_tag", "_blk"]).where(band).select("source_id", "hname")
+                .unionByName(hs.where("_hshort").join(ss, ["_tag", "_blk"]).where(band).select("source_id", "hname")))
+    return by_gram.unionByName(by_short)
 
 
 def fuzzy_scored(src: DataFrame, hist: DataFrame, min_score: float, q: int | None = None) -> DataFrame:
@@ -137,14 +135,14 @@ def fuzzy_scored(src: DataFrame, hist: DataFrame, min_score: float, q: int | Non
         q = 2 if delta <= 0.25 else 1
     s = (src.where(F.length(F.trim("source_name")) > 0)
          .withColumn("_blk", block_key("source_name")).where(F.col("_blk") != "")
-         .withColumn("_ts", token_sorted("source_name")).withColumnRenamed("source_name", "_sn"))
+         .withColumnRenamed("source_name", "_sn"))
     h = (hist.groupBy(F.col("historical_name").alias("hname")).agg(F.min("historical_id").alias("hid"))
-         .withColumn("_blk", block_key("hname")).where(F.col("_blk") != "")
-         .withColumn("_hts", token_sorted("hname")))
-    cand = (_prefix_candidates(s.withColumn("_rep", F.col("_sn")), h.withColumn("_rep", F.col("hname")), "_rep", q, delta)
-            .unionByName(_prefix_candidates(s.withColumn("_rep", F.col("_ts")), h.withColumn("_rep", F.col("_hts")),
-                                            "_rep", q, delta))
-            .distinct())
+         .withColumn("_blk", block_key("hname")).where(F.col("_blk") != ""))
+    spell = lambda c: F.explode(F.array(F.struct(F.lit("raw").alias("_tag"), F.col(c).alias("_rep")),
+                                        F.struct(F.lit("sorted").alias("_tag"), token_sorted(c).alias("_rep"))))
+    s2 = s.select("source_id", "_blk", spell("_sn").alias("_x")).select("source_id", "_blk", "_x.*")
+    h2 = h.select("hname", "_blk", spell("hname").alias("_x")).select("hname", "_blk", "_x.*")
+    cand = _prefix_candidates(s2, h2, q, delta).distinct()
     return (cand.join(s.select("source_id", "_sn"), "source_id").join(h.select("hname", "hid"), "hname")
             .withColumn("_score", name_similarity("_sn", "hname"))
             .where(F.col("_score") >= min_score))
