@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pricing import book_margin, implied_prob
@@ -98,9 +98,13 @@ def canonical_pair(matches: DataFrame, a: str = "winner_id", b: str = "loser_id"
 
 
 def dedup_keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """First row per key by an explicit total order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    """First row per key by an explicit total order (ascending columns).
+
+    A ``min_by`` aggregate, not a per-key window: it combines map-side, so a key holding a
+    large share of the rows is reduced in every task before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    ordering = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), ordering).alias("_first")).select(*keys, "_first.*")
 
 
 def dedup_keep_none(df: DataFrame, keys: list[str]) -> DataFrame:
