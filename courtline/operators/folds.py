@@ -40,9 +40,45 @@ def _check_order(prev, dates, ids):
     return keys[-1]
 
 
+def player_components(edges: DataFrame, *, group: str = "surface", max_iter: int = 50,
+                      checkpoint_every: int = 5) -> DataFrame:
+    """Connected components of the player graph per group, by min-label propagation.
+
+    ``edges``: (group, a, b). Returns (group, player, component) with component = smallest
+    player id reachable. Each round is one join + one aggregate; it stops when no label
+    changes (a count per round — one number to the driver), and the label table is
+    checkpointed every few rounds so the lineage stays short."""
+    from ..session import cut_lineage
+    und = (edges.select(group, F.col("a").alias("u"), F.col("b").alias("v"))
+           .unionByName(edges.select(group, F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
+    und = cut_lineage(und)
+    labels = und.groupBy(group, F.col("u").alias("player")).agg(F.least(F.col("u"), F.min("v")).alias("component"))
+    labels = cut_lineage(labels)
+    cached = []
+    for i in range(max_iter):
+        nb = (und.join(labels.withColumnRenamed("player", "v"), [group, "v"])
+              .groupBy(group, F.col("u").alias("player")).agg(F.min("component").alias("_nc")))
+        new = (labels.join(nb, [group, "player"], "left")
+               .select(group, "player", F.least("component", F.coalesce("_nc", "component")).alias("component")))
+        if (i + 1) % checkpoint_every == 0:
+            new = cut_lineage(new)
+        else:
+            new = new.cache()
+            cached.append(new)
+        old = labels.withColumnRenamed("component", "_old")
+        changed = new.join(old, [group, "player"]).where(F.col("component") != F.col("_old")).limit(1).count()
+        labels = new
+        if changed == 0:
+            break
+    labels = cut_lineage(labels)
+    for c in cached:
+        c.unpersist()
+    return labels
+
+
 def elo_ratings(matches: DataFrame, p: EloParams = EloParams(), *, surface: str = "surface",
                 date: str = "tourney_date", match_id: str = "match_id", winner: str = "winner_id",
-                loser: str = "loser_id") -> DataFrame:
+                loser: str = "loser_id", split_components: bool = False) -> DataFrame:
     """Pre-match Elo ratings per surface, reported as (p1 = smaller id, p2 = larger id).
 
     Rows with a missing id are dropped, duplicate match ids keep their first (earliest) row.
@@ -55,9 +91,17 @@ def elo_ratings(matches: DataFrame, p: EloParams = EloParams(), *, surface: str
                  F.col(winner).cast("long").alias("w"), F.col(loser).cast("long").alias("l")))
     first = (m.groupBy("match_id").agg(F.min_by(F.struct("surface", "d", "w", "l"), F.col("d")).alias("_r"))
              .select("match_id", "_r.*"))
+    group_cols = ["surface"]
+    if split_components:
+        # players of different components never meet, so their ratings evolve independently:
+        # one fold per (surface, component) gives the same numbers with more parallel tasks
+        comps = player_components(first.select("surface", F.col("w").alias("a"), F.col("l").alias("b")))
+        first = first.join(comps.select("surface", F.col("player").alias("w"), F.col("component").alias("_comp")),
+                           ["surface", "w"])
+        group_cols = ["surface", "_comp"]
     prepared = (first.withColumn("_du", F.unix_micros("d"))
-                .repartition("surface").sortWithinPartitions("surface", "_du", "match_id")
-                .select("surface", "_du", "match_id", "w", "l"))
+                .repartition(*group_cols).sortWithinPartitions(*group_cols, "_du", "match_id")
+                .select(*group_cols, "_du", "match_id", "w", "l"))
 
     def fold(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ratings: dict[int, float] = {}
@@ -81,6 +125,10 @@ def elo_ratings(matches: DataFrame, p: EloParams = EloParams(), *, surface: str
             yield pd.DataFrame({"match_id": np.asarray(mid, dtype=np.int64), "surface": key[0],
                                 "p1_id": p1, "p2_id": p2, "p1_elo": e1, "p2_elo": e2})
 
+    if split_components:
+        def fold_component(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            yield from fold((key[0],), batches)
+        return prepared.groupBy("surface", "_comp").applyInPandas(fold_component, ELO_SCHEMA)
     return prepared.groupBy("surface").applyInPandas(fold, ELO_SCHEMA)
 
 

@@ -70,3 +70,22 @@ def test_risk_gate(spark):
                               "account string, bet_id long, ts timestamp, stake double, pnl double")
     got = {r.bet_id: r.decision for r in folds.risk_gate(b, LiveParams()).collect()}
     assert got == {1: "PLACE", 2: "PLACE", 3: "RISK_BLOCKED", 4: "EXPOSED", 5: "PLACE"}
+
+
+def test_elo_component_split_is_exact(spark):
+    from courtline.sources import views
+    from courtline.sources.tables import Tables
+    m = views.matches(Tables(spark, "/root/testdata/sf0.001"))
+    two = spark.createDataFrame(
+        [(1, dt.datetime(2023, 1, 1), "Clay", 1, 2), (2, dt.datetime(2023, 1, 2), "Clay", 3, 4),
+         (3, dt.datetime(2023, 1, 3), "Clay", 2, 1), (4, dt.datetime(2023, 1, 4), "Clay", 4, 3),
+         (5, dt.datetime(2023, 1, 5), "Clay", 2, 5)],
+        "match_id long, tourney_date timestamp, surface string, winner_id long, loser_id long")
+    comps = {r.player: r.component for r in folds.player_components(
+        two.select("surface", F.col("winner_id").alias("a"), F.col("loser_id").alias("b"))).collect()}
+    assert comps == {1: 1, 2: 1, 5: 1, 3: 3, 4: 3}
+    for df in (m, two):
+        key = ["match_id", "p1_id", "p2_id", "p1_elo", "p2_elo"]
+        a = sorted(tuple(r) for r in folds.elo_ratings(df).select(*key).collect())
+        b = sorted(tuple(r) for r in folds.elo_ratings(df, split_components=True).select(*key).collect())
+        assert a == b
