@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from .. import params
 from ..functions.pricing import kelly_live, live_expected_value, selection_key
@@ -235,11 +236,57 @@ ELO_OUT = "match_id long, surface string, p1_id long, p2_id long, p1_elo double,
 ELO_STATE = "ratings string"
 
 
-def stream_elo(matches: DataFrame, p: EloParams = EloParams()) -> DataFrame:
+class EloStateProcessor(StatefulProcessor):
+    """Per-surface Elo with one map-state entry per player: a micro-batch reads the ratings
+    of the players it touches (once each) and writes them back once — state traffic grows
+    with the batch, not with the number of players ever seen."""
+
+    def __init__(self, k: float, f: float, init: float):
+        self.k, self.f, self.init0 = k, f, init
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ratings = handle.getMapState("ratings", "player long", "rating double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["tourney_date", "match_id"], kind="mergesort")
+        local: dict[int, float] = {}
+
+        def rating(pid: int) -> float:
+            if pid not in local:
+                v = self.ratings.getValue((pid,))
+                local[pid] = float(v[0]) if v is not None else self.init0
+            return local[pid]
+        out = []
+        for r in pdf.itertuples(index=False):
+            w, lo = int(r.winner_id), int(r.loser_id)
+            rw, rl = rating(w), rating(lo)
+            p1, p2 = (w, lo) if w < lo else (lo, w)
+            e1, e2 = (rw, rl) if w < lo else (rl, rw)
+            out.append((int(r.match_id), key[0], p1, p2, e1, e2))
+            delta = self.k * (1.0 - 1.0 / (1.0 + 10.0 ** ((rl - rw) / self.f)))
+            local[w], local[lo] = rw + delta, rl - delta
+        for pid, val in local.items():
+            self.ratings.updateValue((pid,), (val,))
+        if out:
+            yield pd.DataFrame(out, columns=["match_id", "surface", "p1_id", "p2_id", "p1_elo", "p2_elo"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_elo(matches: DataFrame, p: EloParams = EloParams(), state: str = "map") -> DataFrame:
     """Incremental Elo per surface: each micro-batch's matches in (date, id) order update the
-    ratings kept in state; pre-match ratings are emitted. The state holds one rating per
-    player of the surface."""
+    ratings kept in state; pre-match ratings are emitted.
+
+    ``state='map'`` (default): ``transformWithStateInPandas`` with one map entry per player
+    (RocksDB state store). ``state='blob'``: ``applyInPandasWithState`` keeping the surface's
+    ratings as one value (simpler, rewrites every rating each batch)."""
     k, f, init = float(p.k_factor), float(p.rating_diff_factor), float(p.initial_rating)
+    if state == "map":
+        m = matches.select("match_id", "surface", "tourney_date", "winner_id", "loser_id")
+        return m.groupBy("surface").transformWithStateInPandas(
+            statefulProcessor=EloStateProcessor(k, f, init), outputStructType=ELO_OUT, outputMode="Append",
+            timeMode="None")
 
     def fn(key: tuple[Any, ...], pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ratings = {int(a): b for a, b in json.loads(state.get[0]).items()} if state.exists else {}

@@ -110,3 +110,15 @@ def test_subscription_batch(spark):
                                  "market_id string, market_time timestamp")
     second = {r.market_id: r.change for r in live.subscription_batch(cat2, state, limit=2).collect()}
     assert second == {"m1": "REMOVED", "m2": "KEPT", "m4": "ADDED"}
+
+
+def test_stream_elo_blob_state_equals_batch(spark):
+    from courtline.sources import views
+    from courtline.sources.tables import Tables
+    m = views.matches(Tables(spark, "/root/testdata/sf0.001"))
+    d = tempfile.mkdtemp(prefix="elo-blob-")
+    m.write.mode("overwrite").parquet(os.path.join(d, "m"))
+    stream = spark.readStream.schema(m.schema).parquet(os.path.join(d, "m"))
+    s = live.run_available(spark, live.stream_elo(stream, state="blob"), "elo_blob")
+    key = ["match_id", "p1_id", "p2_id", "p1_elo", "p2_elo"]
+    assert sorted(tuple(r) for r in s.select(*key).collect()) == sorted(tuple(r) for r in folds.elo_ratings(m).select(*key).collect())
