@@ -24,7 +24,7 @@ def pit_h2h(matches: DataFrame, *, match_id="match_id", ts="tourney_date", winne
     base = matches.select(F.col(match_id).alias("_mid"), F.col(ts).alias("_t"),
                           F.least(winner, loser).alias("p1_id"), F.greatest(winner, loser).alias("p2_id"),
                           F.col(winner).alias("_w"))
-    bucket_seconds = resolve_bucket(base, ["p1_id", "p2_id"], bucket_seconds)
+    bucket_seconds = resolve_bucket(base, ["p1_id", "p2_id"], bucket_seconds, ts="_t")
     if bucket_seconds is None:
         w = Window.partitionBy("p1_id", "p2_id").orderBy(F.unix_micros("_t")).rangeBetween(Window.unboundedPreceding, -1)
         a = (F.col("_w") == F.col("p1_id")).cast("int")

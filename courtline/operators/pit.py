@@ -26,7 +26,7 @@ def _mean_or_zero(s: Column, c: Column) -> Column:
 def pit_expanding_mean(df: DataFrame, keys: list[str], ts: str, row_id: str, value: str, out: str, *,
                        bucket_seconds=AUTO) -> DataFrame:
     """mean(value) over all earlier rows of the key (``pit_win_perc``, ``pit_surface_win_perc``)."""
-    bucket_seconds = resolve_bucket(df, keys, bucket_seconds)
+    bucket_seconds = resolve_bucket(df, keys, bucket_seconds, ts=ts)
     r = running(df, keys, [ts, row_id], [Agg("_pe_s", "sum", F.col(value)), Agg("_pe_c", "count", F.col(value))],
                 bucket_seconds=bucket_seconds)
     return r.withColumn(out, _mean_or_zero(F.col("_pe_s"), F.col("_pe_c"))).drop("_pe_s", "_pe_c")
@@ -46,7 +46,7 @@ def pit_rolling_mean(df: DataFrame, n: int, *, player="player_id", ts="ts", row_
                      out: str | None = None, bucket_seconds=AUTO) -> DataFrame:
     """mean(won) over the last ``n`` earlier rows (``pit_form_10``, ``pit_rolling_20/50``)."""
     out = out or f"rolling_win_perc_{n}"
-    bucket_seconds = resolve_bucket(df, [player], bucket_seconds)
+    bucket_seconds = resolve_bucket(df, [player], bucket_seconds, ts=ts)
     r = rows_before(df, [player], [ts, row_id], won, n, prefix="_rm", bucket_seconds=bucket_seconds)
     return r.withColumn(out, _mean_or_zero(F.col("_rm_sum"), F.col("_rm_cnt"))).drop("_rm_pos", "_rm_sum", "_rm_cnt")
 
@@ -62,7 +62,7 @@ def pit_load(df: DataFrame, *, player="player_id", ts="ts", row_id="row_id", set
     Returns ``row_id, matches_last_<d>_days, sets_played_last_<d>_days``.
     """
     spans = {str(d): d * DAY_SECONDS for d in days}
-    bucket_seconds = resolve_bucket(df, [player], bucket_seconds)
+    bucket_seconds = resolve_bucket(df, [player], bucket_seconds, ts=ts)
     r = counts_in_spans(df, [player], ts, row_id, spans, {"sets": F.col(sets)}, bucket_seconds=bucket_seconds)
     cols = [F.col(row_id)]
     for d in days:
@@ -78,7 +78,7 @@ def lagged_range(df: DataFrame, *, player="player_id", ts="ts", row_id="row_id",
     The lag is an equi-join on (player, position) instead of a per-player window.
     """
     spans = {str(d): d * DAY_SECONDS for d in days}
-    bucket_seconds = resolve_bucket(df, [player], bucket_seconds)
+    bucket_seconds = resolve_bucket(df, [player], bucket_seconds, ts=ts)
     v = counts_in_spans(df, [player], ts, row_id, spans, {"sets": F.col(sets)}, through_row=True,
                         bucket_seconds=bucket_seconds)
     if bucket_seconds is None:
@@ -106,7 +106,7 @@ def lagged_range(df: DataFrame, *, player="player_id", ts="ts", row_id="row_id",
 def running_peak(df: DataFrame, keys: list[str], ts: str, row_id: str, value: str, out: str = "peak", *,
                  bucket_seconds=AUTO) -> DataFrame:
     """Running max of ``value`` including the current row."""
-    bucket_seconds = resolve_bucket(df, keys, bucket_seconds)
+    bucket_seconds = resolve_bucket(df, keys, bucket_seconds, ts=ts)
     return running(df, keys, [ts, row_id], [Agg(out, "max", F.col(value))], include_current=True,
                    bucket_seconds=bucket_seconds)
 

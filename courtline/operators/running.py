@@ -35,19 +35,32 @@ def key_rows_bound(df: DataFrame, keys: list[str]) -> int:
     return int(row["_m"] or 0)
 
 
-def resolve_bucket(df: DataFrame, keys: list[str], bucket_seconds, max_key_rows: int = MAX_KEY_ROWS):
+def resolve_bucket(df: DataFrame, keys: list[str], bucket_seconds, max_key_rows: int = MAX_KEY_ROWS,
+                   ts: str | None = None):
     """Choose the strategy for a per-key ordered pass.
 
     ``None`` (one window partition per key) only when the largest key group is proven to fit
     one task — checked with one cheap aggregate, like a broadcast behind a size check;
-    otherwise the time-bucketed plan that splits hot keys. Streaming input and key-less
-    (global) orders always take the bucketed plan.
+    otherwise the time-bucketed plan that splits hot keys. With ``ts`` given, the same
+    aggregate also measures the hot key's time span and the bucket width is chosen so that
+    a bucket of that key holds about a quarter of ``max_key_rows`` at its average density
+    (between one minute and one day). Streaming input and key-less (global) orders always
+    take the bucketed plan.
     """
     if bucket_seconds != AUTO:
         return bucket_seconds
     if df.isStreaming or not keys:
         return DEFAULT_BUCKET_SECONDS
-    return None if key_rows_bound(df, keys) <= max_key_rows else DEFAULT_BUCKET_SECONDS
+    if ts is None:
+        return None if key_rows_bound(df, keys) <= max_key_rows else DEFAULT_BUCKET_SECONDS
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
+                                    (F.max(F.unix_micros(F.col(ts))) - F.min(F.unix_micros(F.col(ts)))).alias("_span"))
+    top = per_key.orderBy(F.col("_n").desc()).select("_n", "_span").first()
+    if top is None or top["_n"] <= max_key_rows:
+        return None
+    span_s = (top["_span"] or 0) / 1e6
+    width = span_s * (max_key_rows / 4) / top["_n"]
+    return int(min(max(width, 60), DAY_SECONDS))
 
 
 @dataclass(frozen=True)

@@ -44,7 +44,7 @@ def player_features(rows: DataFrame, *, bucket_seconds=AUTO) -> DataFrame:
     (player, position), which reuse the same shuffle.
     """
     base = rows.select("row_id", "match_id", "player_id", "ts", "surface", "won", "sets_played")
-    bucket_seconds = resolve_bucket(base, ["player_id"], bucket_seconds)
+    bucket_seconds = resolve_bucket(base, ["player_id"], bucket_seconds, ts="ts")
     if bucket_seconds is None:  # every player fits one task: ordinary windows, one shuffle
         f = pit.plain_window_features(base, player="player_id", ts="ts", row_id="row_id")
         return f.withColumnRenamed("form_10", "form").drop("ts", "surface", "won", "sets_played")
@@ -82,7 +82,7 @@ def build_match_features(matches: DataFrame, *, elo: DataFrame | None = None,
         matches = cut_lineage(matches)
     m = canonical_pair(matches)
     rows = player_rows(matches)
-    bucket_seconds = resolve_bucket(rows, ["player_id"], bucket_seconds)
+    bucket_seconds = resolve_bucket(rows, ["player_id"], bucket_seconds, ts="ts")
     feats = player_features(rows, bucket_seconds=bucket_seconds)
     keyed = feats.join(m.select("match_id", "p1_id", "p2_id"), "match_id")
     wide = join_side_features(keyed, PLAYER_FEATURES)

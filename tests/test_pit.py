@@ -135,3 +135,14 @@ def test_bucketed_pairs_and_lookups_equal_plain(spark, bucket):
     hb = sorted(tuple(r) for r in pit.history_before(q, df, key="player_id", ts="ts", qid="qid", values={"w": F.col("won")},
                                                         spans={"7": 7 * 86400}, bucket_seconds=bucket).collect())
     assert hp == hb
+
+
+def test_auto_strategy_tunes_bucket_width(spark):
+    from courtline.operators.running import resolve_bucket
+    df = _skewed(spark, 1500, seed=9)
+    assert resolve_bucket(df, ["player_id"], "auto", ts="ts") is None          # every key fits one task
+    w = resolve_bucket(df, ["player_id"], "auto", max_key_rows=20, ts="ts")    # hot key → bucketed, tuned width
+    assert 60 <= w < 86_400
+    plain = {r.row_id: r.win_perc for r in pit.pit_win_perc(df, bucket_seconds=None).collect()}
+    tuned = {r.row_id: r.win_perc for r in pit.pit_win_perc(df, bucket_seconds=w).collect()}
+    assert plain == tuned
