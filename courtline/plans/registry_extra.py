@@ -806,3 +806,100 @@ def q_match_label(spark, d):
     from ..functions.text import match_label
     b = books(spark, d)
     return b.select("market_id", match_label("competition", "event_name").alias("match"))
+
+
+# ---------------------------------------------------------------- live helpers and projections over derived tables
+
+_BOOKS_SQL = """b AS (
+  SELECT CAST(o.o_orderkey AS VARCHAR) AS market_id, o.o_orderdate + INTERVAL 1 HOUR AS market_time, n.n
+  FROM orders o JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) n ON n.l_orderkey = o.o_orderkey)"""
+
+
+@register("filter_two_runner", f"""
+WITH {_BOOKS_SQL}
+SELECT market_id FROM b WHERE n = 2""")
+def q_filter_two_runner(spark, d):
+    from ..streaming.live import filter_two_runner
+    return filter_two_runner(books(spark, d)).select("market_id")
+
+
+@register("topk_markets", f"""
+WITH {_BOOKS_SQL}
+SELECT market_id FROM b WHERE market_time IS NOT NULL ORDER BY market_time, market_id LIMIT 195""")
+def q_topk_markets(spark, d):
+    from ..streaming.live import topk_markets
+    return topk_markets(books(spark, d), params.STREAM_LIMIT).select("market_id")
+
+
+@register("subscription_diff", f"""
+WITH {_BOOKS_SQL},
+t AS (SELECT market_id FROM (SELECT market_id FROM b WHERE market_time IS NOT NULL ORDER BY market_time, market_id LIMIT 195)),
+c AS (SELECT market_id FROM (SELECT market_id FROM b WHERE market_time IS NOT NULL ORDER BY market_time, market_id LIMIT 195 OFFSET 100))
+SELECT coalesce(t.market_id, c.market_id) AS market_id,
+       CASE WHEN c.market_id IS NULL THEN 'ADDED' WHEN t.market_id IS NULL THEN 'REMOVED' ELSE 'KEPT' END AS change
+FROM t FULL OUTER JOIN c ON t.market_id = c.market_id""")
+def q_subscription_diff(spark, d):
+    """Target = the first 195 markets by start; current = the 195 after skipping 100 (a
+    subscription taken one poll earlier on a shifted window)."""
+    from ..streaming.live import subscription_diff, topk_markets
+    b = books(spark, d)
+    target = topk_markets(b, params.STREAM_LIMIT)
+    first295 = topk_markets(b, params.STREAM_LIMIT + 100)
+    current = first295.join(topk_markets(b, 100).select("market_id"), "market_id", "left_anti")
+    return subscription_diff(target, current)
+
+
+@register("stream_stake", """
+SELECT market_id, side, round(1000.0 * least(kelly_fraction * 0.1, 0.05), 6) AS stake,
+       CASE WHEN 1000.0 * least(kelly_fraction * 0.1, 0.05) < 0.03 THEN 'BELOW_MIN' ELSE 'DRY_RUN' END AS decision
+FROM bets""", ("bets",))
+def q_stream_stake(spark, d):
+    from ..streaming.live import stream_stake
+    s = stream_stake(value_bets(spark, d))
+    return s.select("market_id", "side", r6("stake").alias("stake"), "decision")
+
+
+
+
+def _ambiguous_sql():
+    from .catalog import ER_CASCADE_SQL
+    from .oracle_views import with_views
+    return with_views(["source_players", "historical_players"], ER_CASCADE_SQL + """
+SELECT source_id, historical_id, method FROM allm WHERE confidence < 99.5""")
+
+
+def q_filter_ambiguous(spark, d):
+    from ..operators import resolve
+    from .catalog import _er_inputs
+    s, h = _er_inputs(spark, d)
+    return resolve.filter_ambiguous_map(resolve.map_cascade(s, h), 99.5).select("source_id", "historical_id", "method")
+
+
+from .catalog import REGISTRY as _R, Query as _Q  # noqa: E402
+_R["filter_ambiguous_map"] = _Q("filter_ambiguous_map", q_filter_ambiguous, _ambiguous_sql())
+
+
+@register("hand_default", """
+SELECT player_id, coalesce(hand, 'U') AS hand FROM players_dim""", ("players_dim",))
+def q_hand_default(spark, d):
+    from ..functions.text import hand_default
+    return views.players_dim(Tables(spark, d)).select("player_id", hand_default("hand").alias("hand"))
+
+
+@register("project_final", """
+SELECT match_id, tourney_date, tourney_name, surface, CAST(NULL AS VARCHAR) AS score, sets_played FROM matches""",
+          ("matches",))
+def q_project_final(spark, d):
+    from pyspark.sql import types as T
+    from ..operators.reshape import project_final
+    schema = T.StructType([T.StructField("match_id", T.LongType()), T.StructField("tourney_date", T.TimestampType()),
+                           T.StructField("tourney_name", T.StringType()), T.StructField("surface", T.StringType()),
+                           T.StructField("score", T.StringType()), T.StructField("sets_played", T.IntegerType())])
+    return project_final(views.matches(Tables(spark, d)), schema)
+
+
+@register("patch_winner", """
+SELECT doc_id, CAST(coalesce(TRY_CAST(CAST(quality AS VARCHAR) AS DOUBLE), 0.0) AS INTEGER) AS winner FROM labels""")
+def q_patch_winner(spark, d):
+    from ..functions.pricing import patch_winner
+    return Tables(spark, d).labels.select("doc_id", patch_winner("quality").alias("winner"))
