@@ -903,3 +903,49 @@ SELECT doc_id, CAST(coalesce(TRY_CAST(CAST(quality AS VARCHAR) AS DOUBLE), 0.0)
 def q_patch_winner(spark, d):
     from ..functions.pricing import patch_winner
     return Tables(spark, d).labels.select("doc_id", patch_winner("quality").alias("winner"))
+
+
+@register("filter_poll_window", """
+SELECT CAST(o_orderkey AS VARCHAR) AS market_id FROM orders
+WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)
+  AND o_orderdate + INTERVAL 1 HOUR BETWEEN TIMESTAMP '1997-01-01 00:00:00' AND TIMESTAMP '1997-01-01 00:00:00' + INTERVAL 12 HOUR""")
+def q_poll_window(spark, d):
+    from ..streaming.live import filter_poll_window
+    return filter_poll_window(books(spark, d), "1997-01-01 00:00:00", 12).select("market_id")
+
+
+@register("filter_competition_keyword", """
+SELECT CAST(o_orderkey AS VARCHAR) AS market_id FROM orders
+WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) AND o_orderpriority IN ('1-URGENT', '2-HIGH')""")
+def q_competition_keyword(spark, d):
+    """Keywords 'Slam' and 'Masters' (case-sensitive) hit exactly the first two tournament
+    names of the derived books."""
+    from ..streaming.live import filter_competition_keyword
+    return filter_competition_keyword(books(spark, d), ["Slam", "Masters"]).select("market_id")
+
+
+@register("stream_eligible", """
+WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, o_orderstatus, o_orderpriority FROM orders),
+n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1),
+b AS (SELECT o.o_orderkey AS market_id, o.o_orderdate + (o.o_orderkey % 50) * INTERVAL 1 MINUTE AS ts,
+             CASE WHEN o.o_orderstatus = 'O' THEN 'OPEN' WHEN o.o_orderstatus = 'F' THEN 'CLOSED' ELSE 'SUSPENDED' END AS status,
+             o.o_orderkey % 7 = 0 AS inplay, o.o_orderdate + INTERVAL 1 HOUR AS market_time,
+             CASE o.o_orderpriority WHEN '1-URGENT' THEN 'Wimbledon Grand Slam' WHEN '2-HIGH' THEN 'Madrid Masters'
+                  WHEN '3-MEDIUM' THEN 'Challenger Rome (hard)' WHEN '4-NOT SPECIFIED' THEN 'ITF Futures Newport'
+                  WHEN '5-LOW' THEN 'UTR Pro Series Halle' ELSE o.o_orderpriority END AS competition,
+             CASE WHEN o.o_custkey % 4 = 0 THEN c.c_name ELSE c.c_name || ' v ' || c.c_mktsegment END AS event_name, n.n
+      FROM o JOIN customer c ON o.o_custkey = c.c_custkey JOIN n ON n.l_orderkey = o.o_orderkey)
+SELECT CAST(market_id AS VARCHAR) AS market_id FROM b
+WHERE contains(event_name, ' v ') AND status = 'OPEN' AND NOT inplay AND n = 2
+  AND epoch_us(market_time) - epoch_us(ts) > 60000000 AND epoch_us(market_time) - epoch_us(ts) < 3600000000
+  AND competition IN ('Wimbledon Grand Slam', 'Madrid Masters', 'Challenger Rome (hard)', 'ITF Futures Newport')""")
+def q_stream_eligible(spark, d):
+    from ..streaming.live import stream_eligible
+    return stream_eligible(books(spark, d)).select("market_id")
+
+
+@register("coerce_numeric", """
+SELECT event_id, TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events""")
+def q_coerce_numeric(spark, d):
+    e = Tables(spark, d).events.select("event_id", F.regexp_extract("props", "([0-9]+)", 1).alias("k"))
+    return markets.coerce_numeric(e, {"k": "bigint"})
