@@ -9,7 +9,9 @@ from .common import A_TO_Z, a_to_z, read
 from .exact_dedup import exact_groups
 from .line_dedup import line_dedup_report
 from .packing import pack
+from .pii import KINDS, find_spans, spans_text
 from .quality import DEPLETED_PERCENT, LINE_MAX_PERCENT, LINE_MIN_DOCS, quality_rules
+from .toxicity import fit, score
 
 WORD_SPLIT = r"string_split_regex(%s, '[\x20\x09-\x0D]+')"
 LOWER = f"translate(%s, '{A_TO_Z}', '{a_to_z}')"
@@ -92,6 +94,13 @@ def op6_packing(spark, sf_dir):
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_pii(spark, sf_dir):
+    out = find_spans(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    return out.select("doc_id", *[F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+                      F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_groups(read(spark, sf_dir, "documents"))
 
@@ -102,10 +111,17 @@ g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)"""
 
 
+def op10_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return score(docs, fit(docs, read(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, OP1_SQL),
     "op4_bpe_reuse": (op4_bpe_reuse, None),
     "op5_line_dedup": (op5_line_dedup, OP5_SQL),
     "op6_packing": (op6_packing, None),
+    "op8_pii": (op8_pii, None),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
+    "op10_toxicity": (op10_toxicity, None),
 }
