@@ -8,6 +8,7 @@ from .bpe_reuse import encode_documents
 from .common import A_TO_Z, a_to_z, read
 from .exact_dedup import exact_groups
 from .line_dedup import line_dedup_report
+from .near_dedup import near_groups
 from .packing import pack
 from .pii import KINDS, find_spans, spans_text
 from .quality import DEPLETED_PERCENT, LINE_MAX_PERCENT, LINE_MIN_DOCS, quality_rules
@@ -94,6 +95,11 @@ def op6_packing(spark, sf_dir):
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_near_dedup(spark, sf_dir):
+    out = near_groups(read(spark, sf_dir, "documents"), width=3, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_pii(spark, sf_dir):
     out = find_spans(read(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != "term")
@@ -116,12 +122,19 @@ def op10_toxicity(spark, sf_dir):
     return score(docs, fit(docs, read(spark, sf_dir, "labels")))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, OP1_SQL),
     "op4_bpe_reuse": (op4_bpe_reuse, None),
     "op5_line_dedup": (op5_line_dedup, OP5_SQL),
     "op6_packing": (op6_packing, None),
+    "op7_near_dedup": (op7_near_dedup, None),
     "op8_pii": (op8_pii, None),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
     "op10_toxicity": (op10_toxicity, None),
+    "pipeline": (pipeline, None),
 }
