@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .bpe_reuse import encode_documents
 from .common import A_TO_Z, a_to_z, read
 from .exact_dedup import exact_groups
+from .licenses import FILE_PERCENT, TEMPLATES, TERM, THRESHOLD, license_scan
 from .line_dedup import line_dedup_report
 from .near_dedup import near_groups
 from .packing import pack
@@ -60,6 +61,48 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM o"""
 
 
+def op3_license_scan(spark, sf_dir):
+    """The table has no paths: a document's is source/lang/bucket/doc_id, so directories nest."""
+    docs = read(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 50).cast("string"), F.col("doc_id").cast("string"))
+    out = license_scan(docs.select(path.alias("path"), "text"))
+    return out.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "path", "license", "score", "origin", "via")
+
+
+def _op3_sql() -> str:
+    rows = ", ".join(f"({i}, '{name}', '{notice}')" for i, (name, notice) in enumerate(TEMPLATES))
+    found = f"regexp_extract_all({LOWER}, '{TERM}')"
+    return rf"""
+WITH f AS (SELECT concat_ws('/', source, lang, CAST(doc_id // 50 AS VARCHAR), CAST(doc_id AS VARCHAR)) AS path, coalesce(text, '') AS t FROM documents),
+tm(template, license, notice) AS (VALUES {rows}),
+tt AS (SELECT template, license, t, count(*) AS n FROM (SELECT template, license, unnest({found % 'notice'}) AS t FROM tm) GROUP BY ALL),
+total AS (SELECT count(*) AS total FROM f),
+df AS (SELECT t, count(*) AS n FROM (SELECT DISTINCT path, unnest({found % 't'}) AS t FROM f) WHERE t IN (SELECT t FROM tt) GROUP BY t),
+idf AS (SELECT v.t, ln((total + 1.0) / (coalesce(df.n, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT t FROM tt) v LEFT JOIN df USING (t), total),
+w AS (SELECT template, license, tt.t, n * idf / sqrt(sum((n * idf) * (n * idf)) OVER (PARTITION BY template)) AS w FROM tt JOIN idf USING (t)),
+ln AS (SELECT path, i - 1 AS pos, ls[i] AS line FROM (SELECT path, ls, unnest(range(1, len(ls) + 1)) AS i
+       FROM (SELECT path, string_split(t, chr(10)) AS ls FROM f)) WHERE regexp_matches(ls[i], '[^ 	-
+]')),
+lt AS (SELECT path, pos, t, count(*) AS n FROM (SELECT path, pos, unnest({found % 'line'}) AS t FROM ln) GROUP BY ALL),
+lw AS (SELECT path, pos, lt.t, n * coalesce(idf, ln(total + 1.0) + 1) AS x FROM lt LEFT JOIN idf USING (t), total),
+nm AS (SELECT path, pos, sqrt(sum(x * x)) AS norm FROM lw GROUP BY path, pos),
+sc AS (SELECT path, pos, template, license, round(sum(x * w / norm), 6) AS score
+       FROM lw JOIN w USING (t) JOIN nm USING (path, pos) GROUP BY ALL HAVING round(sum(x * w / norm), 6) >= {THRESHOLD}),
+own AS (SELECT path, license, score FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, license) AS r FROM sc) WHERE r = 1),
+lf AS (SELECT path FROM (SELECT path, sum(len({sql_words('line')})) AS hit FROM ln WHERE (path, pos) IN (SELECT path, pos FROM sc) GROUP BY path)
+       JOIN f USING (path) WHERE 100 * hit >= {FILE_PERCENT} * len({sql_words('t')})),
+dl AS (SELECT dir, license, score FROM (SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, license, score,
+       row_number() OVER (PARTITION BY regexp_replace(path, '/?[^/]*$', '') ORDER BY score DESC, license) AS r FROM own JOIN lf USING (path)) WHERE r = 1),
+inh AS (SELECT path, license, score, dir FROM (SELECT f.path, dl.license, dl.score, dl.dir,
+        row_number() OVER (PARTITION BY f.path ORDER BY length(dl.dir) DESC) AS r
+        FROM f JOIN dl ON dl.dir = '' OR starts_with(f.path, dl.dir || '/')) WHERE r = 1)
+SELECT CAST(string_split(f.path, '/')[-1] AS BIGINT) AS doc_id, f.path, coalesce(own.license, inh.license) AS license,
+       coalesce(own.score, inh.score) AS score,
+       CASE WHEN own.path IS NOT NULL THEN 'header' WHEN inh.path IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+       CASE WHEN own.path IS NOT NULL THEN regexp_replace(f.path, '/?[^/]*$', '') ELSE inh.dir END AS via
+FROM f LEFT JOIN own USING (path) LEFT JOIN inh USING (path)"""
+
+
 def op4_bpe_reuse(spark, sf_dir):
     out = encode_documents(read(spark, sf_dir, "documents"))
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -129,6 +172,7 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, OP1_SQL),
+    "op3_license_scan": (op3_license_scan, _op3_sql()),
     "op4_bpe_reuse": (op4_bpe_reuse, None),
     "op5_line_dedup": (op5_line_dedup, OP5_SQL),
     "op6_packing": (op6_packing, None),
