@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .bpe_reuse import encode_documents
 from .common import A_TO_Z, a_to_z, read
 from .exact_dedup import exact_groups
+from . import html_extract
 from .licenses import FILE_PERCENT, TEMPLATES, TERM, THRESHOLD, license_scan
 from .line_dedup import line_dedup_report
 from .near_dedup import near_groups
@@ -61,6 +62,11 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM o"""
 
 
+def op2_html_extraction(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.fit(pages))
+
+
 def op3_license_scan(spark, sf_dir):
     """The table has no paths: a document's is source/lang/bucket/doc_id, so directories nest."""
     docs = read(spark, sf_dir, "documents")
@@ -172,6 +178,7 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, OP1_SQL),
+    "op2_html_extraction": (op2_html_extraction, None),
     "op3_license_scan": (op3_license_scan, _op3_sql()),
     "op4_bpe_reuse": (op4_bpe_reuse, None),
     "op5_line_dedup": (op5_line_dedup, OP5_SQL),
