@@ -16,10 +16,11 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import step_table
+from .common import digest, step_table
 from .tokens import Codec, codec, default_path
 
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 256, 1024, 8192
@@ -125,7 +126,7 @@ def splice(c: Codec, data: bytes, ready: dict[int, bytes]) -> np.ndarray:
     runs: list[tuple[int, int, np.ndarray | None]] = []
     last = 0
     for k, end in enumerate(ends):
-        ids = np.frombuffer(ready[k], dtype="<u4") if k in ready else None
+        ids = np.frombuffer(ready[k], dtype=c.narrow).astype("<u4") if k in ready else None
         if ids is None and runs and runs[-1][2] is None:
             runs[-1] = (runs[-1][0], end, None)
         else:
@@ -164,8 +165,16 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     path = path or default_path()
     kind = dict(docs.dtypes)[doc_id]
     body = F.coalesce(F.col(text), F.lit(""))
-    key = F.md5(F.concat_ws(" ", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.md5(body)))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), key.alias("key"), body.alias("body"))
+    key = F.coalesce(digest(F.concat_ws(" ", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.md5(body))), F.lit(b""))
+    plain = docs.select(F.col(doc_id).alias("doc_id"), key.alias("key"), body.alias("body"))
+
+    @F.pandas_udf("binary")
+    def squeezed(bodies: pd.Series) -> pd.Series:
+        z = zstandard.ZstdCompressor(level=9, write_checksum=False)
+        return bodies.map(lambda x: z.compress(x.encode()))
+
+    rows = plain.select("doc_id", "key", squeezed("body").alias("body"))  # what the exchange carries
+    text_of = lambda raw: zstandard.decompress(raw)
 
     def cut(batches):
         for batch in batches:
@@ -182,11 +191,11 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         for batch in batches:
             out = []
             for body, numbers in zip(batch["body"], batch["own"]):
-                data = body.encode()
+                data = text_of(body)
                 ends = [0, *chunk_ends(data)]
                 for k in numbers:
                     piece = data[ends[k]:ends[k + 1]]
-                    out.append((_hash(piece), c.encode_bytes(piece.decode())))
+                    out.append((_hash(piece), c.encode(piece.decode()).astype(c.narrow).tobytes()))
             yield pd.DataFrame(out, columns=["chunk", "ids"])
 
     def encode_all(batches):
@@ -194,13 +203,13 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         for batch in batches:
             out = []
             for doc, body, got in zip(batch["doc_id"], batch["body"], batch["got"]):
-                ids = splice(c, body.encode(), {} if got is None else {x["k"]: x["ids"] for x in got})
+                ids = splice(c, text_of(body), {} if got is None else {x["k"]: x["ids"] for x in got})
                 out.append((doc, ids.tobytes(), c.decode(ids)))
             out = pd.DataFrame(out, columns=["doc_id", "ids", "decoded"])
             out["doc_id"] = out["doc_id"].astype("Int64") if kind in ("bigint", "int") else out["doc_id"]
             yield out
 
-    pieces = step_table(rows.select("key", "body").mapInPandas(cut, "key string, k int, chunk binary"))
+    pieces = step_table(plain.select("key", "body").mapInPandas(cut, "key binary, k int, chunk binary"))
     shared = pieces.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "k")).alias("first")).where("n > 1")
     own = shared.select("first.key", "first.k").groupBy("key").agg(F.collect_set("k").alias("own"))
     ready = rows.join(own, "key").mapInPandas(encode_owned, "chunk binary, ids binary").dropDuplicates(["chunk"])

@@ -36,6 +36,7 @@ class Codec:
         for token, i in self.added.items():
             self.bytes_of[i] = token.encode()
         ranks = {token: i for token, i in ranks.items() if token.decode("utf-8", "replace") not in self.added}
+        self.narrow = "<u2" if len(self.bytes_of) <= 1 << 16 else "<u4"
         self.length_of = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
         self._encode = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
