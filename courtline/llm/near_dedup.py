@@ -10,8 +10,8 @@ pairs, and every link is confirmed on the full shingle sets.
 Documents with the same set are one class from the start. In a bucket each class is first paired with
 one centre (the class that meets most others); what these links leave apart is then compared across
 the parts of each bucket, so a large group of copies costs about as many pairs as it has members and
-no link between different sets is lost. With 40 bands of 6 registers a pair at similarity 0.85 is
-missed with probability 6e-9.
+no link between different sets is lost. With 60 bands of 10 registers (7 at 0.8) a pair at similarity
+0.85 is missed with probability 2e-6, and pairs far below rarely meet.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, let, step_table, words
 
-BANDS, ROWS = 40, 6
-REGISTERS = BANDS * ROWS
+BANDS, MISSED = 60, 5e-6  # rows per band: as many as keep the chance to miss a link at the threshold below MISSED
+REGISTERS = 600
+ESTIMATED = 240       # registers kept for the estimate
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 1
 SLACK = 0.12          # an estimate this far below the threshold (5 standard errors) drops a pair
 _RANDOM = np.random.default_rng(7)
@@ -36,7 +37,11 @@ _POWER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _FACTOR = _RANDOM.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSET = _RANDOM.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
-_BAND = _RANDOM.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND = _RANDOM.integers(0, 1 << 63, (BANDS, REGISTERS // BANDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def rows_per_band(percent: int) -> int:
+    return max(r for r in range(1, REGISTERS // BANDS + 1) if r == 1 or (1 - (percent / 100) ** r) ** BANDS <= MISSED)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -106,8 +111,10 @@ def shingle_set(text: Column, width: int) -> Column:
     return let(words(ascii_lower(F.coalesce(text, F.lit("")))), hashes)
 
 
-def sketches(rows: DataFrame, width: int) -> DataFrame:
+def sketches(rows: DataFrame, width: int, percent: int) -> DataFrame:
     """Step table: id, key, n, cls (hash of the set; null if empty), bands, regs."""
+    per_band = rows_per_band(percent)
+
     def sketch(batches):
         for batch in batches:
             out = []
@@ -117,8 +124,8 @@ def sketches(rows: DataFrame, width: int) -> DataFrame:
                     out.append((key, 0, None, None, None))
                     continue
                 r = registers(h)
-                bands = _mixed((_BAND * (r.reshape(BANDS, ROWS).astype(np.uint64) + np.uint64(1))).sum(axis=1) + np.arange(BANDS, dtype=np.uint64))
-                out.append((key, len(h), hashlib.md5(h.tobytes()).digest(), bands.view(np.int64), r.tobytes()))
+                bands = _mixed((_BAND[:, :per_band] * (r.reshape(BANDS, -1)[:, :per_band].astype(np.uint64) + np.uint64(1))).sum(axis=1) + np.arange(BANDS, dtype=np.uint64))
+                out.append((key, len(h), hashlib.md5(h.tobytes()).digest(), bands.view(np.int64), r[:ESTIMATED].tobytes()))
             yield pd.DataFrame(out, columns=["key", "n", "cls", "bands", "regs"])
     return step_table(rows.select("key", "body").mapInPandas(sketch, "key string, n long, cls binary, bands array<long>, regs binary"))
 
@@ -156,7 +163,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     body = F.coalesce(F.col(text), F.lit(""))
     key = F.md5(F.concat_ws(" ", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.md5(body)))
     rows = docs.select(F.col(doc_id).alias("id"), key.alias("key"), body.alias("body"))
-    drawn = sketches(rows, width)
+    drawn = sketches(rows, width, percent)
     ids = rows.select("id", "key").dropDuplicates(["key"])
     linked = drawn.where("cls is not null")
     classes = linked.groupBy("cls").agg(F.min("key").alias("key"))
