@@ -14,11 +14,14 @@ def _c(c) -> Column:
 
 def implied_prob(odds) -> Column:
     """1 / odds; 0 when the price is missing or not positive (never ∞)."""
-    return F.coalesce(F.when(_c(odds) > 0, F.lit(1.0) / _c(odds)), F.lit(0.0))
+    price = F.nanvl(_c(odds).cast("double"), F.lit(None).cast("double"))
+    return F.coalesce(F.when(price > 0, F.lit(1.0) / price), F.lit(0.0))
 
 
 def book_margin(p1_prob, p2_prob) -> Column:
-    return _c(p1_prob) + _c(p2_prob) - F.lit(1.0)
+    """Sum of both probabilities less one; 0 when either price is missing."""
+    both = (_c(p1_prob) > 0) & (_c(p2_prob) > 0)
+    return F.when(both, _c(p1_prob) + _c(p2_prob) - F.lit(1.0)).otherwise(F.lit(0.0))
 
 
 def elo_prob(rating, opponent, factor: float = params.ELO_RATING_DIFF_FACTOR) -> Column:

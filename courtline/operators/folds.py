@@ -17,6 +17,7 @@ Catalyst, no Python, no single-task group.
 from collections.abc import Iterator
 from typing import Any
 
+from itertools import count
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,13 +41,13 @@ def _check_order(prev, dates, ids):
     return keys[-1]
 
 
-def player_components(edges: DataFrame, *, group: str = "surface", max_iter: int = 50,
+def player_components(edges: DataFrame, *, group: str = "surface", max_iter: int | None = None,
                       checkpoint_every: int = 5) -> DataFrame:
     """Connected components of the player graph per group, by min-label propagation.
 
     ``edges``: (group, a, b). Returns (group, player, component) with component = smallest
     player id reachable. Each round is one join + one aggregate; it stops when no label
-    changes (a count per round — one number to the driver), and the label table is
+    changes, and raises if ``max_iter`` rounds were not enough (a count per round — one number to the driver), and the label table is
     checkpointed every few rounds so the lineage stays short."""
     from ..session import cut_lineage
     und = (edges.select(group, F.col("a").alias("u"), F.col("b").alias("v"))
@@ -55,7 +56,9 @@ def player_components(edges: DataFrame, *, group: str = "surface", max_iter: int
     labels = und.groupBy(group, F.col("u").alias("player")).agg(F.least(F.col("u"), F.min("v")).alias("component"))
     labels = cut_lineage(labels)
     cached = []
-    for i in range(max_iter):
+    for i in count():
+        if max_iter is not None and i >= max_iter:
+            raise RuntimeError(f"labels still change after {max_iter} rounds")
         nb = (und.join(labels.withColumnRenamed("player", "v"), [group, "v"])
               .groupBy(group, F.col("u").alias("player")).agg(F.min("component").alias("_nc")))
         new = (labels.join(nb, [group, "player"], "left")

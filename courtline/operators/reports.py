@@ -41,6 +41,8 @@ def backtest(markets: DataFrame, *, ev_threshold: float = params.EV_THRESHOLD,
     elif mode != "realistic":
         raise ValueError(f"Invalid mode '{mode}'. Choose 'simulation' or 'realistic'.")
     m = markets.withColumnRenamed("match_id", "market_id")
+    for price in ("p1_odds", "p2_odds"):  # NaN is a missing price; left as it is, it would pass every filter
+        m = m.withColumn(price, F.nanvl(F.col(price).cast("double"), F.lit(None).cast("double")))
     bets = price_bets(unpivot_bets(m, base=BET_BASE, p1_prob=p1_prob))
     value = bets.where((F.col("expected_value") > ev_threshold) & (F.col("predicted_prob") > confidence_threshold))
     return value.withColumns({"pnl": flat_pnl("odds", "winner", commission),
@@ -66,10 +68,7 @@ def summary_by_category(bets: DataFrame, min_bets: int = 1) -> DataFrame:
               F.avg("odds").alias("avg_odds"), F.sum("pnl").alias("total_pnl")))
     g = g.withColumns({"win_rate": F.col("total_wins") / F.col("total_bets") * 100,
                        "roi": F.col("total_pnl") / F.col("total_bets") * 100})
-    # at most |categories| × |surfaces| groups (fixed lists): sorting them in one partition
-    # gives the global order without a range-partitioning sample job over the whole input
-    return g.where(F.col("total_bets") >= min_bets).coalesce(1).sortWithinPartitions(
-        F.col("roi").desc(), "tourney_category", "surface")
+    return g.where(F.col("total_bets") >= min_bets).orderBy(F.col("roi").desc(), "tourney_category", "surface")
 
 
 def kpi_overall(bets: DataFrame) -> DataFrame:

@@ -150,7 +150,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], aggs: list[Agg], *
     ww = Window.partitionBy(*keys, "_bk").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, hi)
     within = base.withColumns({f"_i_{a.name}": _window_agg(a.kind, F.col(f"_v_{a.name}")).over(ww) for a in aggs})
     cond = reduce(lambda x, y: x & y, [within[k].eqNullSafe(offsets[f"_ok_{k}"]) for k in keys],
-                  within["_bk"] == offsets["_obk"])
+                  within["_bk"].eqNullSafe(offsets["_obk"]))  # rows without a time form a bucket
     joined = within.join(offsets, cond, "inner")
     out = joined.withColumns({a.name: _combine(a.kind, F.col(f"_o_{a.name}"), F.col(f"_i_{a.name}")) for a in aggs})
     drop = list(vals.keys()) + ["_bk", "_obk"] + [f"_ok_{k}" for k in keys] \

@@ -94,7 +94,7 @@ md AS (
 @register("first_last_runner", FIRST_LAST_SQL + """
 SELECT match_id, p1_id, p2_id, round(p1_odds, 6) AS p1_odds, round(p2_odds, 6) AS p2_odds, winner,
        round(p1_implied_prob, 6) AS p1_implied_prob, round(p2_implied_prob, 6) AS p2_implied_prob,
-       round(p1_implied_prob + p2_implied_prob - 1.0, 6) AS book_margin FROM md""", ("runners",))
+       round(CASE WHEN p1_implied_prob > 0 AND p2_implied_prob > 0 THEN p1_implied_prob + p2_implied_prob - 1.0 ELSE 0.0 END, 6) AS book_margin FROM md""", ("runners",))
 def q_first_last_runner(spark, d):
     md = markets.first_last_runner(views.runners(Tables(spark, d)), RUNNER_ORDER)
     return md.select("match_id", "p1_id", "p2_id", r6("p1_odds").alias("p1_odds"), r6("p2_odds").alias("p2_odds"),
@@ -531,7 +531,7 @@ x AS (SELECT c.match_id, c.p1_id, c.p2_id, c.winner, c.p1_odds, c.p2_odds, c.h2h
 SELECT match_id, p1_id, p2_id, winner, round(p1_odds, 6) AS p1_odds, round(p2_odds, 6) AS p2_odds,
        CAST(h2h_p1_wins AS BIGINT) AS h2h_p1_wins, CAST(h2h_p2_wins AS BIGINT) AS h2h_p2_wins,
        {', '.join(f'{s}_{n}' for n in feats for s in ('p1', 'p2'))},
-       round(CASE WHEN p1_odds > 0 THEN 1.0 / p1_odds ELSE 0.0 END + CASE WHEN p2_odds > 0 THEN 1.0 / p2_odds ELSE 0.0 END - 1.0, 6) AS book_margin,
+       round(CASE WHEN p1_odds > 0 AND p2_odds > 0 THEN 1.0 / p1_odds + 1.0 / p2_odds - 1.0 ELSE 0.0 END, 6) AS book_margin,
        p1_matches_last_7_days - p2_matches_last_7_days AS fatigue_diff_7_days,
        p1_matches_last_14_days - p2_matches_last_14_days AS fatigue_diff_14_days,
        p1_sets_played_last_7_days - p2_sets_played_last_7_days AS fatigue_sets_diff_7_days,

@@ -24,12 +24,12 @@ def dedup_history_lookup(history: DataFrame, order: list[str] | None = None) ->
 
 
 def join_history_lookup(matches: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Left join on (calendar date, smaller id, larger id); the history name wins when present."""
+    """Left join on (calendar date, smaller id, larger id); the history only fills a missing name."""
     m = matches.withColumns({"_d": F.to_date("tourney_date"),
                              "_p1": F.least("winner_historical_id", "loser_historical_id"),
                              "_p2": F.greatest("winner_historical_id", "loser_historical_id")})
     j = m.join(lookup, (m._d == lookup.d) & (m._p1 == lookup.p1_id) & (m._p2 == lookup.p2_id), "left")
-    return j.withColumn("tourney_name", F.coalesce("h_tourney_name", "tourney_name")) \
+    return j.withColumn("tourney_name", F.coalesce("tourney_name", "h_tourney_name")) \
             .withColumn("score", F.col("h_score")) \
             .drop("_d", "_p1", "_p2", "d", "p1_id", "p2_id", "h_tourney_name", "h_score")
 

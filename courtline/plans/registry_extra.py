@@ -556,7 +556,7 @@ wl AS (SELECT market_id AS match_id, max(tourney_date) AS tourney_date, max(tour
        HAVING count(*) = 2 AND sum(CASE WHEN result = 'WINNER' THEN 1 ELSE 0 END) = 1
           AND sum(CASE WHEN result = 'LOSER' THEN 1 ELSE 0 END) = 1),
 {_HIST_SQL},
-ml AS (SELECT wl.match_id, wl.w, wl.l, coalesce(hist.tourney_name, wl.tourney_name) AS tourney_name, hist.score
+ml AS (SELECT wl.match_id, wl.w, wl.l, coalesce(wl.tourney_name, hist.tourney_name) AS tourney_name, hist.score
        FROM wl LEFT JOIN hist ON CAST(wl.tourney_date AS DATE) = hist.d AND least(wl.w, wl.l) = hist.p1
                               AND greatest(wl.w, wl.l) = hist.p2)
 SELECT match_id, w AS winner_historical_id, l AS loser_historical_id, tourney_name, {_surface_sql('tourney_name')} AS surface,

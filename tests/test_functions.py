@@ -97,3 +97,23 @@ def test_name_similarity(spark):
                                "a string, b string")
     got = [r.s for r in df.select(T.name_similarity("a", "b").alias("s")).collect()]
     assert got[0] == 100.0 and round(got[1], 4) == round(100 * (1 - 1 / 13), 4) and got[2] == 0.0
+
+
+def test_book_margin_without_a_price(spark):
+    from pyspark.sql import functions as F
+    from courtline.functions.pricing import book_margin, implied_prob
+    rows = spark.createDataFrame([(2.0, 1.8), (2.0, None), (None, None), (float("nan"), 1.8)], "a double, b double")
+    got = [r[0] for r in rows.select(F.round(book_margin(implied_prob("a"), implied_prob("b")), 6)).collect()]
+    assert got == [0.055556, 0.0, 0.0, 0.0]
+
+
+def test_history_fills_missing_names_only(spark):
+    import datetime
+    from courtline.plans.matchlog import join_history_lookup
+    t, d = datetime.datetime(2024, 1, 2, 10), datetime.date(2024, 1, 2)
+    matches = spark.createDataFrame([(t, 1, 2, "Market name"), (t, 3, 4, None)],
+                                    "tourney_date timestamp, winner_historical_id long, loser_historical_id long, tourney_name string")
+    lookup = spark.createDataFrame([(d, 1, 2, "History name", "6-1"), (d, 3, 4, "History name", "6-2")],
+                                   "d date, p1_id long, p2_id long, h_tourney_name string, h_score string")
+    got = {r.winner_historical_id: r.tourney_name for r in join_history_lookup(matches, lookup).collect()}
+    assert got == {1: "Market name", 3: "History name"}
