@@ -8,9 +8,10 @@ that are equal, larger and smaller give a joint maximum-likelihood estimate that
 pairs, and every link is confirmed on the full shingle sets.
 
 Documents with the same set are one class from the start. In a bucket each class is first paired with
-one centre (the class that meets most others); what these links leave apart is then compared across
-the parts of each bucket, so a large group of copies costs about as many pairs as it has members and
-no link between different sets is lost. With 60 bands of 10 registers (7 at 0.8) a pair at similarity
+one centre (the class that meets most others). Where these links leave parts, members are paired
+only if their differences from the centre share enough items (see ``_differing``: any other pair
+is provably not linked), so a large group of copies costs far less than its pairs and no link
+between different sets is lost. With 60 bands of 10 registers (7 at 0.8) a pair at similarity
 0.85 is missed with probability 2e-6, and pairs far below rarely meet.
 """
 
@@ -182,13 +183,17 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     links = step_table(_confirmed(tried, nodes, rows, width, percent))
     parts = components(links)
 
-    labelled = placed.select("band", "cls", "n").join(parts, F.col("cls") == F.col("node"), "left").select(
-        "band", "cls", "n", F.coalesce("root", "cls").alias("part"))
-    open_bands = labelled.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("band")
-    labelled = labelled.join(open_bands, "band")
-    x = labelled.select("band", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    y = labelled.select("band", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-    rest = x.join(y, "band").where((F.col("pa") != F.col("pb")) & (F.col("a") < F.col("b")) & near).select("a", "b", "na", "nb").distinct()
+    labelled = placed.join(parts, F.col("cls") == F.col("node"), "left").select("band", "cls", "n", "degree", F.coalesce("root", "cls").alias("part"))
+    open_bands = labelled.groupBy("band").agg(
+        F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("size"),
+        F.max(F.struct("degree", "cls", "n", "part")).alias("c")).where("p != q").select("band", "c", "size")
+    centred = labelled.join(open_bands, "band").where(F.col("c.cls") != F.col("cls")).groupBy(F.col("c.cls").alias("a"), F.col("cls").alias("b")).agg(
+        F.first("c.n").alias("na"), F.first("n").alias("nb"), F.first("c.part").alias("pa"), F.first("part").alias("pb"), F.max("size").alias("size"))
+    centred = step_table(centred)
+    rest = centred.where((F.col("pa") != F.col("pb")) & near).select("a", "b", "na", "nb").unionByName(
+        _differing(centred.where("size > 2"), nodes, rows, width, percent))
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
+                       F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = step_table(_likely(rest.join(done, ["a", "b"], "left_anti"), nodes, percent))
     parts = components(links.unionByName(_confirmed(rest, nodes, rows, width, percent)))
@@ -221,22 +226,54 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.where(similarity("ra", "rb", "na", "nb") >= least).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that hold on the full shingle sets. Only texts that stand in a pair are read
-    into sets; each pair moves the set of b to that of a."""
+def _paired_sets(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """(a, b, set_a, set) of the pairs. Only texts that stand in a pair are read into sets; each pair
+    moves the set of b to that of a."""
     named = nodes.select("cls", "key")
     wanted = pairs.select("a", "b").unionByName(pairs.select("a", F.col("a").alias("b")).distinct())
     wanted = wanted.join(named, wanted["b"] == named["cls"]).select("a", "b", "key")
     texts = rows.select("key", "body").join(wanted.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
     sets = texts.select("key", shingle_set(F.col("body"), width).alias("set"))
     held = step_table(wanted.join(sets, "key").select("a", "b", "set"))
-    own = held.where("a = b").select("a", F.col("set").alias("set_a"))
-    both = held.where("a != b").join(own, "a")
+    return held.where("a != b").join(held.where("a = b").select("a", F.col("set").alias("set_a")), "a")
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that hold on the full shingle sets."""
     shared = F.size(F.array_intersect("set", "set_a"))
-    return both.select("a", "b", shared.alias("s"), (F.size("set") + F.size("set_a") - shared).alias("u")).where(
+    return _paired_sets(pairs, nodes, rows, width).select(
+        "a", "b", shared.alias("s"), (F.size("set") + F.size("set_a") - shared).alias("u")).where(
         100 * F.col("s") >= percent * F.col("u")).select("a", "b")
 
 
+def _differing(centred: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of members of different parts of one centre's buckets that can be linked.
+
+    ``centred`` gives centre a and member b. Let D be the symmetric difference of a member's set and
+    the centre's. A pair x, y is linked if and only if 100 + percent times |x ^ y| is at most 100 -
+    percent times |x| + |y|, and |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|. Were Dx and Dy disjoint, both x
+    and y would be linked to the centre, so one part; hence every pair wanted here shares
+    ``excess(x) + excess(y)`` over ``2 (100 + percent)`` items of D, and one at least. Items stand in
+    one order for all members of a centre (added ones first, as few members share them), so
+    only a prefix of D is joined, and a shared item counts only if enough items follow it on both sides.
+    """
+    up, down = 100 + percent, 100 - percent
+    sets = _paired_sets(centred, nodes, rows, width).join(centred.select("a", "b", "pb"), ["a", "b"])
+    items = F.concat(F.sort_array(F.array_except("set", "set_a")), F.sort_array(F.array_except("set_a", "set")))
+    sets = sets.select(F.col("a").alias("centre"), F.col("b").alias("cls"), F.col("pb").alias("part"), F.size("set").cast("long").alias("n"), items.alias("items"))
+    excess = up * F.size("items") - down * F.col("n")
+    least = F.greatest(F.lit(1), F.ceil((excess - down * F.col("n") * 100 / percent) / up - 1e-6))
+    sets = sets.select("centre", "cls", "part", "n", excess.alias("excess"), F.size("items").alias("size"), F.posexplode(
+        F.slice("items", F.lit(1), F.greatest(F.lit(0), F.size("items") - least + 1).cast("int"))).alias("at", "item"))
+    sets = step_table(sets.select("centre", "item", "cls", "part", "n", "excess", (F.col("size") - F.col("at")).alias("left")))
+    x, y = (sets.select("centre", "item", *[F.col(c).alias(c + side) for c in ("cls", "part", "n", "excess", "left")]) for side in "xy")
+    fits = (F.col("clsx") < F.col("clsy")) & (F.col("partx") != F.col("party")) & (
+        F.col("excessx") + F.col("excessy") <= 2 * up * F.least("leftx", "lefty")) & (
+        100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    return x.join(y, ["centre", "item"]).where(fits).select(
+        F.col("clsx").alias("a"), F.col("clsy").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb")).distinct()
+
+
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the rows that are not kept; all columns as they are."""
     body = F.coalesce(F.col(text), F.lit(""))

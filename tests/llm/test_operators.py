@@ -228,6 +228,35 @@ def sets(t, width):
     return frozenset(tuple(w[i:i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
 
 
+def test_near_groups_of_edited_copies(spark):
+    """Copies of one text around the threshold: links that do not run through a bucket's centre are found too."""
+    rng, texts = random.Random(11), []
+    base = random.Random(12).choices(VOCAB, k=160)
+    for i in range(90):
+        version, own = list(base), random.Random(i % 9)
+        for _ in range(i % 9):                                           # edits of a family of copies
+            version[own.randrange(160)] = f"family{own.randrange(40)}"
+        for _ in range(i % 4):                                           # and its own edits
+            version[rng.randrange(160)] = f"own{rng.randrange(40)}"
+        texts.append((i, " ".join(version)))
+    sets = {i: {tuple(t.split()[k:k + 3]) for k in range(158)} for i, t in texts}
+    root = {i: i for i in sets}
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    for percent in (85, 92):
+        root.update((i, i) for i in sets)
+        for a in sets:
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    x, y = sorted((top(a), top(b)))
+                    root[y] = x
+        got = near_dedup.near_groups(spark.createDataFrame(texts, "doc_id long, text string"), width=3, percent=percent).collect()
+        assert {r.doc_id: r.component_id for r in got} == {i: top(i) for i in sets}
+        assert len({top(i) for i in sets}) > 1
+
+
 def test_near_groups(spark, docs, empty):
     extra = []
     for k in range(60):  # a centre and copies, many of them not linked with each other
