@@ -36,8 +36,8 @@ _BYTE = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64)
 _BYTE[ord("A"):ord("Z") + 1] = _BYTE[ord("a"):ord("z") + 1]
 _POWER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_FACTOR = _RANDOM.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_OFFSET = _RANDOM.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
+_FACTOR = _RANDOM.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_OFFSET = _RANDOM.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
 _BAND = _RANDOM.integers(0, 1 << 63, (BANDS, REGISTERS // BANDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -79,11 +79,13 @@ def shingle_hashes(data: bytes, width: int) -> np.ndarray:
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
-    """SetSketch registers of a non-empty set."""
-    least = np.full(REGISTERS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 512):
-        least = np.minimum(least, (hashes[at:at + 512, None] * _FACTOR + _OFFSET).min(axis=0))
-    x = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0 ** 64) / RATE
+    """SetSketch registers of a non-empty set, drawn from the upper half of each hash: 32 bits resolve
+    sets of up to some 4 million shingles; beyond, equal registers only become more frequent."""
+    upper = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(REGISTERS, np.iinfo(np.uint32).max, dtype=np.uint32)
+    for at in range(0, len(upper), 512):
+        least = np.minimum(least, (upper[at:at + 512, None] * _FACTOR + _OFFSET).min(axis=0))
+    x = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0 ** 32) / RATE
     return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, LIMIT).astype("<u2")
 
 
