@@ -200,10 +200,14 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     rest = step_table(_likely(rest.join(done, ["a", "b"], "left_anti"), nodes, percent))
     parts = components(links.unionByName(_confirmed(rest, nodes, rows, width, percent)))
 
-    whole = linked.select("key", "cls").dropDuplicates(["key"]).join(parts, F.col("cls") == F.col("node"), "left")
-    member = ids.join(whole.select("key", F.coalesce("root", "cls").alias("root")), "key")
-    smallest = member.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = member.join(smallest, "root").select("key", "component_id")
+    # One class or component may hold a third of all rows: ids shrink to one per class before they
+    # meet, and rows read theirs from a written table, so that a skewed join can be split.
+    member = linked.select("key", "cls").dropDuplicates(["key"]).join(ids, "key")
+    least = member.groupBy("cls").agg(F.min("id").alias("id")).join(parts, F.col("cls") == F.col("node"), "left")
+    rooted = step_table(least.select("cls", F.coalesce("root", "cls").alias("root"), "id"))
+    smallest = step_table(rooted.groupBy("root").agg(F.min("id").alias("component_id")))
+    named = step_table(rooted.join(smallest, "root").select("cls", "component_id"))
+    named = member.join(named, "cls").select("key", "component_id")
     out = rows.select("id", "key").join(drawn.select("key", "n").dropDuplicates(["key"]), "key").join(named, "key", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias("doc_id"), "key", F.col("n").alias("n_shingles"), component.alias("component_id"),
