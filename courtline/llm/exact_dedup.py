@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, digest
+from .common import ascii_lower, digest, step_table
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str = "largest",
@@ -34,6 +34,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
         F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     groups = groups.select("hash", "sha", "keep_id", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(
         F.raise_error(F.lit("two texts share MD5 and SHA-256")).cast("long")).alias("group_size"))
+    groups = step_table(groups)  # read from a table, a join with a large group can be split
     kept: Column = F.col("id").eqNullSafe(F.col("keep_id"))
     return rows.select("id", "hash", "sha").join(groups, ["hash", "sha"]).select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
