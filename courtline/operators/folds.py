@@ -14,10 +14,12 @@ Catalyst, no Python, no single-task group.
 """
 
 # no postponed annotations here: the grouped folds are recognised by their runtime type hints
+import math
 from collections.abc import Iterator
+from functools import reduce
+from itertools import count
 from typing import Any
 
-from itertools import count
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -148,43 +150,37 @@ def bankroll_sim(bets: DataFrame, p: SimParams = SimParams(), *, scenario: str =
     without a date are dropped. Scale comes from the number of scenarios (a grid of
     strategies × fractions × caps × segments), each one a streamed fold with O(1) state.
     """
-    strategy, unit, frac = p.strategy, float(p.stake_unit), float(p.kelly_fraction)
-    cap, kcap, pcap, b0 = float(p.max_stake_cap), float(p.max_kelly_stake_fraction), float(p.max_profit_per_bet), float(p.initial_bankroll)
-    prepared = (bets.where(F.col(date).isNotNull())
-                .select(F.col(scenario).cast("string").alias("scenario"), F.unix_micros(date).alias("_du"),
-                        F.col(bet_id).alias("bet_id"), F.col("odds").cast("double").alias("odds"),
-                        F.coalesce(F.col("winner").cast("int"), F.lit(0)).alias("winner"),
-                        F.col("kelly_fraction").cast("double").alias("kelly_fraction"))
+    share = stake_fraction(p)
+    if p.strategy == "flat":
+        share, fixed = F.lit(min(float(p.max_stake_cap), 1.0)), F.lit(float(p.stake_unit))
+    elif share is not None:
+        fixed = F.lit(math.inf)
+    else:
+        share, fixed = F.lit(0.0), F.lit(0.0)
+    needed = ["odds", "kelly_fraction"] if p.strategy == "kelly" else ["odds"]
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in needed])
+    zero = F.lit(0.0)
+    typed = bets.where(F.col(date).isNotNull()).select(
+        F.col(scenario).cast("string").alias("scenario"), F.unix_micros(date).alias("_du"), F.col(bet_id).alias("bet_id"),
+        F.col("winner").cast("int").alias("winner"), *[F.col(c).cast("double").alias(c) for c in ("odds", "kelly_fraction")])
+    gain = F.when(F.col("winner") == 1, F.col("odds") - 1.0).otherwise(F.lit(-1.0))
+    prepared = (typed.select("scenario", "_du", "bet_id", F.when(known, share).otherwise(zero).alias("share"),
+                             F.when(known, fixed).otherwise(zero).alias("fixed"), F.when(known, gain).otherwise(zero).alias("gain"))
                 .repartition("scenario").sortWithinPartitions("scenario", "_du", "bet_id"))
+    start, most = float(p.initial_bankroll), float(p.max_profit_per_bet)
 
     def fold(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bank = b0
-        last = None
+        bank, last = start, None
         for b in batches:
             last = _check_order(last, b["_du"].to_numpy(), b["bet_id"].to_numpy())
-            odds, win, kf = b["odds"].tolist(), b["winner"].tolist(), b["kelly_fraction"].tolist()
-            n = len(odds)
-            st, pr, bk = np.empty(n), np.empty(n), np.empty(n)
-            for i in range(n):
-                o, k = odds[i], kf[i]
-                if o is None or np.isnan(o) or (strategy == "kelly" and (k is None or np.isnan(k))):
-                    stake, profit = 0.0, 0.0
-                else:
-                    if strategy == "kelly":
-                        stake = bank * min(k * frac, kcap)
-                    elif strategy == "flat":
-                        stake = unit
-                    elif strategy == "percent":
-                        stake = bank * (unit / 100.0)
-                    else:
-                        stake = 0.0
-                    stake = min(stake, bank * cap)
-                    stake = max(0.0, min(stake, bank))
-                    profit = min(stake * (o - 1.0), pcap) if win[i] == 1 else -stake
+            path = np.empty((len(b), 3))
+            for i, (part, fixed, gain) in enumerate(zip(b["share"], b["fixed"], b["gain"])):
+                stake = max(0.0, min(fixed, bank * part))
+                profit = min(stake * gain, most)
                 bank += profit
-                st[i], pr[i], bk[i] = stake, profit, bank
+                path[i] = stake, profit, bank
             yield pd.DataFrame({"scenario": key[0], "bet_id": b["bet_id"].to_numpy(dtype=np.int64),
-                                "stake": st, "profit": pr, "bankroll": bk})
+                                "stake": path[:, 0], "profit": path[:, 1], "bankroll": path[:, 2]})
 
     return prepared.groupBy("scenario").applyInPandas(fold, BANKROLL_SCHEMA)
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params
+from ..session import cut_lineage
 from ..functions.text import block_key, clean_name, initial_lastname, lastname, name_similarity, token_sorted
 
 OUT_COLS = ["source_id", "historical_id", "source_name", "matched_name", "confidence", "method"]
@@ -161,17 +162,12 @@ def map_fuzzy(src: DataFrame, hist: DataFrame, threshold: float = params.MAPPING
     return _emit(out, "Fuzzy", "confidence")
 
 
-def map_fuzzy_bruteforce(src: DataFrame, hist: DataFrame, threshold: float = params.MAPPING_CONFIDENCE_THRESHOLD) -> DataFrame:
-    """All pairs inside each block. Only for tests on small fixtures (cross-checks ``map_fuzzy``)."""
+def _block_scored(src: DataFrame, hist: DataFrame) -> DataFrame:
+    """Every name of ``src`` with every historical name of its block, scored."""
     s = src.where(F.length(F.trim("source_name")) > 0).withColumn("_blk", block_key("source_name")).where(F.col("_blk") != "")
     h = (hist.groupBy(F.col("historical_name").alias("hname")).agg(F.min("historical_id").alias("hid"))
          .withColumn("_blk", block_key("hname")))
-    sc = s.join(h, "_blk").withColumn("_score", name_similarity("source_name", "hname")).where(F.col("_score") >= threshold)
-    best = sc.groupBy("source_id").agg(
-        F.min_by(F.struct("hname", "hid", "_score", "source_name"), F.struct(-F.col("_score"), F.col("hname"), F.col("hid"))).alias("_b"))
-    out = best.select("source_id", F.col("_b.hid").alias("historical_id"), F.col("_b.source_name").alias("source_name"),
-                      F.col("_b.hname").alias("matched_name"), F.col("_b._score").alias("confidence"))
-    return _emit(out, "Fuzzy", "confidence")
+    return s.select("source_id", "_blk", F.col("source_name").alias("_sn")).join(h, "_blk").withColumn("_score", name_similarity("_sn", "hname"))
 
 
 # ---------------------------------------------------------------- cascade
@@ -188,8 +184,6 @@ def map_cascade(src: DataFrame, hist: DataFrame, threshold: float = params.MAPPI
     of anti-joins against materialised outputs; ``checkpoint=False`` keeps everything lazy
     (small inputs only).
     """
-    from ..session import cut_lineage
-
     def cut(df):
         return cut_lineage(df) if checkpoint else df
 
@@ -227,15 +221,28 @@ def filter_ambiguous_map(mappings: DataFrame, below: float, method: str | None =
     return mappings.where(cond)
 
 
-def topk_candidates(src: DataFrame, hist: DataFrame, k: int = 5, min_score: float = 60.0) -> DataFrame:
-    """Up to ``k`` best alternatives per feed name for manual review, among the historical
-    names of the same block scoring at least ``min_score`` (exact candidate set, no
-    block-wide pair scan; names below the floor are not offered)."""
-    sc = fuzzy_scored(src, hist, min_score)
+def topk_candidates(src: DataFrame, hist: DataFrame, k: int = 5, floors: tuple[float, ...] = (85.0, 60.0)) -> DataFrame:
+    """The ``k`` best historical names of the same block per feed name, for manual review.
+
+    Names with ``k`` candidates at a high floor need no others, so each floor is tried only on the
+    names the one before left short, and the few that are still short are scored against their
+    block. Ties go to the smaller name, then id."""
     w = Window.partitionBy("source_id").orderBy(F.col("_score").desc(), "hname", "hid")
-    return (sc.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-            .select("source_id", F.col("_sn").alias("source_name"), F.col("hname").alias("candidate_name"),
-                    F.col("hid").alias("candidate_id"), F.col("_score").alias("score"), F.col("_r").alias("candidate_rank")))
+
+    def best(scored: DataFrame) -> DataFrame:
+        return scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+
+    left, out = src, None
+    for floor in floors:
+        top = cut_lineage(best(fuzzy_scored(left, hist, floor)).select("source_id", "_sn", "hname", "hid", "_score", "_r"))
+        full = top.where(F.col("_r") == k).select("source_id")
+        done = top.join(full, "source_id", "left_semi")
+        out = done if out is None else out.unionByName(done)
+        left = left.join(full, "source_id", "left_anti")
+    rest = best(_block_scored(left, hist)).select("source_id", "_sn", "hname", "hid", "_score", "_r")
+    out = rest if out is None else out.unionByName(rest)
+    return out.select("source_id", F.col("_sn").alias("source_name"), F.col("hname").alias("candidate_name"),
+                      F.col("hid").alias("candidate_id"), F.col("_score").alias("score"), F.col("_r").alias("candidate_rank"))
 
 
 def apply_corrections(mappings: DataFrame, corrections: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ CSV is always read with a declared schema (never inferred); bad values become NU
 
 from __future__ import annotations
 
-import glob as _glob
-import os
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,11 +23,17 @@ ODDS_RAW = T.StructType([T.StructField(n, T.StringType()) for n in
 HISTORY_COLS = ["tourney_name", "tourney_date", "winner_id", "winner_name", "loser_id", "loser_name", "score"]
 
 
-def _paths(pattern: str) -> list[str]:
-    found = sorted(_glob.glob(pattern))
+def _paths(spark: SparkSession, pattern: str) -> list[str]:
+    """The files that match, as Spark resolves them on any file system (only names are read)."""
+    try:
+        found = spark.read.format("binaryFile").load(pattern).select("path").collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        found = []
     if not found:
         raise FileNotFoundError(f"no files match {pattern}")
-    return found
+    return sorted(r.path for r in found)
 
 
 def scan_csv_glob(spark: SparkSession, pattern: str, schema: T.StructType, *, header: bool = True,
@@ -36,7 +42,7 @@ def scan_csv_glob(spark: SparkSession, pattern: str, schema: T.StructType, *, he
     ``source_file`` column from the file metadata). Raises when nothing matches."""
     configure(spark)
     df = (spark.read.schema(schema).option("header", header).option("encoding", encoding)
-          .option("mode", "PERMISSIVE").csv(_paths(pattern)))
+          .option("mode", "PERMISSIVE").csv(_paths(spark, pattern)))
     if add_source:
         df = df.withColumn("source_file", F.col("_metadata.file_name"))
     return df
@@ -94,20 +100,22 @@ def scan_odds(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def scan_match_history(spark: SparkSession, pattern: str) -> DataFrame:
-    """History files with a header; only the needed columns. Files are grouped by header
-    (read once per file on the driver, only the first line) and files lacking a needed
-    column are skipped."""
+    """History files with a header; only the needed columns. Files lacking a needed column are
+    skipped. Files of one header are read together, as columns of a CSV are found by position."""
     configure(spark)
-    good = []
-    for p in _paths(pattern):
-        with open(p, encoding="utf-8", errors="replace") as fh:
-            header = [h.strip() for h in fh.readline().rstrip("\n").split(",")]
-        if all(c in header for c in HISTORY_COLS):
-            good.append(p)
-    if not good:
+    groups: dict[str, list[str]] = {}
+    for path in _paths(spark, pattern):
+        first = spark.read.text(path).head()
+        names = [] if first is None else [n.strip().strip('"') for n in first.value.lstrip("\ufeff").split(",")]
+        if set(HISTORY_COLS) <= set(names):
+            groups.setdefault(",".join(names), []).append(path)
+    if not groups:
         raise FileNotFoundError(f"no history file under {pattern} has the columns {HISTORY_COLS}")
-    schema = None
-    df = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(good, schema=schema)
+    frames = []
+    for header, paths in groups.items():
+        schema = T.StructType([T.StructField(n or f"_c{i}", T.StringType()) for i, n in enumerate(header.split(","))])
+        frames.append(spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(paths).select(*HISTORY_COLS))
+    df = reduce(DataFrame.unionByName, frames)
     return df.select(F.col("tourney_name"), parse_yyyymmdd(F.col("tourney_date")).alias("tourney_date"),
                      F.col("winner_id").try_cast("bigint").alias("winner_id"), "winner_name",
                      F.col("loser_id").try_cast("bigint").alias("loser_id"), "loser_name", "score")
@@ -137,9 +145,9 @@ def sink_metrics_json(spark: SparkSession, metrics: dict, path: str) -> None:
         .write.mode("overwrite").text(path)
 
 
-def assert_input(path: str) -> None:
-    if not _glob.glob(path) and not os.path.exists(path):
-        raise FileNotFoundError(path)
+def assert_input(spark: SparkSession, path: str) -> None:
+    """Raises FileNotFoundError unless Spark finds ``path``."""
+    _paths(spark, path)
 
 
 def load_match_log(df: DataFrame) -> DataFrame:

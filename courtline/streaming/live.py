@@ -154,10 +154,14 @@ def stream_value_bets(scored: DataFrame, p: LiveParams = LiveParams(), prob: str
             .withColumn("selection_key", selection_key("market_id", "selection_id")))
 
 
-def stream_dedup_selection(bets: DataFrame, delay: str = "2 hours") -> DataFrame:
-    """Each (market, selection) once. The watermark delay exceeds the one-hour decision
-    window, so no duplicate can arrive after its key's state is dropped."""
-    return bets.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["market_id", "selection_id"])
+def stream_dedup_selection(bets: DataFrame, delay: str | None = None) -> DataFrame:
+    """Each (market, selection) once, over all batches and restarts: keys stay in the state store.
+    ``delay`` bounds the state where markets are known to end: a key that comes again later than
+    ``delay`` behind the watermark is then new."""
+    keys = ["market_id", "selection_id"]
+    if delay is None:
+        return bets.dropDuplicates(keys)
+    return bets.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
 def stream_stake(bets: DataFrame, p: LiveParams = LiveParams(), bankroll: str | None = None, dry_run: bool = True) -> DataFrame:
@@ -197,6 +201,7 @@ def stream_risk_state(events: DataFrame, p: LiveParams = LiveParams(), timeout:
     decided in event-time order: RISK_BLOCKED when the day's P&L has reached the loss limit,
     EXPOSED when the stake exceeds the exposure cap (neither marks the key, so it may be
     retried), DUPLICATE for a key already handled, else the stake decision (marks the key).
+    A missing profit counts as 0.
     State expires with the watermark once the day is over.
     """
     def fn(key: tuple[Any, ...], pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -208,7 +213,7 @@ def stream_risk_state(events: DataFrame, p: LiveParams = LiveParams(), timeout:
         out = []
         for r in rows.itertuples(index=False):
             if r.kind == "settle":
-                pnl += float(r.profit or 0.0)
+                pnl += 0.0 if pd.isna(r.profit) else float(r.profit)
                 continue
             if pnl <= -p.max_daily_loss:
                 d = "RISK_BLOCKED"

@@ -65,7 +65,7 @@ def test_dq_rules_and_asserts(spark):
     with pytest.raises(ValueError):
         dq.assert_columns(df, ["nope"], "t")
     with pytest.raises(FileNotFoundError):
-        files.assert_input("/nonexistent/path")
+        files.assert_input(spark, "/nonexistent/path")
     na = {r.column: r.nulls for r in dq.null_audit(df).collect()}
     assert na == {"id": 1, "surface": 0, "p": 0}
 

@@ -48,7 +48,18 @@ def test_scan_history_skips_incomplete_files(spark):
     assert sorted(r.historical_id for r in files.historical_players(h).collect()) == [1, 2]
 
 
+def test_scan_history_of_files_with_other_column_orders(spark):
+    d = tempfile.mkdtemp()
+    _write(d, "h_1.csv", "tourney_name,tourney_date,winner_id,winner_name,loser_id,loser_name,score\nAlpha,20230703,1,A,2,B,6-4 6-4\n")
+    _write(d, "h_2.csv", "score,tourney_name,loser_name,winner_name,loser_id,winner_id,tourney_date\n6-2 6-2,Beta,D,C,4,3,20230704\n")
+    got = {(r.tourney_name, r.winner_id, r.winner_name, r.loser_id, r.score, r.tourney_date.day)
+           for r in files.scan_match_history(spark, os.path.join(d, "h_*.csv")).collect()}
+    assert got == {("Alpha", 1, "A", 2, "6-4 6-4", 3), ("Beta", 3, "C", 4, "6-2 6-2", 4)}
+
+
 def test_missing_input(spark):
+    with pytest.raises(FileNotFoundError):
+        files.assert_input(spark, "/nonexistent/*.csv")
     with pytest.raises(FileNotFoundError):
         files.scan_csv_glob(spark, "/nonexistent/*.csv", files.ODDS_RAW)
 
