@@ -122,3 +122,24 @@ def test_stream_elo_blob_state_equals_batch(spark):
     s = live.run_available(spark, live.stream_elo(stream, state="blob"), "elo_blob")
     key = ["match_id", "p1_id", "p2_id", "p1_elo", "p2_elo"]
     assert sorted(tuple(r) for r in s.select(*key).collect()) == sorted(tuple(r) for r in folds.elo_ratings(m).select(*key).collect())
+
+
+def test_dedup_over_batches_a_day_apart(spark):
+    d = tempfile.mkdtemp()
+    schema = "market_id string, selection_id long, ts timestamp"
+    for day in range(3):
+        spark.createDataFrame([("m", 1, T0 + dt.timedelta(days=day)), ("m", 10 + day, T0 + dt.timedelta(days=day))], schema) \
+            .coalesce(1).write.mode("append").parquet(d)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(d)
+    out = live.run_available(spark, live.stream_dedup_selection(stream), "dedup_days")
+    assert sorted((r.market_id, r.selection_id) for r in out.collect()) == [("m", 1), ("m", 10), ("m", 11), ("m", 12)]
+
+
+def test_missing_profit_keeps_the_loss_limit(spark):
+    at = lambda n: T0 + dt.timedelta(minutes=n)
+    rows = [("a", at(0), "settle", "k0", 0.0, None), ("a", at(1), "settle", "k1", 0.0, -500.0), ("a", at(2), "bet", "k2", 10.0, None)]
+    schema = "account string, ts timestamp, kind string, selection_key string, stake double, profit double"
+    d = tempfile.mkdtemp()
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(d)
+    out = live.run_available(spark, live.stream_risk_state(spark.readStream.schema(schema).parquet(d)), "missing_profit")
+    assert [r.decision for r in out.collect()] == ["RISK_BLOCKED"]
