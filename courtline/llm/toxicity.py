@@ -1,11 +1,16 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled rows: one on windows of ordinary text, and the
-same followed by toxic text. What is toxic in a toxic row is found by its excess: byte strings that
-many toxic rows and (nearly) no ordinary rows hold are chosen greedily until each toxic row is
-covered several times. A text is cut at spaces into windows; each window is compressed with both
-dictionaries, and the three largest savings of the toxic one are turned into a score by a logistic
-function fitted on the same rows, so 0.5 is the calibrated threshold.
+A text is cut at spaces into windows, and each window is compressed with two pairs of dictionaries:
+
+* trained: a zstandard dictionary trained on all windows of the toxic sample, against one trained on as
+  many windows of ordinary text, both behind the same dictionary of ordinary text;
+* excess: that ordinary dictionary followed by strings of toxic rows, against the same without them. The
+  strings are not trained by zstandard: they are word n-grams that many toxic rows and (nearly) no
+  ordinary rows hold, chosen greedily until each toxic row is covered several times.
+
+The largest savings of the toxic side of each pair, the mean saving of the trained pair and the number of windows
+are turned into a score by a logistic function, so 0.5 is the calibrated threshold. It is fitted on the same
+rows, but their trained savings come from dictionaries trained without them (``FOLDS``).
 
 The fit uses a bounded sample (``FIT_TOXIC`` and ``FIT_ORDINARY`` rows in the order of a hash of the
 id, texts of at most ``FIT_CHARS`` characters) of the rows not held out; every text is scored whole.
@@ -26,6 +31,8 @@ WINDOW = 48           # bytes; a window ends at the next space
 LEVEL = 5
 DICT_BYTES = 64 * 1024
 GRAMS = range(4, 11)  # lengths of the strings looked for
+TRAINED_BYTES = 32 * 1024
+FOLDS = 3
 COVER = 6             # strings wanted in each toxic row
 MIN_SHARE = 0.035     # a string must be new evidence for this share of the toxic rows
 ORDINARY_SHARE = 0.0005
@@ -79,51 +86,90 @@ def toxic_strings(toxic: list[str], ordinary: list[str]) -> list[str]:
     return chosen
 
 
+def _trained(samples: list[bytes], size: int) -> bytes:
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()[-size:]
+    except zstandard.ZstdError:  # too few samples to train on: the samples themselves
+        return b" ".join(samples)[-size:]
+
+
+def _shuffled_windows(texts: list[str]) -> list[bytes]:
+    cut = sorted({w for t in texts for w in windows(t)})
+    np.random.default_rng(10).shuffle(cut)
+    return cut
+
+
+def _compressor(dictionary: bytes):
+    params = zstandard.ZstdCompressionParameters.from_level(
+        LEVEL, source_size=WINDOW, dict_size=len(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
+    c = zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(
+        dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+    c.compress(b"")
+    return c
+
+
+class Pair:
+    """An ordinary and a toxic dictionary; small enough to travel with the tasks."""
+
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        self.ordinary, self.toxic = ordinary or b" " * 8, toxic or b" " * 8
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_both"}
+
+    def savings(self, cut: list[bytes]) -> list[int]:
+        """Bytes that the toxic dictionary saves on each window."""
+        if "_both" not in self.__dict__:
+            self._both = _compressor(self.ordinary), _compressor(self.toxic)
+        a, b = self._both
+        return [len(a.compress(w)) - len(b.compress(w)) for w in cut]
+
+
+def trained_pair(toxic: list[str], ordinary: list[str]) -> Pair:
+    """Dictionaries of all toxic windows and of as many ordinary ones, the other ordinary ones before both."""
+    yes, no = _shuffled_windows(toxic), _shuffled_windows(ordinary)
+    n = min(len(yes), len(no) // 2)
+    base = _trained(no[n:], DICT_BYTES)
+    return Pair(base + _trained(no[:n], TRAINED_BYTES), base + _trained(yes, TRAINED_BYTES))
+
+
+def _largest(savings: list[int]) -> list[float]:
+    best = sorted(savings, reverse=True)[:3]
+    return [float(v) for v in best] + [0.0] * (3 - len(best))
+
+
 class Model:
     """Dictionaries and logistic weights; small enough to travel with the tasks."""
 
     def __init__(self, toxic: list[str], ordinary: list[str], share: float | None = None):
-        cut = sorted({w for t in ordinary for w in windows(t)})
-        np.random.default_rng(10).shuffle(cut)
-        try:
-            base = zstandard.train_dictionary(DICT_BYTES, cut).as_bytes()[-DICT_BYTES:]
-        except zstandard.ZstdError:  # too few samples to train on: the samples themselves
-            base = b" ".join(cut)[-DICT_BYTES:] or b" " * 8
+        base = _trained(_shuffled_windows(ordinary), DICT_BYTES) or b" " * 8
         marks = "".join(reversed(toxic_strings(toxic, ordinary))).encode()
-        self.ordinary, self.toxic = base + b" " * len(marks), base + marks
-        self.weights = np.zeros(4)
-        x = np.array([self.savings(t) for t in [*toxic, *ordinary]] or [[0.0] * 3])
-        y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary) or [0.0])
+        self.excess = Pair(base + b" " * len(marks), base + marks)
+        x, y = [], []
+        for k in range(FOLDS):
+            apart = trained_pair([t for i, t in enumerate(toxic) if i % FOLDS != k], [t for i, t in enumerate(ordinary) if i % FOLDS != k])
+            x += [self.features(t, apart) for t in [*toxic[k::FOLDS], *ordinary[k::FOLDS]]]
+            y += [1.0] * len(toxic[k::FOLDS]) + [0.0] * len(ordinary[k::FOLDS])
+        self.trained = trained_pair(toxic, ordinary)
+        x, y = np.array(x or [self.features("", self.trained)]), np.array(y or [0.0])
         # rows are weighted to the share of toxic labels in the whole table, not in the sample
         share = len(toxic) / max(1, len(y)) if share is None else share
         weight = np.where(y == 1, share * len(y) / max(1, len(toxic)), (1 - share) * len(y) / max(1, len(ordinary)))
         x = np.column_stack([np.ones(len(x)), x])
+        self.weights = np.zeros(x.shape[1])
         for _ in range(30):  # Newton steps with a ridge, so separable data stay finite
             p = 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
             step = x.T @ (weight * (y - p)) - 0.1 * self.weights
-            self.weights += np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(4), step)
-
-    def _compressors(self):
-        if "_pair" not in self.__dict__:
-            params = zstandard.ZstdCompressionParameters.from_level(
-                LEVEL, source_size=WINDOW, dict_size=len(self.toxic), write_content_size=False, write_checksum=False, write_dict_id=False)
-            self._pair = [zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(
-                d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for d in (self.ordinary, self.toxic)]
-            for c, d in zip(self._pair, (self.ordinary, self.toxic)):
-                c.compress(b"")
-        return self._pair
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_pair"}
+            self.weights += np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(step)), step)
 
-    def savings(self, text: str) -> list[float]:
-        """The three largest savings, in bytes, of the toxic dictionary over the windows."""
-        a, b = self._compressors()
-        best = sorted((len(a.compress(w)) - len(b.compress(w)) for w in windows(text)), reverse=True)[:3]
-        return [float(v) for v in best] + [0.0] * (3 - len(best))
+    def features(self, text: str, trained: Pair) -> list[float]:
+        """The three largest savings of each pair, the mean saving of the trained one, the log of the number of windows."""
+        cut = windows(text)
+        told = trained.savings(cut)
+        return [*_largest(self.excess.savings(cut)), *_largest(told), sum(told) / max(1, len(cut)), float(np.log(max(1, len(cut))))]
 
     def score(self, text: str) -> float:
-        z = self.weights[0] + float(np.dot(self.weights[1:], self.savings(text)))
+        z = self.weights[0] + float(np.dot(self.weights[1:], self.features(text, self.trained)))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 

@@ -350,6 +350,31 @@ def test_toxicity_learns_and_handles_edges(spark, docs, empty):
     assert toxicity.score(empty, none).count() == 0 and 0 <= none.score("") <= 1
 
 
+def test_toxicity_learns_varied_vocabulary():
+    """Wording too rare for any share floor: no mined string, but the trained dictionary knows it."""
+    rng = random.Random(21)
+    bad, parts = [], set()
+    while len(bad) < 240:  # words that share no three letters
+        word = "".join(rng.choices("hijklmnopqrstuvwxyz", k=9))
+        own = {word[i:i + 3] for i in range(7)}
+        if not own & parts:
+            bad.append(word)
+            parts |= own
+
+    def text(*wording):
+        w = rng.choices(VOCAB, k=80)
+        for word in wording:
+            w.insert(rng.randrange(len(w)), word)
+        return " ".join(w)
+
+    yes = sorted(text(*[bad[(6 * i + k) % 240] for k in range(6)]) for i in range(400))  # each word in 10 rows
+    no = sorted(text() for _ in range(1000))
+    assert toxicity.toxic_strings(yes, no) == []
+    model = toxicity.Model(yes, no)
+    assert sum(model.score(text(*rng.sample(bad, 6))) >= 0.5 for _ in range(200)) > 150
+    assert sum(model.score(text()) >= 0.5 for _ in range(200)) < 50
+
+
 def test_license_scan(spark, empty):
     filler = prose(300)
     files = spark.createDataFrame([
