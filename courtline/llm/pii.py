@@ -1,11 +1,16 @@
 """Personal data: patterns, and terms that reveal a protected entity.
 
 E-mail addresses, IP addresses, card and phone numbers are found by pattern. Each value is a
-protected entity. From the whole corpus, the terms next to an entity's mentions are counted with it
-and without it: a term t discloses entity e as far as PMI(e; t) reaches the information content of e
-(1 = the term determines the entity). Terms above the threshold, seen with e in several
-distinct contexts, are spans of kind ``term`` where they stand next to e, and are removed;
-the patterns are generalised to their kind.
+protected entity, and so is each kind. Over the whole corpus, every term of a document is counted with the entities
+of the document and without them: a term t discloses entity e as far as PMI(e; t) reaches the information content
+of e (1 = the term determines the entity). Terms above the threshold whose co-occurrence is significant are
+spans of kind ``term`` wherever they stand in the documents of e, and are removed; the patterns are generalised
+to their kind.
+
+For the test, documents with the same words next to the value are copies and count once. The test is the
+log-likelihood ratio of the four counts, which bounds the chance of such a co-occurrence, against
+``ALPHA`` over the number of pairs tested. A value that only one document (and its copies) holds is not tested: each
+rare word of that document would stand with it as exclusively, and none says more than another.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from .common import step_table
 
 KINDS = ("email", "ip", "card", "phone")
 REACH = 80            # characters before and after an entity that count as its context
-MIN_CONTEXTS = 3      # distinct contexts in which a term must stand with an entity
+ALPHA = 0.05          # chance of any false term, over all pairs tested
 DISCLOSURE = 0.9      # share of the entity's information content
 HELD_TERMS = 200_000  # term counts held by a task before they are passed on
 
@@ -32,7 +37,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TERM = re.compile(r"[^\W\d_]{4,}")
+_TERM = re.compile(r"[^\W_]+")
 
 
 def _emails(text: str):
@@ -78,40 +83,51 @@ def _entity(kind: str, value: str) -> str:
     return kind + ":" + hashlib.blake2b(value.encode(), digest_size=12).hexdigest()
 
 
-def contexts(text: str, spans) -> list[tuple[str, str, str, int, int]]:
-    """(entity, term, context, start, end) of the terms next to each span."""
-    taken = sorted((s, e) for _, s, e in spans)
-    out = []
+def free_terms(text: str, spans, lo: int = 0, hi: int | None = None):
+    """(term, start, end) of the terms between lo and hi that overlap no span."""
+    taken, k = sorted((s, e) for _, s, e in spans), 0
+    reach = 0  # the furthest end of the spans that start before the term ends
+    for m in _TERM.finditer(text, lo, len(text) if hi is None else hi):
+        a, b = m.span()
+        while k < len(taken) and taken[k][0] < b:
+            reach = max(reach, taken[k][1])
+            k += 1
+        if reach <= a:
+            yield m.group().lower(), a, b
+
+
+def entities(text: str, spans) -> list[tuple[str, str]]:
+    """(entity, context) of the values and kinds in a text; the context is a hash of the terms next to them."""
+    near: dict[str, set[str]] = {}
     for kind, s, e in spans:
-        near = []
+        words = []
         for lo, hi in ((max(0, s - REACH), s), (e, min(len(text), e + REACH))):
-            for m in _TERM.finditer(text, lo, hi):
-                a, b = m.span()
+            for term, a, b in free_terms(text, spans, lo, hi):
                 cut = (a == lo and a > 0 and text[a - 1].isalnum()) or (b == hi and b < len(text) and text[b].isalnum())
-                if not cut and not any(x < b and a < y for x, y in taken):
-                    near.append((m.group().lower(), a, b))
-        context = hashlib.blake2b(" ".join(t for t, _, _ in near).encode(), digest_size=12).hexdigest()
-        out += [(_entity(kind, text[s:e]), term, context, a, b) for term, a, b in near]
-    return out
+                if not cut:
+                    words.append(term)
+        for entity in (kind, _entity(kind, text[s:e])):
+            near.setdefault(entity, set()).add(" ".join(words))
+    return [(entity, hashlib.blake2b("\n".join(sorted(found)).encode(), digest_size=12).hexdigest()) for entity, found in near.items()]
 
 
-FACTS = ("doc_id {kind}, key string, spans array<struct<kind:string,start:long,end:long>>, "
-         "near array<struct<entity:string,term:string,context:string,start:long,end:long>>, term string, n long")
+FACTS = ("doc_id {kind}, key string, spans array<struct<kind:string,start:long,end:long>>, body string, "
+         "entities array<struct<entity:string,context:string>>, words array<string>, term string, n long")
 
 
 def document_facts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Step table of one pass over the texts: a row per document (spans, near), and rows (term, n)
-    with the number of documents of the task that hold a term."""
+    """Step table of one pass over the texts: a row per document (spans and, if there are any, text, entities
+    and distinct terms outside the spans), and rows (term, n) with the number of documents of the task that hold a term."""
     kind = dict(docs.dtypes)[doc_id]
     body = F.coalesce(F.col(text), F.lit(""))
     key = F.md5(F.concat_ws(" ", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.md5(body)))
-    columns = ["doc_id", "key", "spans", "near", "term", "n"]
+    columns = ["doc_id", "key", "spans", "body", "entities", "words", "term", "n"]
 
     def look(batches):
         held: Counter = Counter()
 
         def counts():
-            frame = pd.DataFrame([(None, None, None, None, t, n) for t, n in held.items()], columns=columns)
+            frame = pd.DataFrame([(None, None, None, None, None, None, t, n) for t, n in held.items()], columns=columns)
             if kind in ("bigint", "int"):
                 frame["doc_id"] = frame["doc_id"].astype("Int64")
             held.clear()
@@ -121,37 +137,60 @@ def document_facts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             rows = []
             for doc, k, t in zip(batch["doc_id"], batch["key"], batch["body"]):
                 spans = base_spans(t)
-                near = contexts(t, spans) if spans else []
-                rows.append((doc, k, [dict(zip(("kind", "start", "end"), s)) for s in spans],
-                             [dict(zip(("entity", "term", "context", "start", "end"), x)) for x in near], None, None))
-                held.update(set(_TERM.findall(t.lower())))
+                rows.append((doc, k, [dict(zip(("kind", "start", "end"), s)) for s in spans], t if spans else None,
+                             [dict(zip(("entity", "context"), x)) for x in entities(t, spans)],
+                             sorted({w for w, _, _ in free_terms(t, spans)}) if spans else [], None, None))
+                held.update({w.lower() for w in set(_TERM.findall(t))})
+                if len(held) > HELD_TERMS:
+                    yield counts()
             frame = pd.DataFrame(rows, columns=columns)
             if kind in ("bigint", "int"):
                 frame["doc_id"] = frame["doc_id"].astype("Int64")
             frame["n"] = frame["n"].astype("Int64")
             yield frame
-            if len(held) > HELD_TERMS:
-                yield counts()
         yield counts()
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), key.alias("key"), body.alias("body"))
     return step_table(rows.mapInPandas(look, FACTS.format(kind=kind)))
 
 
+def _mentions(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entity, df_entity, units) of the entities in two distinct contexts or more, and (key, entity, context, term)
+    with a row for each term of each document that holds one of them."""
+    held = documents.where(F.size("spans") > 0)
+    each = held.select("key", F.inline("entities"))
+    known = each.groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"), F.count_distinct("context").alias("units")).where("units > 1")
+    of_kind = F.col("entity").isin(*KINDS)
+    # the four kinds hold many documents each and meet their one row by broadcast
+    kept = each.where(of_kind).join(F.broadcast(known.where(of_kind).select("entity")), "entity", "left_semi").unionByName(
+        each.where(~of_kind).join(known.where(~of_kind).select("entity"), "entity", "left_semi")).distinct()
+    return known, kept.join(held.select("key", "words"), "key").select("key", "entity", "context", F.explode("words").alias("term"))
+
+
 def disclosing_terms(facts: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) of the pairs above the threshold, from counts of documents."""
+    """(entity, term, disclosure) of the significant pairs above the threshold, from counts of documents."""
     documents = facts.where("key is not null")
-    near = documents.select("key", F.explode("near").alias("x")).select("key", "x.entity", "x.term", "x.context").distinct()
-    together = near.groupBy("entity", "term", "context").agg(F.count_distinct("key").alias("docs")).groupBy("entity", "term").agg(
-        F.count(F.lit(1)).alias("contexts"), F.sum("docs").alias("both")).where(F.col("contexts") >= MIN_CONTEXTS)
-    mentions = near.select("entity", "key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
+    known, each = _mentions(documents)
+    together = each.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.count_distinct("context").alias("both_units"))
+    of_kind = F.col("entity").isin(*KINDS)
+    pairs = together.where(of_kind).join(F.broadcast(known.where(of_kind)), "entity").unionByName(
+        together.where(~of_kind).join(known.where(~of_kind), "entity"))
+    tested = F.broadcast(together.agg(F.count(F.lit(1)).alias("tested")))
+    total = F.broadcast(documents.agg(F.count(F.lit(1)).alias("total")))  # one row, like the number of pairs
     terms = facts.where("term is not null").groupBy("term").agg(F.sum("n").alias("df_term"))
-    total = documents.agg(F.count(F.lit(1)).alias("total"))
-    pairs = together.join(mentions, "entity").join(terms, "term").join(F.broadcast(total))  # one row
     content = F.log2(F.col("total") / F.col("df_entity"))
     told = F.log2(F.col("both") * F.col("total") / (F.col("df_entity") * F.col("df_term")))
-    return pairs.select("entity", "term", F.when(content > 0, told / content).alias("disclosure")).where(
-        F.col("disclosure") >= DISCLOSURE)
+    pairs = pairs.join(terms, "term").join(total).withColumn("disclosure", F.when(content > 0, told / content)).where(
+        F.col("disclosure") >= DISCLOSURE).join(tested)
+    # copies of a document of the entity count once
+    a, e = F.col("both_units"), F.col("units")
+    t, n = F.col("df_term") - F.col("both") + a, F.col("total") - F.col("df_entity") + e
+
+    def part(seen, row, column):
+        return F.when(seen > 0, seen * F.log(seen * n / (row * column))).otherwise(0.0)
+
+    evidence = part(a, e, t) + part(e - a, e, n - t) + part(t - a, n - e, t) + part(n - e - t + a, n - e, n - t)
+    return pairs.where(evidence >= F.log(F.col("tested") / ALPHA)).select("entity", "term", "disclosure")
 
 
 def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -163,13 +202,24 @@ def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """
     facts = document_facts(docs, doc_id, text)
     documents = facts.where("key is not null")
-    near = documents.select("key", F.explode("near").alias("x")).select("key", "x.entity", "x.term", "x.start", "x.end")
-    told = near.join(disclosing_terms(facts).select("entity", "term"), ["entity", "term"])
-    told = told.select("key", F.struct(F.lit("term").alias("kind"), "start", "end").alias("s"))
-    told = told.groupBy("key").agg(F.sort_array(F.collect_set("s")).alias("terms"))
+    each = _mentions(documents)[1]
+    told = each.join(disclosing_terms(facts).select("entity", "term"), ["entity", "term"], "left_semi")
+    told = told.groupBy("key").agg(F.collect_set("term").alias("terms"))
+
+    @F.pandas_udf("array<struct<kind:string,start:bigint,end:bigint>>")
+    def marked(bodies: pd.Series, spans: pd.Series, terms: pd.Series) -> pd.Series:
+        def one(t, found, wanted):
+            if wanted is None:
+                return []
+            wanted = set(wanted)
+            return [{"kind": "term", "start": a, "end": b} for w, a, b in free_terms(
+                t, [(s["kind"], s["start"], s["end"]) for s in found]) if w in wanted]
+        return pd.Series([one(*x) for x in zip(bodies, spans, terms)], dtype=object)
+
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-    return documents.join(told, "key", "left").select("doc_id", "key", F.concat(
-        "spans", F.coalesce("terms", none)).alias("spans"))
+    held, bare = documents.where(F.size("spans") > 0), documents.where(F.size("spans") == 0)
+    held = held.join(told, "key", "left").select("doc_id", "key", F.concat("spans", F.coalesce(marked("body", "spans", "terms"), none)).alias("spans"))
+    return held.unionByName(bare.select("doc_id", "key", "spans"))
 
 
 def spans_text(spans):

@@ -328,6 +328,19 @@ def test_disclosing_terms_and_sanitise(spark, docs, empty):
     assert clean.columns == docs.columns and clean.count() == len(rows())
 
 
+def test_disclosing_terms_of_whole_documents(spark):
+    """Terms far from the value, short ones and ones with digits go wherever they stand; two documents are enough."""
+    far = lambda: prose(40).replace("\n", " ")
+    data = [(i, f"Ng{i // 2} {far()} mail u{i // 2}@secret.org {far()} {far()} dept{i // 2}x then ng{i // 2}") for i in range(4)]
+    data += [(50 + i, f"copied notice u9@secret.org hapaxword {BASE}") for i in range(3)]  # copies of one document
+    data += [(100 + i, f"then mail {prose(60)}") for i in range(300)]
+    out = defaultdict(str, {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(data, "doc_id long, text string")).collect()})
+    for i in range(4):
+        assert not re.search(r"(?i)ng[01]|dept|secret", out[i]) and "[EMAIL]" in out[i] and " mail " in out[i] and " then " in out[i]
+    assert "copied notice [EMAIL] hapaxword" in out[50]
+    assert all(out[i] == t for i, t in data[7:])
+
+
 def test_toxicity_learns_and_handles_edges(spark, docs, empty):
     bad = ["grumblefink", "snotwaffle", "dunderpox"]
     data, marks = [], []
