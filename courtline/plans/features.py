@@ -56,7 +56,7 @@ def player_features(rows: DataFrame, *, bucket_seconds=AUTO) -> DataFrame:
     for n, name in ((10, "form"), (20, "rolling_win_perc_20"), (50, "rolling_win_perc_50")):
         lag = run.select(F.col("player_id").alias("_lp"), (F.col("_pos") + n).alias("_lpos"),
                          F.col("_s").alias("_ls"), F.col("_c").alias("_lc"))
-        out = out.join(lag, (out.player_id == lag._lp) & (out._pos == lag._lpos), "left")
+        out = out.join(lag, out.player_id.eqNullSafe(lag._lp) & (out._pos == lag._lpos), "left")
         out = out.withColumn(name, F.coalesce(F.try_divide(
             (F.coalesce("_s", F.lit(0)) - F.coalesce("_ls", F.lit(0))).cast("double"),
             (F.col("_c") - F.coalesce("_lc", F.lit(0))).cast("double")), F.lit(0.0))).drop("_lp", "_lpos", "_ls", "_lc")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from courtline.operators import pairs, pit
-from courtline.plans.features import build_match_features
+from courtline.plans.features import build_match_features, player_features
 
 
 def _feature_fixture(spark):
@@ -64,6 +64,17 @@ def test_bucketed_equals_plain_on_hot_key(spark, bucket):
         assert ld[k].sets_played_last_14_days == p.sets_played_last_14_days
 
 
+@pytest.mark.parametrize("bucket", [3600, 86_400])
+def test_feature_plans_agree_on_null_players(spark, bucket):
+    df = _skewed(spark, 900).withColumn("match_id", F.col("row_id")).withColumn(
+        "player_id", F.when(F.col("player_id") > 5, F.col("player_id")))  # a third and more have no player
+    plain = {r.row_id: r.asDict() for r in player_features(df, bucket_seconds=None).collect()}
+    buck = {r.row_id: r.asDict() for r in player_features(df, bucket_seconds=bucket).collect()}
+    assert plain.keys() == buck.keys()
+    for k, p in plain.items():
+        assert all(buck[k][c] == (pytest.approx(v) if isinstance(v, float) else v) for c, v in p.items())
+
+
 def test_no_leak(spark):
     """Features of rows before t do not change when rows at or after t are removed."""
     df = _skewed(spark, 1200, seed=3)
