@@ -39,6 +39,7 @@ CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset fo
                             "pre section table ul figure".split()),
              "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]),
              "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())  # any other element ends an open head
 SCOPE = frozenset("html body div article main section aside nav header footer ul ol table form blockquote td".split())
 GOOD = ("content", "article", "post", "main", "body", "entry", "story", "text", "prose")
 BAD = ("nav", "menu", "foot", "head", "side", "ad", "ads", "advert", "promo", "banner", "sponsor", "cookie", "notice", "consent",
@@ -84,7 +85,14 @@ class _Tree(HTMLParser):
         self._flush()
         del self.open[at:]
 
+    def _end_head(self):
+        """Close a head whose end tag is left out."""
+        if self.open[-1][0] == "head":
+            self._close(len(self.open) - 1)
+
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD and tag != "html":
+            self._end_head()
         if tag == "br":
             self.run.append(" ")
             return
@@ -121,10 +129,14 @@ class _Tree(HTMLParser):
                 return
 
     def handle_startendtag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self._end_head()
         if tag == "br":
             self.run.append(" ")
 
     def handle_data(self, data):
+        if self.unseen and not data.isspace():  # blanks may stand in a head
+            self._end_head()
         if not self.unseen:
             self.run.append(data)
             if self.links:

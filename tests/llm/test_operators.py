@@ -418,6 +418,15 @@ def test_html_extraction(spark, trees):
     assert out[2].text == out[3].text == "" and out[4].text == "just text" and out[1].n_chars == len(out[1].text)
 
 
+def test_html_head_without_end_tag(trees):
+    p = "<p>" + "A long sentence of the article, with some words. " * 6
+    body = ("A long sentence of the article, with some words. " * 6).strip()
+    head = "<html><head><meta charset=utf-8>\n<title>Not this</title><style>p {}</style><script>var x = '<p>no</p>'</script>\n"
+    for start in ("<body>", "</head><body>", "", "<head>", "</head>"):
+        assert html_extract.main_text(f"{head}{start}<article>{p}{p}</article></html>", trees) == f"{body}\n{body}", start
+    assert html_extract.main_text(head + "Bare text", trees) == "Bare text"
+
+
 def test_html_made_pages(trees):
     right = total = 0
     for seed in range(50_000, 50_100):
