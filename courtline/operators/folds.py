@@ -9,7 +9,7 @@ which satisfies the grouping's ordering requirement, so Spark adds no second sor
 batches arrive in time order; the fold checks the order and fails loudly otherwise.
 
 Everything that is a prefix sum/min/max in disguise (closed-form bankroll growth,
-drawdown, daily loss gate) is written with bucketed running aggregates instead — pure
+drawdown, daily loss gate) is written with running aggregates instead — pure
 Catalyst, no Python, no single-task group.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import EloParams, LiveParams, SimParams
-from .running import DEFAULT_BUCKET_SECONDS, Agg, running
+from .running import Agg, running
 
 ELO_SCHEMA = "match_id long, surface string, p1_id long, p2_id long, p1_elo double, p2_elo double"
 
@@ -198,12 +198,11 @@ def stake_fraction(p: SimParams = SimParams()):
 
 
 def bankroll_closed_form(bets: DataFrame, p: SimParams = SimParams(), *, scenario: str = "scenario",
-                         date: str = "tourney_date", bet_id: str = "bet_id",
-                         bucket_seconds=DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                         date: str = "tourney_date", bet_id: str = "bet_id") -> DataFrame:
     """Bankroll path when every stake is a fixed fraction of the bankroll and the profit cap
     never binds: B_t = B_0 · Π(1 + r_i), r_i = f_i·(o_i − 1) on a win, −f_i on a loss.
 
-    The product is exp of a running sum of log1p(r) (bucketed running aggregate, no Python,
+    The product is exp of a running sum of log1p(r) (no Python,
     no single-task scenario); a total loss (r = −1) zeroes every later bankroll via a
     running count. Also reports whether the profit cap would have bound (then the fold in
     ``bankroll_sim`` is the exact answer).
@@ -218,7 +217,7 @@ def bankroll_closed_form(bets: DataFrame, p: SimParams = SimParams(), *, scenari
     run = running(base, ["scenario"], ["_t", "bet_id"],
                   [Agg("_lg", "sum", F.when(F.col("_r") > -1, F.log1p("_r"))),
                    Agg("_ruin", "count", F.when(F.col("_r") <= -1, F.lit(1)))],
-                  include_current=True, bucket_seconds=bucket_seconds)
+                  include_current=True)
     bank = F.when(F.col("_ruin") > 0, F.lit(0.0)).otherwise(F.lit(p.initial_bankroll) * F.exp(F.coalesce("_lg", F.lit(0.0))))
     out = run.select("scenario", "bet_id", bank.alias("bankroll"), F.coalesce("_lg", F.lit(0.0)).alias("log_growth"),
                      (F.col("_ruin") > 0).alias("ruined"), "_r", "odds", "winner")
@@ -230,20 +229,18 @@ def bankroll_closed_form(bets: DataFrame, p: SimParams = SimParams(), *, scenari
 
 
 def max_drawdown(path: DataFrame, *, scenario: str = "scenario", date: str = "tourney_date", bet_id: str = "bet_id",
-                 bankroll: str = "bankroll", bucket_seconds=DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                 bankroll: str = "bankroll") -> DataFrame:
     """Per scenario: peak bankroll and the most negative (B − running peak) / running peak.
     The running peak includes the current row and (as in the reference) not the initial
     bankroll."""
-    run = running(path, [scenario], [date, bet_id], [Agg("_peak", "max", F.col(bankroll))], include_current=True,
-                  bucket_seconds=bucket_seconds)
+    run = running(path, [scenario], [date, bet_id], [Agg("_peak", "max", F.col(bankroll))], include_current=True)
     dd = F.try_divide(F.col(bankroll) - F.col("_peak"), F.col("_peak"))
     return run.groupBy(scenario).agg(F.max("_peak").alias("peak_bankroll"),
                                      F.coalesce(F.min(dd), F.lit(0.0)).alias("max_drawdown"))
 
 
 def risk_gate(bets: DataFrame, p: LiveParams = LiveParams(), *, account: str = "account", ts: str = "ts",
-              bet_id: str = "bet_id", stake: str = "stake", pnl: str = "pnl",
-              bucket_seconds=DEFAULT_BUCKET_SECONDS) -> DataFrame:
+              bet_id: str = "bet_id", stake: str = "stake", pnl: str = "pnl") -> DataFrame:
     """Daily loss limit and exposure cap, per account and calendar day.
 
     A bet is blocked when its stake alone would exceed the exposure cap, or when the day's
@@ -253,10 +250,8 @@ def risk_gate(bets: DataFrame, p: LiveParams = LiveParams(), *, account: str = "
     """
     base = bets.withColumn("_day", F.to_date(ts)).withColumn("_exp_ok", F.col(stake) <= F.lit(p.max_exposure))
     base = base.withColumn("_eff", F.when(F.col("_exp_ok"), F.col(pnl)).otherwise(F.lit(0.0)))
-    run = running(base, [account, "_day"], [ts, bet_id], [Agg("_cum", "sum", F.col("_eff"))], include_current=True,
-                  bucket_seconds=bucket_seconds)
-    run2 = running(run, [account, "_day"], [ts, bet_id], [Agg("_low", "min", F.col("_cum"))], include_current=False,
-                   bucket_seconds=bucket_seconds)
+    run = running(base, [account, "_day"], [ts, bet_id], [Agg("_cum", "sum", F.col("_eff"))], include_current=True)
+    run2 = running(run, [account, "_day"], [ts, bet_id], [Agg("_low", "min", F.col("_cum"))], include_current=False)
     loss_hit = F.coalesce(F.col("_low") <= F.lit(-p.max_daily_loss), F.lit(False))
     decision = F.when(loss_hit, F.lit("RISK_BLOCKED")).when(~F.col("_exp_ok"), F.lit("EXPOSED")).otherwise(F.lit("PLACE"))
     return run2.withColumn("decision", decision).drop("_cum", "_low", "_eff", "_exp_ok", "_day")

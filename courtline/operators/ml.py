@@ -54,8 +54,8 @@ def temporal_split(df: DataFrame, *, ts: str = "tourney_date", row_id: str = "ma
     """Chronological split: the first ⌊n(1 − test)⌋ rows in (ts, id) order train, the rest
     test; the last ``validation_size`` of the training part is the validation slice.
 
-    Positions come from a bucketed running count with no partition key (the per-day table
-    is the only thing that meets in one place), not from a global single-partition window.
+    Positions come from a running count over ranges of the order, not from a global
+    single-partition window. A row without a time stands at position 0.
     """
     n = df.count()
     cut_test = int(n * (1 - test_size))
@@ -136,11 +136,9 @@ def feature_importance(model: PipelineModel, features: list[str], top: int = 20)
 def stratified_folds(df: DataFrame, label: str = "winner", k: int = 5, seed: int = 42, key: str = "match_id") -> DataFrame:
     """Fold id per row, balanced within each label: rows of a label in hash order are dealt
     round-robin over the folds (position from a running count per label)."""
-    # the hash also provides the (pseudo-time) buckets that split each label across tasks
-    h = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))) \
-          .withColumn("_hts", F.timestamp_seconds(F.pmod(F.col("_h"), F.lit(1_000_000))))
-    pos = running(h, [label], ["_hts", "_h", key], [Agg("_pos", "count", F.lit(1))], bucket_seconds=1000)
-    return pos.withColumn("fold", F.pmod(F.col("_pos"), F.lit(k)).cast("int")).drop("_h", "_hts", "_pos")
+    h = df.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
+    pos = running(h, [label], ["_h", key], [Agg("_pos", "count", F.lit(1))])
+    return pos.withColumn("fold", F.pmod(F.col("_pos"), F.lit(k)).cast("int")).drop("_h", "_pos")
 
 
 def save_model(model: PipelineModel, path: str) -> None:

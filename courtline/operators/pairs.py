@@ -6,39 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params
-from pyspark.sql import Window
+from .running import Agg, running
 
-from .running import AUTO, Agg, key_rows_bound, resolve_bucket, running, MAX_KEY_ROWS, DEFAULT_BUCKET_SECONDS
 
-
-def pit_h2h(matches: DataFrame, *, match_id="match_id", ts="tourney_date", winner="winner_id", loser="loser_id",
-            bucket_seconds=AUTO) -> DataFrame:
+def pit_h2h(matches: DataFrame, *, match_id="match_id", ts="tourney_date", winner="winner_id", loser="loser_id") -> DataFrame:
     """Earlier wins of each side in meetings of the same unordered pair, counting only
     meetings on strictly earlier dates (same-day meetings do not count).
 
     p1 = smaller id. Instead of scanning all earlier meetings per row (quadratic in the
     pair's history), every match emits a probe at its own time that sorts before the real
-    rows of that instant; a bucketed running sum at the probe is the answer.
+    rows of that instant; a running sum at the probe is the answer.
+    A meeting without a date has no history and is none.
     Returns ``match_id, p1_id, p2_id, h2h_p1_wins, h2h_p2_wins``.
     """
     base = matches.select(F.col(match_id).alias("_mid"), F.col(ts).alias("_t"),
                           F.least(winner, loser).alias("p1_id"), F.greatest(winner, loser).alias("p2_id"),
                           F.col(winner).alias("_w"))
-    bucket_seconds = resolve_bucket(base, ["p1_id", "p2_id"], bucket_seconds, ts="_t")
-    if bucket_seconds is None:
-        w = Window.partitionBy("p1_id", "p2_id").orderBy(F.unix_micros("_t")).rangeBetween(Window.unboundedPreceding, -1)
-        a = (F.col("_w") == F.col("p1_id")).cast("int")
-        b = (F.col("_w") == F.col("p2_id")).cast("int")
-        return base.select(F.col("_mid").alias(match_id), "p1_id", "p2_id",
-                           F.coalesce(F.sum(a).over(w), F.lit(0)).cast("bigint").alias("h2h_p1_wins"),
-                           F.coalesce(F.sum(b).over(w), F.lit(0)).cast("bigint").alias("h2h_p2_wins"))
     real = base.select("p1_id", "p2_id", "_t", "_mid", F.lit(1).alias("_kind"),
                        (F.col("_w") == F.col("p1_id")).cast("int").alias("_a"),
                        (F.col("_w") == F.col("p2_id")).cast("int").alias("_b"))
     probe = base.select("p1_id", "p2_id", "_t", "_mid", F.lit(0).alias("_kind"),
                         F.lit(None).cast("int").alias("_a"), F.lit(None).cast("int").alias("_b"))
     run = running(real.unionByName(probe), ["p1_id", "p2_id"], ["_t", "_kind", "_mid"],
-                  [Agg("_sa", "sum", F.col("_a")), Agg("_sb", "sum", F.col("_b"))], bucket_seconds=bucket_seconds)
+                  [Agg("_sa", "sum", F.col("_a")), Agg("_sb", "sum", F.col("_b"))])
     return (run.where(F.col("_kind") == 0)
             .select(F.col("_mid").alias(match_id), "p1_id", "p2_id",
                     F.coalesce(F.col("_sa"), F.lit(0)).cast("bigint").alias("h2h_p1_wins"),
@@ -46,22 +36,18 @@ def pit_h2h(matches: DataFrame, *, match_id="match_id", ts="tourney_date", winne
 
 
 def asof_join(left: DataFrame, right: DataFrame, *, left_key: str, left_ts: str, left_id: str,
-              right_key: str, right_ts: str, right_id: str, values: list[str], inclusive: bool = True,
-              bucket_seconds=AUTO) -> DataFrame:
+              right_key: str, right_ts: str, right_id: str, values: list[str], inclusive: bool = True) -> DataFrame:
     """Backward as-of join: for each left row, ``values`` of the latest right row of the
     same key with ``right_ts ≤ left_ts`` (``<`` when not ``inclusive``). Right rows with
     equal timestamps resolve to the one with the largest ``right_id``.
 
-    Both sides are unioned into one timeline per key and a bucketed running "last non-null"
-    carries the latest right values forward — O(n log n), left row count preserved, and a
-    hot key is split by time bucket instead of forming a range join's pair product.
+    Both sides are unioned into one timeline per key and a running "last non-null" carries the
+    latest right values forward — O(n log n), left row count preserved, and a hot key (on either
+    side) is cut like any other instead of forming a range join's pair product.
     Returns the left columns plus ``values`` (NULL when no earlier right row).
     """
     lcols = left.columns
     lk = F.col(left_key).alias("_k")
-    if bucket_seconds == AUTO:
-        keys = left.select(F.col(left_key).alias("_k")).unionByName(right.select(F.col(right_key).alias("_k")))
-        bucket_seconds = None if key_rows_bound(keys, ["_k"]) <= MAX_KEY_ROWS else DEFAULT_BUCKET_SECONDS
     # right rows sort before left rows at the same instant for an inclusive match
     r_kind, l_kind = (0, 1) if inclusive else (1, 0)
     l = left.select(lk, F.col(left_ts).alias("_t"), F.lit(l_kind).alias("_kind"),
@@ -74,17 +60,15 @@ def asof_join(left: DataFrame, right: DataFrame, *, left_key: str, left_ts: str,
                      *[F.col(v).alias(f"_r_{v}") for v in values])
     # carry one struct so that all values come from the same right row
     both = l.unionByName(r).withColumn("_rv", F.when(F.col("_kind") == r_kind, F.struct(*[F.col(f"_r_{v}") for v in values])))
-    run = running(both, ["_k"], ["_t", "_kind", "_oid"], [Agg("_last", "last", F.col("_rv"))],
-                  bucket_seconds=bucket_seconds)
+    run = running(both, ["_k"], ["_t", "_kind", "_oid"], [Agg("_last", "last", F.col("_rv"))])
     out = run.where(F.col("_kind") == l_kind)
     return out.select("_left.*", *[F.col(f"_last._r_{v}").alias(v) for v in values])
 
 
 def asof_rank_join(left: DataFrame, rankings: DataFrame, *, player="player_id", date="tourney_date", left_id="match_id",
-                   default_rank: int = params.DEFAULT_PLAYER_RANK, out="rank",
-                   bucket_seconds=AUTO) -> DataFrame:
+                   default_rank: int = params.DEFAULT_PLAYER_RANK, out="rank") -> DataFrame:
     """Latest ranking with ``ranking_date ≤ date`` for each (player, date); default rank when none."""
     j = asof_join(left, rankings.select("player", "ranking_date", "event_id", "rank"), left_key=player, left_ts=date,
                   left_id=left_id, right_key="player", right_ts="ranking_date", right_id="event_id",
-                  values=["rank"], inclusive=True, bucket_seconds=bucket_seconds)
+                  values=["rank"], inclusive=True)
     return j.withColumn(out, F.coalesce(F.col("rank"), F.lit(default_rank).cast("bigint")))

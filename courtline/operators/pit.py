@@ -4,51 +4,44 @@ Every feature of a row only sees rows strictly before it in the key's total orde
 ``(ts, row_id)`` — a feature at time t is unchanged when rows at or after t are removed.
 A player's first row gets 0 (``min_periods_1`` + fill).
 
-Strategy per call (``bucket_seconds='auto'``): one cheap aggregate measures the largest key
-group; when it is proven to fit one task the feature is a plain window (one shuffle),
-otherwise it goes through the bucketed running aggregates of ``courtline.operators.running``
-so a hot player is split by time bucket instead of becoming one task. Both give identical
-results (tested on a hot-key fixture).
+Every feature goes through the running aggregates of ``courtline.operators.running``: one plan
+for every input, which splits a hot player wherever its rows are cut, and no job at plan time.
+A row without a time has no history and is none for other rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .running import AUTO, DAY_SECONDS, Agg, counts_in_spans, resolve_bucket, rows_before, running
+from .running import DAY_SECONDS, Agg, counts_in_spans, previous, rows_before, running
 
 
 def _mean_or_zero(s: Column, c: Column) -> Column:
     return F.coalesce(F.try_divide(s.cast("double"), c.cast("double")), F.lit(0.0))
 
 
-def pit_expanding_mean(df: DataFrame, keys: list[str], ts: str, row_id: str, value: str, out: str, *,
-                       bucket_seconds=AUTO) -> DataFrame:
+def pit_expanding_mean(df: DataFrame, keys: list[str], ts: str, row_id: str, value: str, out: str) -> DataFrame:
     """mean(value) over all earlier rows of the key (``pit_win_perc``, ``pit_surface_win_perc``)."""
-    bucket_seconds = resolve_bucket(df, keys, bucket_seconds, ts=ts)
-    r = running(df, keys, [ts, row_id], [Agg("_pe_s", "sum", F.col(value)), Agg("_pe_c", "count", F.col(value))],
-                bucket_seconds=bucket_seconds)
+    r = running(df, keys, [ts, row_id], [Agg("_pe_s", "sum", F.col(value)), Agg("_pe_c", "count", F.col(value))])
     return r.withColumn(out, _mean_or_zero(F.col("_pe_s"), F.col("_pe_c"))).drop("_pe_s", "_pe_c")
 
 
-def pit_win_perc(df: DataFrame, *, player="player_id", ts="ts", row_id="row_id", won="won", out="win_perc",
-                 bucket_seconds=AUTO) -> DataFrame:
-    return pit_expanding_mean(df, [player], ts, row_id, won, out, bucket_seconds=bucket_seconds)
+def pit_win_perc(df: DataFrame, *, player="player_id", ts="ts", row_id="row_id", won="won", out="win_perc") -> DataFrame:
+    return pit_expanding_mean(df, [player], ts, row_id, won, out)
 
 
 def pit_surface_win_perc(df: DataFrame, *, player="player_id", surface="surface", ts="ts", row_id="row_id",
-                         won="won", out="surface_win_perc", bucket_seconds=AUTO) -> DataFrame:
-    return pit_expanding_mean(df, [player, surface], ts, row_id, won, out, bucket_seconds=bucket_seconds)
+                         won="won", out="surface_win_perc") -> DataFrame:
+    return pit_expanding_mean(df, [player, surface], ts, row_id, won, out)
 
 
 def pit_rolling_mean(df: DataFrame, n: int, *, player="player_id", ts="ts", row_id="row_id", won="won",
-                     out: str | None = None, bucket_seconds=AUTO) -> DataFrame:
+                     out: str | None = None) -> DataFrame:
     """mean(won) over the last ``n`` earlier rows (``pit_form_10``, ``pit_rolling_20/50``)."""
     out = out or f"rolling_win_perc_{n}"
-    bucket_seconds = resolve_bucket(df, [player], bucket_seconds, ts=ts)
-    r = rows_before(df, [player], [ts, row_id], won, n, prefix="_rm", bucket_seconds=bucket_seconds)
-    return r.withColumn(out, _mean_or_zero(F.col("_rm_sum"), F.col("_rm_cnt"))).drop("_rm_pos", "_rm_sum", "_rm_cnt")
+    r = rows_before(df, [player], [ts, row_id], won, [n], prefix="_rm")
+    return r.select(*df.columns, _mean_or_zero(F.col(f"_rm_sum_{n}"), F.col(f"_rm_cnt_{n}")).alias(out))
 
 
 def pit_form_10(df: DataFrame, **kw) -> DataFrame:
@@ -56,14 +49,13 @@ def pit_form_10(df: DataFrame, **kw) -> DataFrame:
 
 
 def pit_load(df: DataFrame, *, player="player_id", ts="ts", row_id="row_id", sets="sets_played",
-             days=(7, 14), bucket_seconds=AUTO) -> DataFrame:
+             days=(7, 14)) -> DataFrame:
     """Matches and sets in ``[t - d days, t)`` for each d (``pit_matches_7d/14d``, ``pit_sets_7d/14d``).
 
     Returns ``row_id, matches_last_<d>_days, sets_played_last_<d>_days``.
     """
     spans = {str(d): d * DAY_SECONDS for d in days}
-    bucket_seconds = resolve_bucket(df, [player], bucket_seconds, ts=ts)
-    r = counts_in_spans(df, [player], ts, row_id, spans, {"sets": F.col(sets)}, bucket_seconds=bucket_seconds)
+    r = counts_in_spans(df, [player], ts, row_id, spans, {"sets": F.col(sets)})
     cols = [F.col(row_id)]
     for d in days:
         cols += [F.col(f"cnt_{d}").alias(f"matches_last_{d}_days"), F.col(f"sets_{d}").alias(f"sets_played_last_{d}_days")]
@@ -71,76 +63,30 @@ def pit_load(df: DataFrame, *, player="player_id", ts="ts", row_id="row_id", set
 
 
 def lagged_range(df: DataFrame, *, player="player_id", ts="ts", row_id="row_id", sets="sets_played",
-                 days=(7, 14), bucket_seconds=AUTO) -> DataFrame:
+                 days=(7, 14)) -> DataFrame:
     """Literal variant of the day-range load: the value of ``(t - d, t]`` (later peers
     excluded) *as of the player's previous row* — i.e. it lags by one row (``lagged_range_*``).
 
-    The lag is an equi-join on (player, position) instead of a per-player window.
+    Each row sends its value to the next position of its player, so no window holds a player.
     """
     spans = {str(d): d * DAY_SECONDS for d in days}
-    bucket_seconds = resolve_bucket(df, [player], bucket_seconds, ts=ts)
-    v = counts_in_spans(df, [player], ts, row_id, spans, {"sets": F.col(sets)}, through_row=True,
-                        bucket_seconds=bucket_seconds)
-    if bucket_seconds is None:
-        w = Window.partitionBy(player).orderBy(ts, row_id)
-        j = df.select(player, ts, row_id).join(v, row_id)
-        cols = [F.col(row_id)]
-        for d in days:
-            cols += [F.coalesce(F.lag(f"cnt_{d}").over(w), F.lit(0)).cast("bigint").alias(f"lagged_matches_{d}_days"),
-                     F.coalesce(F.lag(f"sets_{d}").over(w), F.lit(0)).alias(f"lagged_sets_{d}_days")]
-        return j.select(*cols)
-    pos = running(df.select(player, ts, row_id), [player], [ts, row_id], [Agg("_pos", "count", F.lit(1))],
-                  bucket_seconds=bucket_seconds)
-    cur = pos.join(v, row_id)
-    prev = cur.select(F.col(player).alias("_pp"), (F.col("_pos") + 1).alias("_ppos"),
-                      *[F.col(f"cnt_{d}").alias(f"_pc_{d}") for d in days],
-                      *[F.col(f"sets_{d}").alias(f"_ps_{d}") for d in days])
-    j = pos.join(prev, (pos[player].eqNullSafe(prev["_pp"])) & (pos["_pos"] == prev["_ppos"]), "left")
+    v = counts_in_spans(df, [player], ts, row_id, spans, {"sets": F.col(sets)}, through_row=True)
+    j = previous(df.select(player, ts, row_id).join(v, row_id), [player], [ts, row_id], row_id,
+                 [f"{k}_{d}" for d in days for k in ("cnt", "sets")])
     cols = [F.col(row_id)]
     for d in days:
-        cols += [F.coalesce(F.col(f"_pc_{d}"), F.lit(0)).cast("bigint").alias(f"lagged_matches_{d}_days"),
-                 F.coalesce(F.col(f"_ps_{d}"), F.lit(0)).alias(f"lagged_sets_{d}_days")]
+        cols += [F.coalesce(F.col(f"cnt_{d}"), F.lit(0)).cast("bigint").alias(f"lagged_matches_{d}_days"),
+                 F.coalesce(F.col(f"sets_{d}"), F.lit(0)).alias(f"lagged_sets_{d}_days")]
     return j.select(*cols)
 
 
-def running_peak(df: DataFrame, keys: list[str], ts: str, row_id: str, value: str, out: str = "peak", *,
-                 bucket_seconds=AUTO) -> DataFrame:
+def running_peak(df: DataFrame, keys: list[str], ts: str, row_id: str, value: str, out: str = "peak") -> DataFrame:
     """Running max of ``value`` including the current row."""
-    bucket_seconds = resolve_bucket(df, keys, bucket_seconds, ts=ts)
-    return running(df, keys, [ts, row_id], [Agg(out, "max", F.col(value))], include_current=True,
-                   bucket_seconds=bucket_seconds)
-
-
-def plain_window_features(df: DataFrame, *, player="player_id", ts="ts", row_id="row_id", won="won",
-                          surface="surface", sets="sets_played") -> DataFrame:
-    """Reference formulation with ordinary windows (one partition per player).
-
-    Kept as the cross-check for the bucketed operators and for inputs known to be unskewed.
-    """
-    w = Window.partitionBy(player).orderBy(ts, row_id)
-    ws = Window.partitionBy(player, surface).orderBy(ts, row_id)
-    micros = Window.partitionBy(player).orderBy(F.unix_micros(F.col(ts)))
-    day = 86_400_000_000
-
-    def rows(n):
-        return w.rowsBetween(-n, -1)
-    return df.select(
-        "*",
-        F.coalesce(F.avg(won).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("win_perc"),
-        F.coalesce(F.avg(won).over(rows(10)), F.lit(0.0)).alias("form_10"),
-        F.coalesce(F.avg(won).over(rows(20)), F.lit(0.0)).alias("rolling_win_perc_20"),
-        F.coalesce(F.avg(won).over(rows(50)), F.lit(0.0)).alias("rolling_win_perc_50"),
-        F.coalesce(F.avg(won).over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("surface_win_perc"),
-        F.count(F.lit(1)).over(micros.rangeBetween(-7 * day, -1)).alias("matches_last_7_days"),
-        F.count(F.lit(1)).over(micros.rangeBetween(-14 * day, -1)).alias("matches_last_14_days"),
-        F.coalesce(F.sum(sets).over(micros.rangeBetween(-7 * day, -1)), F.lit(0)).alias("sets_played_last_7_days"),
-        F.coalesce(F.sum(sets).over(micros.rangeBetween(-14 * day, -1)), F.lit(0)).alias("sets_played_last_14_days"),
-    )
+    return running(df, keys, [ts, row_id], [Agg(out, "max", F.col(value))], include_current=True)
 
 
 def history_before(queries: DataFrame, history: DataFrame, *, key: str, ts: str, qid: str,
-                   values: dict[str, Column], spans: dict[str, int] | None = None,
-                   bucket_seconds=AUTO) -> DataFrame:
+                   values: dict[str, Column], spans: dict[str, int] | None = None) -> DataFrame:
     """Live lookups (``live_player_agg`` / ``live_load_agg``): for each query row (key, ts)
     the count and sums of the key's history rows strictly before ts, and per span d the
     same over ``[ts - d, ts)``.
@@ -163,10 +109,8 @@ def history_before(queries: DataFrame, history: DataFrame, *, key: str, ts: str,
                       F.lit(None).cast("int").alias("_real"),
                       *[F.lit(None).cast(real.schema[f"_x_{n}"].dataType).alias(f"_x_{n}") for n in values]))
     both = real.unionByName(probes)
-    if bucket_seconds == AUTO:
-        bucket_seconds = resolve_bucket(history.select(F.col(key).alias("_k")), ["_k"], AUTO)
     aggs = [Agg("_n", "count", F.col("_real"))] + [Agg(f"_s_{n}", "sum", F.col(f"_x_{n}")) for n in values]
-    run = running(both, ["_k"], ["_t", "_kind", "_q", "_span"], aggs, bucket_seconds=bucket_seconds)
+    run = running(both, ["_k"], ["_t", "_kind", "_q", "_span"], aggs)
     at = run.where(F.col("_kind") == kind_probe)
 
     def val(col, span):

@@ -1,66 +1,30 @@
-"""Skew-safe running aggregates ("everything before this row, per key").
+"""Running aggregates ("everything before this row, per key") on one plan for every input.
 
-A plain ``Window.partitionBy(key)`` puts every row of a key in one task; one player holding
-a third of the data would then be one task holding a third of the data. ``running`` splits
-each key's timeline into time buckets instead:
+A plain ``Window.partitionBy(key)`` puts every row of a key in one task. ``running`` cuts the
+order itself instead, in one straight plan without a job at plan time:
 
-1. partial aggregate per (key, bucket) — map-side combined, small;
-2. prefix over the buckets of each key on that small table (one row per bucket);
-3. a window inside each (key, bucket) — the only per-row sort, bounded by one bucket;
-4. join the bucket offsets back on (key, bucket) — the row side is already hash-partitioned
-   on that key by step 3, so only the small offset table moves.
+1. the rows are range-partitioned by (key, order): Spark samples the bounds, so partitions are
+   even, and a hot key, even one with a single timestamp, lies in as many as it fills;
+2. a window inside each (partition, key) gives the aggregate over the rows of that partition;
+3. only the last key of a partition can go on in later ones: its last row sends the partition's
+   total to each of them, at most P²/2 rows for P partitions, however large the table;
+4. a window over (key, partition) adds up the totals that arrived.
 
-All supported aggregates are associative, so offset ⊕ within equals the plain window.
-``bucket_seconds=None`` falls back to the plain window (used to cross-check).
+The aggregates are associative, so carried ⊕ within equals the plain window. Every step reads its
+predecessor only; nothing is joined to a second reading whose sampled bounds could differ.
+
+A row whose first order column is NULL has no place in time: it counts for no other row and has
+no earlier rows itself.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY_SECONDS = 86_400
-DEFAULT_BUCKET_SECONDS = DAY_SECONDS
-AUTO = "auto"
-# rows one task may sort and window comfortably (a few hundred MB of narrow rows)
-MAX_KEY_ROWS = 2_000_000
-
-
-def key_rows_bound(df: DataFrame, keys: list[str]) -> int:
-    """Size of the largest key group: one partial aggregate over the key columns only."""
-    row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("_m")).first()
-    return int(row["_m"] or 0)
-
-
-def resolve_bucket(df: DataFrame, keys: list[str], bucket_seconds, max_key_rows: int = MAX_KEY_ROWS,
-                   ts: str | None = None):
-    """Choose the strategy for a per-key ordered pass.
-
-    ``None`` (one window partition per key) only when the largest key group is proven to fit
-    one task — checked with one cheap aggregate, like a broadcast behind a size check;
-    otherwise the time-bucketed plan that splits hot keys. With ``ts`` given, the same
-    aggregate also measures the hot key's time span and the bucket width is chosen so that
-    a bucket of that key holds about a quarter of ``max_key_rows`` at its average density
-    (between one minute and one day). Streaming input and key-less (global) orders always
-    take the bucketed plan.
-    """
-    if bucket_seconds != AUTO:
-        return bucket_seconds
-    if df.isStreaming or not keys:
-        return DEFAULT_BUCKET_SECONDS
-    if ts is None:
-        return None if key_rows_bound(df, keys) <= max_key_rows else DEFAULT_BUCKET_SECONDS
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                                    (F.max(F.unix_micros(F.col(ts))) - F.min(F.unix_micros(F.col(ts)))).alias("_span"))
-    top = per_key.orderBy(F.col("_n").desc()).select("_n", "_span").first()
-    if top is None or top["_n"] <= max_key_rows:
-        return None
-    span_s = (top["_span"] or 0) / 1e6
-    width = span_s * (max_key_rows / 4) / top["_n"]
-    return int(min(max(width, 60), DAY_SECONDS))
 
 
 @dataclass(frozen=True)
@@ -74,188 +38,171 @@ def _col(c):
     return F.col(c) if isinstance(c, str) else c
 
 
-def time_bucket(ts: str | Column, bucket_seconds: int) -> Column:
-    return F.floor(F.unix_micros(_col(ts)) / F.lit(bucket_seconds * 1_000_000)).cast("bigint")
+def _fold(kind: str, v: Column) -> Column:
+    """The aggregate function of a kind over values in order."""
+    if kind == "last":
+        return F.last(v, ignorenulls=True)
+    return {"count": F.count, "sum": F.sum, "max": F.max, "min": F.min}[kind](v)
 
 
-def _window_agg(kind: str, v: Column, order_struct: Column | None = None) -> Column:
+def _combine(kind: str, earlier: Column, later: Column) -> Column:
+    """Two adjacent partial results as one; NULL stands for no rows."""
     if kind == "count":
-        return F.count(v)
+        return F.coalesce(earlier, F.lit(0)) + F.coalesce(later, F.lit(0))
     if kind == "sum":
-        return F.sum(v)
-    if kind == "max":
-        return F.max(v)
-    if kind == "min":
-        return F.min(v)
+        return F.coalesce(earlier + later, earlier, later)
     if kind == "last":
-        return F.last(v, ignorenulls=True)
-    raise ValueError(f"unknown running aggregate {kind!r}")
+        return F.coalesce(later, earlier)
+    return (F.greatest if kind == "max" else F.least)(earlier, later)
 
 
-def _bucket_agg(kind: str, v: Column, order_struct: Column) -> Column:
-    if kind == "last":
-        return F.max_by(v, F.when(v.isNotNull(), order_struct))
-    return _window_agg(kind, v)
+def _own(kind: str, v: Column) -> Column:
+    """A single row's value as a partial result."""
+    return v.isNotNull().cast("bigint") if kind == "count" else v
 
 
-def _offset_agg(kind: str, b: Column) -> Column:
-    if kind in ("count", "sum"):
-        return F.sum(b)
+def _arrived(kind: str, total: Column, source: Column, same) -> Column:
+    """Totals of several earlier partitions as one, whatever order they arrive in."""
     if kind == "last":
-        return F.last(b, ignorenulls=True)
-    return _window_agg(kind, b)
-
-
-def _combine(kind: str, off: Column, within: Column) -> Column:
-    if kind == "count":
-        return (F.coalesce(off, F.lit(0)) + F.coalesce(within, F.lit(0))).cast("bigint")
-    if kind == "sum":
-        return F.when(off.isNull() & within.isNull(), F.lit(None)).otherwise(
-            F.coalesce(off, F.lit(0)) + F.coalesce(within, F.lit(0)))
-    if kind == "max":
-        return F.greatest(off, within)
-    if kind == "min":
-        return F.least(off, within)
-    return F.coalesce(within, off)  # last
+        return F.max(F.when(total.isNotNull(), F.struct(source.alias("source"), total.alias("total")))).over(same)["total"]
+    return (F.sum(total) if kind in ("count", "sum") else _fold(kind, total)).over(same)
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], aggs: list[Agg], *,
-            include_current: bool = False, bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], aggs: list[Agg], *, include_current: bool = False) -> DataFrame:
     """Add one column per ``Agg``: the aggregate over the earlier rows of the same key.
 
-    ``order`` must be a total order inside each key, and its first column a timestamp (the
-    bucket is derived from it). Rows are "earlier" by that order; ``include_current`` adds
-    the row itself. ``count`` of no rows is 0; other aggregates of no rows are NULL.
+    ``order`` must be a total order inside each key (rows that tie in it may swap their places).
+    Rows are "earlier" by that order; ``include_current`` adds the row itself. ``count`` of no
+    rows is 0; other aggregates of no rows are NULL. No keys: one timeline of all rows.
     """
-    hi = 0 if include_current else -1
-    vals = {f"_v_{a.name}": a.expr for a in aggs}
-    base = df.withColumns(vals)
-    order_cols = [F.col(c) for c in order]
-
-    if bucket_seconds is None:
-        w = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, hi)
-        out = base.withColumns({a.name: _combine(a.kind, F.lit(None), _window_agg(a.kind, F.col(f"_v_{a.name}")).over(w))
-                                for a in aggs})
-        return out.drop(*vals.keys())
-
-    base = base.withColumn("_bk", time_bucket(order[0], bucket_seconds))
-    order_struct = F.struct(*order_cols)
-    per_bucket = base.groupBy(*keys, "_bk").agg(
-        *[_bucket_agg(a.kind, F.col(f"_v_{a.name}"), order_struct).alias(f"_b_{a.name}") for a in aggs])
-    wk = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(*[F.col(k).alias(f"_ok_{k}") for k in keys], F.col("_bk").alias("_obk"),
-                                *[_offset_agg(a.kind, F.col(f"_b_{a.name}")).over(wk).alias(f"_o_{a.name}")
-                                  for a in aggs])
-
-    ww = Window.partitionBy(*keys, "_bk").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, hi)
-    within = base.withColumns({f"_i_{a.name}": _window_agg(a.kind, F.col(f"_v_{a.name}")).over(ww) for a in aggs})
-    cond = reduce(lambda x, y: x & y, [within[k].eqNullSafe(offsets[f"_ok_{k}"]) for k in keys],
-                  within["_bk"].eqNullSafe(offsets["_obk"]))  # rows without a time form a bucket
-    joined = within.join(offsets, cond, "inner")
-    out = joined.withColumns({a.name: _combine(a.kind, F.col(f"_o_{a.name}"), F.col(f"_i_{a.name}")) for a in aggs})
-    drop = list(vals.keys()) + ["_bk", "_obk"] + [f"_ok_{k}" for k in keys] \
-        + [f"_o_{a.name}" for a in aggs] + [f"_i_{a.name}" for a in aggs]
-    return out.drop(*drop)
-
-
-def rows_before(df: DataFrame, keys: list[str], order: list[str], value: str | Column, n: int, *,
-                prefix: str = "_rb", bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> DataFrame:
-    """Sum and non-null count of ``value`` over the ``n`` rows before each row (per key).
-
-    ROWS frames are positional, so they cannot be bucketed by time directly. Instead: the
-    running count gives each row its exact position ``pos`` inside its key, the running sum
-    gives S(pos); the frame sum is S(pos) − S(pos − n). S(pos − n) comes from an equi-join on
-    (key, pos): every (key, pos) is unique, so that join has no hot key whatever the skew.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    timed = F.col(order[0]).isNotNull()
+    base = df.withColumns({f"_v_{a.name}": F.when(timed, a.expr) for a in aggs} | {f"_u_{a.name}": a.expr for a in aggs})
+    ranged = base.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
+
+    in_part = Window.partitionBy("_part").orderBy(*keys, *order)
+    before = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = ranged.withColumns({"_last": F.lead("_part").over(in_part).isNull()}
+                                | {f"_w_{a.name}": _fold(a.kind, F.col(f"_v_{a.name}")).over(before) for a in aggs})
+
+    to = F.when(F.col("_last") & (F.col("_part") < parts - 1), F.sequence(F.col("_part") + 1, F.lit(parts - 1)))
+    here = F.array(F.struct(F.col("_part").alias("at"), F.lit(None).cast("int").alias("source")))
+    sent = F.transform(F.coalesce(to, F.array().cast("array<int>")), lambda p: F.struct(p.alias("at"), F.col("_part").alias("source")))
+    kept = [c for c in base.columns if c not in keys]
+    is_row = F.col("_go.source").isNull()
+    rows = within.withColumn("_go", F.explode(F.concat(here, sent))).select(
+        *keys, *[F.when(is_row, F.col(c)).alias(c) for c in kept], "_go",
+        *[F.when(is_row, F.col(f"_w_{a.name}")).alias(f"_w_{a.name}") for a in aggs],
+        *[F.when(~is_row, _combine(a.kind, F.col(f"_w_{a.name}"), _own(a.kind, F.col(f"_v_{a.name}")))).alias(f"_t_{a.name}")
+          for a in aggs])
+
+    same = Window.partitionBy(*keys, "_go.at")
+    rows = rows.withColumns({f"_c_{a.name}": _arrived(a.kind, F.col(f"_t_{a.name}"), F.col("_go.source"), same) for a in aggs})
+    out = rows.where(F.col("_go.source").isNull())
+
+    def result(a: Agg) -> Column:
+        earlier = F.when(timed, _combine(a.kind, F.col(f"_c_{a.name}"), F.col(f"_w_{a.name}")))
+        if include_current or a.kind == "count":
+            own = _own(a.kind, F.col(f"_u_{a.name}")) if include_current else F.lit(0).cast("bigint")
+            return _combine(a.kind, earlier, own)
+        return earlier
+
+    return out.select(*df.columns, *[result(a).alias(a.name) for a in aggs])
+
+
+def rows_before(df: DataFrame, keys: list[str], order: list[str], value: str | Column, sizes: list[int], *,
+                prefix: str = "_rb") -> DataFrame:
+    """Per row: position in its key (``<prefix>_pos``), sum and non-null count of ``value`` over all
+    earlier rows (``_sum``, ``_cnt``) and over the ``n`` rows before it for each n of ``sizes``
+    (``_sum_<n>``, ``_cnt_<n>``).
+
+    A row at position p with running sum S(p) sends S(p) to position p + n of its key; a row that
+    gets one has the frame sum S(p) − S(p − n), another has fewer than n rows before it. Each
+    (key, position) holds one row and one value per n, so no group is hot, and all sizes share
+    one shuffle.
     """
-    v = _col(value)
-    if bucket_seconds is None:
-        w = Window.partitionBy(*keys).orderBy(*[F.col(c) for c in order])
-        return df.withColumns({f"{prefix}_pos": F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                               f"{prefix}_sum": F.coalesce(F.sum(v).over(w.rowsBetween(-n, -1)), F.lit(0)),
-                               f"{prefix}_cnt": F.count(v).over(w.rowsBetween(-n, -1))})
-    r = running(df, keys, order, [Agg(f"{prefix}_pos", "count", F.lit(1)),
-                                  Agg(f"{prefix}_s", "sum", v),
-                                  Agg(f"{prefix}_c", "count", v)], bucket_seconds=bucket_seconds)
-    lag = r.select(*[F.col(k).alias(f"_lk_{k}") for k in keys],
-                   (F.col(f"{prefix}_pos") + n).alias("_lpos"),
-                   F.col(f"{prefix}_s").alias("_ls"), F.col(f"{prefix}_c").alias("_lc"))
-    cond = reduce(lambda x, y: x & y, [r[k].eqNullSafe(lag[f"_lk_{k}"]) for k in keys],
-                  r[f"{prefix}_pos"] == lag["_lpos"])
-    j = r.join(lag, cond, "left")
-    return (j.withColumn(f"{prefix}_sum", F.coalesce(F.col(f"{prefix}_s"), F.lit(0)) - F.coalesce(F.col("_ls"), F.lit(0)))
-             .withColumn(f"{prefix}_cnt", F.col(f"{prefix}_c") - F.coalesce(F.col("_lc"), F.lit(0)))
-             .drop(*[f"_lk_{k}" for k in keys], "_lpos", "_ls", "_lc", f"{prefix}_s", f"{prefix}_c"))
+    timed = F.col(order[0]).isNotNull()
+    r = running(df, keys, order, [Agg("_pos", "count", F.lit(1)), Agg("_s", "sum", _col(value)), Agg("_c", "count", _col(value))])
+    # rows without a time stand at position -1, told apart by a number
+    r = r.withColumns({"_pos": F.when(timed, F.col("_pos")).otherwise(F.lit(-1)),
+                       "_odd": F.when(~timed, F.monotonically_increasing_id())})
+    targets = F.array(F.struct(F.lit(0).alias("n"), F.col("_pos").alias("at")),
+                      *[F.struct(F.lit(n).alias("n"), F.when(timed, F.col("_pos") + n).alias("at")) for n in sizes])
+    sent = r.withColumn("_go", F.explode(F.filter(targets, lambda g: g["at"].isNotNull())))
+    is_row = F.col("_go.n") == 0
+    others = [c for c in df.columns if c not in keys]
+    row = [F.first(F.when(is_row, F.col(c)), ignorenulls=True).alias(f"_r_{c}") for c in [*others, "_s", "_c"]]
+    lagged = [F.max(F.when(F.col("_go.n") == n, F.col(c))).alias(f"{c}_{n}") for n in sizes for c in ("_s", "_c")]
+    each = sent.groupBy(*keys, F.col("_go.at").alias("_pos"), "_odd").agg(
+        F.max(is_row.cast("int")).alias("_here"), *row, *lagged).where("_here = 1")
+    zero = F.lit(0)
+    outs = [F.greatest(F.col("_pos"), zero).alias(f"{prefix}_pos"), F.coalesce("_r__s", zero).alias(f"{prefix}_sum"),
+            F.col("_r__c").alias(f"{prefix}_cnt")]
+    for n in sizes:
+        outs += [(F.coalesce("_r__s", zero) - F.coalesce(f"_s_{n}", zero)).alias(f"{prefix}_sum_{n}"),
+                 (F.col("_r__c") - F.coalesce(f"_c_{n}", zero)).alias(f"{prefix}_cnt_{n}")]
+    return each.select(*keys, *[F.col(f"_r_{c}").alias(c) for c in others], *outs).select(*df.columns, *[
+        f"{prefix}_{k}" for k in ["pos", "sum", "cnt"] + [f"{k}_{n}" for n in sizes for k in ("sum", "cnt")]])
 
 
 def counts_in_spans(df: DataFrame, keys: list[str], ts: str, row_id: str, spans: dict[str, int],
-                    sums: dict[str, Column] | None = None, *, through_row: bool = False,
-                    bucket_seconds: int | None = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                    sums: dict[str, Column] | None = None, *, through_row: bool = False) -> DataFrame:
     """Per row: count (and sums) of the key's rows whose ``ts`` lies in a span before the row.
 
     Default: ``[t - span, t)`` — strictly earlier timestamps. With ``through_row``:
     ``(t - span, t]`` restricted to rows up to and including this one in (ts, row_id) order
-    (the shape of a pandas time-offset rolling window, which excludes later peers).
+    (the shape of a pandas time-offset rolling window, which excludes later peers). A row
+    without a time lies in no span and has none.
 
     Implemented as probes on one running pass: each row emits a probe at ``t - span`` per
     span (and one at ``t``); a probe sorts before (or, for exclusive lower ends, after) the
     real rows with the same timestamp, so the running count at a probe counts exactly the
-    rows on the required side. Window value = upper probe − lower probe. No pairs are formed
-    and the running pass is bucketed, so a hot key does not land in one task.
+    rows on the required side. Window value = upper probe − lower probe. No pairs are formed.
     Returns ``row_id`` plus ``cnt_<span>`` and ``<sum>_<span>``.
     """
     sums = sums or {}
     span_us = {k: int(v) * 1_000_000 for k, v in spans.items()}
-    if bucket_seconds is None:
-        return _spans_plain(df, keys, ts, row_id, span_us, sums, through_row)
     lo_kind = 2 if through_row else 0
-    real = df.select(*keys, F.col(ts).alias("_t"), F.col(row_id).alias("_id"), F.lit(1).alias("_kind"),
-                     F.lit(None).cast("string").alias("_span"), F.lit(1).alias("_real"),
-                     *[e.alias(f"_x_{n}") for n, e in sums.items()])
-    specs = [] if through_row else [F.struct(F.lit("0").alias("s"), F.lit(0).cast("bigint").alias("us"))]
-    specs += [F.struct(F.lit(k).alias("s"), F.lit(us).cast("bigint").alias("us")) for k, us in span_us.items()]
-    probes = (df.select(*keys, F.col(ts).alias("_pt"), F.col(row_id).alias("_id"),
-                        F.explode(F.array(*specs)).alias("_p"))
-              .select(*keys, F.timestamp_micros(F.unix_micros("_pt") - F.col("_p.us")).alias("_t"), "_id",
-                      F.when(F.col("_p.s") == "0", F.lit(0)).otherwise(F.lit(lo_kind)).alias("_kind"),
-                      F.col("_p.s").alias("_span"), F.lit(None).cast("int").alias("_real"),
-                      *[F.lit(None).cast(real.schema[f"_x_{n}"].dataType).alias(f"_x_{n}") for n in sums]))
-    both = real.unionByName(probes)
-    aggs = [Agg("_cnt", "count", F.col("_real"))] + [Agg(f"_sx_{n}", "sum", F.col(f"_x_{n}")) for n in sums]
-    run = running(both, keys, ["_t", "_kind", "_id", "_span"], aggs, bucket_seconds=bucket_seconds)
-    if through_row:
-        # the row itself: everything strictly before it in total order, plus itself
-        up_cnt = F.max(F.when(F.col("_kind") == 1, F.col("_cnt") + 1))
-        up_sum = {n: F.max(F.when(F.col("_kind") == 1, F.coalesce(F.col(f"_sx_{n}"), F.lit(0))
-                                  + F.coalesce(F.col(f"_x_{n}"), F.lit(0)))) for n in sums}
-        at = run
+    own = F.struct(F.lit(1).alias("kind"), F.lit(None).cast("string").alias("span"), F.lit(0).cast("bigint").alias("us"))
+    specs = [own] if through_row else [own, F.struct(F.lit(0).alias("kind"), F.lit("0").alias("span"), F.lit(0).cast("bigint").alias("us"))]
+    specs += [F.struct(F.lit(lo_kind).alias("kind"), F.lit(k).alias("span"), F.lit(us).cast("bigint").alias("us"))
+              for k, us in span_us.items()]
+    real = F.col("_p.kind") == 1
+    both = (df.select(*keys, F.col(ts).alias("_ts"), F.col(row_id).alias("_id"), *[e.alias(f"_e_{n}") for n, e in sums.items()],
+                      F.explode(F.array(*specs)).alias("_p"))
+            .select(*keys, (F.unix_micros("_ts") - F.col("_p.us")).alias("_t"), "_id", F.col("_p.kind").alias("_kind"),
+                    F.col("_p.span").alias("_span"), F.when(real, F.lit(1)).alias("_real"),
+                    *[F.when(real, F.col(f"_e_{n}")).alias(f"_x_{n}") for n in sums]))
+    run = running(both, keys, ["_t", "_kind", "_id", "_span"],
+                  [Agg("_cnt", "count", F.col("_real"))] + [Agg(f"_sx_{n}", "sum", F.col(f"_x_{n}")) for n in sums])
+    zero = F.lit(0)
+    if through_row:  # the row itself: everything strictly before it in total order, plus itself
+        at, upper = run, F.col("_kind") == 1
+        up_cnt = F.max(F.when(upper, F.col("_cnt") + F.col("_t").isNotNull().cast("int")))
+        up_sum = {n: F.max(F.when(upper & F.col("_t").isNotNull(), F.coalesce(f"_sx_{n}", zero) + F.coalesce(f"_x_{n}", zero)))
+                  for n in sums}
     else:
-        up_cnt = F.max(F.when(F.col("_span") == "0", F.col("_cnt")))
-        up_sum = {n: F.coalesce(F.max(F.when(F.col("_span") == "0", F.col(f"_sx_{n}"))), F.lit(0)) for n in sums}
-        at = run.where(F.col("_kind") != 1)
+        at, upper = run.where(F.col("_kind") != 1), F.col("_span") == "0"
+        up_cnt = F.max(F.when(upper, F.col("_cnt")))
+        up_sum = {n: F.max(F.when(upper, F.col(f"_sx_{n}"))) for n in sums}
     outs = []
     for k in span_us:
         outs.append((up_cnt - F.max(F.when(F.col("_span") == k, F.col("_cnt")))).alias(f"cnt_{k}"))
         for n in sums:
-            lo = F.coalesce(F.max(F.when(F.col("_span") == k, F.col(f"_sx_{n}"))), F.lit(0))
-            outs.append((up_sum[n] - lo).alias(f"{n}_{k}"))
+            low = F.max(F.when(F.col("_span") == k, F.col(f"_sx_{n}")))
+            outs.append((F.coalesce(up_sum[n], zero) - F.coalesce(low, zero)).alias(f"{n}_{k}"))
     return at.groupBy(F.col("_id").alias(row_id)).agg(*outs)
 
 
-def _spans_plain(df, keys, ts, row_id, span_us, sums, through_row):
-    """Same result as the probe plan with RANGE frames inside one partition per key."""
-    w = Window.partitionBy(*keys).orderBy(F.unix_micros(F.col(ts)))
-    peers_after = Window.partitionBy(*keys, ts).orderBy(row_id).rowsBetween(1, Window.unboundedFollowing)
-    cols = [F.col(row_id)]
-    for k, us in span_us.items():
-        if through_row:
-            frame = w.rangeBetween(-us + 1, 0)
-            cols.append((F.count(F.lit(1)).over(frame) - F.count(F.lit(1)).over(peers_after)).alias(f"cnt_{k}"))
-            for n, e in sums.items():
-                cols.append((F.coalesce(F.sum(e).over(frame), F.lit(0))
-                             - F.coalesce(F.sum(e).over(peers_after), F.lit(0))).alias(f"{n}_{k}"))
-        else:
-            frame = w.rangeBetween(-us, -1)
-            cols.append(F.count(F.lit(1)).over(frame).alias(f"cnt_{k}"))
-            for n, e in sums.items():
-                cols.append(F.coalesce(F.sum(e).over(frame), F.lit(0)).alias(f"{n}_{k}"))
-    return df.select(*cols)
+def previous(df: DataFrame, keys: list[str], order: list[str], row_id: str, values: list[str]) -> DataFrame:
+    """``row_id`` and ``values`` of the key's row just before it in ``order`` (NULL for the first row
+    and for rows without a time): each row sends its values to the next position of its key."""
+    timed = F.col(order[0]).isNotNull()
+    r = running(df.select(*dict.fromkeys([*keys, *order, row_id, *values])), keys, order, [Agg("_pos", "count", F.lit(1))])
+    go = F.explode(F.when(timed, F.array(F.col("_pos"), F.col("_pos") + 1)).otherwise(F.array(F.lit(-1).cast("bigint"))))
+    sent = r.withColumn("_at", go).withColumns({"_here": ~timed | (F.col("_at") == F.col("_pos")),
+                                                "_odd": F.when(~timed, F.col(row_id))})
+    each = sent.groupBy(*keys, "_at", "_odd").agg(
+        F.max(F.when(F.col("_here"), F.struct(F.col(row_id).alias("id")))).alias("_row"),
+        *[F.max(F.when(~F.col("_here"), F.col(v))).alias(v) for v in values])
+    return each.where(F.col("_row").isNotNull()).select(F.col("_row.id").alias(row_id), *values)

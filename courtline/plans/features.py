@@ -1,13 +1,13 @@
 """Match-level feature table: the composition the model and the back-test read.
 
-matches → canonical pair → player-perspective rows → point-in-time features (bucketed
-running aggregates) → one row per match with ``p1_``/``p2_`` columns (conditional
+matches → canonical pair → player-perspective rows → point-in-time features (running
+aggregates) → one row per match with ``p1_``/``p2_`` columns (conditional
 aggregation, one shuffle on match_id) → head-to-head, odds, implied probabilities, diffs,
 optional Elo and rank.
 
-Shuffles on the hot path: perspective rows by (player, day bucket) for the running
-aggregates (a hot player is split by day), the match pivot by match_id, the pair pass by
-(pair, day bucket). No broadcast of anything that grows with the data.
+Shuffles on the hot path: perspective rows by ranges of (player, time) for the running
+aggregates (a hot player is cut like any other), the match pivot by match_id, the pair pass by
+ranges of (pair, time). No broadcast of anything that grows with the data.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.pricing import book_margin, implied_prob
 from ..operators import pairs, pit
 from ..operators.markets import canonical_pair
-from ..operators.running import AUTO, Agg, resolve_bucket, running
+from ..operators.running import rows_before
 
 PLAYER_FEATURES = ["win_perc", "form", "rolling_win_perc_20", "rolling_win_perc_50", "surface_win_perc",
                    "matches_last_7_days", "matches_last_14_days", "sets_played_last_7_days", "sets_played_last_14_days"]
@@ -34,43 +34,29 @@ def player_rows(matches: DataFrame) -> DataFrame:
             .select("match_id", "ts", "surface", "sets_played", "_s.*"))
 
 
-def player_features(rows: DataFrame, *, bucket_seconds=AUTO) -> DataFrame:
+def player_features(rows: DataFrame) -> DataFrame:
     """All point-in-time features of each player row (keyed by ``row_id``).
 
-    Features are computed side by side from the same narrow input and joined on ``row_id``
-    (never chained: a chained self-join would copy the whole upstream plan at every step).
-    One running pass per partition key gives positions and sums for the expanding and all
-    three positional windows; the positional windows then need one equi-join each on
-    (player, position), which reuse the same shuffle.
+    One running pass per player gives positions and sums for the expanding and all three
+    positional windows, which share one more shuffle; surface means and day ranges are passes
+    of their own over the same narrow input, joined on ``row_id``.
     """
     base = rows.select("row_id", "match_id", "player_id", "ts", "surface", "won", "sets_played")
-    bucket_seconds = resolve_bucket(base, ["player_id"], bucket_seconds, ts="ts")
-    if bucket_seconds is None:  # every player fits one task: ordinary windows, one shuffle
-        f = pit.plain_window_features(base, player="player_id", ts="ts", row_id="row_id")
-        return f.withColumnRenamed("form_10", "form").drop("ts", "surface", "won", "sets_played")
-    run = running(base, ["player_id"], ["ts", "row_id"],
-                  [Agg("_pos", "count", F.lit(1)), Agg("_s", "sum", F.col("won")), Agg("_c", "count", F.col("won"))],
-                  bucket_seconds=bucket_seconds)
-    out = run.select("row_id", "match_id", "player_id", "_pos", "_s", "_c",
-                     F.coalesce(F.try_divide(F.col("_s").cast("double"), F.col("_c").cast("double")), F.lit(0.0)).alias("win_perc"))
-    for n, name in ((10, "form"), (20, "rolling_win_perc_20"), (50, "rolling_win_perc_50")):
-        lag = run.select(F.col("player_id").alias("_lp"), (F.col("_pos") + n).alias("_lpos"),
-                         F.col("_s").alias("_ls"), F.col("_c").alias("_lc"))
-        out = out.join(lag, out.player_id.eqNullSafe(lag._lp) & (out._pos == lag._lpos), "left")
-        out = out.withColumn(name, F.coalesce(F.try_divide(
-            (F.coalesce("_s", F.lit(0)) - F.coalesce("_ls", F.lit(0))).cast("double"),
-            (F.col("_c") - F.coalesce("_lc", F.lit(0))).cast("double")), F.lit(0.0))).drop("_lp", "_lpos", "_ls", "_lc")
-    out = out.drop("_pos", "_s", "_c")
-    surf = pit.pit_surface_win_perc(base, player="player_id", ts="ts", row_id="row_id",
-                                    bucket_seconds=bucket_seconds).select("row_id", "surface_win_perc")
-    load = pit.pit_load(base, sets="sets_played", player="player_id", ts="ts", row_id="row_id",
-                        bucket_seconds=bucket_seconds)
-    return out.join(surf, "row_id").join(load, "row_id")
+    sizes = {10: "form", 20: "rolling_win_perc_20", 50: "rolling_win_perc_50"}
+    r = rows_before(base.select("row_id", "match_id", "player_id", "ts", "won"), ["player_id"], ["ts", "row_id"], "won", list(sizes))
+
+    def mean(total: str, n: str):
+        return F.coalesce(F.try_divide(F.col(total).cast("double"), F.col(n).cast("double")), F.lit(0.0))
+
+    out = r.select("row_id", "match_id", "player_id", mean("_rb_sum", "_rb_cnt").alias("win_perc"),
+                   *[mean(f"_rb_sum_{n}", f"_rb_cnt_{n}").alias(name) for n, name in sizes.items()])
+    surf = pit.pit_surface_win_perc(base.select("row_id", "player_id", "surface", "ts", "won")).select("row_id", "surface_win_perc")
+    return out.join(surf, "row_id").join(pit.pit_load(base, sets="sets_played"), "row_id")
 
 
 def build_match_features(matches: DataFrame, *, elo: DataFrame | None = None,
                          rankings: DataFrame | None = None, players: DataFrame | None = None,
-                         bucket_seconds=AUTO, materialize: bool = True) -> DataFrame:
+                         materialize: bool = True) -> DataFrame:
     """``materialize``: write the narrow match table once (reliable checkpoint in the
     session's checkpoint folder) and build every branch from it. Each branch prunes other
     columns, so without this step boundary Spark cannot reuse the upstream exchange and
@@ -82,11 +68,10 @@ def build_match_features(matches: DataFrame, *, elo: DataFrame | None = None,
         matches = cut_lineage(matches)
     m = canonical_pair(matches)
     rows = player_rows(matches)
-    bucket_seconds = resolve_bucket(rows, ["player_id"], bucket_seconds, ts="ts")
-    feats = player_features(rows, bucket_seconds=bucket_seconds)
+    feats = player_features(rows)
     keyed = feats.join(m.select("match_id", "p1_id", "p2_id"), "match_id")
     wide = join_side_features(keyed, PLAYER_FEATURES)
-    h2h = pairs.pit_h2h(matches, bucket_seconds=bucket_seconds).select(
+    h2h = pairs.pit_h2h(matches).select(
         "match_id", F.col("h2h_p1_wins").alias("h2h_p1_wins"), F.col("h2h_p2_wins").alias("h2h_p2_wins"))
     p1_is_w = F.col("winner_id") == F.col("p1_id")
     base = m.select("match_id", "tourney_date", "tourney_name", "surface", "p1_id", "p2_id", "winner",
@@ -108,7 +93,7 @@ def build_match_features(matches: DataFrame, *, elo: DataFrame | None = None,
         for side in ("p1", "p2"):
             left = out.select("match_id", F.col(f"{side}_id").alias("_pid"), "tourney_date")
             r = pairs.asof_rank_join(left, rankings, player="_pid", date="tourney_date", left_id="match_id",
-                                     out=f"{side}_rank", bucket_seconds=bucket_seconds)
+                                     out=f"{side}_rank")
             out = out.join(r.select("match_id", f"{side}_rank"), "match_id", "left")
         out = out.withColumn("rank_diff", F.col("p1_rank") - F.col("p2_rank"))
     if players is not None:
