@@ -6,8 +6,8 @@ order itself instead, in one straight plan without a job at plan time:
 1. the rows are range-partitioned by (key, order): Spark samples the bounds, so partitions are
    even, and a hot key, even one with a single timestamp, lies in as many as it fills;
 2. a window inside each (partition, key) gives the aggregate over the rows of that partition;
-3. only the last key of a partition can go on in later ones: its last row sends the partition's
-   total to each of them, at most P²/2 rows for P partitions, however large the table;
+3. only the last key of a partition can go on in later ones: its last row goes to each of them
+   as well, with the partition's total; at most P²/2 rows for P partitions, however large the table;
 4. a window over (key, partition) adds up the totals that arrived.
 
 The aggregates are associative, so carried ⊕ within equals the plain window. Every step reads its
@@ -38,34 +38,29 @@ def _col(c):
     return F.col(c) if isinstance(c, str) else c
 
 
-def _fold(kind: str, v: Column) -> Column:
-    """The aggregate function of a kind over values in order."""
-    if kind == "last":
-        return F.last(v, ignorenulls=True)
-    return {"count": F.count, "sum": F.sum, "max": F.max, "min": F.min}[kind](v)
+def _quoted(names: list[str]) -> str:
+    return ", ".join(f"`{n}`" for n in names)
+
 
+def _fold(kind: str, v: str) -> str:
+    """The aggregate of a kind over values in order."""
+    return f"last({v}, true)" if kind == "last" else f"{kind}({v})"
 
-def _combine(kind: str, earlier: Column, later: Column) -> Column:
+
+def _combine(kind: str, earlier: str, later: str) -> str:
     """Two adjacent partial results as one; NULL stands for no rows."""
     if kind == "count":
-        return F.coalesce(earlier, F.lit(0)) + F.coalesce(later, F.lit(0))
+        return f"coalesce({earlier}, 0) + coalesce({later}, 0)"
     if kind == "sum":
-        return F.coalesce(earlier + later, earlier, later)
+        return f"coalesce({earlier} + {later}, {earlier}, {later})"
     if kind == "last":
-        return F.coalesce(later, earlier)
-    return (F.greatest if kind == "max" else F.least)(earlier, later)
+        return f"coalesce({later}, {earlier})"
+    return f"{'greatest' if kind == 'max' else 'least'}({earlier}, {later})"
 
 
-def _own(kind: str, v: Column) -> Column:
+def _own(kind: str, v: str) -> str:
     """A single row's value as a partial result."""
-    return v.isNotNull().cast("bigint") if kind == "count" else v
-
-
-def _arrived(kind: str, total: Column, source: Column, same) -> Column:
-    """Totals of several earlier partitions as one, whatever order they arrive in."""
-    if kind == "last":
-        return F.max(F.when(total.isNotNull(), F.struct(source.alias("source"), total.alias("total")))).over(same)["total"]
-    return (F.sum(total) if kind in ("count", "sum") else _fold(kind, total)).over(same)
+    return f"cast({v} IS NOT NULL AS bigint)" if kind == "count" else v
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], aggs: list[Agg], *, include_current: bool = False) -> DataFrame:
@@ -76,38 +71,33 @@ def running(df: DataFrame, keys: list[str], order: list[str], aggs: list[Agg], *
     rows is 0; other aggregates of no rows are NULL. No keys: one timeline of all rows.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    timed = F.col(order[0]).isNotNull()
-    base = df.withColumns({f"_v_{a.name}": F.when(timed, a.expr) for a in aggs} | {f"_u_{a.name}": a.expr for a in aggs})
-    ranged = base.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
-
-    in_part = Window.partitionBy("_part").orderBy(*keys, *order)
-    before = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    within = ranged.withColumns({"_last": F.lead("_part").over(in_part).isNull()}
-                                | {f"_w_{a.name}": _fold(a.kind, F.col(f"_v_{a.name}")).over(before) for a in aggs})
-
-    to = F.when(F.col("_last") & (F.col("_part") < parts - 1), F.sequence(F.col("_part") + 1, F.lit(parts - 1)))
-    here = F.array(F.struct(F.col("_part").alias("at"), F.lit(None).cast("int").alias("source")))
-    sent = F.transform(F.coalesce(to, F.array().cast("array<int>")), lambda p: F.struct(p.alias("at"), F.col("_part").alias("source")))
-    kept = [c for c in base.columns if c not in keys]
-    is_row = F.col("_go.source").isNull()
-    rows = within.withColumn("_go", F.explode(F.concat(here, sent))).select(
-        *keys, *[F.when(is_row, F.col(c)).alias(c) for c in kept], "_go",
-        *[F.when(is_row, F.col(f"_w_{a.name}")).alias(f"_w_{a.name}") for a in aggs],
-        *[F.when(~is_row, _combine(a.kind, F.col(f"_w_{a.name}"), _own(a.kind, F.col(f"_v_{a.name}")))).alias(f"_t_{a.name}")
-          for a in aggs])
-
-    same = Window.partitionBy(*keys, "_go.at")
-    rows = rows.withColumns({f"_c_{a.name}": _arrived(a.kind, F.col(f"_t_{a.name}"), F.col("_go.source"), same) for a in aggs})
-    out = rows.where(F.col("_go.source").isNull())
-
-    def result(a: Agg) -> Column:
-        earlier = F.when(timed, _combine(a.kind, F.col(f"_c_{a.name}"), F.col(f"_w_{a.name}")))
+    columns, timed = df.columns, f"`{order[0]}` IS NOT NULL"
+    by, along = "".join(f", `{k}`" for k in keys), _quoted(order)
+    v = {a.name: f"if({timed}, `_v_{a.name}`, NULL)" for a in aggs}
+    ranged = (df.select("*", *[a.expr.alias(f"_v_{a.name}") for a in aggs])
+              .repartitionByRange(*keys, *order).selectExpr("*", "spark_partition_id() AS _part"))
+    before = f"OVER (PARTITION BY _part{by} ORDER BY {along} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    within = ranged.selectExpr("*", f"lead(_part) OVER (PARTITION BY _part ORDER BY {_quoted([*keys, *order])}) IS NULL AS _last",
+                               *[f"{_fold(a.kind, v[a.name])} {before} AS `_w_{a.name}`" for a in aggs])
+
+    # a row goes to its own partition; the last one also, as a total, to all later ones
+    sent = within.selectExpr("*", f"explode(if(_last, sequence(_part, {parts - 1}), array(_part))) AS _at")
+
+    def arrived(a: Agg) -> str:
+        total = f"if(_at > _part, {_combine(a.kind, f'`_w_{a.name}`', _own(a.kind, v[a.name]))}, NULL)"
+        over = f"OVER (PARTITION BY _at{by})"
+        if a.kind == "last":  # of the latest partition that has one
+            return f"max(if({total} IS NULL, NULL, struct(_part, {total} AS total))) {over}.total AS `_c_{a.name}`"
+        return f"{'sum' if a.kind in ('count', 'sum') else a.kind}({total}) {over} AS `_c_{a.name}`"
+
+    def result(a: Agg) -> str:
+        out = f"if({timed}, {_combine(a.kind, f'`_c_{a.name}`', f'`_w_{a.name}`')}, NULL)"
         if include_current or a.kind == "count":
-            own = _own(a.kind, F.col(f"_u_{a.name}")) if include_current else F.lit(0).cast("bigint")
-            return _combine(a.kind, earlier, own)
-        return earlier
+            out = _combine(a.kind, out, _own(a.kind, f"`_v_{a.name}`") if include_current else "0L")
+        return f"{out} AS `{a.name}`"
 
-    return out.select(*df.columns, *[result(a).alias(a.name) for a in aggs])
+    return (sent.selectExpr("*", *[arrived(a) for a in aggs]).where("_at = _part")
+            .selectExpr(*[f"`{c}`" for c in columns], *[result(a) for a in aggs]))
 
 
 def rows_before(df: DataFrame, keys: list[str], order: list[str], value: str | Column, sizes: list[int], *,
@@ -121,28 +111,21 @@ def rows_before(df: DataFrame, keys: list[str], order: list[str], value: str | C
     (key, position) holds one row and one value per n, so no group is hot, and all sizes share
     one shuffle.
     """
-    timed = F.col(order[0]).isNotNull()
     r = running(df, keys, order, [Agg("_pos", "count", F.lit(1)), Agg("_s", "sum", _col(value)), Agg("_c", "count", _col(value))])
     # rows without a time stand at position -1, told apart by a number
-    r = r.withColumns({"_pos": F.when(timed, F.col("_pos")).otherwise(F.lit(-1)),
-                       "_odd": F.when(~timed, F.monotonically_increasing_id())})
-    targets = F.array(F.struct(F.lit(0).alias("n"), F.col("_pos").alias("at")),
-                      *[F.struct(F.lit(n).alias("n"), F.when(timed, F.col("_pos") + n).alias("at")) for n in sizes])
-    sent = r.withColumn("_go", F.explode(F.filter(targets, lambda g: g["at"].isNotNull())))
-    is_row = F.col("_go.n") == 0
+    timed = f"`{order[0]}` IS NOT NULL"
     others = [c for c in df.columns if c not in keys]
-    row = [F.first(F.when(is_row, F.col(c)), ignorenulls=True).alias(f"_r_{c}") for c in [*others, "_s", "_c"]]
-    lagged = [F.max(F.when(F.col("_go.n") == n, F.col(c))).alias(f"{c}_{n}") for n in sizes for c in ("_s", "_c")]
-    each = sent.groupBy(*keys, F.col("_go.at").alias("_pos"), "_odd").agg(
-        F.max(is_row.cast("int")).alias("_here"), *row, *lagged).where("_here = 1")
-    zero = F.lit(0)
-    outs = [F.greatest(F.col("_pos"), zero).alias(f"{prefix}_pos"), F.coalesce("_r__s", zero).alias(f"{prefix}_sum"),
-            F.col("_r__c").alias(f"{prefix}_cnt")]
+    to = ", ".join(f"struct({n} AS n, if({timed}, _pos + {n}, NULL) AS at)" for n in sizes)
+    sent = r.selectExpr("*", f"if({timed}, NULL, monotonically_increasing_id()) AS _odd",
+                        f"explode(filter(array(struct(0 AS n, if({timed}, _pos, -1L) AS at), {to}), g -> g.at IS NOT NULL)) AS _go")
+    each = sent.groupBy(*keys, "_go.at", "_odd").agg(
+        F.expr("max(_go.n = 0) AS _here"),
+        *[F.expr(f"first(if(_go.n = 0, `{c}`, NULL), true) AS `_r_{c}`") for c in [*others, "_s", "_c"]],
+        *[F.expr(f"max(if(_go.n = {n}, {c}, NULL)) AS {c}_{n}") for n in sizes for c in ("_s", "_c")])
+    outs = [f"greatest(at, 0L) AS {prefix}_pos", f"coalesce(_r__s, 0) AS {prefix}_sum", f"_r__c AS {prefix}_cnt"]
     for n in sizes:
-        outs += [(F.coalesce("_r__s", zero) - F.coalesce(f"_s_{n}", zero)).alias(f"{prefix}_sum_{n}"),
-                 (F.col("_r__c") - F.coalesce(f"_c_{n}", zero)).alias(f"{prefix}_cnt_{n}")]
-    return each.select(*keys, *[F.col(f"_r_{c}").alias(c) for c in others], *outs).select(*df.columns, *[
-        f"{prefix}_{k}" for k in ["pos", "sum", "cnt"] + [f"{k}_{n}" for n in sizes for k in ("sum", "cnt")]])
+        outs += [f"coalesce(_r__s, 0) - coalesce(_s_{n}, 0) AS {prefix}_sum_{n}", f"_r__c - coalesce(_c_{n}, 0) AS {prefix}_cnt_{n}"]
+    return each.where("_here").selectExpr(*[f"`{c}`" if c in keys else f"`_r_{c}` AS `{c}`" for c in df.columns], *outs)
 
 
 def counts_in_spans(df: DataFrame, keys: list[str], ts: str, row_id: str, spans: dict[str, int],
@@ -161,37 +144,26 @@ def counts_in_spans(df: DataFrame, keys: list[str], ts: str, row_id: str, spans:
     Returns ``row_id`` plus ``cnt_<span>`` and ``<sum>_<span>``.
     """
     sums = sums or {}
-    span_us = {k: int(v) * 1_000_000 for k, v in spans.items()}
-    lo_kind = 2 if through_row else 0
-    own = F.struct(F.lit(1).alias("kind"), F.lit(None).cast("string").alias("span"), F.lit(0).cast("bigint").alias("us"))
-    specs = [own] if through_row else [own, F.struct(F.lit(0).alias("kind"), F.lit("0").alias("span"), F.lit(0).cast("bigint").alias("us"))]
-    specs += [F.struct(F.lit(lo_kind).alias("kind"), F.lit(k).alias("span"), F.lit(us).cast("bigint").alias("us"))
-              for k, us in span_us.items()]
-    real = F.col("_p.kind") == 1
-    both = (df.select(*keys, F.col(ts).alias("_ts"), F.col(row_id).alias("_id"), *[e.alias(f"_e_{n}") for n, e in sums.items()],
-                      F.explode(F.array(*specs)).alias("_p"))
-            .select(*keys, (F.unix_micros("_ts") - F.col("_p.us")).alias("_t"), "_id", F.col("_p.kind").alias("_kind"),
-                    F.col("_p.span").alias("_span"), F.when(real, F.lit(1)).alias("_real"),
-                    *[F.when(real, F.col(f"_e_{n}")).alias(f"_x_{n}") for n in sums]))
+    low_kind = 2 if through_row else 0
+    specs = ["struct(1 AS kind, CAST(NULL AS string) AS span, 0L AS us)"] + ([] if through_row else ["struct(0 AS kind, '0' AS span, 0L AS us)"])
+    specs += [f"struct({low_kind} AS kind, '{k}' AS span, {int(s) * 1_000_000}L AS us)" for k, s in spans.items()]
+    both = (df.select(*keys, F.col(ts).alias("_ts"), F.col(row_id).alias("_id"), *[e.alias(f"_e_{n}") for n, e in sums.items()])
+            .selectExpr("*", f"explode(array({', '.join(specs)})) AS _p")
+            .selectExpr(*[f"`{k}`" for k in keys], "unix_micros(_ts) - _p.us AS _t", "_id", "_p.kind AS _kind", "_p.span AS _span",
+                        "if(_p.kind = 1, 1, NULL) AS _real", *[f"if(_p.kind = 1, `_e_{n}`, NULL) AS `_x_{n}`" for n in sums]))
     run = running(both, keys, ["_t", "_kind", "_id", "_span"],
                   [Agg("_cnt", "count", F.col("_real"))] + [Agg(f"_sx_{n}", "sum", F.col(f"_x_{n}")) for n in sums])
-    zero = F.lit(0)
     if through_row:  # the row itself: everything strictly before it in total order, plus itself
-        at, upper = run, F.col("_kind") == 1
-        up_cnt = F.max(F.when(upper, F.col("_cnt") + F.col("_t").isNotNull().cast("int")))
-        up_sum = {n: F.max(F.when(upper & F.col("_t").isNotNull(), F.coalesce(f"_sx_{n}", zero) + F.coalesce(f"_x_{n}", zero)))
-                  for n in sums}
+        up_cnt = "max(if(_kind = 1, _cnt + if(_t IS NULL, 0, 1), NULL))"
+        up_sum = {n: f"max(if(_kind = 1 AND _t IS NOT NULL, coalesce(`_sx_{n}`, 0) + coalesce(`_x_{n}`, 0), NULL))" for n in sums}
     else:
-        at, upper = run.where(F.col("_kind") != 1), F.col("_span") == "0"
-        up_cnt = F.max(F.when(upper, F.col("_cnt")))
-        up_sum = {n: F.max(F.when(upper, F.col(f"_sx_{n}"))) for n in sums}
+        run = run.where("_kind <> 1")
+        up_cnt, up_sum = "max(if(_span = '0', _cnt, NULL))", {n: f"max(if(_span = '0', `_sx_{n}`, NULL))" for n in sums}
     outs = []
-    for k in span_us:
-        outs.append((up_cnt - F.max(F.when(F.col("_span") == k, F.col("_cnt")))).alias(f"cnt_{k}"))
-        for n in sums:
-            low = F.max(F.when(F.col("_span") == k, F.col(f"_sx_{n}")))
-            outs.append((F.coalesce(up_sum[n], zero) - F.coalesce(low, zero)).alias(f"{n}_{k}"))
-    return at.groupBy(F.col("_id").alias(row_id)).agg(*outs)
+    for k in spans:
+        outs.append(f"{up_cnt} - max(if(_span = '{k}', _cnt, NULL)) AS `cnt_{k}`")
+        outs += [f"coalesce({up_sum[n]}, 0) - coalesce(max(if(_span = '{k}', `_sx_{n}`, NULL)), 0) AS `{n}_{k}`" for n in sums]
+    return run.groupBy(F.col("_id").alias(row_id)).agg(*[F.expr(o) for o in outs])
 
 
 def previous(df: DataFrame, keys: list[str], order: list[str], row_id: str, values: list[str]) -> DataFrame:

@@ -12,6 +12,8 @@ ranges of (pair, time). No broadcast of anything that grows with the data.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ def player_features(rows: DataFrame) -> DataFrame:
 
     One running pass per player gives positions and sums for the expanding and all three
     positional windows, which share one more shuffle; surface means and day ranges are passes
-    of their own over the same narrow input, joined on ``row_id``.
+    of their own over the same narrow input. The three meet in one aggregate on ``row_id``.
     """
     base = rows.select("row_id", "match_id", "player_id", "ts", "surface", "won", "sets_played")
     sizes = {10: "form", 20: "rolling_win_perc_20", 50: "rolling_win_perc_50"}
@@ -51,7 +53,15 @@ def player_features(rows: DataFrame) -> DataFrame:
     out = r.select("row_id", "match_id", "player_id", mean("_rb_sum", "_rb_cnt").alias("win_perc"),
                    *[mean(f"_rb_sum_{n}", f"_rb_cnt_{n}").alias(name) for n, name in sizes.items()])
     surf = pit.pit_surface_win_perc(base.select("row_id", "player_id", "surface", "ts", "won")).select("row_id", "surface_win_perc")
-    return out.join(surf, "row_id").join(pit.pit_load(base, sets="sets_played"), "row_id")
+    return meet([out, surf, pit.pit_load(base, sets="sets_played")], "row_id")
+
+
+def meet(parts: list[DataFrame], key: str) -> DataFrame:
+    """Tables with at most one row per key and columns of their own as one table: a union and one
+    aggregate on the key instead of a join for each."""
+    columns = [c for part in parts for c in part.columns if c != key]
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return union.groupBy(key).agg(*[F.expr(f"max(`{c}`) AS `{c}`") for c in columns])
 
 
 def build_match_features(matches: DataFrame, *, elo: DataFrame | None = None,
@@ -67,17 +77,16 @@ def build_match_features(matches: DataFrame, *, elo: DataFrame | None = None,
         from ..session import cut_lineage
         matches = cut_lineage(matches)
     m = canonical_pair(matches)
-    rows = player_rows(matches)
-    feats = player_features(rows)
-    keyed = feats.join(m.select("match_id", "p1_id", "p2_id"), "match_id")
-    wide = join_side_features(keyed, PLAYER_FEATURES)
-    h2h = pairs.pit_h2h(matches).select(
-        "match_id", F.col("h2h_p1_wins").alias("h2h_p1_wins"), F.col("h2h_p2_wins").alias("h2h_p2_wins"))
-    p1_is_w = F.col("winner_id") == F.col("p1_id")
-    base = m.select("match_id", "tourney_date", "tourney_name", "surface", "p1_id", "p2_id", "winner",
-                    F.when(p1_is_w, F.col("winner_odds")).otherwise(F.col("loser_odds")).alias("p1_odds"),
-                    F.when(p1_is_w, F.col("loser_odds")).otherwise(F.col("winner_odds")).alias("p2_odds"))
-    out = base.join(wide, "match_id").join(h2h, "match_id", "left")
+    feats = player_features(player_rows(matches))
+    h2h = pairs.pit_h2h(matches).select("match_id", "h2h_p1_wins", "h2h_p2_wins")
+    sides = feats.groupBy("match_id").agg(*[F.expr(f"max(if(row_id % 2 = {odd}, {c}, NULL)) AS _{side}_{c}")
+                                            for c in PLAYER_FEATURES for odd, side in enumerate("wl")])
+    p1_won = "winner_id = p1_id"
+    out = m.join(meet([sides, h2h], "match_id"), "match_id").selectExpr(
+        "match_id", "tourney_date", "tourney_name", "surface", "p1_id", "p2_id", "winner",
+        f"if({p1_won}, winner_odds, loser_odds) AS p1_odds", f"if({p1_won}, loser_odds, winner_odds) AS p2_odds",
+        *[f"if({p1_won}, _{a}_{c}, _{b}_{c}) AS {side}_{c}" for c in PLAYER_FEATURES for side, a, b in (("p1", "w", "l"), ("p2", "l", "w"))],
+        "h2h_p1_wins", "h2h_p2_wins")
     out = out.withColumns({"p1_implied_prob": implied_prob("p1_odds"), "p2_implied_prob": implied_prob("p2_odds")})
     out = out.withColumns({
         "book_margin": book_margin("p1_implied_prob", "p2_implied_prob"),
