@@ -10,6 +10,7 @@ from .exact_dedup import exact_groups
 from . import html_extract
 from .licenses import FILE_PERCENT, TEMPLATES, TERM, THRESHOLD, license_scan
 from .line_dedup import line_dedup_report
+from . import mixing
 from .near_dedup import near_groups
 from .packing import pack
 from .pii import KINDS, find_spans, spans_text
@@ -171,6 +172,55 @@ def op10_toxicity(spark, sf_dir):
     return score(docs, fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op11_mixing(spark, sf_dir):
+    return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "shard")
+
+
+def _op11_sql() -> str:
+    most, block, shard = mixing.MAX_REPEATS, mixing.BLOCK_WORDS, mixing.SHARD_DOCS
+    earlier = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return rf"""
+WITH d AS (SELECT doc_id, source, CAST(len({sql_words("coalesce(text, '')")}) AS BIGINT) AS size,
+                  md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM documents),
+s AS (SELECT d.*, CAST('0x' || substr(place, 1, 8) AS BIGINT) % shards AS shard
+      FROM d, (SELECT greatest(1, (count(*) + {shard - 1}) // {shard}) AS shards FROM documents)),
+cell AS (SELECT *, CASE WHEN words = 0 THEN 0 ELSE greatest(1, (words + {block // 2}) // {block}) END AS blocks
+         FROM (SELECT source, shard, CAST(sum(size) AS BIGINT) AS words FROM s GROUP BY source, shard)),
+src AS (SELECT source, CAST(sum(words) AS BIGINT) AS source_size, CAST(sum(blocks) AS BIGINT) AS source_blocks FROM cell GROUP BY source),
+w AS (SELECT *, CAST(sum(source_size) OVER () AS BIGINT) AS total,
+             {list(mixing.WEIGHTS)}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1] AS weight FROM src),
+f AS (SELECT *, CAST({most} * source_size AS DOUBLE) / weight AS full_at FROM w),
+lv AS (SELECT *, (total * {mixing.BUDGET_PERCENT / 100} - coalesce(sum({most} * source_size) OVER (ORDER BY full_at, source NULLS LAST {earlier}), 0))
+              / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY full_at, source NULLS LAST {earlier}), 0)) AS lvl FROM f),
+t AS (SELECT source, source_size, source_blocks, CASE WHEN full_at <= fill THEN CAST({most} * source_size AS DOUBLE) ELSE fill * weight END AS target
+      FROM lv, (SELECT max(lvl) AS fill FROM lv)),
+v AS (SELECT *, target >= {most} * source_size AS filled, CASE WHEN source_size = 0 THEN 0 ELSE target * source_blocks / source_size END AS votes FROM t),
+quo AS (SELECT source, votes / (2 * k + 1) AS q FROM (SELECT *, unnest(range(0, CAST(votes AS BIGINT) + (SELECT count(*) FROM v) + 1)) AS k
+                                                     FROM v WHERE NOT filled AND votes > 0)),
+won AS (SELECT source, count(*) AS n FROM (SELECT *, row_number() OVER (ORDER BY q DESC, source NULLS LAST) AS r FROM quo)
+        WHERE r <= (SELECT round(sum(votes)) FROM v WHERE NOT filled) GROUP BY source),
+sq AS (SELECT v.*, CASE WHEN filled THEN {most} * source_blocks ELSE least(coalesce(n, 0), {most} * source_blocks) END AS source_quota
+       FROM v LEFT JOIN won ON v.source IS NOT DISTINCT FROM won.source),
+cquo AS (SELECT source, shard, source_quota, blocks / (2 * k + 1) AS q
+         FROM (SELECT cell.*, source_quota, unnest(range(0, {most} * blocks + 3)) AS k
+               FROM cell JOIN sq ON cell.source IS NOT DISTINCT FROM sq.source WHERE blocks > 0)),
+cwon AS (SELECT source, shard, count(*) AS n
+         FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY q DESC, shard) AS r FROM cquo) WHERE r <= source_quota GROUP BY source, shard),
+cq AS (SELECT cell.*, least(coalesce(n, 0), {most} * blocks) AS quota,
+              CASE WHEN blocks = 0 THEN 0 ELSE CAST('0x' || substr(md5('mix:' || coalesce(cell.source, '') || ':' || cell.shard), 1, 8) AS BIGINT) % blocks END AS skip
+       FROM cell LEFT JOIN cwon ON cell.source IS NOT DISTINCT FROM cwon.source AND cell.shard = cwon.shard),
+laid AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, shard ORDER BY place, doc_id, size {earlier}), 0) AS start FROM s),
+p AS (SELECT doc_id, laid.source, size, source_size, target, laid.shard, start, CASE WHEN blocks = 0 THEN 0 ELSE quota // blocks END AS whole,
+             CASE WHEN blocks = 0 THEN 0 ELSE skip * words // blocks END AS a,
+             CASE WHEN blocks = 0 THEN 0 ELSE least(skip + quota % blocks, blocks) * words // blocks END AS b,
+             CASE WHEN blocks = 0 THEN 0 ELSE greatest(skip + quota % blocks - blocks, 0) * words // blocks END AS c
+      FROM laid JOIN cq ON laid.source IS NOT DISTINCT FROM cq.source AND laid.shard = cq.shard
+      JOIN sq ON laid.source IS NOT DISTINCT FROM sq.source)
+SELECT doc_id, size, source_size, target, source, CAST(shard AS BIGINT) AS shard,
+       CAST(whole * size + least(greatest(c - start, 0), size) + least(greatest(b - start, 0), size) - least(greatest(a - start, 0), size) AS BIGINT) AS taken
+FROM p"""
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -187,5 +237,6 @@ QUERIES = {
     "op8_pii": (op8_pii, None),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_mixing": (op11_mixing, _op11_sql()),
     "pipeline": (pipeline, None),
 }
