@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .bpe_reuse import encode_documents
+from . import conversations
 from .common import A_TO_Z, a_to_z, read
 from .exact_dedup import exact_groups
 from . import html_extract
@@ -16,6 +17,7 @@ from .packing import pack
 from .pii import KINDS, find_spans, spans_text
 from .quality import DEPLETED_PERCENT, LINE_MAX_PERCENT, LINE_MIN_DOCS, quality_rules
 from .toxicity import fit, score
+from . import vector_codes
 
 WORD_SPLIT = r"string_split_regex(%s, '[\x20\x09-\x0D]+')"
 LOWER = f"translate(%s, '{A_TO_Z}', '{a_to_z}')"
@@ -221,6 +223,40 @@ SELECT doc_id, size, source_size, target, source, CAST(shard AS BIGINT) AS shard
 FROM p"""
 
 
+def op12_conversations(spark, sf_dir):
+    return conversations.repair(read(spark, sf_dir, "conversations"))
+
+
+def op13_vector_codes(spark, sf_dir):
+    return vector_codes.compress(read(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql() -> str:
+    """All distances of all parts to all entries, round by round; for tables whose vectors are of one width."""
+    n, most = vector_codes.PARTS, vector_codes.ENTRIES
+    text = f"""
+WITH RECURSIVE k AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor({vector_codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+       FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT rid, part, v[part * len(v) // {n} + 1 : (part + 1) * len(v) // {n}] AS v FROM k, range({n}) AS r(part)),
+b0 AS MATERIALIZED (SELECT part, entry, parts.v FROM parts JOIN (SELECT rid, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS entry FROM k) USING (rid) WHERE entry < {most}),"""
+    for i in range(vector_codes.ROUNDS + 1):
+        text += f"""
+a{i} AS MATERIALIZED (SELECT rid, part, min(struct_pack(d := d, entry := entry)) AS m
+        FROM (SELECT rid, p.part, entry, list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+              FROM parts p JOIN b{i} b USING (part)) GROUP BY rid, part),"""
+        if i < vector_codes.ROUNDS:
+            text += f"""
+s{i} AS (SELECT part, entry, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+        FROM (SELECT part, m.entry AS entry, unnest(v) AS x, unnest(range(len(v))) AS pos FROM a{i} JOIN parts USING (rid, part)) GROUP BY ALL),
+n{i} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS v FROM s{i} GROUP BY part, entry),
+b{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(n.v, b.v) AS v FROM b{i} b LEFT JOIN n{i} n USING (part, entry)),"""
+    return text + f"""
+books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{vector_codes.ROUNDS}),
+codes AS (SELECT rid, string_agg(lpad(lower(hex(m.entry)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{vector_codes.ROUNDS} GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM k JOIN codes USING (rid), books"""
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -238,5 +274,7 @@ QUERIES = {
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
     "op10_toxicity": (op10_toxicity, None),
     "op11_mixing": (op11_mixing, _op11_sql()),
+    "op12_conversations": (op12_conversations, None),
+    "op13_vector_codes": (op13_vector_codes, _op13_sql()),
     "pipeline": (pipeline, None),
 }
