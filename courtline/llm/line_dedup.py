@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest, let, normal_line, numbered_lines, without_lines
+from .common import digest, let, normal_line, numbered_lines, step_table, without_lines
 
 WINDOW = 3
 
@@ -37,7 +37,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     that a third of all rows share costs one row per task; the occurrences meet it in a
     sort-merge join that adaptive execution splits.
     """
-    wins = window_rows(docs, doc_id, text)
+    wins = step_table(window_rows(docs, doc_id, text))  # read twice: each text is split and hashed once
     place = F.struct(F.col("id"), F.col("key"), F.col("at")[0].alias("line"))
     first = wins.groupBy("win").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("win", "first")
     later = wins.join(first, "win").where(place != F.col("first"))
