@@ -155,22 +155,25 @@ def document_facts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def _mentions(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entity, df_entity, units) of the entities in two distinct contexts or more, and (key, entity, context, term)
-    with a row for each term of each document that holds one of them."""
-    held = documents.where(F.size("spans") > 0)
-    each = held.select("key", F.inline("entities"))
+    """(entity, df_entity, units) of the entities in two distinct contexts or more, and (key, entity, context) of the
+    documents that hold one of them."""
+    each = documents.where(F.size("spans") > 0).select("key", F.inline("entities"))
     known = each.groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"), F.count_distinct("context").alias("units")).where("units > 1")
     of_kind = F.col("entity").isin(*KINDS)
     # the four kinds hold many documents each and meet their one row by broadcast
     kept = each.where(of_kind).join(F.broadcast(known.where(of_kind).select("entity")), "entity", "left_semi").unionByName(
         each.where(~of_kind).join(known.where(~of_kind).select("entity"), "entity", "left_semi")).distinct()
-    return known, kept.join(held.select("key", "words"), "key").select("key", "entity", "context", F.explode("words").alias("term"))
+    return known, step_table(kept)
 
 
-def disclosing_terms(facts: DataFrame) -> DataFrame:
+def disclosing_terms(facts: DataFrame, mentions: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(entity, term, disclosure) of the significant pairs above the threshold, from counts of documents."""
     documents = facts.where("key is not null")
-    known, each = _mentions(documents)
+    known, kept = mentions or _mentions(documents)
+    # one row a document on both sides: its entities meet its words once
+    of_doc = kept.groupBy("key").agg(F.collect_set(F.struct("entity", "context")).alias("of"))
+    each = of_doc.join(documents.where(F.size("spans") > 0).select("key", "words"), "key").select("of", F.explode("words").alias("term")).select(
+        "term", F.inline("of"))
     together = each.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.count_distinct("context").alias("both_units"))
     of_kind = F.col("entity").isin(*KINDS)
     pairs = together.where(of_kind).join(F.broadcast(known.where(of_kind)), "entity").unionByName(
@@ -202,9 +205,10 @@ def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """
     facts = document_facts(docs, doc_id, text)
     documents = facts.where("key is not null")
-    each = _mentions(documents)[1]
-    told = each.join(disclosing_terms(facts).select("entity", "term"), ["entity", "term"], "left_semi")
-    told = told.groupBy("key").agg(F.collect_set("term").alias("terms"))
+    mentions = _mentions(documents)
+    # a document's entities bring their terms along; which of them stand in it, its text says
+    told = disclosing_terms(facts, mentions).groupBy("entity").agg(F.collect_set("term").alias("terms"))
+    told = mentions[1].join(told, "entity").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("terms"))).alias("terms"))
 
     @F.pandas_udf("array<struct<kind:string,start:bigint,end:bigint>>")
     def marked(bodies: pd.Series, spans: pd.Series, terms: pd.Series) -> pd.Series:
