@@ -1,9 +1,8 @@
 """Quality rules: text statistics of each document, and the cross-document frequency of lines.
 
 Every line with a word is normalised and hashed; for each host the distinct documents that hold
-a line are counted. A document counts by its signature (the smallest of its line hashes), so
-copies and most near copies of one text count as one document and a text is not taken for
-boilerplate because it was copied. Lines above the limits are removed; a document whose words
+a line are counted. A document counts by the hash of its text, so exact copies count as one
+document and a text is not taken for boilerplate because it was copied. Lines above the limits are removed; a document whose words
 lie mostly in removed lines is rejected as depleted.
 """
 
@@ -77,16 +76,15 @@ def document_profile(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def line_rows(profile: DataFrame) -> DataFrame:
-    """One row per line with a word: id, key, host, sig, at, line, n_words."""
-    sig = F.array_min(F.transform("lines", lambda x: x["line"]))
-    return profile.select("id", "key", "host", sig.alias("sig"), F.inline("lines"))
+    """One row per line with a word: id, key, host, at, line, n_words."""
+    return profile.select("id", "key", "host", F.inline("lines"))
 
 
 def frequent_lines(lines: DataFrame, min_docs: int = LINE_MIN_DOCS, max_percent: float = LINE_MAX_PERCENT) -> DataFrame:
     """(host, line) above both limits. Each (host, line, document) is one row after map-side
     aggregation, so a line that every document holds arrives as one count per task."""
-    in_docs = lines.select("host", "line", "sig").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
-    hosts = lines.select("host", "sig").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    in_docs = lines.select("host", "line", "key").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
+    hosts = lines.select("host", "key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     above = in_docs.where(F.col("n_docs") > min_docs).alias("l").join(
         hosts.alias("h"), F.col("l.host").eqNullSafe(F.col("h.host")))
     return above.where(F.col("n_docs") * 100.0 > F.col("host_docs") * max_percent).select("l.host", "l.line")

@@ -35,21 +35,20 @@ def op1_quality_rules(spark, sf_dir):
 
 
 OP1_SQL = rf"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, md5(coalesce(text, '')) AS k FROM documents),
 w AS (SELECT doc_id, {sql_words('t')} AS ws FROM d),
 win AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
         FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
 cov AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM rep, (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id),
-ln AS (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS raw FROM d),
-l AS (SELECT doc_id, source, raw, len({sql_words('raw')}) AS nw, md5({NORMAL_LINE % 'raw'}) AS h
+ln AS (SELECT doc_id, source, k, unnest(string_split(t, chr(10))) AS raw FROM d),
+l AS (SELECT doc_id, source, k, raw, len({sql_words('raw')}) AS nw, md5({NORMAL_LINE % 'raw'}) AS h
       FROM ln WHERE regexp_matches(raw, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n_dup_lines FROM l GROUP BY doc_id),
-s AS (SELECT doc_id, min(h) AS sig FROM l GROUP BY doc_id),
-host AS (SELECT source, count(DISTINCT sig) AS n FROM l JOIN s USING (doc_id) GROUP BY source),
-freq AS (SELECT l.source, h FROM l JOIN s USING (doc_id) JOIN host ON l.source IS NOT DISTINCT FROM host.source
+host AS (SELECT source, count(DISTINCT k) AS n FROM l GROUP BY source),
+freq AS (SELECT l.source, h FROM l JOIN host ON l.source IS NOT DISTINCT FROM host.source
          GROUP BY l.source, h, host.n
-         HAVING count(DISTINCT sig) > {LINE_MIN_DOCS} AND count(DISTINCT sig) * 100.0 > host.n * {LINE_MAX_PERCENT}),
+         HAVING count(DISTINCT k) > {LINE_MIN_DOCS} AND count(DISTINCT k) * 100.0 > host.n * {LINE_MAX_PERCENT}),
 lost AS (SELECT doc_id, sum(nw) AS n_lost_words FROM l JOIN freq ON l.source IS NOT DISTINCT FROM freq.source AND l.h = freq.h
          GROUP BY doc_id),
 o AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
