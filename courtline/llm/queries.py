@@ -70,18 +70,19 @@ def op2_html_extraction(spark, sf_dir):
 
 
 def op3_license_scan(spark, sf_dir):
-    """The table has no paths: a document's is source/lang/bucket/doc_id, so directories nest."""
+    """The table has no paths: a document's is source/lang/bucket/doc_id, so directories nest; a null is an empty name."""
     docs = read(spark, sf_dir, "documents")
-    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 50).cast("string"), F.col("doc_id").cast("string"))
+    path = F.concat_ws("/", *[F.coalesce(c, F.lit("")) for c in (
+        F.col("source"), F.col("lang"), F.floor(F.col("doc_id") / 50).cast("string"), F.col("doc_id").cast("string"))])
     out = license_scan(docs.select(path.alias("path"), "text"))
-    return out.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "path", "license", "score", "origin", "via")
+    return out.select(F.element_at(F.split("path", "/"), -1).try_cast("long").alias("doc_id"), "path", "license", "score", "origin", "via")
 
 
 def _op3_sql() -> str:
     rows = ", ".join(f"({i}, '{name}', '{notice}')" for i, (name, notice) in enumerate(TEMPLATES))
     found = f"regexp_extract_all({LOWER}, '{TERM}')"
     return rf"""
-WITH f AS (SELECT concat_ws('/', source, lang, CAST(doc_id // 50 AS VARCHAR), CAST(doc_id AS VARCHAR)) AS path, coalesce(text, '') AS t FROM documents),
+WITH f AS (SELECT concat_ws('/', coalesce(source, ''), coalesce(lang, ''), coalesce(CAST(doc_id // 50 AS VARCHAR), ''), coalesce(CAST(doc_id AS VARCHAR), '')) AS path, coalesce(text, '') AS t FROM documents),
 tm(template, license, notice) AS (VALUES {rows}),
 tt AS (SELECT template, license, t, count(*) AS n FROM (SELECT template, license, unnest({found % 'notice'}) AS t FROM tm) GROUP BY ALL),
 total AS (SELECT count(*) AS total FROM f),
@@ -104,7 +105,7 @@ dl AS (SELECT dir, license, score FROM (SELECT regexp_replace(path, '/?[^/]*$',
 inh AS (SELECT path, license, score, dir FROM (SELECT f.path, dl.license, dl.score, dl.dir,
         row_number() OVER (PARTITION BY f.path ORDER BY length(dl.dir) DESC) AS r
         FROM f JOIN dl ON dl.dir = '' OR starts_with(f.path, dl.dir || '/')) WHERE r = 1)
-SELECT CAST(string_split(f.path, '/')[-1] AS BIGINT) AS doc_id, f.path, coalesce(own.license, inh.license) AS license,
+SELECT TRY_CAST(string_split(f.path, '/')[-1] AS BIGINT) AS doc_id, f.path, coalesce(own.license, inh.license) AS license,
        coalesce(own.score, inh.score) AS score,
        CASE WHEN own.path IS NOT NULL THEN 'header' WHEN inh.path IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
        CASE WHEN own.path IS NOT NULL THEN regexp_replace(f.path, '/?[^/]*$', '') ELSE inh.dir END AS via
