@@ -34,8 +34,7 @@ SLACK = 0.12          # an estimate this far below the threshold (5 standard err
 _RANDOM = np.random.default_rng(7)
 _BYTE = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64)
 _BYTE[ord("A"):ord("Z") + 1] = _BYTE[ord("a"):ord("z") + 1]
-_POWER = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
 _FACTOR = _RANDOM.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _OFFSET = _RANDOM.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
 _BAND = _RANDOM.integers(0, 1 << 63, (BANDS, REGISTERS // BANDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -51,15 +50,6 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int, base: np.uint64, _kept: dict = {}) -> np.ndarray:
-    table = _kept.get(int(base))
-    if table is None or len(table) < n:
-        table = np.ones(max(n, 1 << 17), dtype=np.uint64)
-        table[1:] = base
-        table = _kept[int(base)] = np.multiply.accumulate(table)
-    return table[:n]
-
-
 def shingle_hashes(data: bytes, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of UTF-8 ``data``, A-Z lowered."""
     raw = np.frombuffer(data, dtype=np.uint8)
@@ -68,9 +58,12 @@ def shingle_hashes(data: bytes, width: int) -> np.ndarray:
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
         return np.empty(0, dtype=np.uint64)
+    # a word's hash sums a random value for each of its bytes at its place, so that no repetition in a word cancels out
+    place = np.arange(len(raw), dtype=np.uint64)
+    place[starts[0]:] -= np.repeat(starts, np.diff(np.append(starts, len(raw)))).astype(np.uint64)
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[raw] * _powers(len(raw), _POWER), out=sums[1:])
-    h = _mixed((sums[ends] - sums[starts]) * _powers(len(raw), _INVERSE)[starts])
+    np.cumsum(_mixed(_BYTE[raw] + place * _PLACE), out=sums[1:])
+    h = _mixed(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64))
     width = min(width, len(h))
     s = h[:len(h) - width + 1].copy()
     for k in range(1, width):

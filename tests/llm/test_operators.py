@@ -228,6 +228,16 @@ def sets(t, width):
     return frozenset(tuple(w[i:i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
 
 
+def test_words_that_cancel_out_in_polynomials_are_told_apart(spark):
+    """Thue-Morse words of 1024 letters have equal polynomial hashes modulo 2^64 for every multiplier."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    rows = [(1, f"{one} x y z"), (2, f"{two} x y z".replace("x y z", "p q r")), (3, one), (4, two)]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 3, 4: 4}
+    assert not np.intersect1d(near_dedup.shingle_hashes(one.encode(), 3), near_dedup.shingle_hashes(two.encode(), 3)).size
+
+
 def test_near_groups_of_edited_copies(spark):
     """Copies of one text around the threshold: links that do not run through a bucket's centre are found too."""
     rng, texts = random.Random(11), []
@@ -388,6 +398,14 @@ def test_toxicity_learns_varied_vocabulary():
     assert sum(model.score(text()) >= 0.5 for _ in range(200)) < 50
 
 
+def test_license_query_with_nulls(spark, tmp_path):
+    from courtline.llm.queries import op3_license_scan
+    rows = [(1, "Released under the MIT License.", "en", "a"), (None, "Released under the MIT License.", None, None), (3, None, None, "a")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.path, r.license) for r in op3_license_scan(spark, str(tmp_path)).collect()}
+    assert got == {1: ("a/en/0/1", "MIT"), None: ("///", "MIT"), 3: ("a//0/3", None)}
+
+
 def test_license_scan(spark, empty):
     filler = prose(300)
     files = spark.createDataFrame([
