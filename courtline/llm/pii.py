@@ -174,7 +174,8 @@ def disclosing_terms(facts: DataFrame, mentions: tuple[DataFrame, DataFrame] | N
     of_doc = kept.groupBy("key").agg(F.collect_set(F.struct("entity", "context")).alias("of"))
     each = of_doc.join(documents.where(F.size("spans") > 0).select("key", "words"), "key").select("of", F.explode("words").alias("term")).select(
         "term", F.inline("of"))
-    together = each.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.count_distinct("context").alias("both_units"))
+    # read three times below, under filters that would keep its shuffle from being shared
+    together = step_table(each.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.count_distinct("context").alias("both_units")))
     of_kind = F.col("entity").isin(*KINDS)
     pairs = together.where(of_kind).join(F.broadcast(known.where(of_kind)), "entity").unionByName(
         together.where(~of_kind).join(known.where(~of_kind), "entity"))
