@@ -155,9 +155,9 @@ def tail_history(bets: DataFrame, n: int = 200, order: tuple = ("tourney_date",
 
 
 def sample_n(df: DataFrame, n: int, seed: int = 42, key: str = "row_id") -> DataFrame:
-    """``n`` pseudo-random rows, reproducible: smallest hash of (key, seed) — a top-n, no
+    """``n`` pseudo-random rows, reproducible: smallest MD5 of seed and key — a top-n, no
     full sort, no driver-side collection."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)).limit(n)
 
 
 def load_bets_report(bets: DataFrame, features: DataFrame | None = None, commission: float = params.COMMISSION) -> DataFrame:

@@ -168,7 +168,8 @@ def q_tail(spark, d):
     return reports.tail_history(value_bets(spark, d)).select("bet_id", r6("pnl").alias("pnl"))
 
 
-@register("sample_n", None, note="pseudo-random top-n by xxhash64(key, seed); the oracle has no equal hash → rows-only")
+@register("sample_n", """
+SELECT event_id, player_id FROM outcomes ORDER BY md5('42:' || event_id), event_id LIMIT 1000""", ("outcomes",))
 def q_sample(spark, d):
     o = views.outcomes(Tables(spark, d))
     return reports.sample_n(o, 1000, 42, "event_id").select("event_id", "player_id")
@@ -362,7 +363,9 @@ def q_ml(spark, d):
     return metrics
 
 
-@register("stratified_folds", None, note="fold = position in xxhash64 order within the label mod 5; no equal hash in the oracle → rows-only")
+@register("stratified_folds", """
+SELECT match_id, winner, CAST((row_number() OVER (PARTITION BY winner ORDER BY md5('42:' || match_id), match_id) - 1) % 5 AS INTEGER) AS fold
+FROM (SELECT match_id, CAST(winner_id < loser_id AS INTEGER) AS winner FROM matches)""", ("matches",))
 def q_folds(spark, d):
     from ..operators.ml import stratified_folds
     m = markets.canonical_pair(views.matches(Tables(spark, d))).select("match_id", "winner")
