@@ -94,7 +94,7 @@ def elo_ratings(matches: DataFrame, p: EloParams = EloParams(), *, surface: str
     m = (matches.where(F.col(winner).isNotNull() & F.col(loser).isNotNull())
          .select(F.col(match_id).alias("match_id"), F.col(surface).alias("surface"), F.col(date).alias("d"),
                  F.col(winner).cast("long").alias("w"), F.col(loser).cast("long").alias("l")))
-    first = (m.groupBy("match_id").agg(F.min_by(F.struct("surface", "d", "w", "l"), F.col("d")).alias("_r"))
+    first = (m.groupBy("match_id").agg(F.min_by(F.struct("surface", "d", "w", "l"), F.when(F.col("d").isNotNull(), F.struct("d", "w", "l"))).alias("_r"))
              .select("match_id", "_r.*"))
     group_cols = ["surface"]
     if split_components:

@@ -542,10 +542,10 @@ FROM x"""
 MATCH_FEATURE_COLS = None
 
 
-def match_features_frame(spark, d, matches_df=None):
+def match_features_frame(spark, d, matches_df=None, more: dict | None = None, extra: list | None = None):
     from .features import PLAYER_FEATURES, build_match_features
     t = Tables(spark, d)
-    out = build_match_features(matches_df if matches_df is not None else views.matches(t))
+    out = build_match_features(matches_df if matches_df is not None else views.matches(t), **(more or {}))
     cols = ["match_id", "p1_id", "p2_id", "winner", r6("p1_odds").alias("p1_odds"), r6("p2_odds").alias("p2_odds"),
             F.col("h2h_p1_wins").cast("bigint").alias("h2h_p1_wins"), F.col("h2h_p2_wins").cast("bigint").alias("h2h_p2_wins")]
     for n in PLAYER_FEATURES:
@@ -555,7 +555,7 @@ def match_features_frame(spark, d, matches_df=None):
     cols += [r6("book_margin").alias("book_margin")]
     cols += [F.col(c).cast("bigint").alias(c) for c in ("fatigue_diff_7_days", "fatigue_diff_14_days",
                                                        "fatigue_sets_diff_7_days", "fatigue_sets_diff_14_days")]
-    return out.select(*cols)
+    return out.select(*cols, *(extra or []))
 
 
 @register("match_features", _match_features_sql(), ("matches",))

@@ -9,7 +9,7 @@ from ..operators import folds, markets, reports
 from ..params import SimParams
 from ..sources import views
 from ..sources.tables import Tables
-from .catalog import RUNNER_ORDER, register, r6
+from .catalog import REGISTRY, RUNNER_ORDER, register, r6
 
 
 def market_data(spark, d):
@@ -952,3 +952,36 @@ SELECT event_id, TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k F
 def q_coerce_numeric(spark, d):
     e = Tables(spark, d).events.select("event_id", F.regexp_extract("props", "([0-9]+)", 1).alias("k"))
     return markets.coerce_numeric(e, {"k": "bigint"})
+
+
+# ---------------------------------------------------------------- the whole feature row
+
+def _match_features_full_sql() -> str:
+    from .oracle_views import with_views
+    sides = ", ".join(f"coalesce(r{i}.rank, 500) AS p{i}_rank, h{i}.hand AS p{i}_hand" for i in (1, 2))
+    ranks = " ".join(f"ASOF LEFT JOIN ranked r{i} ON f.p{i}_id = r{i}.player AND d.tourney_date >= r{i}.ranking_date" for i in (1, 2))
+    hands = " ".join(f"LEFT JOIN hands h{i} ON f.p{i}_id = h{i}.player_id" for i in (1, 2))
+    return f"""
+WITH f AS ({REGISTRY['match_features'].sql}), elo AS ({REGISTRY['elo_ratings'].sql}),
+d AS ({with_views(['matches'], 'SELECT match_id, tourney_date FROM matches')}),
+hands AS ({with_views(['players_dim'], 'SELECT player_id, hand FROM players_dim')}),
+ranked AS (SELECT l_suppkey AS player, CAST(l_shipdate AS TIMESTAMP) AS ranking_date,
+                  CAST(arg_max(1 + l_partkey % 200, l_orderkey * 8 + l_linenumber) AS BIGINT) AS rank FROM lineitem GROUP BY 1, 2),
+x AS (SELECT f.*, coalesce(e.p1_elo, 1500.0) AS p1_elo, coalesce(e.p2_elo, 1500.0) AS p2_elo, {sides},
+             round(coalesce(1 / nullif(f.p1_odds, 0), 0), 6) AS p1_implied_prob, round(coalesce(1 / nullif(f.p2_odds, 0), 0), 6) AS p2_implied_prob
+      FROM f JOIN d USING (match_id) LEFT JOIN elo e ON f.match_id = e.match_id AND f.p1_id = e.p1_id AND f.p2_id = e.p2_id {ranks} {hands})
+SELECT *, p1_rank - p2_rank AS rank_diff, round(p1_elo - p2_elo, 6) AS elo_diff FROM x"""
+
+
+@register("match_features_full", _match_features_full_sql())
+def q_match_features_full(spark, d):
+    """Every column that the model reads: features, ratings, ranks at the match's time, hands, prices. A supplier's rank
+    series is a rule on its line items."""
+    from .catalog import match_features_frame
+    t = Tables(spark, d)
+    rankings = t.lineitem.selectExpr("l_suppkey AS player", "CAST(l_shipdate AS timestamp) AS ranking_date",
+                                     "l_orderkey * 8 + l_linenumber AS event_id", "CAST(1 + l_partkey % 200 AS bigint) AS rank")
+    more = {"elo": folds.elo_ratings(views.matches(t)), "rankings": rankings, "players": views.players_dim(t)}
+    extra = [r6("p1_elo").alias("p1_elo"), r6("p2_elo").alias("p2_elo"), F.round(r6("p1_elo") - r6("p2_elo"), 6).alias("elo_diff"), "p1_rank", "p2_rank", "rank_diff",
+             "p1_hand", "p2_hand", r6("p1_implied_prob").alias("p1_implied_prob"), r6("p2_implied_prob").alias("p2_implied_prob")]
+    return match_features_frame(spark, d, more=more, extra=extra)
