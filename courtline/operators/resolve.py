@@ -9,8 +9,8 @@ aggregates the historical side per match key first (candidate count, smallest id
 counts for the ambiguity guard) and joins every feed row to at most one key row. The result
 per pass is the candidate the final resolution would keep (highest confidence, then the
 smallest historical id), so ``map_resolve`` over the union equals resolving the full pair
-list. The fuzzy pass finds every candidate above the threshold exactly, with q-gram prefix
-filtering instead of comparing all pairs in a block.
+list. The fuzzy pass finds every candidate above the threshold exactly: names are cut into
+pieces of which one must stand unchanged in any partner, so no block is compared pair by pair.
 """
 
 from __future__ import annotations
@@ -77,88 +77,90 @@ def map_unique_lastname(src: DataFrame, hist: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- fuzzy pass
 
-def _grams(col, q: int):
-    """Occurrence-numbered q-grams of a string: 'abab' → ab#1, ba#1, ab#2 (array functions
-    only — no shuffle)."""
-    n = F.length(col)
-    raw = F.transform(F.sequence(F.lit(1), F.greatest(n - q + 1, F.lit(1))), lambda i: F.substring(col, i, q))
-    numbered = F.transform(raw, lambda g, i: F.concat(
-        g, F.lit("#"), F.size(F.filter(F.slice(raw, 1, i + 1), lambda x: x == g)).cast("string")))
-    return F.when(n >= q, numbered).otherwise(F.array().cast("array<string>"))
-
-
-def _prefix_candidates(s: DataFrame, h: DataFrame, q: int, delta: float) -> DataFrame:
-    """Pairs (source_id, hname) that can reach ``1 - delta`` similarity on some spelling.
-
-    Both sides carry one row per spelling (``_tag``: raw / token-sorted, text in ``_rep``);
-    everything below is keyed by the tag, so both spellings run in one pass. A string of
-    length L may be off by τ(L) = ⌊δL/(1−δ)⌋ edits from any partner that passes; two strings
-    within τ edits share a gram among their first qτ+1 grams in one global order (rarest
-    first). Strings too short for that bound meet all strings of their block and length
-    band instead (bounded: only lengths < q + qτ)."""
-    def tau(c):
-        return F.floor(F.length(c) * F.lit(delta / (1.0 - delta)) + F.lit(1e-9)).cast("int")
-
-    def explode_grams(df, id_col):
-        return df.select(id_col, "_tag", "_blk", tau(F.col("_rep")).alias("_tau"),
-                         F.explode(_grams(F.col("_rep"), q)).alias("_gram"))
-
-    sg, hg = explode_grams(s, "source_id"), explode_grams(h, "hname")
-    # one row per distinct (spelling, gram), while common grams are hot keys on the exploded
-    # side: AQE measures it at runtime and broadcasts it when under the adaptive threshold,
-    # otherwise its skew-join handling splits the hot partitions (no extra job)
-    freq = (sg.select("_tag", "_gram").unionByName(hg.select("_tag", "_gram"))
-            .groupBy("_tag", "_gram").agg(F.count(F.lit(1)).alias("_f")))
-
-    def prefix(g, id_col):
-        ranked = g.join(freq, ["_tag", "_gram"])
-        w = Window.partitionBy(id_col, "_tag").orderBy("_f", "_gram")
-        return (ranked.withColumn("_r", F.row_number().over(w))
-                .where(F.col("_r") <= q * F.col("_tau") + 1).select(id_col, "_tag", "_blk", "_gram"))
-
-    by_gram = prefix(sg, "source_id").join(prefix(hg, "hname"), ["_tag", "_blk", "_gram"]).select("source_id", "hname")
-
-    short = F.length("_rep") - q + 1 < q * tau(F.col("_rep")) + 1
-    band = (F.col("_hlen") >= F.col("_len") * (1 - delta)) & (F.col("_hlen") * (1 - delta) <= F.col("_len"))
-    ss = s.select("source_id", "_tag", "_blk", F.length("_rep").alias("_len"), short.alias("_short"))
-    hs = h.select("hname", "_tag", "_blk", F.length("_rep").alias("_hlen"), short.alias("_hshort"))
-    by_short = (ss.where("_short").join(hs, ["_tag", "_blk"]).where(band).select("source_id", "hname")
-                .unionByName(hs.where("_hshort").join(ss, ["_tag", "_blk"]).where(band).select("source_id", "hname")))
-    return by_gram.unionByName(by_short)
-
-
-def fuzzy_scored(src: DataFrame, hist: DataFrame, min_score: float, q: int | None = None) -> DataFrame:
-    """Every (feed id, historical name) pair in the same block with ``name_similarity ≥
-    min_score`` — exactly, via prefix-filtered candidates (raw and token-sorted spellings).
-    Duplicate historical names keep their smallest id."""
+def _edits(length: str, delta: float) -> str:
+    """Most edits between a string of this length and any partner that passes."""
+    return f"CAST(floor({length} * {delta / (1.0 - delta)!r}D + 1e-9D) AS int)"
+
+
+def _segment_starts(length: str, pieces: str, i: str) -> str:
+    """1-based start of piece ``i`` when a string is cut evenly, the longer pieces last."""
+    return f"(1 + ({i} - 1) * ({length} div {pieces}) + greatest(0, {i} - 1 - ({pieces} - {length} % {pieces})))"
+
+
+def _segment_size(length: str, pieces: str, i: str) -> str:
+    return f"({length} div {pieces} + if({i} > {pieces} - {length} % {pieces}, 1, 0))"
+
+
+def _candidates(s: DataFrame, h: DataFrame, delta: float) -> DataFrame:
+    """Distinct pairs (sname, hname) that can reach ``1 - delta`` similarity on some spelling.
+
+    Both sides carry one row per spelling (``_tag``: raw / token-sorted, text in ``_rep``). A
+    historical spelling of length L may be off by τ(L) edits from a partner that passes, so it is
+    cut into τ + 1 pieces, of which τ edits leave one whole. A feed spelling of length l sends, for
+    each L in its band, the substrings that can be that piece: piece i at p can stand at most i − 1
+    places off p, and at most τ + 1 − i off p + l − L, or a piece to its left or right is whole as
+    well. The pairs come from one equi-join on (spelling, block, L, i, text); the number of
+    substrings depends on the length of the name alone."""
+    hs = (h.selectExpr("hname", "_tag", "_blk", "_rep", "length(_rep) AS _L").selectExpr("*", f"{_edits('_L', delta)} + 1 AS _k")
+          .selectExpr("*", "explode(sequence(1, _k)) AS _i")
+          .selectExpr("hname", "_tag", "_blk", "_L", "_i",
+                      f"substring(_rep, {_segment_starts('_L', '_k', '_i')}, {_segment_size('_L', '_k', '_i')}) AS _seg"))
+    low, high = f"CAST(ceil(_len * {1.0 - delta!r}D - 1e-9D) AS int)", f"CAST(floor(_len * {1.0 / (1.0 - delta)!r}D + 1e-9D) AS int)"
+    at = (s.selectExpr("sname", "_tag", "_blk", "_rep", "length(_rep) AS _len")
+          .selectExpr("*", f"explode(sequence(greatest(1, {low}), {high})) AS _L").selectExpr("*", f"{_edits('_L', delta)} + 1 AS _k")
+          .selectExpr("*", "explode(sequence(1, _k)) AS _i")
+          .selectExpr("*", f"{_segment_starts('_L', '_k', '_i')} AS _p", f"{_segment_size('_L', '_k', '_i')} AS _n"))
+    first = "greatest(1, _p - (_i - 1), _p + _len - _L - (_k - _i))"
+    last = "least(_len - _n + 1, _p + (_i - 1), _p + _len - _L + (_k - _i))"
+    ss = (at.where(f"{first} <= {last}").selectExpr("*", f"explode(sequence({first}, {last})) AS _from")
+          .selectExpr("sname", "_tag", "_blk", "_L", "_i", "substring(_rep, _from, _n) AS _seg"))
+    return ss.join(hs, ["_tag", "_blk", "_L", "_i", "_seg"]).select("sname", "hname").distinct()
+
+
+def _spellings(names: DataFrame, name: str) -> DataFrame:
+    each = F.explode(F.array(F.struct(F.lit("raw").alias("_tag"), F.col(name).alias("_rep")),
+                             F.struct(F.lit("sorted").alias("_tag"), token_sorted(name).alias("_rep"))))
+    return names.select(name, "_blk", each.alias("_x")).select(name, "_blk", "_x.*")
+
+
+def _scored_names(src: DataFrame, hist: DataFrame, min_score: float) -> DataFrame:
+    """(sname, hname, hid, _score ≥ min_score) of the distinct names of both sides that share a block."""
+    if min_score <= 50.0:
+        raise ValueError("pieces need a similarity above 50")
     delta = 1.0 - min_score / 100.0
-    if q is None:  # bigrams only pay off when few edits are allowed
-        q = 2 if delta <= 0.25 else 1
-    s = (src.where(F.length(F.trim("source_name")) > 0)
-         .withColumn("_blk", block_key("source_name")).where(F.col("_blk") != "")
-         .withColumnRenamed("source_name", "_sn"))
+    s = (src.where(F.length(F.trim("source_name")) > 0).select(F.col("source_name").alias("sname")).distinct()
+         .withColumn("_blk", block_key("sname")).where(F.col("_blk") != ""))
     h = (hist.groupBy(F.col("historical_name").alias("hname")).agg(F.min("historical_id").alias("hid"))
          .withColumn("_blk", block_key("hname")).where(F.col("_blk") != ""))
-    spell = lambda c: F.explode(F.array(F.struct(F.lit("raw").alias("_tag"), F.col(c).alias("_rep")),
-                                        F.struct(F.lit("sorted").alias("_tag"), token_sorted(c).alias("_rep"))))
-    s2 = s.select("source_id", "_blk", spell("_sn").alias("_x")).select("source_id", "_blk", "_x.*")
-    h2 = h.select("hname", "_blk", spell("hname").alias("_x")).select("hname", "_blk", "_x.*")
-    cand = _prefix_candidates(s2, h2, q, delta).distinct()
-    return (cand.join(s.select("source_id", "_sn"), "source_id").join(h.select("hname", "hid"), "hname")
-            .withColumn("_score", name_similarity("_sn", "hname"))
-            .where(F.col("_score") >= min_score))
-
-
-def map_fuzzy(src: DataFrame, hist: DataFrame, threshold: float = params.MAPPING_CONFIDENCE_THRESHOLD,
-              q: int | None = None) -> DataFrame:
+    # a distance is only worked out as far as it can still pass
+    near = " OR ".join(f"levenshtein({a}, {b}, CAST(floor(greatest(length({a}), length({b})) * {delta!r}D + 1e-9D) AS int)) >= 0"
+                       for a, b in (("sname", "hname"), ("_st", "_ht")))
+    return (_candidates(_spellings(s, "sname"), _spellings(h, "hname"), delta)
+            .withColumns({"_st": token_sorted("sname"), "_ht": token_sorted("hname")}).where(near).drop("_st", "_ht")
+            .withColumn("_score", name_similarity("sname", "hname")).where(F.col("_score") >= min_score)
+            .join(h.select("hname", "hid"), "hname"))
+
+
+def fuzzy_scored(src: DataFrame, hist: DataFrame, min_score: float) -> DataFrame:
+    """Every (feed id, historical name) pair in the same block with ``name_similarity ≥ min_score``
+    (above 50), exactly. Each distinct name is compared once, however many ids carry it; duplicate
+    historical names keep their smallest id."""
+    ids = src.select("source_id", F.col("source_name").alias("_sn"))
+    pairs = _scored_names(src, hist, min_score).withColumnRenamed("sname", "_sn")
+    return ids.join(pairs, "_sn").select("hname", "source_id", "_sn", "hid", "_score")
+
+
+def map_fuzzy(src: DataFrame, hist: DataFrame, threshold: float = params.MAPPING_CONFIDENCE_THRESHOLD) -> DataFrame:
     """Pass 5: best historical name in the same block (first letter of the last name) by
     ``name_similarity``, kept when the score reaches ``threshold``; ties go to the smaller
-    name, then id. Exact: no candidate above the threshold is skipped."""
-    scored = fuzzy_scored(src, hist, threshold, q)
-    best = scored.groupBy("source_id").agg(
-        F.min_by(F.struct("hname", "hid", "_score", "_sn"), F.struct(-F.col("_score"), F.col("hname"), F.col("hid"))).alias("_b"))
-    out = best.select("source_id", F.col("_b.hid").alias("historical_id"), F.col("_b._sn").alias("source_name"),
-                      F.col("_b.hname").alias("matched_name"), F.col("_b._score").alias("confidence"))
+    name, then id. Exact: no candidate above the threshold is skipped. The best partner is chosen
+    per distinct name, before ids that share a name get it."""
+    best = F.min_by(F.struct("hname", "hid", "_score", "_sn"), F.struct(-F.col("_score"), F.col("hname"), F.col("hid"))).alias("_b")
+    per_name = (_scored_names(src, hist, threshold).withColumnRenamed("sname", "_sn").groupBy("_sn").agg(best)
+                .select("_sn", "_b.hname", "_b.hid", "_b._score"))
+    per_id = src.select("source_id", F.col("source_name").alias("_sn")).join(per_name, "_sn").groupBy("source_id").agg(best)
+    out = per_id.select("source_id", F.col("_b.hid").alias("historical_id"), F.col("_b._sn").alias("source_name"),
+                        F.col("_b.hname").alias("matched_name"), F.col("_b._score").alias("confidence"))
     return _emit(out, "Fuzzy", "confidence")
 
 

@@ -1,3 +1,6 @@
+import random
+import string
+
 from pyspark.sql import functions as F
 
 from courtline.operators import resolve
@@ -70,3 +73,45 @@ def test_topk_candidates_offer_names_under_every_floor(spark):
         mine = sorted((r for r in scored if r.source_id == i), key=lambda r: (-r._score, r.hname))[:4]
         want |= {(i, r.hname, n + 1) for n, r in enumerate(mine)}
     assert got == want and {i for i, _, _ in got} == {1, 2}
+
+
+def test_pieces_find_every_pair_of_short_and_edited_names(spark):
+    """Random names over a tiny alphabet, all lengths: every pair above the score, and no other."""
+    rng = random.Random(7)
+
+    def name():
+        return " ".join("".join(rng.choice("abK") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 3)))
+    names = [name() for _ in range(250)]
+    edited = []
+    for n in names:
+        c = list(n)
+        for _ in range(rng.randint(0, 3)):
+            c[rng.randrange(len(c))] = rng.choice(["", "a", "Kb", " "])
+        edited.append("".join(c))
+    src = spark.createDataFrame([(i, n) for i, n in enumerate(edited)] + [(900, edited[0]), (901, None), (902, " ")],
+                                "source_id long, source_name string")
+    hist = spark.createDataFrame([(i, n) for i, n in enumerate(names)] + [(950, names[0]), (951, None)],
+                                 "historical_id long, historical_name string")
+    everything = resolve._block_scored(src, hist).select("source_id", "hname", "hid", "_score").collect()
+    for score in (85.0, 60.0):
+        got = sorted(tuple(r) for r in resolve.fuzzy_scored(src, hist, score).select("source_id", "hname", "hid", "_score").collect())
+        want = sorted(tuple(r) for r in everything if r._score >= score)
+        assert got == want and len(want) > 100
+
+
+def test_pieces_leave_few_candidates(spark):
+    """One block of 1000 names on each side: an edited name meets hardly any other than its own."""
+    rng = random.Random(11)
+    names = ["".join(rng.choice(string.ascii_lowercase) for _ in range(7)) + " K" + "".join(rng.choice(string.ascii_lowercase) for _ in range(9))
+             for _ in range(1000)]
+    h = spark.createDataFrame([(n, "K") for n in names], "hname string, _blk string")
+    s = spark.createDataFrame([(n[:3] + "x" + n[4:], "K") for n in names], "sname string, _blk string")
+    got = {tuple(r) for r in resolve._candidates(resolve._spellings(s, "sname"), resolve._spellings(h, "hname"), 0.15).collect()}
+    assert {(n[:3] + "x" + n[4:], n) for n in names} <= got and len(got) < 0.01 * len(names) ** 2
+
+
+def test_ids_that_share_a_name_are_compared_once(spark):
+    src = spark.range(2000).selectExpr("id AS source_id", "'Jannik Sinnerr' AS source_name")
+    hist = spark.createDataFrame([(30, "Jannik Sinner"), (31, "Jannik Sinner"), (40, "Jan Sinner")], "historical_id long, historical_name string")
+    assert resolve._scored_names(src, hist, 85.0).count() == 1
+    assert [tuple(r) for r in resolve.map_fuzzy(src, hist).groupBy("historical_id").count().collect()] == [(30, 2000)]
