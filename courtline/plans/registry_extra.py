@@ -485,16 +485,111 @@ def q_stream_dedup(spark, d):
     return out.select("market_id", "selection_id")
 
 
-@register("stream_risk_state", None, note="per (account, day) stateful decisions; checked against the batch risk gate in tests")
+@register("stream_risk_state", """
+WITH RECURSIVE e AS MATERIALIZED (
+  SELECT CAST(user_id AS VARCHAR) AS account, ts, CAST(ts AS DATE) AS day, event_type = 'purchase' AS settle,
+         user_id || '-' || CAST(floor(value) AS BIGINT) % 40 AS k, value AS stake, value - 60.0 AS profit,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type = 'purchase', user_id || '-' || CAST(floor(value) AS BIGINT) % 40, value) AS rn
+  FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL AND value IS NOT NULL),
+f(account, rn, day, pnl, exposure, handled, opened, k, ts, stake, seen_pnl, seen_exposure, decision) AS (
+  SELECT DISTINCT account, 0::BIGINT, NULL::DATE, 0.0::DOUBLE, 0.0::DOUBLE, []::VARCHAR[], []::STRUCT(k VARCHAR, s DOUBLE)[],
+         NULL::VARCHAR, NULL::TIMESTAMP, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::VARCHAR FROM e
+  UNION ALL
+  SELECT f.account, e.rn, e.day, CASE WHEN e.settle THEN x.pnl + e.profit ELSE x.pnl END,
+         CASE WHEN d.decision = 'DRY_RUN' THEN f.exposure + e.stake
+              WHEN e.settle AND x.own IS NOT NULL THEN f.exposure - x.own ELSE f.exposure END,
+         CASE WHEN d.decision IN ('DRY_RUN', 'BELOW_MIN') THEN list_append(f.handled, e.k) ELSE f.handled END,
+         CASE WHEN d.decision = 'DRY_RUN' THEN list_append(f.opened, struct_pack(k := e.k, s := e.stake))
+              WHEN e.settle THEN list_filter(f.opened, lambda o: o.k <> e.k) ELSE f.opened END,
+         e.k, e.ts, e.stake, x.pnl, f.exposure, d.decision
+  FROM f JOIN e ON e.account = f.account AND e.rn = f.rn + 1,
+       LATERAL (SELECT CASE WHEN f.day = e.day THEN f.pnl ELSE 0.0 END AS pnl, list_filter(f.opened, lambda o: o.k = e.k)[1].s AS own) x,
+       LATERAL (SELECT CASE WHEN e.settle THEN NULL WHEN list_contains(f.handled, e.k) THEN 'DUPLICATE' WHEN x.own IS NOT NULL THEN 'EXPOSED'
+                            WHEN x.pnl <= -50.0 THEN 'RISK_BLOCKED' WHEN f.exposure + e.stake > 200.0 THEN 'EXPOSED'
+                            WHEN e.stake < 0.03 THEN 'BELOW_MIN' ELSE 'DRY_RUN' END AS decision) d)
+SELECT account, CAST(day AS VARCHAR) AS day, k AS selection_key, round(stake, 6) AS stake, round(seen_pnl, 6) AS pnl, round(seen_exposure, 6) AS exposure, decision
+FROM f WHERE decision IS NOT NULL""")
 def q_stream_risk(spark, d):
-    from ..sources.tables import stream_table
-    from ..streaming.live import run_available, stream_risk_state
-    ev = stream_table(spark, d, "events")
-    e = ev.select(F.col("user_id").cast("string").alias("account"), "ts",
-                  F.when(F.col("event_type") == "purchase", "settle").otherwise("bet").alias("kind"),
-                  F.concat_ws("-", F.col("user_id").cast("string"), F.col("event_type")).alias("selection_key"),
-                  (F.col("value") * 10).alias("stake"), (F.col("value") - 10).alias("profit"))
-    return run_available(spark, stream_risk_state(e), "risk")
+    """Purchases settle, other events are bets; five slices of time with a restart after each."""
+    from ..streaming.live import run_replay, stream_risk_state
+    e = Tables(spark, d).events.select(
+        F.col("user_id").cast("string").alias("account"), "ts", F.when(F.col("event_type") == "purchase", "settle").otherwise("bet").alias("kind"),
+        F.concat_ws("-", F.col("user_id").cast("string"), (F.floor("value").cast("bigint") % 40).cast("string")).alias("selection_key"),
+        F.col("value").alias("stake"), (F.col("value") - 60).alias("profit"))
+    out = run_replay(spark, {"events": (e.where(F.col("stake").isNotNull()), "ts")}, lambda events: stream_risk_state(events), "risk")
+    return out.select("account", F.col("day").cast("string").alias("day"), "selection_key", r6("stake").alias("stake"), r6("pnl").alias("pnl"), r6("exposure").alias("exposure"),
+                      "decision")
+
+
+def _live_markets(spark, d):
+    """Catalogue entries from orders (one runner in every ninth) and book updates from line items,
+    by rules on the keys: either order of the runners, a stranger in the book, three runners."""
+    t = Tables(spark, d)
+    k = F.col("o_orderkey")
+    named = lambda i: F.struct(i.alias("selection_id"), F.concat(F.lit("Runner "), i.cast("string")).alias("runner_name"))
+    a, b = named(k * 2), named(k * 2 + 1)
+    catalogue = t.orders.select(
+        k.cast("string").alias("market_id"), F.col("o_orderdate").alias("ts"), F.lit("Match Odds").alias("market_name"),
+        F.col("o_orderdate").alias("market_time"), F.col("o_orderpriority").alias("competition"), F.lit("A v B").alias("event_name"),
+        F.when(k % 9 == 0, F.array(a)).when(F.col("o_custkey") % 2 == 0, F.array(a, b)).otherwise(F.array(b, a)).alias("runners"))
+    k, line = F.col("l_orderkey"), F.col("l_linenumber")
+    priced = lambda i, price: F.struct(i.alias("selection_id"), price.alias("best_back"), F.lit(100.0).alias("size"))
+    a = priced(k * 2, F.lit(1.0) + F.col("l_quantity") / 10)
+    b, other = (priced(k * 2 + i, F.lit(1.5) + line) for i in (1, 7))
+    books = t.lineitem.select(
+        k.cast("string").alias("market_id"), F.col("l_shipdate").alias("ts"), F.lit("OPEN").alias("status"), (line == 6).alias("inplay"),
+        F.when(line % 4 == 0, F.array(a, b)).when(line % 4 == 1, F.array(b, a)).when(line % 4 == 2, F.array(a, other))
+         .otherwise(F.array(a, b, other)).alias("runners"))
+    return {"catalogue": (catalogue, "ts"), "books": (books, "ts")}
+
+
+_LIVE_SQL = """WITH live AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS market_id, CAST(l_shipdate AS TIMESTAMP) AS ts, 'OPEN' AS status, l_linenumber = 6 AS inplay, o_orderpriority AS competition,
+         o_orderkey, o_orderkey * 2 + o_custkey % 2 AS p1_id, o_orderkey * 2 + 1 - o_custkey % 2 AS p2_id,
+         CASE WHEN o_custkey % 2 = 0 THEN 1.0 + l_quantity / 10 ELSE 1.5 + l_linenumber END AS p1_odds,
+         CASE WHEN o_custkey % 2 = 0 THEN 1.5 + l_linenumber ELSE 1.0 + l_quantity / 10 END AS p2_odds
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  WHERE o_orderkey % 9 <> 0 AND l_linenumber % 4 IN (0, 1) AND l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 400 DAYS)"""
+
+
+def _joined(catalogue, books):
+    """The tables span years and land in slices, so the watermark must not overtake any of them."""
+    from ..streaming.live import join_catalogue_book
+    return join_catalogue_book(catalogue, books, valid="400 days", delay="10000 days")
+
+
+@register("join_catalogue_book", _LIVE_SQL + """
+SELECT market_id, ts, status, inplay, competition, p1_id, 'Runner ' || p1_id AS p1_name, round(p1_odds, 6) AS p1_odds,
+       p2_id, 'Runner ' || p2_id AS p2_name, round(p2_odds, 6) AS p2_odds FROM live""")
+def q_join_catalogue_book(spark, d):
+    from ..streaming.live import run_replay
+    j = run_replay(spark, _live_markets(spark, d), _joined, "catalogue_book")
+    r = lambda i, f: F.col("runners")[i - 1][f]
+    return j.select("market_id", "ts", "status", "inplay", "competition",
+                    *[c for i in (1, 2) for c in (r(i, "selection_id").alias(f"p{i}_id"), r(i, "runner_name").alias(f"p{i}_name"),
+                                                  r6(r(i, "best_back")).alias(f"p{i}_odds"))])
+
+
+@register("stream_bet_rows", _LIVE_SQL + """
+SELECT market_id, ts, selection_id, 'Runner ' || selection_id AS player_name, round(odds, 6) AS odds, round(prob * odds - 1.0, 6) AS ev,
+       printf('%.2f%%', prob * 100) AS model_prob, printf('%+.2f%%', (prob * odds - 1.0) * 100) AS ev_text,
+       round(greatest(0.0, (prob * odds - 1.0) / (odds - 1.0)), 6) AS kelly_fraction, market_id || '-' || selection_id AS selection_key
+FROM (SELECT market_id, ts, p1_id AS selection_id, p1_odds AS odds, (1 + o_orderkey % 97) / 100.0::DOUBLE AS prob FROM live
+      UNION ALL SELECT market_id, ts, p2_id, p2_odds, 1.0 - (1 + o_orderkey % 97) / 100.0::DOUBLE FROM live)
+WHERE prob * odds - 1.0 > 0.1""")
+def q_stream_bet_rows(spark, d):
+    """Catalogue and book as streams → features → a probability by a rule on the market → bet rows."""
+    from ..streaming.live import player_snapshot, run_replay, stream_features, stream_value_bets
+    from .features import player_rows
+    totals, surf = player_snapshot(player_rows(views.matches(Tables(spark, d))).withColumnRenamed("ts", "tourney_date"))
+
+    def plan(catalogue, books):
+        scored = stream_features(_joined(catalogue, books), totals, surf).withColumn(
+            "p1_predicted_prob", (F.lit(1) + F.col("market_id").cast("bigint") % 97) / F.lit(100.0))
+        return stream_value_bets(scored).select("market_id", "ts", "selection_id", "player_name", "odds", "ev", "model_prob", "ev_text",
+                                                "kelly_fraction", "selection_key")
+    out = run_replay(spark, _live_markets(spark, d), plan, "bet_rows", batches=2)
+    return out.withColumns({c: r6(c) for c in ("odds", "ev", "kelly_fraction")})
 
 
 # ---------------------------------------------------------------- match log, market table, realistic back-test join

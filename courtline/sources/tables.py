@@ -57,3 +57,4 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files_per_trig
     casts = [F.col(f.name).cast(T.TimestampType()).alias(f.name) if isinstance(f.dataType, T.TimestampNTZType)
              else F.col(f.name) for f in schema.fields]
     return df.select(*casts)
+

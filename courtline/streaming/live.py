@@ -5,15 +5,16 @@ incremental Elo.
 Every stateless step is an ordinary DataFrame transform, so the same function runs on a
 batch DataFrame (replay, tests) and on a streaming one. Time is the event time of the
 update (``ts``), never the wall clock, so a replay gives the same answer. Stateful steps use
-``applyInPandasWithState`` with state keyed by the natural key (account-day, surface), and a
-watermark bounds their state. Nothing places an order: decisions are rows in a table.
+``transformWithStateInPandas`` with one state entry per selection or player; watermarks and
+timers bound their state. Nothing places an order: decisions are rows in a table.
 """
 
 # no postponed annotations: the stateful functions are recognised by runtime type hints
 import json
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from .. import params
-from ..functions.pricing import kelly_live, live_expected_value, selection_key
+from ..functions.pricing import format_pct, kelly_live, live_expected_value, selection_key
 from ..functions.text import surface_of_market, tournament_category
 from ..params import EloParams, LiveParams
 from ..session import checkpoint_dir
@@ -90,6 +91,36 @@ def subscription_diff(target: DataFrame, current: DataFrame, key: str = "market_
     return j.select(F.coalesce("_t", "_c").alias(key), change.alias("change"))
 
 
+# ---------------------------------------------------------------- catalogue and book
+
+def join_catalogue_book(catalogue: DataFrame, books: DataFrame, *, valid: str = "1 day", delay: str = "2 hours") -> DataFrame:
+    """Book updates with the catalogue entry of their market, as two streams (or two batches).
+
+    ``catalogue``: market_id, ts, market_name, market_time, competition, event_name, runners
+    (selection_id, runner_name). ``books``: market_id, ts, status, inplay, runners (selection_id,
+    best_back, size). An update meets the entries published at most ``valid`` before it; both
+    sides carry a watermark of ``delay``, so each keeps only the rows that can still meet one, and
+    rows that come later than that are lost. Both sides must name exactly two runners, and each
+    runner of the catalogue must stand in the book, found by its id: the catalogue's order stays.
+    An entry that is published again gives one row for each entry. Missing runners: no row.
+    Returns the columns of ``BOOK_SCHEMA``, which the gate and the features read.
+    """
+    two = lambda c: F.coalesce(F.size(c), F.lit(0)) == 2
+    c = catalogue.where(two("runners")).select(
+        F.col("market_id").alias("_market"), F.col("ts").alias("_published"), "market_time", "market_name", "competition",
+        "event_name", F.col("runners").alias("_names")).withWatermark("_published", delay)
+    b = books.where(two("runners")).select("market_id", "ts", "status", "inplay", F.col("runners").alias("_prices")).withWatermark("ts", delay)
+    j = b.join(c, F.expr(f"market_id = _market AND ts >= _published AND ts <= _published + INTERVAL {valid}"))
+    found = F.transform("_names", lambda n: F.struct(
+        n["selection_id"].alias("selection_id"), n["runner_name"].alias("runner_name"),
+        F.element_at(F.filter("_prices", lambda q: q["selection_id"] == n["selection_id"]), -1).alias("price")))
+    j = j.withColumn("_found", F.when(F.forall("_names", lambda n: F.exists("_prices", lambda q: q["selection_id"] == n["selection_id"])), found))
+    runners = F.transform("_found", lambda r: F.struct(r["selection_id"].alias("selection_id"), r["runner_name"].alias("runner_name"),
+                                                       r["price"]["best_back"].alias("best_back"), r["price"]["size"].alias("size")))
+    return j.where(F.col("_found").isNotNull()).select(
+        "market_id", "ts", "status", "inplay", "market_time", "market_name", "competition", "event_name", runners.alias("runners"))
+
+
 # ---------------------------------------------------------------- features, score, value bets
 
 def runner_rows(books: DataFrame) -> DataFrame:
@@ -116,6 +147,7 @@ def stream_features(books: DataFrame, totals: DataFrame, surface_totals: DataFra
         "market_id", "ts", "market_name", "competition", "event_name", "market_time",
         F.col("runners")[0]["selection_id"].alias("p1_id"), F.col("runners")[1]["selection_id"].alias("p2_id"),
         F.col("runners")[0]["best_back"].alias("p1_odds"), F.col("runners")[1]["best_back"].alias("p2_odds"),
+        F.col("runners")[0]["runner_name"].alias("p1_name"), F.col("runners")[1]["runner_name"].alias("p2_name"),
         surface_of_market("market_name").alias("surface"))
     for side in ("p1", "p2"):
         t = totals.select(F.col("player_id").alias(f"_{side}"), F.col("matches").alias(f"{side}_matches"),
@@ -142,16 +174,19 @@ def stream_features(books: DataFrame, totals: DataFrame, surface_totals: DataFra
 
 def stream_value_bets(scored: DataFrame, p: LiveParams = LiveParams(), prob: str = "p1_predicted_prob") -> DataFrame:
     """Scored markets → one bet row per runner whose live EV (p·o − 1) exceeds the threshold
-    (and whose probability passes the confidence floor). p2's probability is 1 − p1."""
-    sides = F.array(
-        F.struct(F.col("p1_id").alias("selection_id"), F.col("p1_odds").alias("odds"), F.col(prob).alias("prob")),
-        F.struct(F.col("p2_id").alias("selection_id"), F.col("p2_odds").alias("odds"), (F.lit(1.0) - F.col(prob)).alias("prob")))
+    (and whose probability passes the confidence floor). p2's probability is 1 − p1. Besides the
+    numbers a row has the runner's name (NULL where the scored rows carry none) and, as text,
+    ``model_prob`` and ``ev_text``."""
+    name = lambda side: F.col(f"{side}_name") if f"{side}_name" in scored.columns else F.lit(None).cast("string")
+    sides = F.array(*[F.struct(F.col(f"{side}_id").alias("selection_id"), name(side).alias("player_name"), F.col(f"{side}_odds").alias("odds"),
+                               p_win.alias("prob")) for side, p_win in (("p1", F.col(prob)), ("p2", F.lit(1.0) - F.col(prob)))])
     rows = scored.select("market_id", "ts", "competition", "event_name", F.explode(sides).alias("b")).select(
         "market_id", "ts", "competition", "event_name", "b.*")
     rows = rows.withColumn("ev", live_expected_value("prob", "odds")).withColumn("kelly_fraction", kelly_live("prob", "odds"))
     return (rows.where(F.col("odds").isNotNull() & (F.col("ev") > p.ev_threshold) & (F.col("prob") > p.confidence_threshold))
             .withColumn("match", F.concat_ws(" - ", F.coalesce("competition", F.lit("N/A")), F.coalesce("event_name", F.lit("N/A"))))
-            .withColumn("selection_key", selection_key("market_id", "selection_id")))
+            .withColumns({"selection_key": selection_key("market_id", "selection_id"),
+                          "model_prob": format_pct("prob"), "ev_text": format_pct("ev", signed=True)}))
 
 
 def stream_dedup_selection(bets: DataFrame, delay: str | None = None) -> DataFrame:
@@ -190,51 +225,99 @@ def stream_daily_pnl(orders: DataFrame, delay: str = "2 hours", value: str = "pr
 
 # ---------------------------------------------------------------- stateful: risk, Elo
 
-RISK_OUT = "account string, day date, selection_key string, ts timestamp, stake double, decision string"
-RISK_STATE = "pnl double, handled string"
+RISK_OUT = ("account string, day date, selection_key string, ts timestamp, stake double, pnl double, exposure double, "
+            "decision string")
 
 
-def stream_risk_state(events: DataFrame, p: LiveParams = LiveParams(), timeout: str = "2 hours") -> DataFrame:
-    """Per (account, day): running P&L from settlements and the handled selection keys.
+class AccountProcessor(StatefulProcessor):
+    """One account's books: the day's P&L, the open stakes and the handled selections, each stake
+    and selection as an entry of its own, so that a batch reads and writes only what it touches."""
 
-    ``events``: account, ts, kind ('bet' | 'settle'), selection_key, stake, profit. Bets are
-    decided in event-time order: RISK_BLOCKED when the day's P&L has reached the loss limit,
-    EXPOSED when the stake exceeds the exposure cap (neither marks the key, so it may be
-    retried), DUPLICATE for a key already handled, else the stake decision (marks the key).
-    A missing profit counts as 0.
-    State expires with the watermark once the day is over.
-    """
-    def fn(key: tuple[Any, ...], pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pnl, handled = (state.get[0], set(json.loads(state.get[1]))) if state.exists else (0.0, set())
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "kind", "selection_key"], kind="mergesort")
+    def __init__(self, p: LiveParams, dry_run: bool, expiring: bool):
+        self.p, self.placed, self.expiring = p, "DRY_RUN" if dry_run else "PLACE", expiring
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.today = handle.getValueState("today", "day int, pnl double, exposure double")
+        self.open = handle.getMapState("open", "selection_key string", "stake double")
+        self.handled = handle.getMapState("handled", "selection_key string", "expires long")
+
+    def _decide(self, r, pnl: float, exposure: float) -> str:
+        key = (r.selection_key,)
+        if self.handled.containsKey(key):
+            return "DUPLICATE"
+        if self.open.containsKey(key):
+            return "EXPOSED"
+        if pnl <= -self.p.max_daily_loss:
+            return "RISK_BLOCKED"
+        if exposure + r.stake > self.p.max_exposure:
+            return "EXPOSED"
+        return "BELOW_MIN" if r.stake < self.p.min_stake else self.placed
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "kind", "selection_key", "stake", "profit"], kind="mergesort")
+        day, pnl, exposure = self.today.get() if self.today.exists() else (None, 0.0, 0.0)
         out = []
-        for r in rows.itertuples(index=False):
+        for r in pdf.itertuples(index=False):
+            on = r.ts.toordinal()
+            if on != day:
+                day, pnl = on, 0.0
+            name = (r.selection_key,)
             if r.kind == "settle":
                 pnl += 0.0 if pd.isna(r.profit) else float(r.profit)
+                if not pd.isna(r.selection_key) and self.open.containsKey(name):
+                    exposure -= float(self.open.getValue(name)[0])
+                    self.open.removeKey(name)
                 continue
-            if pnl <= -p.max_daily_loss:
-                d = "RISK_BLOCKED"
-            elif r.stake > p.max_exposure:
-                d = "EXPOSED"
-            elif r.selection_key in handled:
-                d = "DUPLICATE"
-            else:
-                d = "BELOW_MIN" if r.stake < p.min_stake else "DRY_RUN"
-                handled.add(r.selection_key)
-            out.append((key[0], key[1], r.selection_key, r.ts, float(r.stake), d))
-        state.update((pnl, json.dumps(sorted(handled))))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 86_400_000)
+            decision = self._decide(r, pnl, exposure)
+            out.append((key[0], r.ts.date(), r.selection_key, r.ts, float(r.stake), pnl, exposure, decision))
+            if decision in (self.placed, "BELOW_MIN"):
+                ends = int(pd.Timestamp(r.expires).value // 1_000_000) if self.expiring and not pd.isna(r.expires) else -1
+                self.handled.updateValue(name, (ends,))
+                if ends >= 0:
+                    self.handle.registerTimer(ends)
+            if decision == self.placed:
+                self.open.updateValue(name, (float(r.stake),))
+                exposure += float(r.stake)
+        self.today.update((day, pnl, exposure))
         if out:
-            yield pd.DataFrame(out, columns=["account", "day", "selection_key", "ts", "stake", "decision"])
+            yield pd.DataFrame(out, columns=["account", "day", "selection_key", "ts", "stake", "pnl", "exposure", "decision"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        for name in [k for k, v in self.handled.iterator() if 0 <= v[0] <= now]:
+            self.handled.removeKey(name)
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
 
-    e = events.withColumn("day", F.to_date("ts"))
-    if e.isStreaming:
+def stream_risk_state(events: DataFrame, p: LiveParams = LiveParams(), timeout: str = "2 hours", dry_run: bool = True) -> DataFrame:
+    """Decisions per account in event-time order, one state machine for staking, dedup and risk.
+
+    ``events``: account, ts, kind ('bet' | 'settle'), selection_key, stake, profit and, optionally,
+    ``expires`` (end of the market). A bet is, in this order: DUPLICATE for a selection that was
+    handled; EXPOSED while a stake on the selection is open; RISK_BLOCKED when the day's P&L has
+    reached the loss limit; EXPOSED when the open stakes and its own pass the cap; BELOW_MIN for a
+    dust stake; else DRY_RUN or PLACE. Only the last three mark the selection, so others may be
+    retried, and only the last two open their stake (a dry run keeps the books of a real one). A
+    settlement adds its profit (missing: 0) to its day and closes the stake on its selection.
+    P&L starts anew each day; open stakes and handled selections last, the latter until ``expires``
+    where the rows have it (an event-time timer removes them then; ``timeout`` is the watermark's
+    delay). ``pnl`` and ``exposure`` are those before the decision. Rows without an account, a time or a
+    kind, and bets without a selection or a stake, have no decision and are left out. An account's
+    rows of one micro-batch are sorted in one task; what came in earlier batches counts as earlier."""
+    bet = (F.col("kind") == "bet") & F.col("selection_key").isNotNull() & F.col("stake").isNotNull() & ~F.isnan("stake")
+    known = F.col("account").isNotNull() & F.col("ts").isNotNull() & ((F.col("kind") == "settle") | bet)
+    expiring = "expires" in events.columns
+    e = events.where(known).select("account", "ts", "kind", "selection_key", F.col("stake").cast("double"), F.col("profit").cast("double"),
+                                   *(["expires"] if expiring else []))
+    if expiring:
         e = e.withWatermark("ts", timeout)
-    return e.groupBy("account", "day").applyInPandasWithState(
-        fn, RISK_OUT, RISK_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return e.groupBy("account").transformWithStateInPandas(
+        statefulProcessor=AccountProcessor(p, dry_run, expiring), outputStructType=RISK_OUT, outputMode="Append",
+        timeMode="EventTime" if expiring else "None")
 
 
 ELO_OUT = "match_id long, surface string, p1_id long, p2_id long, p1_elo double, p2_elo double"
@@ -315,16 +398,10 @@ def stream_elo(matches: DataFrame, p: EloParams = EloParams(), state: str = "map
 
 # ---------------------------------------------------------------- running a stream to a table
 
-def run_available(spark: SparkSession, df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drain a streaming DataFrame once (``availableNow``) into a durable table in the shared
-    checkpoint folder and return it as a batch DataFrame.
-
-    Append mode uses the Parquet file sink (exactly-once through its metadata log); complete
-    / update mode rewrites the whole result table in ``foreachBatch`` (idempotent overwrite).
-    Query checkpoints live next to it, so a restarted run resumes where it stopped."""
-    base = os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
-    out, ckpt = os.path.join(base, "table"), os.path.join(base, "checkpoint")
-    w = df.writeStream.outputMode(mode).option("checkpointLocation", ckpt).trigger(availableNow=True)
+def _drain(df: DataFrame, base: str, mode: str) -> str:
+    """Run a streaming DataFrame once over what its sources hold beyond its checkpoint in ``base``."""
+    out = os.path.join(base, "table")
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", os.path.join(base, "checkpoint")).trigger(availableNow=True)
     if mode == "append":
         q = w.format("parquet").option("path", out).start()
     else:
@@ -332,11 +409,49 @@ def run_available(spark: SparkSession, df: DataFrame, name: str, mode: str = "ap
     q.awaitTermination()
     if q.exception():
         raise q.exception()
+    return out
+
+
+def _drained(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
     from pyspark.errors import AnalysisException
     try:
-        return spark.read.parquet(out)
-    except AnalysisException:  # no batch produced anything: empty result with the stream's schema
-        return spark.createDataFrame([], df.schema)
+        return spark.read.schema(schema).parquet(out)
+    except AnalysisException as e:  # no batch produced anything: empty result with the stream's schema
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def run_available(spark: SparkSession, df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Drain a streaming DataFrame once (``availableNow``) into a durable table in the shared
+    checkpoint folder and return it as a batch DataFrame.
+
+    Append mode uses the Parquet file sink (exactly-once through its metadata log); complete
+    / update mode rewrites the whole result table in ``foreachBatch`` (idempotent overwrite).
+    Query checkpoints live next to it, so a restarted run resumes where it stopped."""
+    base = os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
+    return _drained(spark, _drain(df, base, mode), df.schema)
+
+
+def run_replay(spark: SparkSession, tables: dict[str, tuple[DataFrame, str]], plan: Callable[..., DataFrame], name: str,
+               batches: int = 5, mode: str = "append") -> DataFrame:
+    """``plan(**streams)`` over tables that land in ``batches`` slices of time, the query being
+    stopped and started again from its checkpoint between two slices.
+
+    ``tables``: name → (DataFrame, time column). The slices hold about equal numbers of rows of the
+    first table; the others are cut at the same times. Rows without a time land in the first slice."""
+    base = os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
+    (first, ts), *_ = tables.values()
+    bounds = first.agg(F.percentile_approx(F.unix_micros(ts), [i / batches for i in range(1, batches)])).first()[0] or []
+    streams, out = {}, ""
+    for i in range(batches):
+        for n, (df, t) in tables.items():
+            at = reduce(lambda total, b: total + (F.unix_micros(t) > F.lit(b)).cast("int"), bounds, F.lit(0))
+            df.where(F.coalesce(at, F.lit(0)) == i).write.mode("append").parquet(os.path.join(base, n))
+            streams[n] = spark.readStream.schema(df.schema).parquet(os.path.join(base, n))
+        df = plan(**streams)
+        out = _drain(df, base, mode)
+    return _drained(spark, out, df.schema)
 
 
 def decision_log_sink(batch: DataFrame, path: str, keys=("market_id", "selection_id")) -> None:

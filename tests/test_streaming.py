@@ -1,6 +1,8 @@
 """Live operators on the reference's fixtures, and stream = batch on the driver tables."""
 import datetime as dt
+import math
 import os
+import random
 import tempfile
 
 from pyspark.sql import functions as F
@@ -143,3 +145,125 @@ def test_missing_profit_keeps_the_loss_limit(spark):
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(d)
     out = live.run_available(spark, live.stream_risk_state(spark.readStream.schema(schema).parquet(d)), "missing_profit")
     assert [r.decision for r in out.collect()] == ["RISK_BLOCKED"]
+
+
+RISK_EVENTS = "account string, ts timestamp, kind string, selection_key string, stake double, profit double"
+
+
+def _risk_rows(spark):
+    """Three accounts, one with a third of the rows of all; ties in time, null fields, all kinds of decisions."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["hot", "hot", "a", "b"]), T0 + dt.timedelta(minutes=10 * rng.randint(0, 600)), rng.choice(["bet", "bet", "settle"]),
+             f"m-{rng.randint(0, 60)}", rng.choice([0.01, 40.0, 90.0, 150.0]), rng.choice([None, -30.0, 12.5])) for _ in range(400)]
+    rows += [(None, T0, "bet", "k", 1.0, None), ("a", None, "bet", "k", 1.0, None), ("a", T0, "bet", None, 1.0, None),
+             ("a", T0, "bet", "k", None, None), ("a", T0, "other", "k", 1.0, None)]
+    return spark.createDataFrame(rows, RISK_EVENTS), rows
+
+
+def _plain_risk(rows, p):
+    out = []
+    for account in {r[0] for r in rows} - {None}:
+        mine = [r for r in rows if r[0] == account and None not in r[1:4] and (r[2] == "settle" or (r[2] == "bet" and r[4] is not None))]
+        mine.sort(key=lambda r: (r[1], r[2], r[3], r[4], math.inf if r[5] is None else r[5]))
+        day, pnl, opened, handled = None, 0.0, {}, set()
+        for _, ts, kind, key, stake, profit in mine:
+            day, pnl = ts.date(), pnl if ts.date() == day else 0.0
+            if kind == "settle":
+                pnl += profit or 0.0
+                opened.pop(key, None)
+                continue
+            d = ("DUPLICATE" if key in handled else "EXPOSED" if key in opened else "RISK_BLOCKED" if pnl <= -p.max_daily_loss
+                 else "EXPOSED" if sum(opened.values()) + stake > p.max_exposure + 1e-9 else "BELOW_MIN" if stake < p.min_stake else "PLACE")
+            out.append((account, ts, key, stake, round(pnl, 6), round(sum(opened.values()), 6), d))
+            if d in ("PLACE", "BELOW_MIN"):
+                handled.add(key)
+            if d == "PLACE":
+                opened[key] = stake
+    return sorted(out)
+
+
+def test_risk_state_is_the_same_for_one_and_many_batches(spark):
+    df, rows = _risk_rows(spark)
+    want = _plain_risk(rows, LiveParams())
+    assert {r[-1] for r in want} == {"PLACE", "BELOW_MIN", "DUPLICATE", "EXPOSED", "RISK_BLOCKED"}
+    for batches in (1, 5):
+        out = live.run_replay(spark, {"events": (df, "ts")}, lambda events: live.stream_risk_state(events, dry_run=False), "risk_many", batches)
+        got = out.select("account", "ts", "selection_key", "stake", F.round("pnl", 6), F.round("exposure", 6), "decision").collect()
+        assert sorted(tuple(r) for r in got) == want
+
+
+def test_open_stakes_count_under_the_cap(spark):
+    at = lambda n: T0 + dt.timedelta(minutes=n)
+    rows = [("a", at(i), "bet", f"m-{i}", 90.0, None) for i in range(4)] + [("a", at(5), "settle", "m-0", 0.0, 5.0),
+            ("a", at(6), "bet", "m-3", 90.0, None), ("a", at(7), "bet", "m-0", 1.0, None)]
+    df = spark.createDataFrame(rows, RISK_EVENTS)
+    out = live.run_replay(spark, {"events": (df, "ts")}, lambda events: live.stream_risk_state(events, dry_run=False), "open_stakes", 3)
+    got = [(r.selection_key, r.decision) for r in out.orderBy("ts").collect()]
+    assert got == [("m-0", "PLACE"), ("m-1", "PLACE"), ("m-2", "EXPOSED"), ("m-3", "EXPOSED"), ("m-3", "PLACE"), ("m-0", "DUPLICATE")]
+
+
+def test_handled_selections_end_with_their_market(spark):
+    """A timer removes the mark once the watermark has passed the market's end; until then it holds."""
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    rows = [("a", at(0), "bet", "m-1", 10.0, None, at(1)), ("a", at(0.5), "bet", "m-1", 10.0, None, at(1)),
+            ("a", at(0.6), "settle", "m-1", 0.0, 1.0, None), ("a", at(9), "bet", "m-2", 10.0, None, None),
+            ("a", at(18), "bet", "m-3", 10.0, None, at(19)), ("a", at(20), "bet", "m-1", 10.0, None, at(30)), ("a", at(21), "bet", "m-2", 10.0, None, None)]
+    df = spark.createDataFrame(rows, RISK_EVENTS + ", expires timestamp")
+    out = live.run_replay(spark, {"events": (df, "ts")}, lambda events: live.stream_risk_state(events), "risk_timer", 7)
+    got = [(r.selection_key, r.decision) for r in out.orderBy("ts").collect()]
+    assert got == [("m-1", "DRY_RUN"), ("m-1", "DUPLICATE"), ("m-2", "DRY_RUN"), ("m-3", "DRY_RUN"), ("m-1", "DRY_RUN"), ("m-2", "DUPLICATE")]
+
+
+CATALOGUE = ("market_id string, ts timestamp, market_name string, market_time timestamp, competition string, event_name string, "
+             "runners array<struct<selection_id: long, runner_name: string>>")
+BOOK = ("market_id string, ts timestamp, status string, inplay boolean, "
+        "runners array<struct<selection_id: long, best_back: double, size: double>>")
+
+
+def test_catalogue_meets_book(spark):
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    names = [(101, "Player A"), (102, "Player B")]
+    entry = lambda m, h, r: (m, at(h), "ATP Challenger Hard", at(h + 3), "ATP", "A v B", r)
+    price = lambda m, h, *r: (m, at(h), "OPEN", False, [(i, o, 50.0) for i, o in r])
+    catalogue = spark.createDataFrame([entry("ok", 0, names), entry("one", 0, names[:1]), entry("none", 0, None), entry("next", 20, names),
+                                       entry("tick", 40, names)], CATALOGUE)
+    books = spark.createDataFrame([
+        price("ok", 1, (102, 1.8), (101, 2.0)), price("ok", 2, (101, 2.1), (102, None)), price("ok", 3, (101, 2.1), (103, 1.8)),
+        price("ok", 4, (101, 2.1)), price("one", 1, (101, 2.0), (102, 1.8)), price("none", 1, (101, 2.0), (102, 1.8)), price("ok", 30, (101, 3.0), (102, 1.2)),
+        ("ok", at(5), "OPEN", False, None), price("next", 21, (101, 1.5), (102, 2.5)), price("next", 19, (101, 1.4), (102, 2.4)),
+        price("gone", 3, (101, 2.0), (102, 1.8)), price("tick", 41, (101, 1.1), (102, 9.0))], BOOK)
+    want = [("next", 21, [(101, "Player A", 1.5, 50.0), (102, "Player B", 2.5, 50.0)]),
+            ("ok", 1, [(101, "Player A", 2.0, 50.0), (102, "Player B", 1.8, 50.0)]),
+            ("ok", 2, [(101, "Player A", 2.1, 50.0), (102, "Player B", None, 50.0)]),
+            ("tick", 41, [(101, "Player A", 1.1, 50.0), (102, "Player B", 9.0, 50.0)])]
+    assert live.join_catalogue_book(catalogue, books).columns == [f.name for f in live.BOOK_SCHEMA]
+    rows = lambda df: sorted((r.market_id, (r.ts - T0).total_seconds() / 3600, [tuple(x) for x in r.runners]) for r in df.collect())
+    assert rows(live.join_catalogue_book(catalogue, books)) == want
+    for batches in (1, 5):
+        got = live.run_replay(spark, {"books": (books, "ts"), "catalogue": (catalogue, "ts")},
+                              lambda catalogue, books: live.join_catalogue_book(catalogue, books), "cat_book", batches)
+        assert rows(got) == want
+
+
+def test_late_book_updates_are_lost_and_only_they(spark):
+    """A slice later, an update more than the watermark's delay behind is gone; one within it is not."""
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    base = tempfile.mkdtemp(prefix="late-")
+    names, prices = [(1, "A"), (2, "B")], [(1, 2.0, 1.0), (2, 3.0, 1.0)]
+    slices = [([("m", at(0), "n", at(3), "c", "A v B", names)], [("m", at(1), "OPEN", False, prices)]),
+              ([("x", at(48), "n", at(50), "c", "A v B", names)], [("x", at(48), "OPEN", False, prices)]),
+              ([("y", at(49), "n", at(50), "c", "A v B", names)], [("m", at(2), "OPEN", False, prices), ("y", at(49), "OPEN", False, prices)]),
+              ([], [("x", at(48.5), "OPEN", False, prices)])]
+    schemas = {"catalogue": CATALOGUE, "books": BOOK}
+    for c, b in slices:
+        for n, r in (("catalogue", c), ("books", b)):
+            spark.createDataFrame(r, schemas[n]).coalesce(1).write.mode("append").parquet(os.path.join(base, n))
+        streams = {n: spark.readStream.schema(schemas[n]).parquet(os.path.join(base, n)) for n in schemas}
+        out = live._drain(live.join_catalogue_book(**streams), os.path.join(base, "run"), "append")
+    got = sorted((r.market_id, (r.ts - T0).total_seconds() / 3600) for r in spark.read.parquet(out).collect())
+    assert got == [("m", 1.0), ("x", 48.0), ("x", 48.5), ("y", 49.0)]
+
+
+def test_bet_rows_carry_names_and_text(spark):
+    b = live.stream_value_bets(_scored(spark, 0.6)).collect()[0]
+    assert (b.player_name, b.model_prob, b.ev_text, b.selection_key) == ("Player A", "60.00%", "+20.00%", "1.123-101")
