@@ -1080,3 +1080,78 @@ def q_match_features_full(spark, d):
     extra = [r6("p1_elo").alias("p1_elo"), r6("p2_elo").alias("p2_elo"), F.round(r6("p1_elo") - r6("p2_elo"), 6).alias("elo_diff"), "p1_rank", "p2_rank", "rank_diff",
              "p1_hand", "p2_hand", r6("p1_implied_prob").alias("p1_implied_prob"), r6("p2_implied_prob").alias("p2_implied_prob")]
     return match_features_frame(spark, d, more=more, extra=extra)
+
+
+# ---------------------------------------------------------------- the live feature row
+
+def _supplier_rankings(t):
+    return t.lineitem.selectExpr("l_suppkey AS player", "CAST(l_shipdate AS timestamp) AS ranking_date",
+                                 "l_orderkey * 8 + l_linenumber AS event_id", "CAST(1 + l_partkey % 200 AS bigint) AS rank")
+
+
+_LIVE_COUNTS = ["matches_last_7_days", "matches_last_14_days", "sets_played_last_7_days", "sets_played_last_14_days"]
+_LIVE_SHARES = ["win_perc", "surface_win_perc", "form", "rolling_win_perc_20", "rolling_win_perc_50"]
+
+
+def _stream_features_sql() -> str:
+    from .oracle_views import with_views
+    per_side = ["rank", "elo", "hand", *_LIVE_COUNTS, "win_perc", "surface_win_perc"]
+    sides = ", ".join(f"max(CASE WHEN side = {i} THEN {c} END) AS p{i}_{c}" for c in per_side for i in (1, 2))
+    return f"""
+WITH md AS ({with_views(['market_data'], 'SELECT match_id, tourney_date, p1_id, p2_id, p1_odds, p2_odds, p1_implied_prob, p2_implied_prob FROM market_data')}),
+mt AS ({with_views(['matches'], 'SELECT * FROM matches')}), elo AS ({REGISTRY['elo_ratings'].sql}),
+hands AS ({with_views(['players_dim'], 'SELECT player_id, hand FROM players_dim')}),
+q AS (SELECT md.*, tourney_date + (match_id % 50) * INTERVAL 1 MINUTE AS ts FROM md),
+sides AS (SELECT match_id, 1 AS side, p1_id AS player, ts FROM q UNION ALL SELECT match_id, 2, p2_id, ts FROM q),
+pr AS (SELECT match_id AS mid, tourney_date AS t, surface, sets_played, winner_id AS player, 1 AS won FROM mt
+       UNION ALL SELECT match_id, tourney_date, surface, sets_played, loser_id, 0 FROM mt),
+h AS (SELECT s.match_id, s.side, coalesce(sum(won) / count(mid), 0.0) AS win_perc,
+             coalesce(sum(won) FILTER (WHERE surface = 'Hard') / nullif(count(mid) FILTER (WHERE surface = 'Hard'), 0), 0.0) AS surface_win_perc,
+             count(mid) FILTER (WHERE t >= ts - INTERVAL 7 DAYS) AS matches_last_7_days,
+             count(mid) FILTER (WHERE t >= ts - INTERVAL 14 DAYS) AS matches_last_14_days,
+             CAST(coalesce(sum(sets_played) FILTER (WHERE t >= ts - INTERVAL 7 DAYS), 0) AS BIGINT) AS sets_played_last_7_days,
+             CAST(coalesce(sum(sets_played) FILTER (WHERE t >= ts - INTERVAL 14 DAYS), 0) AS BIGINT) AS sets_played_last_14_days
+      FROM sides s LEFT JOIN pr ON pr.player = s.player AND pr.t < s.ts GROUP BY 1, 2),
+ranked AS (SELECT l_suppkey AS player, CAST(l_shipdate AS TIMESTAMP) AS t,
+                  CAST(arg_max(1 + l_partkey % 200, l_orderkey * 8 + l_linenumber) AS BIGINT) AS rank FROM lineitem GROUP BY 1, 2),
+played AS (SELECT mt.match_id, mt.tourney_date AS t, winner_id, loser_id, CASE WHEN winner_id = e.p1_id THEN p1_elo ELSE p2_elo END AS w,
+                  CASE WHEN winner_id = e.p1_id THEN p2_elo ELSE p1_elo END AS l FROM mt JOIN elo e ON e.match_id = mt.match_id WHERE mt.surface = 'Hard'),
+gained AS (SELECT *, 32.0 * (1.0 - 1.0 / (1.0 + power(10.0, (l - w) / 400.0))) AS gain FROM played),
+after AS (SELECT player, t, arg_max(rating, match_id) AS rating FROM (
+            SELECT winner_id AS player, t, match_id, w + gain AS rating FROM gained
+            UNION ALL SELECT loser_id, t, match_id, l - gain FROM gained) GROUP BY 1, 2),
+side AS (SELECT s.match_id, s.side, h.* EXCLUDE (match_id, side), coalesce(r.rank, 500) AS rank, coalesce(a.rating, 1500.0) AS elo, coalesce(p.hand, 'U') AS hand
+         FROM sides s JOIN h ON h.match_id = s.match_id AND h.side = s.side
+         ASOF LEFT JOIN ranked r ON r.player = s.player AND s.ts >= r.t ASOF LEFT JOIN after a ON a.player = s.player AND s.ts > a.t
+         LEFT JOIN hands p ON p.player_id = s.player),
+wide AS (SELECT match_id, {sides} FROM side GROUP BY 1),
+h2h AS (SELECT q.match_id, count(*) FILTER (WHERE mt.winner_id = q.p1_id) AS h2h_p1_wins, count(*) FILTER (WHERE mt.winner_id = q.p2_id) AS h2h_p2_wins
+        FROM q LEFT JOIN mt ON least(mt.winner_id, mt.loser_id) = least(q.p1_id, q.p2_id)
+                           AND greatest(mt.winner_id, mt.loser_id) = greatest(q.p1_id, q.p2_id) AND mt.tourney_date < q.ts GROUP BY 1)
+SELECT CAST(q.match_id AS VARCHAR) AS market_id, q.ts, 'Hard' AS surface, q.p1_id, q.p2_id, round(q.p1_odds, 6) AS p1_odds, round(q.p2_odds, 6) AS p2_odds,
+       {", ".join(f"round(w.p{i}_{c}, 6) AS p{i}_{c}" for c in ("win_perc", "surface_win_perc", "elo") for i in (1, 2))},
+       {", ".join(f"0.0::DOUBLE AS p{i}_{c}" for c in ("form", "rolling_win_perc_20", "rolling_win_perc_50") for i in (1, 2))},
+       {", ".join(f"w.p{i}_{c}" for c in (*_LIVE_COUNTS, "rank", "hand") for i in (1, 2))}, h2h.h2h_p1_wins, h2h.h2h_p2_wins,
+       round(q.p1_implied_prob, 6) AS p1_implied_prob, round(q.p2_implied_prob, 6) AS p2_implied_prob,
+       round(q.p1_implied_prob + q.p2_implied_prob - 1.0, 6) AS book_margin, w.p1_rank - w.p2_rank AS rank_diff,
+       round(round(w.p1_elo, 6) - round(w.p2_elo, 6), 6) AS elo_diff, {", ".join(
+           f"w.p1_{c} - w.p2_{c} AS {d}" for c, d in zip(_LIVE_COUNTS, ("fatigue_diff_7_days", "fatigue_diff_14_days",
+                                                                      "fatigue_sets_diff_7_days", "fatigue_sets_diff_14_days")))}
+FROM q JOIN wide w USING (match_id) JOIN h2h USING (match_id)"""
+
+
+@register("stream_features", _stream_features_sql())
+def q_stream_features(spark, d):
+    """Book updates as a stream in two slices, each micro-batch with its whole feature row as of its own time."""
+    from ..session import cut_lineage
+    from ..streaming.live import run_replay
+    from .live_features import elo_after, live_features
+    t = Tables(spark, d)
+    m = cut_lineage(views.matches(t))
+    elo = folds.elo_ratings(m).withColumns({c: r6(c) for c in ("p1_elo", "p2_elo")})
+    history = {"rankings": _supplier_rankings(t), "ratings": cut_lineage(elo_after(m, elo)), "players": views.players_dim(t)}
+    out = run_replay(spark, {"books": (books(spark, d), "ts")}, lambda books: books, "features", batches=2,
+                     each=lambda batch: live_features(batch, m, **history))
+    rounded = [f"p{i}_{c}" for c in (*_LIVE_SHARES, "elo", "odds", "implied_prob") for i in (1, 2)] + ["book_margin"]
+    out = out.withColumns({c: r6(c) for c in rounded}).withColumn("elo_diff", F.round(F.col("p1_elo") - F.col("p2_elo"), 6))
+    return out.drop("market_name", "competition", "event_name", "market_time", "p1_name", "p2_name")

@@ -398,11 +398,23 @@ def stream_elo(matches: DataFrame, p: EloParams = EloParams(), state: str = "map
 
 # ---------------------------------------------------------------- running a stream to a table
 
-def _drain(df: DataFrame, base: str, mode: str) -> str:
+def batch_folders(path: str, each: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` body: ``each(batch)`` into a folder of the batch's own, so that a batch that
+    is run again after a failure replaces what it wrote before and nothing else."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        each(batch).write.mode("overwrite").parquet(os.path.join(path, f"batch={batch_id}"))
+        batch.unpersist()
+    return write
+
+
+def _drain(df: DataFrame, base: str, mode: str, each: Callable[[DataFrame], DataFrame] | None = None) -> str:
     """Run a streaming DataFrame once over what its sources hold beyond its checkpoint in ``base``."""
     out = os.path.join(base, "table")
     w = df.writeStream.outputMode(mode).option("checkpointLocation", os.path.join(base, "checkpoint")).trigger(availableNow=True)
-    if mode == "append":
+    if each is not None:
+        q = w.foreachBatch(batch_folders(out, each)).start()
+    elif mode == "append":
         q = w.format("parquet").option("path", out).start()
     else:
         q = w.foreachBatch(lambda batch, _epoch: batch.write.mode("overwrite").parquet(out)).start()
@@ -434,12 +446,13 @@ def run_available(spark: SparkSession, df: DataFrame, name: str, mode: str = "ap
 
 
 def run_replay(spark: SparkSession, tables: dict[str, tuple[DataFrame, str]], plan: Callable[..., DataFrame], name: str,
-               batches: int = 5, mode: str = "append") -> DataFrame:
+               batches: int = 5, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``plan(**streams)`` over tables that land in ``batches`` slices of time, the query being
     stopped and started again from its checkpoint between two slices.
 
     ``tables``: name → (DataFrame, time column). The slices hold about equal numbers of rows of the
-    first table; the others are cut at the same times. Rows without a time land in the first slice."""
+    first table; the others are cut at the same times. Rows without a time land in the first slice.
+    ``each``: applied to every micro-batch as a table, for plans that a stream cannot hold."""
     base = os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
     (first, ts), *_ = tables.values()
     bounds = first.agg(F.percentile_approx(F.unix_micros(ts), [i / batches for i in range(1, batches)])).first()[0] or []
@@ -450,8 +463,9 @@ def run_replay(spark: SparkSession, tables: dict[str, tuple[DataFrame, str]], pl
             df.where(F.coalesce(at, F.lit(0)) == i).write.mode("append").parquet(os.path.join(base, n))
             streams[n] = spark.readStream.schema(df.schema).parquet(os.path.join(base, n))
         df = plan(**streams)
-        out = _drain(df, base, mode)
-    return _drained(spark, out, df.schema)
+        out = _drain(df, base, mode, each)
+    schema = each(spark.createDataFrame([], df.schema)).schema if each else df.schema
+    return _drained(spark, out, schema).select(*schema.names)
 
 
 def decision_log_sink(batch: DataFrame, path: str, keys=("market_id", "selection_id")) -> None:
