@@ -1155,3 +1155,93 @@ def q_stream_features(spark, d):
     rounded = [f"p{i}_{c}" for c in (*_LIVE_SHARES, "elo", "odds", "implied_prob") for i in (1, 2)] + ["book_margin"]
     out = out.withColumns({c: r6(c) for c in rounded}).withColumn("elo_diff", F.round(F.col("p1_elo") - F.col("p2_elo"), 6))
     return out.drop("market_name", "competition", "event_name", "market_time", "p1_name", "p2_name")
+
+
+# ---------------------------------------------------------------- files and table models
+
+def _folder(spark) -> str:
+    """A new folder in the shared checkpoint area for files that a query writes and scans."""
+    import os
+    import uuid
+    from ..session import checkpoint_dir
+    return os.path.join(checkpoint_dir(spark), "files", uuid.uuid4().hex)
+
+
+@register("scan_rankings", """
+SELECT CAST(l_shipdate AS DATE)::VARCHAR AS ranking_date, CAST(l_partkey % 200 AS BIGINT) AS rank, l_suppkey AS player,
+       CAST(l_quantity AS BIGINT)::VARCHAR AS points, CASE WHEN l_linenumber % 3 = 1 THEN l_linenumber::VARCHAR END AS tours
+FROM lineitem WHERE l_linenumber % 3 IN (0, 1) AND l_orderkey % 17 <> 0 AND l_partkey % 19 <> 0""")
+def q_scan_rankings(spark, d):
+    """Line items as ranking files of 3, 4 and 5 columns, some with bad dates or ranks, read back by the scan."""
+    from ..sources.files import scan_rankings
+    base = _folder(spark)
+    li = Tables(spark, d).lineitem
+    date = F.when(F.col("l_orderkey") % 17 == 0, "unknown").otherwise(F.date_format("l_shipdate", "yyyyMMdd"))
+    rank = F.when(F.col("l_partkey") % 19 == 0, "n/a").otherwise((F.col("l_partkey") % 200).cast("string"))
+    row = [date.alias("ranking_date"), rank.alias("rank"), F.col("l_suppkey").alias("player"), F.col("l_quantity").cast("bigint").alias("points"),
+           F.col("l_linenumber").alias("tours")]
+    for kind, width in ((0, 4), (1, 5), (2, 3)):
+        li.where(F.col("l_linenumber") % 3 == kind).select(*row[:width]).write.option("header", kind != 1).csv(f"{base}/{width}")
+    out = scan_rankings(spark, [f"{base}/{w}/*.csv" for w in (3, 4, 5)])
+    return out.withColumn("ranking_date", F.date_format("ranking_date", "yyyy-MM-dd"))
+
+
+@register("scan_match_history", """
+SELECT historical_id, historical_name FROM (
+  SELECT winner_id AS historical_id, 'Name ' || winner_id AS historical_name FROM matches WHERE match_id % 2 = 0 OR match_id % 3 <> 0
+  UNION SELECT loser_id, 'Name ' || loser_id FROM matches WHERE match_id % 2 = 0 OR match_id % 3 <> 0)""", ("matches",))
+def q_scan_match_history(spark, d):
+    """Matches as history files of two column orders and one without a needed column, scanned; then their players."""
+    from ..sources.files import HISTORY_COLS, historical_players, scan_match_history
+    base = _folder(spark)
+    m = views.matches(Tables(spark, d)).select(
+        "match_id", "tourney_name", F.date_format("tourney_date", "yyyyMMdd").alias("tourney_date"), "winner_id",
+        F.concat(F.lit("Name "), F.col("winner_id").cast("string")).alias("winner_name"), "loser_id",
+        F.concat(F.lit("Name "), F.col("loser_id").cast("string")).alias("loser_name"), F.lit("6-4 6-4").alias("score"))
+    odd = F.col("match_id") % 2 == 1
+    for name, rows, cols in (("a", ~odd, HISTORY_COLS), ("b", odd & (F.col("match_id") % 3 != 0), HISTORY_COLS[::-1]),
+                             ("c", odd & (F.col("match_id") % 3 == 0), HISTORY_COLS[:-1])):
+        m.where(rows).select(*cols).write.option("header", True).csv(f"{base}/{name}")
+    return historical_players(scan_match_history(spark, f"{base}/*/*.csv"))
+
+
+def _checked(df, model: str):
+    """Failing rows of a table per column and check."""
+    from ..operators import dq, models
+    return dq.summary(models.failures(df, models.MODELS[model], [])).select("column", "check", "failures")
+
+
+@register("validate_rankings", """
+SELECT * FROM (
+  SELECT 'ranking_date' AS "column", 'coerce_dtype(''timestamp'')' AS "check", count(*) FILTER (WHERE l_orderkey % 17 = 0) AS failures FROM lineitem
+  UNION ALL SELECT 'rank', 'coerce_dtype(''bigint'')', count(*) FILTER (WHERE l_partkey % 19 = 0) FROM lineitem
+  UNION ALL SELECT 'player', 'not_nullable', count(*) FILTER (WHERE l_linenumber = 7) FROM lineitem) WHERE failures > 0""")
+def q_validate_rankings(spark, d):
+    li = Tables(spark, d).lineitem
+    return _checked(li.select(F.when(F.col("l_orderkey") % 17 == 0, "unknown").otherwise(F.col("l_shipdate").cast("string")).alias("ranking_date"),
+                              F.when(F.col("l_partkey") % 19 == 0, "n/a").otherwise((F.col("l_partkey") % 200).cast("string")).alias("rank"),
+                              F.when(F.col("l_linenumber") != 7, F.col("l_suppkey")).alias("player")), "rankings")
+
+
+@register("validate_players", """
+SELECT 'player_id' AS "column", 'not_nullable' AS "check", count(*) AS failures FROM part WHERE p_size % 5 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'player_id', 'coerce_dtype(''bigint'')', count(*) FROM part WHERE p_size % 5 = 1 HAVING count(*) > 0""")
+def q_validate_players(spark, d):
+    p = Tables(spark, d).part
+    kind = F.col("p_size") % 5
+    name = F.split("p_name", " ")
+    return _checked(p.select(F.when(kind == 1, "id").when(kind > 1, F.col("p_partkey").cast("string")).alias("player_id"), name[0].alias("first_name"),
+                             name[1].alias("last_name"), *[F.lit(None).cast("string").alias(c) for c in ("hand", "dob", "country_ioc")]), "players")
+
+
+@register("validate_match_log", """
+SELECT 'surface' AS "column", 'isin([''Hard'', ''Clay'', ''Grass'', ''Unknown''])' AS "check", count(*) AS failures FROM matches WHERE match_id % 5 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'match_id', 'not_nullable', count(*) FROM matches WHERE match_id % 7 = 0 HAVING count(*) > 0""", ("matches",))
+def q_validate_match_log(spark, d):
+    k = F.col("match_id")
+    m = views.matches(Tables(spark, d)).select(
+        F.when(k % 7 != 0, k).alias("match_id"), "tourney_date", "tourney_name", "winner_id", "loser_id",
+        *[F.col(f"{w}_id").alias(f"{w}_historical_id") for w in ("winner", "loser")],
+        *[F.lit(None).cast("string").alias(f"{w}_name") for w in ("winner", "loser")],
+        F.when(k % 5 == 0, "Carpet").otherwise(F.col("surface")).alias("surface"), "sets_played")
+    return _checked(m, "match_log")

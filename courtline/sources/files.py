@@ -66,11 +66,23 @@ def scan_players(spark: SparkSession, paths: list[str]) -> DataFrame:
     return first.select("player_id", "_r.*")
 
 
+def _first_lines(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """Path → first line of each file, by one job over the files' first blocks (one line a file
+    comes to the driver, as its name does)."""
+    head = (spark.read.text(paths).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_n"))
+            .where(F.col("file_block_start") == 0).groupBy("file_path").agg(F.min_by("value", "_n").alias("line")))
+    return {r.file_path: r.line for r in head.collect()}
+
+
 def scan_rankings(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Ranking files with 4 or 5 columns (short rows get NULL ``tours``), embedded header
-    rows removed, dates ``yyyyMMdd`` → UTC timestamp, lenient numeric casts, NULL keys dropped."""
+    rows removed, dates ``yyyyMMdd`` → UTC timestamp, lenient numeric casts, NULL keys dropped.
+    Files of another width, told by their first line, and empty files are skipped; raises when none is left."""
     configure(spark)
-    df = (spark.read.schema(RANKINGS_RAW).option("header", False).option("mode", "PERMISSIVE").csv(paths)
+    kept = sorted(path for path, line in _first_lines(spark, paths).items() if line.count(",") in (3, 4))
+    if not kept:
+        raise FileNotFoundError(f"no ranking file of 4 or 5 columns among {paths}")
+    df = (spark.read.schema(RANKINGS_RAW).option("header", False).option("mode", "PERMISSIVE").csv(kept)
           .where(F.col("ranking_date") != "ranking_date"))
     return (df.select(F.try_to_timestamp("ranking_date", F.lit("yyyyMMdd")).alias("ranking_date"),
                       F.col("rank").try_cast("bigint").alias("rank"), F.col("player").try_cast("bigint").alias("player"),
@@ -104,9 +116,8 @@ def scan_match_history(spark: SparkSession, pattern: str) -> DataFrame:
     skipped. Files of one header are read together, as columns of a CSV are found by position."""
     configure(spark)
     groups: dict[str, list[str]] = {}
-    for path in _paths(spark, pattern):
-        first = spark.read.text(path).head()
-        names = [] if first is None else [n.strip().strip('"') for n in first.value.lstrip("\ufeff").split(",")]
+    for path, line in sorted(_first_lines(spark, _paths(spark, pattern)).items()):
+        names = [n.strip().strip('"') for n in line.lstrip("\ufeff").split(",")]
         if set(HISTORY_COLS) <= set(names):
             groups.setdefault(",".join(names), []).append(path)
     if not groups:
@@ -151,18 +162,21 @@ def assert_input(spark: SparkSession, path: str) -> None:
 
 
 def load_match_log(df: DataFrame) -> DataFrame:
-    """Typed match log: date as UTC timestamp, ids coerced; rows missing any of them dropped."""
+    """Typed match log: date as UTC timestamp, ids coerced; rows missing any of them dropped.
+    ``operators.models.write_valid`` with the model ``match_log`` checks and stores it."""
     return (df.withColumn("tourney_date", F.col("tourney_date").cast("string").try_cast("timestamp"))
             .withColumn("winner_historical_id", F.col("winner_historical_id").cast("string").try_cast("bigint"))
             .withColumn("loser_historical_id", F.col("loser_historical_id").cast("string").try_cast("bigint"))
             .dropna(subset=["match_id", "tourney_date", "winner_historical_id", "loser_historical_id"]))
 
 
-def load_players_dim(players: DataFrame) -> DataFrame:
-    """Player dimension: bad ids dropped, first row per id (smallest row order) kept."""
+def load_players_dim(players: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Player dimension: bad ids dropped, the first row per id kept, by ``order`` (columns that say
+    where a row stood, not returned); without it, the smallest row."""
     p = players.withColumn("player_id", F.col("player_id").cast("string").try_cast("bigint")).where(F.col("player_id").isNotNull())
-    cols = [c for c in p.columns if c != "player_id"]
-    return p.groupBy("player_id").agg(F.min_by(F.struct(*cols), F.struct(*cols)).alias("_r")).select("player_id", "_r.*")
+    order = order or []
+    cols = [c for c in p.columns if c != "player_id" and c not in order]
+    return (p.groupBy("player_id").agg(F.min_by(F.struct(*cols), F.struct(*order, *cols)).alias("_r")).select("player_id", "_r.*"))
 
 
 def load_rankings(rankings: DataFrame) -> DataFrame:

@@ -3,6 +3,9 @@ import tempfile
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from courtline.operators import models
 from courtline.sources import files
 
 
@@ -71,3 +74,57 @@ def test_sinks_roundtrip(spark):
     assert spark.read.parquet(os.path.join(d, "t")).columns == ["a", "b"]
     files.sink_metrics_json(spark, {"auc": 0.9}, os.path.join(d, "m"))
     assert "0.9" in spark.read.text(os.path.join(d, "m")).collect()[0].value
+
+
+def test_rankings_of_other_widths_are_skipped(spark):
+    d = tempfile.mkdtemp()
+    _write(d, "a.csv", "20230102,1,101,9000\n")
+    _write(d, "b.csv", "20230109,1,102,8500,12\n")
+    _write(d, "c.csv", "20230109,1,103\n")
+    _write(d, "d.csv", "20230109,1,104,1,2,3\n")
+    _write(d, "e.csv", "")
+    assert sorted(r.player for r in files.scan_rankings(spark, [os.path.join(d, "*.csv")]).collect()) == [101, 102]
+    with pytest.raises(FileNotFoundError):
+        files.scan_rankings(spark, [os.path.join(d, "[cd].csv")])
+
+
+def test_players_keep_the_first_row_by_its_place(spark):
+    p = spark.createDataFrame([("1", "Zoe", 0), ("1", "Ann", 1), ("x", "Bad", 2)], "player_id string, first_name string, line int")
+    assert [tuple(r) for r in files.load_players_dim(p, ["line"]).collect()] == [(1, "Zoe")]
+
+
+def test_write_valid_checks_in_the_writing_pass(spark):
+    d, model = tempfile.mkdtemp(), models.MODELS["rankings"]
+    path, report = os.path.join(d, "t"), os.path.join(d, "f")
+    schema = "ranking_date string, rank string, player double"
+    good = models.write_valid(spark.createDataFrame([("2023-01-02", "1", 101.0)], schema), model, path)
+    assert [f.dataType.simpleString() for f in good.schema] == ["timestamp", "bigint", "bigint"] and good.collect()[0].player == 101
+    bad = spark.createDataFrame([("2023-01-02", "one", 101.0), (None, None, 102.0), ("2023-01-03", "2", None), ("soon", "3", 4.0)], schema)
+    with pytest.raises(models.ValidationError) as e:
+        models.write_valid(bad, model, path, failure_path=report)
+    assert sorted(e.value.failures) == [("player", "not_nullable", 1), ("rank", "coerce_dtype('bigint')", 1), ("rank", "not_nullable", 1),
+                                        ("ranking_date", "coerce_dtype('timestamp')", 1), ("ranking_date", "not_nullable", 1)]
+    assert spark.read.parquet(path).count() == 0 and spark.read.parquet(report).count() == 5
+    assert models.write_valid(bad.limit(0), model, path).count() == 0
+
+
+def test_columns_that_are_not_the_models(spark):
+    model = models.MODELS["player_map"]
+    with pytest.raises(ValueError, match="missing column source_id"):
+        models.rules(spark.range(1).withColumnRenamed("id", "x"), model)
+    with pytest.raises(ValueError, match="unexpected column x"):
+        models.rules(spark.createDataFrame([(1, 2.0, "a", "b", "Exact", 100.0, 1)], "source_id long, historical_id double, source_name string, "
+                                           "matched_name string, method string, confidence double, x long"), model)
+
+
+def test_match_features_keep_their_model(spark):
+    from courtline.plans.registry_extra import q_match_features_full
+    f = q_match_features_full(spark, "/root/testdata/sf0.001").withColumn("tourney_date", F.current_timestamp())
+    f = f.withColumn("tourney_name", F.lit(None).cast("string"))
+    missing = {x.name for x in models.MODELS["features"].fields if x.required} - set(f.columns)
+    assert missing <= {"book_margin", "surface"}
+    f = f.withColumns({c: F.lit(0.0) if c == "book_margin" else F.lit("Hard") for c in missing})
+    assert models.failures(f, models.MODELS["features"], ["match_id"]).count() == 0
+    broken = f.withColumns({"p1_win_perc": F.lit(float("nan")), "p2_form": F.lit(1.5), "winner": F.lit(2), "h2h_p1_wins": F.lit(-1)})
+    got = {r.column for r in models.failures(broken, models.MODELS["features"], ["match_id"]).select("column").distinct().collect()}
+    assert got == {"p1_win_perc", "p2_form", "winner", "h2h_p1_wins"}
