@@ -977,6 +977,23 @@ from .catalog import REGISTRY as _R, Query as _Q  # noqa: E402
 _R["filter_ambiguous_map"] = _Q("filter_ambiguous_map", q_filter_ambiguous, _ambiguous_sql())
 
 
+def _topk_sql() -> str:
+    """All names of a block scored, best five kept."""
+    from .catalog import ER_CASCADE_SQL
+    start = ER_CASCADE_SQL.index("\nhn AS")
+    scored = ER_CASCADE_SQL[start:ER_CASCADE_SQL.index("\nm5 AS")].rstrip().rstrip(",").replace("FROM r4 s", "FROM source_players s")
+    return "WITH " + scored.lstrip() + """
+SELECT source_id, source_name, hname AS candidate_name, hid AS candidate_id, round(score, 6) AS score, CAST(rn AS INTEGER) AS candidate_rank
+FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, hname, hid) AS rn FROM sc) WHERE rn <= 5"""
+
+
+@register("topk_candidates", _topk_sql(), ("source_players", "historical_players"))
+def q_topk_candidates(spark, d):
+    from ..operators import resolve
+    from .catalog import _er_inputs
+    return resolve.topk_candidates(*_er_inputs(spark, d), k=5).withColumn("score", r6("score"))
+
+
 @register("hand_default", """
 SELECT player_id, coalesce(hand, 'U') AS hand FROM players_dim""", ("players_dim",))
 def q_hand_default(spark, d):

@@ -468,40 +468,52 @@ def run_replay(spark: SparkSession, tables: dict[str, tuple[DataFrame, str]], pl
     return _drained(spark, out, schema).select(*schema.names)
 
 
-def decision_log_sink(batch: DataFrame, path: str, keys=("market_id", "selection_id")) -> None:
-    """``foreachBatch`` body: append only keys not yet in the log (left anti join against the
-    existing Parquet key table) — each key is persisted once across restarts."""
-    spark = batch.sparkSession
+def _versions(spark: SparkSession, path: str, column: str, schema: T.StructType) -> DataFrame:
+    """The rows written so far to folders ``<column>=<number>`` under ``path``, with that number."""
     from pyspark.errors import AnalysisException
+    full = T.StructType([*schema.fields, T.StructField(column, T.LongType())])
     try:
-        existing = spark.read.parquet(path).select(*keys)
-        new = batch.join(existing, list(keys), "left_anti")
-    except AnalysisException:  # first batch: no log yet
-        new = batch
-    new.dropDuplicates(list(keys)).write.mode("append").parquet(path)
+        return spark.read.schema(full).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], full)
+
 
+def decision_log_sink(batch: DataFrame, path: str, keys=("market_id", "selection_id"), batch_id: int | None = None) -> None:
+    """``foreachBatch`` body: append only keys not yet in the log (left anti join against the keys of
+    earlier batches) — each key is persisted once across restarts. A batch writes a folder of its
+    own, which a repeated run of the same batch replaces. Without a ``batch_id``, the next number."""
+    log = _versions(batch.sparkSession, path, "batch", batch.schema)
+    if batch_id is None:
+        last = log.agg(F.max("batch")).first()[0]
+        batch_id = 0 if last is None else last + 1
+    earlier = log.where(F.col("batch") < batch_id).select(*keys)
+    new = batch.join(earlier, list(keys), "left_anti").select(*batch.columns).dropDuplicates(list(keys))
+    new.write.mode("overwrite").parquet(os.path.join(path, f"batch={batch_id}"))
 
-def subscription_batch(catalogue: DataFrame, state_path: str, limit: int = params.STREAM_LIMIT) -> DataFrame:
+
+def subscription_batch(catalogue: DataFrame, state_path: str, limit: int = params.STREAM_LIMIT, batch_id: int | None = None) -> DataFrame:
     """``foreachBatch`` body of the re-poll (``trigger(processingTime='300 seconds')``): the
     first ``limit`` markets of this poll by start time become the target subscription; the
-    diff against the stored subscription is returned (ADDED / REMOVED / KEPT rows) and the
-    target replaces the stored one (Parquet table in the checkpoint area)."""
-    from pyspark.errors import AnalysisException
+    diff against the subscription of the latest earlier poll is returned (ADDED / REMOVED / KEPT
+    rows). Each poll writes one version (a folder in the checkpoint area) and touches no other, so a
+    poll that is repeated, or was cut off while it wrote, gives the same diff. An empty target still
+    counts as the latest version. Without a ``batch_id``, the next number."""
     spark = catalogue.sparkSession
+    # a row without a market marks a version that exists, however many markets it holds
     target = topk_markets(catalogue, limit).select("market_id")
-    try:
-        current = spark.read.parquet(state_path).select("market_id")
-    except AnalysisException:  # first poll
-        current = spark.createDataFrame([], target.schema)
-    diff = subscription_diff(target, current)
-    # the diff reads the stored table that is about to be replaced: write it out first
-    diff_path = state_path + ".diff"
-    diff.write.mode("overwrite").parquet(diff_path)
-    diff = spark.read.parquet(diff_path)
-    target_rows = diff.where(F.col("change") != "REMOVED").select("market_id")
-    target_rows.write.mode("overwrite").parquet(state_path + ".next")
-    spark.read.parquet(state_path + ".next").write.mode("overwrite").parquet(state_path)
-    return diff
+    marker = spark.createDataFrame([(None,)], target.schema)
+    stored = _versions(spark, state_path, "version", target.schema)
+    if batch_id is not None:
+        stored = stored.where(F.col("version") < batch_id)
+    last = stored.agg(F.max("version")).first()[0]
+    if batch_id is None:
+        batch_id = 0 if last is None else last + 1
+    current = stored.where((F.col("version") == F.lit(last)) & F.col("market_id").isNotNull()).select("market_id")
+    written = os.path.join(state_path, f"version={batch_id}")
+    target.unionByName(marker).write.mode("overwrite").parquet(written)
+    return subscription_diff(spark.read.schema(target.schema).parquet(written).where(F.col("market_id").isNotNull()), current)
 
 
 def stream_market_books(spark: SparkSession, path: str, fmt: str = "json", max_files_per_trigger: int | None = None) -> DataFrame:

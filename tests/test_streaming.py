@@ -267,3 +267,36 @@ def test_late_book_updates_are_lost_and_only_they(spark):
 def test_bet_rows_carry_names_and_text(spark):
     b = live.stream_value_bets(_scored(spark, 0.6)).collect()[0]
     assert (b.player_name, b.model_prob, b.ev_text, b.selection_key) == ("Player A", "60.00%", "+20.00%", "1.123-101")
+
+
+def test_decision_log_takes_each_key_once_and_a_batch_again(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = lambda *k: spark.createDataFrame([("m", i, f"PLACE {i}") for i in k], "market_id string, selection_id long, decision string")
+    for batch_id, keys in ((0, (1, 2, 2)), (1, (2, 3)), (1, (2, 3)), (0, (1, 2, 2)), (2, ())):
+        live.decision_log_sink(rows(*keys), path, batch_id=batch_id)
+    live.decision_log_sink(rows(3, 4), path)  # no number given: the first one after the rows of the log
+    got = spark.read.parquet(path)
+    assert sorted((r.selection_id, r.decision, r.batch) for r in got.collect()) == [(1, "PLACE 1", 0), (2, "PLACE 2", 0), (3, "PLACE 3", 1), (4, "PLACE 4", 2)]
+
+
+def test_a_repeated_poll_gives_the_same_diff(spark, tmp_path):
+    state = str(tmp_path / "subscription")
+    poll = lambda *ids: spark.createDataFrame([(i, T0) for i in ids], "market_id string, market_time timestamp")
+    diff = lambda ids, n: sorted(tuple(r) for r in live.subscription_batch(poll(*ids), state, batch_id=n).collect())
+    assert diff(("a", "b"), 0) == [("a", "ADDED"), ("b", "ADDED")]
+    second = [("a", "REMOVED"), ("b", "KEPT"), ("c", "ADDED")]
+    assert diff(("b", "c"), 1) == second and diff(("b", "c"), 1) == second
+    # cut off while writing: files without a commit are replaced by the repeated poll
+    (tmp_path / "subscription" / "version=2" / "_temporary").mkdir(parents=True)
+    assert diff((), 2) == [("b", "REMOVED"), ("c", "REMOVED")]
+    assert diff(("c",), 3) == [("c", "ADDED")]
+
+
+def test_decision_log_in_a_stream(spark, tmp_path):
+    schema = "market_id string, selection_id long, ts timestamp"
+    df = spark.createDataFrame([("m", i % 4, T0 + dt.timedelta(hours=i)) for i in range(12)], schema)
+    df.write.parquet(str(tmp_path / "in"))
+    q = (spark.readStream.schema(schema).parquet(str(tmp_path / "in")).writeStream.option("checkpointLocation", str(tmp_path / "c"))
+         .trigger(availableNow=True).foreachBatch(lambda b, n: live.decision_log_sink(b, str(tmp_path / "log"), batch_id=n)).start())
+    q.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 4
