@@ -1262,3 +1262,40 @@ def q_validate_match_log(spark, d):
         *[F.lit(None).cast("string").alias(f"{w}_name") for w in ("winner", "loser")],
         F.when(k % 5 == 0, "Carpet").otherwise(F.col("surface")).alias("surface"), "sets_played")
     return _checked(m, "match_log")
+
+
+# ---------------------------------------------------------------- back-test from features to report
+
+def _scored_matches(spark, d):
+    """The whole feature row with a probability by a rule on the ranks, in a model's place."""
+    f = q_match_features_full(spark, d)
+    m = views.matches(Tables(spark, d)).select("match_id", *[c for c in ("tourney_date", "tourney_name", "surface") if c not in f.columns])
+    prob = F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.lit(0.5) - F.col("rank_diff") / 800))
+    return f.join(m, "match_id").withColumn("p1_predicted_prob", prob)
+
+
+def _scored_bets_sql(p1_odds: str, p2_odds: str, body: str) -> str:
+    return f"""
+WITH ff AS ({REGISTRY['match_features_full'].sql}),
+s AS (SELECT *, greatest(0.01::DOUBLE, least(0.99::DOUBLE, 0.5::DOUBLE - rank_diff / 800)) AS p, 1.0 / (1.0 + power(10.0, (p2_elo - p1_elo) / 400.0)) AS e FROM ff),
+b AS (SELECT match_id AS market_id, 1 AS side, {p1_odds} AS odds, p AS predicted_prob, winner, rank_diff FROM s
+      UNION ALL SELECT match_id, 2, {p2_odds}, 1.0 - p, 1 - winner, rank_diff FROM s),
+bets AS (SELECT *, CASE WHEN winner = 1 THEN (odds - 1.0) * 0.95 ELSE -1.0 END AS pnl FROM b
+         WHERE predicted_prob * (odds - 1.0) - (1.0 - predicted_prob) > 0.1 AND predicted_prob > 0.52)
+{body}"""
+
+
+@register("backtest_simulation", _scored_bets_sql("least((1.0 / e) / 1.05, 50.0)", "least((1.0 / (1.0 - e)) / 1.05, 50.0)", """
+SELECT market_id, side, round(odds, 6) AS odds, round(predicted_prob, 6) AS predicted_prob, winner, round(pnl, 6) AS pnl FROM bets"""))
+def q_backtest_simulation(spark, d):
+    """Both sides priced from the ratings, then the same bets, filter and settlement as with market prices."""
+    b = reports.backtest(_scored_matches(spark, d), mode="simulation")
+    return b.select("market_id", "side", r6("odds").alias("odds"), r6("predicted_prob").alias("predicted_prob"), "winner", r6("pnl").alias("pnl"))
+
+
+@register("bucket_summary_rank", _scored_bets_sql("p1_odds", "p2_odds", _bins_sql("rank_diff", params.RANK_BINS)))
+def q_bucket_summary_rank(spark, d):
+    """Bets at market prices joined to the rank differences of their matches, by bins of those."""
+    scored = _scored_matches(spark, d)
+    b = reports.bucket_summary(reports.load_bets_report(reports.backtest(scored), scored.select("match_id", "rank_diff")), "rank_diff", params.RANK_BINS)
+    return b.select("bin_lo", "bin_hi", "bets", r6("pnl").alias("pnl"), r6("roi").alias("roi"))
