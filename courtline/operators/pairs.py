@@ -22,12 +22,13 @@ def pit_h2h(matches: DataFrame, *, match_id="match_id", ts="tourney_date", winne
     base = matches.select(F.col(match_id).alias("_mid"), F.col(ts).alias("_t"),
                           F.least(winner, loser).alias("p1_id"), F.greatest(winner, loser).alias("p2_id"),
                           F.col(winner).alias("_w"))
-    real = base.select("p1_id", "p2_id", "_t", "_mid", F.lit(1).alias("_kind"),
-                       (F.col("_w") == F.col("p1_id")).cast("int").alias("_a"),
-                       (F.col("_w") == F.col("p2_id")).cast("int").alias("_b"))
-    probe = base.select("p1_id", "p2_id", "_t", "_mid", F.lit(0).alias("_kind"),
-                        F.lit(None).cast("int").alias("_a"), F.lit(None).cast("int").alias("_b"))
-    run = running(real.unionByName(probe), ["p1_id", "p2_id"], ["_t", "_kind", "_mid"],
+    # both from one reading of the matches: a union would work them out once for each side
+    won = lambda p: (F.col("_w") == F.col(p)).cast("int")
+    no = F.lit(None).cast("int")
+    both = base.select("p1_id", "p2_id", "_t", "_mid", F.inline(F.array(
+        F.struct(F.lit(0).alias("_kind"), no.alias("_a"), no.alias("_b")),
+        F.struct(F.lit(1).alias("_kind"), won("p1_id").alias("_a"), won("p2_id").alias("_b")))))
+    run = running(both, ["p1_id", "p2_id"], ["_t", "_kind", "_mid"],
                   [Agg("_sa", "sum", F.col("_a")), Agg("_sb", "sum", F.col("_b"))])
     return (run.where(F.col("_kind") == 0)
             .select(F.col("_mid").alias(match_id), "p1_id", "p2_id",

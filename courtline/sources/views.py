@@ -40,53 +40,65 @@ def tourney_name_of_priority(priority):
     return expr.otherwise(priority)
 
 
+def _price():
+    return F.lit(1.0) + F.col("l_quantity") / 10
+
+
+def _orders(t: Tables) -> DataFrame:
+    """Date, surface and tournament name of each order."""
+    return t.orders.select(
+        "o_orderkey", F.col("o_orderdate").alias("tourney_date"),
+        F.when(F.col("o_orderstatus") == "F", "Clay")
+         .when(F.col("o_orderstatus") == "O", "Grass").otherwise("Hard").alias("surface"),
+        tourney_name_of_priority(F.col("o_orderpriority")).alias("tourney_name"))
+
+
 def runners(t: Tables) -> DataFrame:
     li = t.lineitem.select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber", "l_quantity",
                            "l_discount", "l_returnflag")
-    o = t.orders.select("o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
-    odds = F.lit(1.0) + F.col("l_quantity") / 10
+    o = _orders(t)
     return (li.join(o, li.l_orderkey == o.o_orderkey, "inner")
             .select(F.col("l_orderkey").alias("market_id"),
                     F.col("l_suppkey").alias("selection_id"),
                     F.col("l_partkey").alias("part_id"),
                     F.col("l_linenumber").alias("line_no"),
-                    odds.alias("pp_wap"),
+                    _price().alias("pp_wap"),
                     F.when(F.col("l_returnflag") == "R", "WINNER")
                      .when(F.col("l_returnflag") == "A", "LOSER").otherwise("VOID").alias("result"),
-                    F.col("o_orderdate").alias("tourney_date"),
-                    F.when(F.col("o_orderstatus") == "F", "Clay")
-                     .when(F.col("o_orderstatus") == "O", "Grass").otherwise("Hard").alias("surface"),
-                    tourney_name_of_priority(F.col("o_orderpriority")).alias("tourney_name"),
-                    F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.lit(1.0) / odds + 2 * (F.col("l_discount") - 0.03)))
+                    "tourney_date", "surface", "tourney_name",
+                    F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.lit(1.0) / _price() + 2 * (F.col("l_discount") - 0.03)))
                      .alias("model_prob")))
 
 
-def matches(t: Tables, runners_df: DataFrame | None = None) -> DataFrame:
+def matches(t: Tables) -> DataFrame:
     """One row per market with exactly one WINNER and one LOSER (and no other runner).
 
-    A single grouped pass (partial aggregation before the shuffle) instead of a WINNER × LOSER
-    self-join, so no market can blow up into pairs.
+    A grouped pass (partial aggregation before the shuffle) instead of a WINNER × LOSER
+    self-join, so no market can blow up into pairs. The line items are grouped before they meet
+    the orders: what is shuffled and sorted for the join are the matches, not every runner with
+    its order's texts. An order key that comes again multiplies its runners, so that its market
+    is none with two of them.
     """
-    r = runners_df if runners_df is not None else runners(t)
-    is_w = F.col("result") == "WINNER"
-    is_l = F.col("result") == "LOSER"
-    g = (r.groupBy("market_id")
+    is_w, is_l = F.col("l_returnflag") == "R", F.col("l_returnflag") == "A"
+    g = (t.lineitem.groupBy("l_orderkey")
          .agg(F.count(F.lit(1)).alias("_n"),
               F.count_if(is_w).alias("_nw"),
               F.count_if(is_l).alias("_nl"),
-              F.max("tourney_date").alias("tourney_date"),
-              F.max("tourney_name").alias("tourney_name"),
-              F.max("surface").alias("surface"),
-              F.max(F.when(is_w, F.col("selection_id"))).alias("winner_id"),
-              F.max(F.when(is_l, F.col("selection_id"))).alias("loser_id"),
-              F.max(F.when(is_w, F.col("pp_wap"))).alias("winner_odds"),
-              F.max(F.when(is_l, F.col("pp_wap"))).alias("loser_odds"),
-              F.sum("line_no").alias("_lines")))
-    return (g.where((F.col("_n") == 2) & (F.col("_nw") == 1) & (F.col("_nl") == 1)
-                    & (F.col("winner_id") != F.col("loser_id")))
-            .select(F.col("market_id").alias("match_id"), "tourney_date", "tourney_name", "surface",
-                    "winner_id", "loser_id", "winner_odds", "loser_odds",
-                    (F.lit(2) + F.pmod(F.col("_lines"), F.lit(3))).cast("int").alias("sets_played")))
+              F.max(F.when(is_w, F.col("l_suppkey"))).alias("winner_id"),
+              F.max(F.when(is_l, F.col("l_suppkey"))).alias("loser_id"),
+              F.max(F.when(is_w, _price())).alias("winner_odds"),
+              F.max(F.when(is_l, _price())).alias("loser_odds"),
+              F.sum("l_linenumber").alias("_lines")))
+    two = (g.where((F.col("_n") == 2) & (F.col("_nw") == 1) & (F.col("_nl") == 1)
+                   & (F.col("winner_id") != F.col("loser_id")))
+           .select("l_orderkey", "winner_id", "loser_id", "winner_odds", "loser_odds",
+                   (F.lit(2) + F.pmod(F.col("_lines"), F.lit(3))).cast("int").alias("sets_played")))
+    o = _orders(t)
+    columns = ["tourney_date", "tourney_name", "surface", "winner_id", "loser_id", "winner_odds", "loser_odds", "sets_played"]
+    return (two.join(o, two.l_orderkey == o.o_orderkey, "inner")
+            .groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("_orders"), *[F.max(c).alias(c) for c in columns])
+            .where(F.col("_orders") == 1)
+            .select(F.col("l_orderkey").alias("match_id"), *columns))
 
 
 def matches_nation(t: Tables, matches_df: DataFrame | None = None) -> DataFrame:
