@@ -64,6 +64,15 @@ def meet(parts: list[DataFrame], key: str) -> DataFrame:
     return union.groupBy(key).agg(*[F.expr(f"max(`{c}`) AS `{c}`") for c in columns])
 
 
+def match_ranks(m: DataFrame, rankings: DataFrame) -> DataFrame:
+    """Both sides' ranks at the match's time: the sides are two probes of one as-of pass, which reads
+    the rankings once and the matches themselves, not the features made of them."""
+    asked = m.select("match_id", "tourney_date", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_side"), F.col(f"p{i}_id").alias("_pid")) for i in (1, 2)])))
+    r = pairs.asof_rank_join(asked, rankings, player="_pid", date="tourney_date", left_id="match_id")
+    return r.groupBy("match_id").agg(*[F.max(F.when(F.col("_side") == i, F.col("rank"))).alias(f"p{i}_rank") for i in (1, 2)])
+
+
 def build_match_features(matches: DataFrame, *, elo: DataFrame | None = None,
                          rankings: DataFrame | None = None, players: DataFrame | None = None,
                          materialize: bool = True) -> DataFrame:
@@ -81,12 +90,15 @@ def build_match_features(matches: DataFrame, *, elo: DataFrame | None = None,
     h2h = pairs.pit_h2h(matches).select("match_id", "h2h_p1_wins", "h2h_p2_wins")
     sides = feats.groupBy("match_id").agg(*[F.expr(f"max(if(row_id % 2 = {odd}, {c}, NULL)) AS _{side}_{c}")
                                             for c in PLAYER_FEATURES for odd, side in enumerate("wl")])
+    parts = [sides, h2h]
+    if rankings is not None:
+        parts.append(match_ranks(m, rankings))
     p1_won = "winner_id = p1_id"
-    out = m.join(meet([sides, h2h], "match_id"), "match_id").selectExpr(
+    out = m.join(meet(parts, "match_id"), "match_id").selectExpr(
         "match_id", "tourney_date", "tourney_name", "surface", "p1_id", "p2_id", "winner",
         f"if({p1_won}, winner_odds, loser_odds) AS p1_odds", f"if({p1_won}, loser_odds, winner_odds) AS p2_odds",
         *[f"if({p1_won}, _{a}_{c}, _{b}_{c}) AS {side}_{c}" for c in PLAYER_FEATURES for side, a, b in (("p1", "w", "l"), ("p2", "l", "w"))],
-        "h2h_p1_wins", "h2h_p2_wins")
+        "h2h_p1_wins", "h2h_p2_wins", *(["p1_rank", "p2_rank"] if rankings is not None else []))
     out = out.withColumns({"p1_implied_prob": implied_prob("p1_odds"), "p2_implied_prob": implied_prob("p2_odds")})
     out = out.withColumns({
         "book_margin": book_margin("p1_implied_prob", "p2_implied_prob"),
@@ -99,11 +111,6 @@ def build_match_features(matches: DataFrame, *, elo: DataFrame | None = None,
     if elo is not None:
         out = join_elo(out, elo)
     if rankings is not None:
-        for side in ("p1", "p2"):
-            left = out.select("match_id", F.col(f"{side}_id").alias("_pid"), "tourney_date")
-            r = pairs.asof_rank_join(left, rankings, player="_pid", date="tourney_date", left_id="match_id",
-                                     out=f"{side}_rank")
-            out = out.join(r.select("match_id", f"{side}_rank"), "match_id", "left")
         out = out.withColumn("rank_diff", F.col("p1_rank") - F.col("p2_rank"))
     if players is not None:
         for side in ("p1", "p2"):

@@ -1089,14 +1089,18 @@ SELECT *, p1_rank - p2_rank AS rank_diff, round(p1_elo - p2_elo, 6) AS elo_diff
 def q_match_features_full(spark, d):
     """Every column that the model reads: features, ratings, ranks at the match's time, hands, prices. A supplier's rank
     series is a rule on its line items."""
-    from .catalog import match_features_frame
+    from ..session import cut_lineage
     t = Tables(spark, d)
-    rankings = t.lineitem.selectExpr("l_suppkey AS player", "CAST(l_shipdate AS timestamp) AS ranking_date",
-                                     "l_orderkey * 8 + l_linenumber AS event_id", "CAST(1 + l_partkey % 200 AS bigint) AS rank")
-    more = {"elo": folds.elo_ratings(views.matches(t)), "rankings": rankings, "players": views.players_dim(t)}
+    return _full_features(spark, d, t, cut_lineage(views.matches(t)))
+
+
+def _full_features(spark, d, t, m):
+    """The whole feature row of stored matches ``m``, which features and ratings share."""
+    from .catalog import match_features_frame
+    more = {"elo": folds.elo_ratings(m), "rankings": _supplier_rankings(t), "players": views.players_dim(t), "materialize": False}
     extra = [r6("p1_elo").alias("p1_elo"), r6("p2_elo").alias("p2_elo"), F.round(r6("p1_elo") - r6("p2_elo"), 6).alias("elo_diff"), "p1_rank", "p2_rank", "rank_diff",
              "p1_hand", "p2_hand", r6("p1_implied_prob").alias("p1_implied_prob"), r6("p2_implied_prob").alias("p2_implied_prob")]
-    return match_features_frame(spark, d, more=more, extra=extra)
+    return match_features_frame(spark, d, m, more=more, extra=extra)
 
 
 # ---------------------------------------------------------------- the live feature row
@@ -1267,9 +1271,13 @@ def q_validate_match_log(spark, d):
 # ---------------------------------------------------------------- back-test from features to report
 
 def _scored_matches(spark, d):
-    """The whole feature row with a probability by a rule on the ranks, in a model's place."""
-    f = q_match_features_full(spark, d)
-    m = views.matches(Tables(spark, d)).select("match_id", *[c for c in ("tourney_date", "tourney_name", "surface") if c not in f.columns])
+    """The whole feature row with a probability by a rule on the ranks, in a model's place. The matches are
+    stored once for features, ratings and this row."""
+    from ..session import cut_lineage
+    t = Tables(spark, d)
+    matches = cut_lineage(views.matches(t))
+    f = _full_features(spark, d, t, matches)
+    m = matches.select("match_id", *[c for c in ("tourney_date", "tourney_name", "surface") if c not in f.columns])
     prob = F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.lit(0.5) - F.col("rank_diff") / 800))
     return f.join(m, "match_id").withColumn("p1_predicted_prob", prob)
 
@@ -1295,7 +1303,9 @@ def q_backtest_simulation(spark, d):
 
 @register("bucket_summary_rank", _scored_bets_sql("p1_odds", "p2_odds", _bins_sql("rank_diff", params.RANK_BINS)))
 def q_bucket_summary_rank(spark, d):
-    """Bets at market prices joined to the rank differences of their matches, by bins of those."""
-    scored = _scored_matches(spark, d)
+    """Bets at market prices joined to the rank differences of their matches, by bins of those. The scored
+    matches are stored: bets and rank differences both read them."""
+    from ..session import cut_lineage
+    scored = cut_lineage(_scored_matches(spark, d), fmt="parquet")
     b = reports.bucket_summary(reports.load_bets_report(reports.backtest(scored), scored.select("match_id", "rank_diff")), "rank_diff", params.RANK_BINS)
     return b.select("bin_lo", "bin_hi", "bets", r6("pnl").alias("pnl"), r6("roi").alias("roi"))
