@@ -29,11 +29,10 @@ def pit_h2h(matches: DataFrame, *, match_id="match_id", ts="tourney_date", winne
         F.struct(F.lit(0).alias("_kind"), no.alias("_a"), no.alias("_b")),
         F.struct(F.lit(1).alias("_kind"), won("p1_id").alias("_a"), won("p2_id").alias("_b")))))
     run = running(both, ["p1_id", "p2_id"], ["_t", "_kind", "_mid"],
-                  [Agg("_sa", "sum", F.col("_a")), Agg("_sb", "sum", F.col("_b"))])
-    return (run.where(F.col("_kind") == 0)
-            .select(F.col("_mid").alias(match_id), "p1_id", "p2_id",
-                    F.coalesce(F.col("_sa"), F.lit(0)).cast("bigint").alias("h2h_p1_wins"),
-                    F.coalesce(F.col("_sb"), F.lit(0)).cast("bigint").alias("h2h_p2_wins")))
+                  [Agg("_sa", "sum", F.col("_a")), Agg("_sb", "sum", F.col("_b"))], keep="_kind = 0")
+    return run.select(F.col("_mid").alias(match_id), "p1_id", "p2_id",
+                      F.coalesce(F.col("_sa"), F.lit(0)).cast("bigint").alias("h2h_p1_wins"),
+                      F.coalesce(F.col("_sb"), F.lit(0)).cast("bigint").alias("h2h_p2_wins"))
 
 
 def asof_join(left: DataFrame, right: DataFrame, *, left_key: str, left_ts: str, left_id: str,
@@ -61,9 +60,8 @@ def asof_join(left: DataFrame, right: DataFrame, *, left_key: str, left_ts: str,
                      *[F.col(v).alias(f"_r_{v}") for v in values])
     # carry one struct so that all values come from the same right row
     both = l.unionByName(r).withColumn("_rv", F.when(F.col("_kind") == r_kind, F.struct(*[F.col(f"_r_{v}") for v in values])))
-    run = running(both, ["_k"], ["_t", "_kind", "_oid"], [Agg("_last", "last", F.col("_rv"))])
-    out = run.where(F.col("_kind") == l_kind)
-    return out.select("_left.*", *[F.col(f"_last._r_{v}").alias(v) for v in values])
+    run = running(both, ["_k"], ["_t", "_kind", "_oid"], [Agg("_last", "last", F.col("_rv"))], keep=f"_kind = {l_kind}")
+    return run.select("_left.*", *[F.col(f"_last._r_{v}").alias(v) for v in values])
 
 
 def asof_rank_join(left: DataFrame, rankings: DataFrame, *, player="player_id", date="tourney_date", left_id="match_id",

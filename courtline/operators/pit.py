@@ -110,8 +110,7 @@ def history_before(queries: DataFrame, history: DataFrame, *, key: str, ts: str,
                       *[F.lit(None).cast(real.schema[f"_x_{n}"].dataType).alias(f"_x_{n}") for n in values]))
     both = real.unionByName(probes)
     aggs = [Agg("_n", "count", F.col("_real"))] + [Agg(f"_s_{n}", "sum", F.col(f"_x_{n}")) for n in values]
-    run = running(both, ["_k"], ["_t", "_kind", "_q", "_span"], aggs)
-    at = run.where(F.col("_kind") == kind_probe)
+    at = running(both, ["_k"], ["_t", "_kind", "_q", "_span"], aggs, keep=f"_kind = {kind_probe}")
 
     def val(col, span):
         return F.max(F.when(F.col("_span") == span, F.col(col)))

@@ -63,12 +63,14 @@ def _own(kind: str, v: str) -> str:
     return f"cast({v} IS NOT NULL AS bigint)" if kind == "count" else v
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], aggs: list[Agg], *, include_current: bool = False) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], aggs: list[Agg], *, include_current: bool = False,
+            keep: str | None = None) -> DataFrame:
     """Add one column per ``Agg``: the aggregate over the earlier rows of the same key.
 
     ``order`` must be a total order inside each key (rows that tie in it may swap their places).
     Rows are "earlier" by that order; ``include_current`` adds the row itself. ``count`` of no
-    rows is 0; other aggregates of no rows are NULL. No keys: one timeline of all rows.
+    rows is 0; other aggregates of no rows are NULL. No keys: one timeline of all rows. ``keep`` (a
+    condition): only these rows come back; the others count, but go no further than their partition.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns, timed = df.columns, f"`{order[0]}` IS NOT NULL"
@@ -81,7 +83,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], aggs: list[Agg], *
                                *[f"{_fold(a.kind, v[a.name])} {before} AS `_w_{a.name}`" for a in aggs])
 
     # a row goes to its own partition; the last one also, as a total, to all later ones
-    sent = within.selectExpr("*", f"explode(if(_last, sequence(_part, {parts - 1}), array(_part))) AS _at")
+    sent = (within.where(f"({keep}) OR _last") if keep else within).selectExpr("*", f"explode(if(_last, sequence(_part, {parts - 1}), array(_part))) AS _at")
 
     def arrived(a: Agg) -> str:
         total = f"if(_at > _part, {_combine(a.kind, f'`_w_{a.name}`', _own(a.kind, v[a.name]))}, NULL)"
@@ -96,7 +98,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], aggs: list[Agg], *
             out = _combine(a.kind, out, _own(a.kind, f"`_v_{a.name}`") if include_current else "0L")
         return f"{out} AS `{a.name}`"
 
-    return (sent.selectExpr("*", *[arrived(a) for a in aggs]).where("_at = _part")
+    return (sent.selectExpr("*", *[arrived(a) for a in aggs]).where(f"_at = _part AND ({keep})" if keep else "_at = _part")
             .selectExpr(*[f"`{c}`" for c in columns], *[result(a) for a in aggs]))
 
 
@@ -152,12 +154,12 @@ def counts_in_spans(df: DataFrame, keys: list[str], ts: str, row_id: str, spans:
             .selectExpr(*[f"`{k}`" for k in keys], "unix_micros(_ts) - _p.us AS _t", "_id", "_p.kind AS _kind", "_p.span AS _span",
                         "if(_p.kind = 1, 1, NULL) AS _real", *[f"if(_p.kind = 1, `_e_{n}`, NULL) AS `_x_{n}`" for n in sums]))
     run = running(both, keys, ["_t", "_kind", "_id", "_span"],
-                  [Agg("_cnt", "count", F.col("_real"))] + [Agg(f"_sx_{n}", "sum", F.col(f"_x_{n}")) for n in sums])
+                  [Agg("_cnt", "count", F.col("_real"))] + [Agg(f"_sx_{n}", "sum", F.col(f"_x_{n}")) for n in sums],
+                  keep=None if through_row else "_kind <> 1")
     if through_row:  # the row itself: everything strictly before it in total order, plus itself
         up_cnt = "max(if(_kind = 1, _cnt + if(_t IS NULL, 0, 1), NULL))"
         up_sum = {n: f"max(if(_kind = 1 AND _t IS NOT NULL, coalesce(`_sx_{n}`, 0) + coalesce(`_x_{n}`, 0), NULL))" for n in sums}
     else:
-        run = run.where("_kind <> 1")
         up_cnt, up_sum = "max(if(_span = '0', _cnt, NULL))", {n: f"max(if(_span = '0', `_sx_{n}`, NULL))" for n in sums}
     outs = []
     for k in spans:

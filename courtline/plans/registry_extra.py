@@ -1171,7 +1171,8 @@ def q_stream_features(spark, d):
     m = cut_lineage(views.matches(t))
     elo = folds.elo_ratings(m).withColumns({c: r6(c) for c in ("p1_elo", "p2_elo")})
     history = {"rankings": _supplier_rankings(t), "ratings": cut_lineage(elo_after(m, elo)), "players": views.players_dim(t)}
-    out = run_replay(spark, {"books": (books(spark, d), "ts")}, lambda books: books, "features", batches=2,
+    updates = cut_lineage(books(spark, d), fmt="parquet")  # each slice reads them
+    out = run_replay(spark, {"books": (updates, "ts")}, lambda books: books, "features", batches=2,
                      each=lambda batch: live_features(batch, m, **history))
     rounded = [f"p{i}_{c}" for c in (*_LIVE_SHARES, "elo", "odds", "implied_prob") for i in (1, 2)] + ["book_margin"]
     out = out.withColumns({c: r6(c) for c in rounded}).withColumn("elo_diff", F.round(F.col("p1_elo") - F.col("p2_elo"), 6))

@@ -22,3 +22,15 @@ def test_feature_build_reads_rankings_once(spark, tmp_path):
     assert _plan(out).count("Relation [player") == 1
     got = {r.match_id: (r.p1_rank, r.p2_rank, r.rank_diff) for r in out.select("match_id", "p1_rank", "p2_rank", F.col("rank_diff")).collect()}
     assert got == {1: (30, 500, -470), 2: (20, 500, -480), 3: (500, 500, 0)}
+
+
+def test_running_keeps_what_is_asked_and_drops_the_rest_early(spark):
+    from courtline.operators.running import Agg, running
+    rows = [(i % 3 if i % 2 else 0, i // 4 if i % 11 else None, i, i % 5 == 0) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, t long, id long, asked boolean").repartition(5)
+    aggs = [Agg("n", "count", F.lit(1)), Agg("s", "sum", F.col("id")), Agg("at", "last", F.when(~F.col("asked"), F.col("id")))]
+    some = running(df, ["k"], ["t", "id"], aggs, keep="asked")
+    want = sorted(map(tuple, running(df, ["k"], ["t", "id"], aggs).where("asked").collect()), key=lambda r: r[2])
+    assert sorted(map(tuple, some.collect()), key=lambda r: r[2]) == want and len(want) == 80
+    plan = _plan(some)  # the condition stands below the step that sends rows on
+    assert "asked" in [line for line in plan[plan.index("Generate explode"):].splitlines() if "Filter" in line][0]
