@@ -5,7 +5,7 @@ incremental Elo.
 Every stateless step is an ordinary DataFrame transform, so the same function runs on a
 batch DataFrame (replay, tests) and on a streaming one. Time is the event time of the
 update (``ts``), never the wall clock, so a replay gives the same answer. Stateful steps use
-``transformWithStateInPandas`` with one state entry per selection or player; watermarks and
+``transformWithState`` (in pandas for Elo) with one state entry per selection or player; watermarks and
 timers bound their state. Nothing places an order: decisions are rows in a table.
 """
 
@@ -18,7 +18,7 @@ from functools import reduce
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -225,68 +225,95 @@ def stream_daily_pnl(orders: DataFrame, delay: str = "2 hours", value: str = "pr
 
 # ---------------------------------------------------------------- stateful: risk, Elo
 
-RISK_OUT = ("account string, day date, selection_key string, ts timestamp, stake double, pnl double, exposure double, "
-            "decision string")
+RISK_OUT = "account string, day int, selection_key string, us long, stake double, pnl double, exposure double, decision string"
+UNMARKED = -2  # of a selection that is not handled; -1: handled, without an end
 
 
 class AccountProcessor(StatefulProcessor):
-    """One account's books: the day's P&L, the open stakes and the handled selections, each stake
-    and selection as an entry of its own, so that a batch reads and writes only what it touches."""
+    """One account's books: the day's P&L and, an entry each, the selections with an open stake or a
+    handled mark. Every call to the state store is a round trip, so a batch reads a selection once,
+    all of them at once where they are about as few as those it touches, and writes what it changed
+    when it is done."""
+
+    FEW = 64
 
     def __init__(self, p: LiveParams, dry_run: bool, expiring: bool):
         self.p, self.placed, self.expiring = p, "DRY_RUN" if dry_run else "PLACE", expiring
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.today = handle.getValueState("today", "day int, pnl double, exposure double")
-        self.open = handle.getMapState("open", "selection_key string", "stake double")
-        self.handled = handle.getMapState("handled", "selection_key string", "expires long")
+        self.today = handle.getValueState("today", "day int, pnl double, exposure double, entries long")
+        self.selections = handle.getMapState("selections", "selection_key string", "open boolean, stake double, expires long")
 
-    def _decide(self, r, pnl: float, exposure: float) -> str:
-        key = (r.selection_key,)
-        if self.handled.containsKey(key):
+    def _decide(self, opened: bool, expires: int, stake: float, pnl: float, exposure: float) -> str:
+        if expires != UNMARKED:
             return "DUPLICATE"
-        if self.open.containsKey(key):
+        if opened:
             return "EXPOSED"
         if pnl <= -self.p.max_daily_loss:
             return "RISK_BLOCKED"
-        if exposure + r.stake > self.p.max_exposure:
+        if exposure + stake > self.p.max_exposure:
             return "EXPOSED"
-        return "BELOW_MIN" if r.stake < self.p.min_stake else self.placed
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "kind", "selection_key", "stake", "profit"], kind="mergesort")
-        day, pnl, exposure = self.today.get() if self.today.exists() else (None, 0.0, 0.0)
-        out = []
-        for r in pdf.itertuples(index=False):
-            on = r.ts.toordinal()
-            if on != day:
-                day, pnl = on, 0.0
-            name = (r.selection_key,)
+        return "BELOW_MIN" if stake < self.p.min_stake else self.placed
+
+    def _known(self, keys: set[str], entries: int) -> dict[str, tuple]:
+        """What the store holds of the selections."""
+        if not entries:
+            return {}
+        if entries <= max(self.FEW, 2 * len(keys)):
+            return {k[0]: tuple(v) for k, v in self.selections.iterator()}
+        found = {k: self.selections.getValue((k,)) for k in keys}
+        return {k: tuple(v) for k, v in found.items() if v is not None}
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        missing = lambda v: v is None or v != v
+        last = lambda v: (True, 0) if missing(v) else (False, v)
+        mine = sorted(rows, key=lambda r: (r.us, r.kind, *map(last, (r.selection_key, r.stake, r.profit))))
+        day, pnl, exposure, entries = self.today.get() or (None, 0.0, 0.0, 0)
+        stored = self._known({r.selection_key for r in mine if r.selection_key is not None}, entries)
+        now: dict[str, tuple] = {}
+        for r in mine:
+            if r.day != day:
+                day, pnl = r.day, 0.0
+            name = r.selection_key
+            opened, staked, expires = now.get(name) or stored.get(name) or (False, 0.0, UNMARKED)
             if r.kind == "settle":
-                pnl += 0.0 if pd.isna(r.profit) else float(r.profit)
-                if not pd.isna(r.selection_key) and self.open.containsKey(name):
-                    exposure -= float(self.open.getValue(name)[0])
-                    self.open.removeKey(name)
+                pnl += 0.0 if missing(r.profit) else r.profit
+                if opened:
+                    exposure -= staked
+                    now[name] = (False, 0.0, expires)
                 continue
-            decision = self._decide(r, pnl, exposure)
-            out.append((key[0], r.ts.date(), r.selection_key, r.ts, float(r.stake), pnl, exposure, decision))
+            decision = self._decide(opened, expires, r.stake, pnl, exposure)
+            yield Row(account=key[0], day=r.day, selection_key=name, us=r.us, stake=r.stake, pnl=pnl, exposure=exposure, decision=decision)
             if decision in (self.placed, "BELOW_MIN"):
-                ends = int(pd.Timestamp(r.expires).value // 1_000_000) if self.expiring and not pd.isna(r.expires) else -1
-                self.handled.updateValue(name, (ends,))
+                ends = r.expires if self.expiring and r.expires is not None else -1
+                placed = decision == self.placed
+                now[name] = (placed, r.stake if placed else 0.0, ends)
+                exposure += r.stake if placed else 0.0
                 if ends >= 0:
                     self.handle.registerTimer(ends)
-            if decision == self.placed:
-                self.open.updateValue(name, (float(r.stake),))
-                exposure += float(r.stake)
-        self.today.update((day, pnl, exposure))
-        if out:
-            yield pd.DataFrame(out, columns=["account", "day", "selection_key", "ts", "stake", "pnl", "exposure", "decision"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for name, value in now.items():
+            if value[0] or value[2] != UNMARKED:
+                self.selections.updateValue((name,), value)
+                entries += name not in stored
+            elif name in stored:
+                self.selections.removeKey((name,))
+                entries -= 1
+        self.today.update((day, pnl, exposure, entries))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = expiredTimerInfo.getExpiryTimeInMs()
-        for name in [k for k, v in self.handled.iterator() if 0 <= v[0] <= now]:
-            self.handled.removeKey(name)
+        gone = 0
+        for name, (opened, stake, expires) in list(self.selections.iterator()):
+            if 0 <= expires <= now:
+                if opened:
+                    self.selections.updateValue(name, (opened, stake, UNMARKED))
+                else:
+                    self.selections.removeKey(name)
+                    gone += 1
+        if gone:
+            day, pnl, exposure, entries = self.today.get()
+            self.today.update((day, pnl, exposure, entries - gone))
         yield from ()
 
     def close(self) -> None:
@@ -311,13 +338,16 @@ def stream_risk_state(events: DataFrame, p: LiveParams = LiveParams(), timeout:
     bet = (F.col("kind") == "bet") & F.col("selection_key").isNotNull() & F.col("stake").isNotNull() & ~F.isnan("stake")
     known = F.col("account").isNotNull() & F.col("ts").isNotNull() & ((F.col("kind") == "settle") | bet)
     expiring = "expires" in events.columns
-    e = events.where(known).select("account", "ts", "kind", "selection_key", F.col("stake").cast("double"), F.col("profit").cast("double"),
-                                   *(["expires"] if expiring else []))
     if expiring:
-        e = e.withWatermark("ts", timeout)
-    return e.groupBy("account").transformWithStateInPandas(
+        events = events.withWatermark("ts", timeout)
+    e = events.where(known).select("account", *(["ts"] if expiring else []), F.unix_micros("ts").alias("us"), F.unix_date(F.to_date("ts")).alias("day"), "kind", "selection_key",
+                                   F.col("stake").cast("double"), F.col("profit").cast("double"),
+                                   *([F.unix_millis("expires").alias("expires")] if expiring else []))
+    out = e.groupBy("account").transformWithState(
         statefulProcessor=AccountProcessor(p, dry_run, expiring), outputStructType=RISK_OUT, outputMode="Append",
         timeMode="EventTime" if expiring else "None")
+    return out.select("account", F.date_from_unix_date("day").alias("day"), "selection_key", F.timestamp_micros("us").alias("ts"), "stake", "pnl", "exposure",
+                      "decision")
 
 
 ELO_OUT = "match_id long, surface string, p1_id long, p2_id long, p1_elo double, p2_elo double"

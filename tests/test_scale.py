@@ -34,3 +34,60 @@ def test_running_keeps_what_is_asked_and_drops_the_rest_early(spark):
     assert sorted(map(tuple, some.collect()), key=lambda r: r[2]) == want and len(want) == 80
     plan = _plan(some)  # the condition stands below the step that sends rows on
     assert "asked" in [line for line in plan[plan.index("Generate explode"):].splitlines() if "Filter" in line][0]
+
+
+class _Store(dict):
+    """A map or value state that counts its round trips."""
+    calls = 0
+
+    def _call(self, result=None):
+        self.calls += 1
+        return result
+
+    def getValue(self, key): return self._call(self.get_(key))  # noqa: E704
+    def updateValue(self, key, value): self._call(self.__setitem__(key, value))  # noqa: E704
+    def removeKey(self, key): self._call(self.pop(key, None))  # noqa: E704
+    def iterator(self): return self._call(iter([*self.items()]))  # noqa: E704
+    def update(self, value): self._call(self.__setitem__("", value))  # noqa: E704
+    def get(self): return self._call(self.get_(""))  # noqa: E704
+    def get_(self, key): return dict.get(self, key)  # noqa: E704
+
+
+def _account(expiring=False):
+    from types import SimpleNamespace
+
+    from courtline.params import LiveParams
+    from courtline.streaming.live import AccountProcessor
+    today, marks = _Store(), _Store()
+    a = AccountProcessor(LiveParams(), True, expiring)
+    a.init(SimpleNamespace(getValueState=lambda *_: today, getMapState=lambda *_: marks, registerTimer=lambda _: None))
+    return a, today, marks
+
+
+def _bet(i, name, stake=1.0, kind="bet", **more):
+    from pyspark.sql import Row
+    return Row(account="a", us=i, day=0, kind=kind, selection_key=name, stake=stake, profit=None, **more)
+
+
+def test_risk_state_reads_a_selection_once_a_batch():
+    a, today, marks = _account()
+    for batch in range(3):
+        today.calls = marks.calls = 0
+        got = [r.decision for r in a.handleInputRows(("a",), iter([_bet(i, f"m-{i % 2}") for i in range(50)]), None)]
+        assert got == (["DRY_RUN"] * 2 if batch == 0 else ["DUPLICATE"] * 2) + ["DUPLICATE"] * 48
+        assert today.calls + marks.calls <= 4
+    # many stored selections: only the one that is touched is read
+    [*a.handleInputRows(("a",), iter([_bet(i, f"n-{i}", 0.01) for i in range(500)]), None)]
+    marks.calls = 0
+    assert [r.decision for r in a.handleInputRows(("a",), iter([_bet(0, "n-7")]), None)] == ["DUPLICATE"] and marks.calls == 1
+
+
+def test_an_open_stake_outlasts_the_mark_of_its_selection():
+    from types import SimpleNamespace
+    a, today, marks = _account(expiring=True)
+    [*a.handleInputRows(("a",), iter([_bet(0, "m", expires=5), _bet(1, "dust", 0.01, expires=5)]), None)]
+    [*a.handleExpiredTimer(("a",), None, SimpleNamespace(getExpiryTimeInMs=lambda: 5))]
+    assert today[""][3] == len(marks) == 1
+    rows = [_bet(2, "m", expires=9), _bet(3, "m", kind="settle", expires=None), _bet(4, "m", expires=9), _bet(5, "dust", 0.01, expires=9)]
+    assert [r.decision for r in a.handleInputRows(("a",), iter(rows), None)] == ["EXPOSED", "DRY_RUN", "BELOW_MIN"]
+    assert today[""][3] == len(marks) == 2
