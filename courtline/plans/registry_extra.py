@@ -563,7 +563,7 @@ SELECT market_id, ts, status, inplay, competition, p1_id, 'Runner ' || p1_id AS
        p2_id, 'Runner ' || p2_id AS p2_name, round(p2_odds, 6) AS p2_odds FROM live""")
 def q_join_catalogue_book(spark, d):
     from ..streaming.live import run_replay
-    j = run_replay(spark, _live_markets(spark, d), _joined, "catalogue_book")
+    j = run_replay(spark, _live_markets(spark, d), _joined, "catalogue_book", idle=False)
     r = lambda i, f: F.col("runners")[i - 1][f]
     return j.select("market_id", "ts", "status", "inplay", "competition",
                     *[c for i in (1, 2) for c in (r(i, "selection_id").alias(f"p{i}_id"), r(i, "runner_name").alias(f"p{i}_name"),
@@ -588,7 +588,7 @@ def q_stream_bet_rows(spark, d):
             "p1_predicted_prob", (F.lit(1) + F.col("market_id").cast("bigint") % 97) / F.lit(100.0))
         return stream_value_bets(scored).select("market_id", "ts", "selection_id", "player_name", "odds", "ev", "model_prob", "ev_text",
                                                 "kelly_fraction", "selection_key")
-    out = run_replay(spark, _live_markets(spark, d), plan, "bet_rows", batches=2)
+    out = run_replay(spark, _live_markets(spark, d), plan, "bet_rows", batches=2, idle=False)
     return out.withColumns({c: r6(c) for c in ("odds", "ev", "kelly_fraction")})
 
 

@@ -91,3 +91,27 @@ def test_an_open_stake_outlasts_the_mark_of_its_selection():
     rows = [_bet(2, "m", expires=9), _bet(3, "m", kind="settle", expires=None), _bet(4, "m", expires=9), _bet(5, "dust", 0.01, expires=9)]
     assert [r.decision for r in a.handleInputRows(("a",), iter(rows), None)] == ["EXPOSED", "DRY_RUN", "BELOW_MIN"]
     assert today[""][3] == len(marks) == 2
+
+
+def test_a_replayed_join_needs_no_empty_batches(spark):
+    import glob
+    import os
+
+    from courtline.session import checkpoint_dir
+    from courtline.streaming import live
+    day = lambda i: DAY + dt.timedelta(days=i)
+    catalogue = spark.createDataFrame(
+        [(f"m{i}", day(i), "Odds", day(i), "Slam", "A v B", [(1, "A"), (2, "B")]) for i in range(9)],
+        "market_id string, ts timestamp, market_name string, market_time timestamp, competition string, event_name string, runners array<struct<selection_id:long,runner_name:string>>")
+    books = spark.createDataFrame(
+        [(f"m{i}", day(i + j), "OPEN", False, [(2, 3.0, 1.0), (1, 2.0, 1.0)]) for i in range(9) for j in range(4)],
+        "market_id string, ts timestamp, status string, inplay boolean, runners array<struct<selection_id:long,best_back:double,size:double>>")
+    plan = lambda catalogue, books: live.join_catalogue_book(catalogue, books, valid="2 days", delay="3 days")
+    found = {}
+    for idle in (True, False):
+        out = live.run_replay(spark, {"catalogue": (catalogue, "ts"), "books": (books, "ts")}, plan, f"idle_{idle}", 3, idle=idle)
+        found[idle] = sorted((r.market_id, r.ts) for r in out.collect())
+        [commits] = glob.glob(os.path.join(checkpoint_dir(spark).removeprefix("file:"), "streams", f"idle_{idle}-*", "checkpoint", "commits"))
+        assert idle or len([f for f in os.listdir(commits) if f.isdigit()]) == 3
+    assert found[True] == found[False] and len(found[True]) == 27
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"
