@@ -115,3 +115,13 @@ def test_a_replayed_join_needs_no_empty_batches(spark):
         assert idle or len([f for f in os.listdir(commits) if f.isdigit()]) == 3
     assert found[True] == found[False] and len(found[True]) == 27
     assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"
+
+
+def test_files_with_a_notice_are_not_broadcast(spark):
+    from courtline.llm.licenses import license_scan
+    files = spark.createDataFrame([("a/x", "Released under the MIT License."), ("a/y", "words only"), ("b/z", None)], "path string, text string")
+    out = license_scan(files)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # the join of whole texts, which come with the positions of matching lines
+    assert any("SortMergeJoin [path" in line and "Inner" in line for line in plan.splitlines())
+    assert sorted((r.path, r.license, r.origin) for r in out.collect()) == [("a/x", "MIT", "header"), ("a/y", "MIT", "inherited"), ("b/z", None, "none")]
