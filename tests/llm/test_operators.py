@@ -419,6 +419,20 @@ def test_license_scan(spark, empty):
     assert licenses.license_scan(empty.select(F.col("source").alias("path"), "text")).count() == 0
 
 
+def test_license_terms_inside_other_words_cost_no_line(spark):
+    wanted = {"use", "by-nc", "2.0", "c+d", "gnu"}
+    inside = ["because reuse", "used users", "12.0 2.01", "agnu gnus", "by-nca", "caused\nhouse"]
+    alone = ["USE", "a\nuse", "x.use.y", "(By-Nc)", "v2 2.0.", "éuseé", "c+d", "-gnu+", "reuse, use", "2.0-gnu", "c+ c+d"]
+    rows = spark.createDataFrame([(t,) for t in inside + alone], "t string")
+    got = {r.t: r.m for r in rows.select("t", licenses.may_hold(F.col("t"), wanted).alias("m")).collect()}
+    assert got == {t: t in alone for t in inside + alone}
+    # a term that stands in a line is never missed
+    pieces = ["use", "GNU", "2.0", "by", "nc", "c", "d", "1", ".", "+", "-", " ", "\n", "é", "\u212a", "_"]
+    made = spark.createDataFrame([("".join(random.choices(pieces, k=random.randint(1, 9))),) for _ in range(3000)], "t string")
+    held = F.arrays_overlap(licenses.terms(F.col("t")), F.lit(sorted(wanted)))
+    assert made.where(held & ~licenses.may_hold(F.col("t"), wanted)).count() == 0 < made.where(held).count()
+
+
 @pytest.fixture(scope="module")
 def trees(spark):
     return html_extract.fit(spark.createDataFrame([], "page_id long, html string"))
