@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, step_table, words
+from .common import ascii_lower, hand_back, let, step_table, words
 
 BANDS, MISSED = 60, 5e-6  # rows per band: as many as keep the chance to miss a link at the threshold below MISSED
 REGISTERS = 600
@@ -123,6 +123,8 @@ def sketches(rows: DataFrame, width: int, percent: int) -> DataFrame:
                 bands = _mixed((_BAND[:, :per_band] * (r.reshape(BANDS, -1)[:, :per_band].astype(np.uint64) + np.uint64(1))).sum(axis=1) + np.arange(BANDS, dtype=np.uint64))
                 out.append((key, len(h), hashlib.md5(h.tobytes()).digest(), bands.view(np.int64), r[:ESTIMATED].tobytes()))
             yield pd.DataFrame(out, columns=["key", "n", "cls", "bands", "regs"])
+            del out
+            hand_back()
     return step_table(rows.select("key", "body").mapInPandas(sketch, "key string, n long, cls binary, bands array<long>, regs binary"))
 
 

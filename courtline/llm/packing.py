@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import step_table
+from .common import hand_back, step_table
 from .tokens import codec, default_path
 
 WINDOW = 2048
@@ -126,6 +126,8 @@ def encode_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
             out = pd.DataFrame(rows, columns=["part", "pos", "doc_id", "n", "rest", "nth", "full", "ids"])
             out["doc_id"] = out["doc_id"].astype("Int64") if whole else out["doc_id"]
             yield out
+            del rows, out
+            hand_back()
 
     kind = dict(docs.dtypes)[doc_id]
     whole = kind in ("bigint", "int")
@@ -167,6 +169,8 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
             out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
             out["doc_id"] = out["doc_id"].astype("Int64") if whole else out["doc_id"]
             yield out
+            del rows, out
+            hand_back()
 
     placed = table.join(starts, ["part", "rest"], "left").withColumn("before", F.coalesce("before", F.lit(0)))
     return placed.mapInPandas(emit, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -23,13 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import step_table
+from .common import hand_back, step_table
 
 KINDS = ("email", "ip", "card", "phone")
 REACH = 80            # characters before and after an entity that count as its context
 ALPHA = 0.05          # chance of any false term, over all pairs tested
 DISCLOSURE = 0.9      # share of the entity's information content
 HELD_TERMS = 200_000  # term counts held by a task before they are passed on
+PASSED_TERMS = 10_000  # of them passed on at once
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -127,11 +128,12 @@ def document_facts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         held: Counter = Counter()
 
         def counts():
-            frame = pd.DataFrame([(None, None, None, None, None, None, t, n) for t, n in held.items()], columns=columns)
-            if kind in ("bigint", "int"):
-                frame["doc_id"] = frame["doc_id"].astype("Int64")
-            held.clear()
-            return frame
+            while held:
+                some = [(None, None, None, None, None, None, *held.popitem()) for _ in range(min(PASSED_TERMS, len(held)))]
+                frame = pd.DataFrame(some, columns=columns)
+                if kind in ("bigint", "int"):
+                    frame["doc_id"] = frame["doc_id"].astype("Int64")
+                yield frame
 
         for batch in batches:
             rows = []
@@ -142,13 +144,15 @@ def document_facts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                              sorted({w for w, _, _ in free_terms(t, spans)}) if spans else [], None, None))
                 held.update({w.lower() for w in set(_TERM.findall(t))})
                 if len(held) > HELD_TERMS:
-                    yield counts()
+                    yield from counts()
             frame = pd.DataFrame(rows, columns=columns)
             if kind in ("bigint", "int"):
                 frame["doc_id"] = frame["doc_id"].astype("Int64")
             frame["n"] = frame["n"].astype("Int64")
             yield frame
-        yield counts()
+            del rows, frame
+            hand_back()
+        yield from counts()
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), key.alias("key"), body.alias("body"))
     return step_table(rows.mapInPandas(look, FACTS.format(kind=kind)))
@@ -197,13 +201,8 @@ def disclosing_terms(facts: DataFrame, mentions: tuple[DataFrame, DataFrame] | N
     return pairs.where(evidence >= F.log(F.col("tested") / ALPHA)).select("entity", "term", "disclosure")
 
 
-def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, key (hash of id and text), spans array<struct<kind, start, end>>
-    by kind (email, ip, card, phone, term), then start; offsets in code points, end exclusive.
-
-    Null text counts as empty: no spans. Rows that repeat id and text get the same spans. Spans of
-    different kinds may overlap, terms overlap none. Other columns are ignored.
-    """
+def _held_and_bare(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, key, spans of the documents with a span and of those without."""
     facts = document_facts(docs, doc_id, text)
     documents = facts.where("key is not null")
     mentions = _mentions(documents)
@@ -224,7 +223,18 @@ def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
     held, bare = documents.where(F.size("spans") > 0), documents.where(F.size("spans") == 0)
     held = held.join(told, "key", "left").select("doc_id", "key", F.concat("spans", F.coalesce(marked("body", "spans", "terms"), none)).alias("spans"))
-    return held.unionByName(bare.select("doc_id", "key", "spans"))
+    return held, bare.select("doc_id", "key", "spans")
+
+
+def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: doc_id, key (hash of id and text), spans array<struct<kind, start, end>>
+    by kind (email, ip, card, phone, term), then start; offsets in code points, end exclusive.
+
+    Null text counts as empty: no spans. Rows that repeat id and text get the same spans. Spans of
+    different kinds may overlap, terms overlap none. Other columns are ignored.
+    """
+    held, bare = _held_and_bare(docs, doc_id, text)
+    return held.unionByName(bare)
 
 
 def spans_text(spans):
@@ -237,7 +247,8 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     body = F.coalesce(F.col(text), F.lit(""))
     key = F.md5(F.concat_ws(" ", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.md5(body)))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("key"))
-    found = find_spans(docs, doc_id, text).where(F.size("spans") > 0).select("key", "spans").dropDuplicates(["key"])
+    # a filter on the spans would find the terms twice, by two Python workers in each task
+    found = _held_and_bare(docs, doc_id, text)[0].select("key", "spans").dropDuplicates(["key"])
 
     @F.pandas_udf("string")
     def replaced(bodies: pd.Series, spans: pd.Series) -> pd.Series:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from courtline.llm import bpe_reuse, exact_dedup, html_extract, licenses, line_dedup, near_dedup, packing, pii, quality, toxicity
+from courtline.llm import bpe_reuse, common, exact_dedup, html_extract, licenses, line_dedup, near_dedup, packing, pii, quality, toxicity
 from courtline.llm.tokens import codec, default_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id long, key string, spans string, score double"
@@ -338,6 +338,26 @@ def test_disclosing_terms_and_sanitise(spark, docs, empty):
     assert clean.columns == docs.columns and clean.count() == len(rows())
 
 
+def test_sanitise_finds_terms_once(spark):
+    docs = spark.createDataFrame([(1, "mail bob@example.com now"), (2, "plain"), (3, None)], "doc_id long, text string")
+    out = pii.sanitise(docs)
+    evaluated = re.findall(r"ArrowEvalPython \[(\w+)", out._jdf.queryExecution().optimizedPlan().toString())
+    assert sorted(evaluated) == ["marked", "replaced"]
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "mail [EMAIL] now", 2: "plain", 3: None}
+
+
+def test_freed_memory_goes_back():
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+    blocks = [bytearray(3000) for _ in range(40000)]
+    last = blocks[-1]  # holds the end of the heap
+    del blocks
+    before = resident()
+    common.hand_back()
+    assert len(last) == 3000 and before - resident() > 60e6
+
+
 def test_disclosing_terms_of_whole_documents(spark):
     """Terms far from the value, short ones and ones with digits go wherever they stand; two documents are enough."""
     far = lambda: prose(40).replace("\n", " ")
