@@ -62,7 +62,8 @@ def filter_market_eligible(books: DataFrame, p: LiveParams = LiveParams()) -> Da
 
 def filter_two_runner(books: DataFrame) -> DataFrame:
     """Markets whose book carries exactly two runners with ids."""
-    return books.where((F.size("runners") == 2) & F.forall("runners", lambda r: r["selection_id"].isNotNull()))
+    return books.where((F.size("runners") == 2) & F.get("runners", F.lit(0))["selection_id"].isNotNull()
+                       & F.get("runners", F.lit(1))["selection_id"].isNotNull())
 
 
 def filter_competition_keyword(df: DataFrame, keywords: list[str], col: str = "competition") -> DataFrame:
@@ -106,19 +107,19 @@ def join_catalogue_book(catalogue: DataFrame, books: DataFrame, *, valid: str =
     Returns the columns of ``BOOK_SCHEMA``, which the gate and the features read.
     """
     two = lambda c: F.coalesce(F.size(c), F.lit(0)) == 2
+    # runners as plain columns: small state rows, and a condition without higher-order functions, which run once for each pair
+    flat = lambda side, *fields: [F.get("runners", F.lit(i))[f].alias(f"_{side}{i}_{f}") for i in (0, 1) for f in fields]
     c = catalogue.where(two("runners")).select(
         F.col("market_id").alias("_market"), F.col("ts").alias("_published"), "market_time", "market_name", "competition",
-        "event_name", F.col("runners").alias("_names")).withWatermark("_published", delay)
-    b = books.where(two("runners")).select("market_id", "ts", "status", "inplay", F.col("runners").alias("_prices")).withWatermark("ts", delay)
-    j = b.join(c, F.expr(f"market_id = _market AND ts >= _published AND ts <= _published + INTERVAL {valid}"))
-    found = F.transform("_names", lambda n: F.struct(
-        n["selection_id"].alias("selection_id"), n["runner_name"].alias("runner_name"),
-        F.element_at(F.filter("_prices", lambda q: q["selection_id"] == n["selection_id"]), -1).alias("price")))
-    j = j.withColumn("_found", F.when(F.forall("_names", lambda n: F.exists("_prices", lambda q: q["selection_id"] == n["selection_id"])), found))
-    runners = F.transform("_found", lambda r: F.struct(r["selection_id"].alias("selection_id"), r["runner_name"].alias("runner_name"),
-                                                       r["price"]["best_back"].alias("best_back"), r["price"]["size"].alias("size")))
-    return j.where(F.col("_found").isNotNull()).select(
-        "market_id", "ts", "status", "inplay", "market_time", "market_name", "competition", "event_name", runners.alias("runners"))
+        "event_name", *flat("name", "selection_id", "runner_name")).withWatermark("_published", delay)
+    b = books.where(two("runners")).select("market_id", "ts", "status", "inplay", *flat("price", "selection_id", "best_back", "size")).withWatermark("ts", delay)
+    at = lambda n, q: F.col(f"_name{n}_selection_id") == F.col(f"_price{q}_selection_id")
+    band = F.expr(f"market_id = _market AND ts >= _published AND ts <= _published + INTERVAL {valid}")
+    j = b.join(c, band & (at(0, 0) | at(0, 1)) & (at(1, 0) | at(1, 1)))
+    priced = lambda n, f: F.when(at(n, 1), F.col(f"_price1_{f}")).otherwise(F.col(f"_price0_{f}")).alias(f)
+    runners = F.array(*[F.struct(F.col(f"_name{n}_selection_id").alias("selection_id"), F.col(f"_name{n}_runner_name").alias("runner_name"),
+                                 priced(n, "best_back"), priced(n, "size")) for n in (0, 1)])
+    return j.select("market_id", "ts", "status", "inplay", "market_time", "market_name", "competition", "event_name", runners.alias("runners"))
 
 
 # ---------------------------------------------------------------- features, score, value bets

@@ -117,6 +117,28 @@ def test_a_replayed_join_needs_no_empty_batches(spark):
     assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"
 
 
+def test_a_pair_of_the_join_is_tested_without_higher_order_functions(spark):
+    from courtline.streaming import live
+    day = lambda i: DAY + dt.timedelta(days=i)
+    names = {"ok": [(1, "A"), (2, "B")], "same": [(1, "A"), (1, "A2")], "null": [(None, "A"), (2, "B")], "gone": [None, (2, "B")]}
+    prices = [[(2, 3.0, 1.0), (1, 2.0, 5.0)], [(1, 2.1, 1.0), (1, 2.2, 2.0)], [(1, 2.3, 1.0), (None, 9.0, 1.0)], [(1, None, 1.0), (2, 3.1, 4.0)], [None, (1, 2.4, 3.0)],
+              [(1, 2.5, 1.0), (7, 9.0, 1.0)]]
+    catalogue = spark.createDataFrame(
+        [(m, DAY, "Odds", DAY, "Slam", "A v B", r) for m, r in names.items()],
+        "market_id string, ts timestamp, market_name string, market_time timestamp, competition string, event_name string, runners array<struct<selection_id:long,runner_name:string>>")
+    books = spark.createDataFrame(
+        [(m, day(i), "OPEN", False, r) for m in names for i, r in enumerate(prices)],
+        "market_id string, ts timestamp, status string, inplay boolean, runners array<struct<selection_id:long,best_back:double,size:double>>")
+    j = live.join_catalogue_book(catalogue, books, valid="9 days")
+    got = {(r.market_id, (r.ts - DAY).days): [tuple(x) for x in r.runners] for r in j.collect()}
+    both = lambda back, size: [(1, "A", back, size), (1, "A2", back, size)]
+    assert got == {("ok", 0): [(1, "A", 2.0, 5.0), (2, "B", 3.0, 1.0)], ("ok", 3): [(1, "A", None, 1.0), (2, "B", 3.1, 4.0)],
+                   ("same", 0): both(2.0, 5.0), ("same", 1): both(2.2, 2.0), ("same", 2): both(2.3, 1.0), ("same", 3): both(None, 1.0),
+                   ("same", 4): both(2.4, 3.0), ("same", 5): both(2.5, 1.0)}
+    assert live.filter_two_runner(j).count() == 8
+    assert "lambda" not in _plan(live.filter_two_runner(j).select("market_id", "ts", F.col("runners")[0]["best_back"]))
+
+
 def test_files_with_a_notice_are_not_broadcast(spark):
     from courtline.llm.licenses import license_scan
     files = spark.createDataFrame([("a/x", "Released under the MIT License."), ("a/y", "words only"), ("b/z", None)], "path string, text string")
